@@ -40,4 +40,8 @@ CONFIG = [
        locate=SAFELIST, confidence=0.84, fix="Keep the safelist narrow and intentional."),
 ]
 
-PACKS = {"css": CSS, "utility.config": CONFIG}
+PACKS = {
+    **{f"css.{pack}": [r for r in CSS if r.rule_id.startswith(f"css.{pack}.")]
+       for pack in ("security", "style", "maintenance")},
+    "utility.config": CONFIG,
+}

@@ -7,12 +7,15 @@ from ..model import FINDING_COLUMNS
 from .rules import Rule, findings_array, with_features
 
 
-def rule_scan(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """All findings of the rules of each file's language: one projection and one explode."""
+def rule_scan(files: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
+    """All findings of the rules of each file's language: one projection and one explode.
+
+    `keep` names further file columns to carry along.
+    """
     marked = with_features(files.where(F.col("language").isin(*sorted({r.language for r in rules}))), rules)
     return (
-        marked.select("job_id", "path", "language", F.inline(findings_array(rules)))
-        .select(*FINDING_COLUMNS)
+        marked.select("job_id", "path", "language", *keep, F.inline(findings_array(rules)))
+        .select(*FINDING_COLUMNS, *keep)
     )
 
 

@@ -1,5 +1,7 @@
 """Input corpora of the registered queries, in Spark and as DuckDB CTEs."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusgauge.sources.corpus import corpus_from_table
@@ -20,24 +22,23 @@ def page_files(spark, sf_dir) -> DataFrame:
         text="html", language="html", job_id=JOB)
 
 
-def document_files(spark, sf_dir) -> DataFrame:
+def document_files(spark, sf_dir, language="text") -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return corpus_from_table(
-        docs, path=F.concat("source", F.lit("/doc_"), F.col("doc_id"), F.lit(".txt")), text="text", language="text",
-        job_id=JOB)
+        docs, path=F.concat("source", F.lit("/doc_"), F.col("doc_id"), F.lit(".txt")), text="text",
+        language=language, job_id=JOB)
 
 
 def conversation_files(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return corpus_from_table(
-        turns, path=F.concat(F.lit("conv_"), F.col("conv_id"), F.lit("/"), F.col("turn")), text="text",
+        turns, path=F.concat(F.lit("conv_"), F.col("conv_id"), F.lit("/"), F.col("turn"), F.lit(".txt")), text="text",
         language="text", job_id=JOB)
 
 
 def code_files(spark, sf_dir) -> DataFrame:
     """One source file per part: the snippet of the part's size, then a document's whole text as a comment."""
-    snippets = spark.createDataFrame(
-        SNIPPETS, "snippet_id int, file_name string, language string, snippet string")
+    snippets = spark.createDataFrame(SNIPPETS, "snippet_id int, file_name string, language string, snippet string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("body"))
     parts = table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", F.col("p_size").cast("int").alias("snippet_id"))
@@ -61,27 +62,53 @@ def code_files(spark, sf_dir) -> DataFrame:
     )
 
 
-def quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+CORPORA = {"pages": page_files, "conversations": conversation_files, "code": code_files}
 
 
-PAGES_SQL = f"""files AS (SELECT '{JOB}' AS job_id,
-  regexp_replace(url, '^https?://', '') || '~' || page_id || '.html' AS path, 'html' AS language, html AS text FROM pages)"""
+def corpus(*names):
+    """A function of (spark, sf_dir) that unions the named corpora; `documents:x` gives documents language x."""
+    def build(spark, sf_dir):
+        frames = []
+        for name in names:
+            if name.startswith("documents"):
+                frames.append(document_files(spark, sf_dir, name.partition(":")[2] or "text"))
+            else:
+                frames.append(CORPORA[name](spark, sf_dir))
+        return reduce(lambda a, b: a.unionByName(b), frames)
 
-DOCUMENTS_SQL = f"""files AS (SELECT '{JOB}' AS job_id,
-  source || '/doc_' || doc_id || '.txt' AS path, 'text' AS language, text FROM documents)"""
+    return build
 
-CONVERSATIONS_SQL = f"""files AS (SELECT '{JOB}' AS job_id,
-  'conv_' || conv_id || '/' || turn AS path, 'text' AS language, text FROM conversations)"""
+
+def quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
 
 CODE_VALUES = ",\n".join(f"({i}, {quote(n)}, {quote(l)}, {quote(t)})" for i, n, l, t in SNIPPETS)
 
-CODE_SQL = f"""snippets(snippet_id, file_name, language, snippet) AS (VALUES {CODE_VALUES}),
-files AS (SELECT '{JOB}' AS job_id, p_brand || '/' || p_partkey || '/' || file_name AS path, s.language,
+SQL = {
+    "pages": f"""SELECT '{JOB}' AS job_id, regexp_replace(url, '^https?://', '') || '~' || page_id || '.html' AS path,
+  'html' AS language, html AS text FROM pages""",
+    "conversations": f"""SELECT '{JOB}' AS job_id, 'conv_' || conv_id || '/' || turn || '.txt' AS path,
+  'text' AS language, text FROM conversations""",
+    "code": f"""SELECT '{JOB}' AS job_id, p_brand || '/' || p_partkey || '/' || file_name AS path, s.language,
   replace(snippet, '@PART@', p_name) || coalesce(CASE
     WHEN s.language = 'python' THEN chr(10) || '# ' || replace(d.text, chr(10), chr(10) || '# ')
     WHEN s.language IN ('javascript', 'react') THEN chr(10) || '// ' || replace(d.text, chr(10), chr(10) || '// ')
     WHEN s.language = 'css' THEN chr(10) || '/* ' || d.text || ' */'
     WHEN s.language = 'html' THEN chr(10) || '<!-- ' || d.text || ' -->' END, '') AS text
-  FROM part JOIN snippets s ON p_size = snippet_id LEFT JOIN documents d ON doc_id = p_partkey)"""
+  FROM part JOIN snippets s ON p_size = snippet_id LEFT JOIN documents d ON doc_id = p_partkey""",
+}
+
+
+def corpus_sql(*names) -> str:
+    """CTEs that end in `files`."""
+    parts = []
+    for name in names:
+        if name.startswith("documents"):
+            language = name.partition(":")[2] or "text"
+            parts.append(f"SELECT '{JOB}' AS job_id, source || '/doc_' || doc_id || '.txt' AS path, "
+                         f"'{language}' AS language, text FROM documents")
+        else:
+            parts.append(SQL[name])
+    head = f"snippets(snippet_id, file_name, language, snippet) AS (VALUES {CODE_VALUES}),\n" if "code" in names else ""
+    return head + "files AS MATERIALIZED (" + "\nUNION ALL ".join(parts) + ")"
