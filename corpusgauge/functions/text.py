@@ -43,8 +43,8 @@ def replace_regex(text, pattern: str, by: str) -> Column:
 def count_substr(text, needle: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     text = col(text)
-    shorter = F.length(F.replace(text, F.lit(needle), F.lit("")))
-    return F.floor((F.length(text) - shorter) / F.lit(len(needle))).cast("int")
+    shorter = F.octet_length(F.replace(text, F.lit(needle), F.lit("")))
+    return F.floor((F.octet_length(text) - shorter) / F.lit(len(needle.encode()))).cast("int")
 
 
 def count_substrs(text, needles) -> Column:

@@ -193,15 +193,18 @@ def _last_value(*props):
     return F.get(own, F.size(own) - 1)["value"]
 
 
-def _rule_tests(files: DataFrame) -> DataFrame:
+def rule_contrast(files: DataFrame) -> DataFrame:
+    """Rules with their declarations (d) and the contrast of their last text and background colours."""
     rules = _rules(files).withColumn("d", declaration_array())
-    important = F.size(F.filter("d", lambda d: d["important"]))
     back = F.coalesce(_last_value("background-color"), _last_value("background"))
-    ratio = contrast_ratio(css_rgb(_last_value("color")), css_rgb(back))
+    return rules.withColumn("ratio", contrast_ratio(css_rgb(_last_value("color")), css_rgb(back)))
+
+
+def _rule_tests(files: DataFrame) -> DataFrame:
+    important = F.size(F.filter("d", lambda d: d["important"]))
     focus_off = r"(?i)outline\s*:\s*(none|0)\b|outline-style\s*:\s*none\b|box-shadow\s*:\s*none\b"
-    rules = rules.withColumn("ratio", ratio)
     return flag(
-        rules,
+        rule_contrast(files),
         (EMPTY_SELECTOR, C("selector") == ""),
         (RULE_IMPORTANT, important >= 3, {"n": important}),
         (FOCUS_REMOVED, F.lower("selector").contains(":focus") & C("body").rlike(focus_off)),

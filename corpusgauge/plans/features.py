@@ -6,7 +6,7 @@ from typing import Callable
 from pyspark.sql import Column, functions as F
 
 from ..functions.code import blank_code, blank_python, strip_code
-from ..functions.text import count_regex, count_substr, count_substrs, extract_all, line_count, lines_over, matches
+from ..functions.text import count_regex, count_substr, count_substrs, extract_all, let, line_count, lines_over, matches
 
 # Blocks of a page.
 SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script>"
@@ -101,7 +101,7 @@ FEATURES: dict[str, Feature] = {
     "py_code": Feature(lambda: blank_python("text")),
     "stages": Feature(lambda: count_substrs("text", STAGES)),
     "query_calls": Feature(lambda: count_substrs("text", QUERY_CALLS)),
-    "branches": Feature(lambda: count_substrs(F.lower("text"), BRANCHES)),
+    "branches": Feature(lambda: let(F.lower("text"), lambda t: count_substrs(t, BRANCHES))),
     "markers": Feature(lambda: count_substrs("text", MARKERS)),
     "magic_numbers": Feature(lambda: sum((count_regex("text", p) for p in MAGIC_NUMBERS), F.lit(0))),
     "lines_over_120": Feature(lambda: lines_over("text", 120)),

@@ -23,6 +23,17 @@ def read_corpus(spark: SparkSession, directory: str, max_bytes: int | None = Non
     return files if max_bytes is None else files.where(F.col("size_bytes") <= max_bytes)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table that is read in fewer pieces than there are cores over all cores.
+
+    Text rules cost far more than reading, so one row group would keep one core busy. Tables of many pieces,
+    as any large one, are left alone and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if pieces < cores else df
+
+
 def decode_text(content, limit: int = TEXT_LIMIT):
     """Text of the first `limit` bytes: UTF-8, else Latin-1.
 

@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusgauge.sources.corpus import corpus_from_table
+from corpusgauge.sources.corpus import corpus_from_table, spread
 from .snippets import SNIPPETS
 
 JOB = "job-1"
@@ -16,21 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def page_files(spark, sf_dir) -> DataFrame:
     """Pages as html files; the path is the address without its scheme."""
-    pages = table(spark, sf_dir, "pages")
+    pages = spread(table(spark, sf_dir, "pages"))
     return corpus_from_table(
         pages, path=F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("~"), F.col("page_id"), F.lit(".html")),
         text="html", language="html", job_id=JOB)
 
 
 def document_files(spark, sf_dir, language="text") -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return corpus_from_table(
         docs, path=F.concat("source", F.lit("/doc_"), F.col("doc_id"), F.lit(".txt")), text="text",
         language=language, job_id=JOB)
 
 
 def conversation_files(spark, sf_dir) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     return corpus_from_table(
         turns, path=F.concat(F.lit("conv_"), F.col("conv_id"), F.lit("/"), F.col("turn"), F.lit(".txt")), text="text",
         language="text", job_id=JOB)
