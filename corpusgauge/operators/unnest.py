@@ -232,11 +232,13 @@ def manifests(files: DataFrame) -> DataFrame:
 def manifest_dependencies(files: DataFrame) -> DataFrame:
     """Rows (section, package, spec)."""
     found = manifests(files).where("valid")
-    entries = F.concat(*[
-        F.transform(
-            F.map_entries(F.coalesce(F.col(s), F.create_map().cast("map<string,string>"))),
-            lambda e, s=s: F.struct(F.lit(s).alias("section"), e["key"].alias("package"), e["value"].alias("spec")))
-        for s in MANIFEST_SECTIONS])
+
+    def section(name):
+        pairs = F.map_entries(F.coalesce(F.col(name), F.create_map().cast("map<string,string>")))
+        return F.transform(pairs, lambda e: F.struct(
+            F.lit(name).alias("section"), e["key"].alias("package"), e["value"].alias("spec")))
+
+    entries = F.concat(*[section(name) for name in MANIFEST_SECTIONS])
     return found.select(*KEY, F.inline(entries)).where(F.col("spec").isNotNull())
 
 

@@ -1,6 +1,6 @@
 """Run outputs: findings, scores, details documents, run registry, exports."""
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import text_metrics
 from ..model import DETAILS
@@ -48,11 +48,9 @@ def from_details_json(documents: DataFrame) -> DataFrame:
 
 
 def register_run(runs: DataFrame, new: DataFrame) -> DataFrame:
-    """One row per job, the newest wins; rows of a job are ranked inside its key."""
-    w = W.partitionBy("job_id").orderBy(F.col("created_at").desc(), F.col("original_name"))
-    return (
-        runs.unionByName(new).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    )
+    """One row per job, the newest wins; a maximum, so rows of a job are combined before the shuffle."""
+    newest = F.max(F.struct("created_at", "original_name")).alias("r")
+    return runs.unionByName(new).groupBy("job_id").agg(newest).select("job_id", "r.original_name", "r.created_at")
 
 
 def export_report(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -37,8 +37,7 @@ def findings_sql(*names, corpora=("pages",)):
 def src_1(spark, sf):
     """The table files themselves, read as a directory."""
     files = src.read_corpus(spark, sf)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "size_bytes",
-                        F.sha2("content", 256).alias("sha256"))
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "size_bytes")
 
 
 def src_2(spark, sf):
