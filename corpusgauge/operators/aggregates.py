@@ -2,8 +2,9 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.events import signature
 from ..functions.text import clamp_score, content_hash, extract_all, squeeze
-from .unnest import KEY, css_rules, declaration_array, lines
+from .unnest import KEY, css_rules, lines
 
 FILE = ["job_id", "path"]
 URL = r"""(?i)https?://[^\s"'>)]+"""
@@ -112,10 +113,8 @@ def repeated_urls(files: DataFrame, min_count: int = 3) -> DataFrame:
 
 def rule_signatures(sheets: DataFrame) -> DataFrame:
     """Rows (rule_no, selector, signature): the sorted declarations of each rule body."""
-    pairs = F.transform(declaration_array(), lambda d: F.concat(d["prop"], F.lit(":"), d["raw"]))
-    rows = css_rules(sheets).select(*KEY, "rule_no", "selector", F.array_sort(pairs).alias("pairs"))
-    return rows.where(F.size("pairs") > 0).select(
-        *KEY, "rule_no", "selector", F.array_join("pairs", "|").alias("signature"))
+    rows = css_rules(sheets).where(F.size("d") > 0)
+    return rows.select(*KEY, "rule_no", "selector", signature(F.struct("d")).alias("signature"))
 
 
 def duplicate_rule_bodies(sheets: DataFrame, min_count: int = 2, *by) -> DataFrame:

@@ -1,14 +1,19 @@
 """Checks that are joins in disguise. Every join is an equi join on the file key and a name."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions import events as ev
 from ..functions.code import strip_code
 from ..functions.css import closest_property, known_properties
-from ..functions.text import count_regex, extract_all, matches, regex
-from ..plans.features import SCRIPT
-from .unnest import (
-    JS_NAME, KEY, PY_NAME, hook_segments, js_declarations, js_names, jsx_tags, lines, py_lines, py_symbols,
+from ..functions.text import count_regex, extract_all, regex
+from ..functions.events import ASYNC, HOOKS_WITH_DEPS, LOOP, PY_NAME
+from ..plans.checks_code import (
+    ARGUMENT_NAME, CALL, GIVEN, JS_GLOBALS, JS_KEYWORDS, MEMBER, NULL_ASSIGNED, PROP_TYPES, REQUIRED, RESOURCES,
+    TAINTED, call_sink, sink_arguments,
 )
+from ..plans.checks_css import VENDOR
+from ..plans.checks_html import CONTROL, CONTROL_ID, LABEL, SELF_LABELLED, SKIPPED_INPUT
+from .unnest import KEY, js_declarations, js_names, jsx_tags, py_lines, py_symbols
 from .windows import indent_spans
 
 FILE = ["job_id", "path"]
@@ -21,20 +26,13 @@ def job_results(files: DataFrame, scores: DataFrame) -> DataFrame:
 
 # Pages --------------------------------------------------------------------------------------------------------
 
-CONTROL = r"(?i)<(?:input|textarea|select)\b[^>]*>"
-SKIPPED_INPUT = r"""(?i)^<input\b[^>]*\btype\s*=\s*["'](?:hidden|submit|button|reset|image)["']"""
-ID = r"""(?i)\bid\s*=\s*["']([^"']+)["']"""
-LABEL = r"""(?i)<label\b[^>]*\bfor\s*=\s*["']([^"']+)["']"""
-
-
 def unlabelled_inputs(files: DataFrame) -> DataFrame:
     """Form controls (pos, tag) without aria label, placeholder or a label for their id."""
     controls = files.select(*KEY, F.posexplode(extract_all("text", CONTROL)).alias("pos", "raw")).where(
-        ~F.col("raw").rlike(regex(SKIPPED_INPUT))
-        & ~F.col("raw").rlike(regex(r"(?i)\b(?:aria-label|aria-labelledby|placeholder)\s*=")))
+        ~F.col("raw").rlike(regex(SKIPPED_INPUT)) & ~F.col("raw").rlike(regex(SELF_LABELLED)))
     controls = controls.select(
         *KEY, (F.col("pos") + 1).alias("pos"), F.regexp_extract("raw", r"^<(\w+)", 1).alias("tag"),
-        F.regexp_extract("raw", regex(ID), 1).alias("id"))
+        F.regexp_extract("raw", regex(CONTROL_ID), 1).alias("id"))
     labels = files.select(*FILE, F.explode(extract_all("text", LABEL, 1)).alias("id"))
     return controls.join(labels, [*FILE, "id"], "left_anti")
 
@@ -55,23 +53,6 @@ def dead_selectors(selectors: DataFrame, files: DataFrame) -> DataFrame:
 
 # Scripts ------------------------------------------------------------------------------------------------------
 
-# Names that are never declarations to look for.
-JS_KEYWORDS = (
-    "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export",
-    "extends", "false", "finally", "for", "function", "if", "import", "in", "instanceof", "let", "new", "null",
-    "return", "super", "switch", "this", "throw", "true", "try", "typeof", "var", "void", "while", "with", "yield",
-    "async", "await",
-)
-JS_GLOBALS = (
-    "Array", "ArrayBuffer", "Boolean", "Date", "Error", "EvalError", "Function", "Infinity", "JSON", "Map", "Math",
-    "NaN", "Number", "Object", "Promise", "Proxy", "RangeError", "ReferenceError", "Reflect", "RegExp", "Set",
-    "String", "Symbol", "SyntaxError", "TypeError", "URIError", "WeakMap", "WeakSet", "console", "document",
-    "window", "globalThis", "navigator", "location", "history", "localStorage", "sessionStorage", "fetch", "URL",
-    "URLSearchParams", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "setImmediate",
-    "clearImmediate", "queueMicrotask",
-)
-
-
 def use_before_declaration(files: DataFrame) -> DataFrame:
     """Variables named on a line before their declaration: (name, kind, line_no, first_use)."""
     declared = js_declarations(files).where(
@@ -84,24 +65,13 @@ def use_before_declaration(files: DataFrame) -> DataFrame:
 def nullish_access(files: DataFrame) -> DataFrame:
     """Names set to null or undefined and then read with a plain member access."""
     code = files.select(*KEY, strip_code("text").alias("code"))
-    empty = extract_all("code", r"(%s)\s*=\s*(?:null|undefined)\b" % JS_NAME, 1)
+    empty = extract_all("code", NULL_ASSIGNED, 1)
     empty = code.select(*KEY, F.explode(F.array_distinct(empty)).alias("name"))
-    member = F.filter(extract_all("code", r"(\??%s)\." % JS_NAME, 1), lambda n: ~n.startswith("?"))
+    member = F.filter(extract_all("code", MEMBER, 1), lambda n: ~n.startswith("?"))
     member = code.select(*FILE, F.explode(F.array_distinct(member)).alias("name"))
     return empty.join(member, [*FILE, "name"], "left_semi")
 
 
-# Resources and their release.
-RESOURCES = (
-    ("setInterval", "clearInterval"),
-    ("setTimeout", "clearTimeout"),
-    ("addEventListener", "removeEventListener"),
-    ("subscribe", "unsubscribe"),
-    ("fetch(", "AbortController"),
-    ("new WebSocket", "close"),
-)
-
-
 def unreleased_resources(files: DataFrame, pairs=RESOURCES) -> DataFrame:
     """Resources a file acquires without ever naming their release; the pairs are literals, no join is needed."""
     entries = F.array(*[
@@ -113,17 +83,13 @@ def unreleased_resources(files: DataFrame, pairs=RESOURCES) -> DataFrame:
 
 # Components ---------------------------------------------------------------------------------------------------
 
-PROP_TYPES = r"\b([A-Z][A-Za-z0-9_]*)\.propTypes\s*=\s*\{([^{}]*)\}"
-REQUIRED = r"\b(%s)\s*:\s*[^,\n]+?\.isRequired\b" % JS_NAME
-
-
 def missing_required_props(files: DataFrame) -> DataFrame:
     """Uses (component, pos, prop) that leave out a required prop; tags that spread props are trusted."""
     blocks = files.select(*KEY, F.explode(extract_all("text", PROP_TYPES)).alias("b"))
     required = blocks.select(
         *FILE, F.regexp_extract("b", regex(PROP_TYPES), 1).alias("tag"),
         F.explode(extract_all(F.regexp_extract("b", regex(PROP_TYPES), 2), REQUIRED, 1)).alias("prop")).distinct()
-    given = extract_all("attrs", r"(%s)\s*=" % JS_NAME, 1)
+    given = extract_all("attrs", GIVEN, 1)
     uses = jsx_tags(files).where(F.col("tag").rlike("^[A-Z]") & ~F.col("attrs").contains("..."))
     uses = uses.select(*KEY, "pos", "tag", given.alias("given"))
     return (
@@ -132,69 +98,18 @@ def missing_required_props(files: DataFrame) -> DataFrame:
     )
 
 
-STATE_PAIR = r"\bconst\s*\[\s*(%s)\s*,\s*(%s)\s*\]\s*=\s*useState\s*\(" % (JS_NAME, JS_NAME)
-
-
-def state_pairs(text="text") -> Column:
-    """Array of struct (state, setter) of a file's state declarations."""
-    return F.transform(extract_all(text, STATE_PAIR), lambda p: F.struct(
-        F.regexp_extract(p, regex(STATE_PAIR), 1).alias("state"),
-        F.regexp_extract(p, regex(STATE_PAIR), 2).alias("setter")))
-
-
 def stale_state_updates(files: DataFrame) -> DataFrame:
-    """Setters fed their own captured state: (state, setter, shift, step, toggle, rebuild).
-
-    The patterns are built from the file's own names inside its row, so the text is not joined.
-    """
-    def tested(p):
-        call = F.concat(F.lit(r"(?d)\b\Q"), p["setter"], F.lit(r"\E\s*\(\s*"))
-        own = F.concat(F.lit(r"\Q"), p["state"], F.lit(r"\E"))
-        like = lambda *parts: F.regexp_like("text", F.concat(*parts))
-        return F.struct(
-            p["state"].alias("state"), p["setter"].alias("setter"),
-            like(call, own, F.lit(r"\s*[+\-]\s*\d+")).alias("shift"),
-            like(call, own, F.lit(r"\s*[+\-]\s*1\s*\)")).alias("step"),
-            like(call, F.lit(r"!\s*"), own, F.lit(r"\s*\)")).alias("toggle"),
-            like(call, F.lit(r"[\[{][\s\S]*\b"), own, F.lit(r"\b")).alias("rebuild"))
-
-    rows = files.select(*KEY, "text", state_pairs().alias("pairs")).where(F.size("pairs") > 0)
-    rows = rows.select(*KEY, F.inline(F.transform("pairs", tested)))
+    """Setters fed their own captured state: (state, setter, shift, step, toggle, rebuild)."""
+    rows = files.select(*KEY, F.inline(ev.stale_update_array("text")))
     return rows.where("shift or step or toggle or rebuild")
 
 
-PROP_LISTS = (
-    r"(?:function\s+[A-Z][A-Za-z0-9_]*|const\s+[A-Z][A-Za-z0-9_]*\s*=)\s*\(\s*\{([^}]*)\}\s*\)"
-)
-NAMES_IN = r"[A-Za-z_$][\w$]*"
-
-
-def watched_names(text="text") -> Column:
-    """State names in order, then destructured prop names in order."""
-    state = F.array_sort(F.array_distinct(F.transform(state_pairs(text), lambda p: p["state"])))
-    listed = F.flatten(F.transform(extract_all(text, PROP_LISTS, 1), lambda l: F.split(l, ",")))
-    props = F.transform(listed, lambda p: F.trim(F.regexp_replace(p, r"(?s)[=:].*$", "")))
-    props = F.filter(props, lambda p: p.rlike(r"^[A-Za-z_$][\w$]*$"))
-    return F.concat(state, F.array_sort(F.array_distinct(props)))
-
-
-def hook_reads(files: DataFrame) -> DataFrame:
-    """Hook calls with a dependency array and the watched names they read and list."""
-    named = files.select(*KEY, "text", watched_names().alias("names"))
-    segs = hook_segments(named, "names")
-    reads = F.array_distinct(extract_all("callback", NAMES_IN))
-    listed = extract_all(F.coalesce("deps", F.lit("")), NAMES_IN)
-    missing = F.filter(F.col("names"), lambda n: F.array_contains(reads, n) & ~F.array_contains(listed, n))
-    return segs.select(*KEY, "seg_no", "hook", "prefix", "callback", "deps", missing.alias("missing"))
-
-
 def missing_hook_deps(files: DataFrame, most: int = 5) -> DataFrame:
-    """Names a callback reads that its dependency array leaves out; the message lists `most` of them."""
-    from .unnest import HOOKS_WITH_DEPS
-
-    rows = hook_reads(files).where(
-        F.col("hook").isin(*HOOKS_WITH_DEPS) & F.col("deps").isNotNull() & (F.size("missing") > 0))
-    return rows.select(
+    """Names a callback reads that its dependency array leaves out; `listed` names the first `most` of them."""
+    rows = files.select(*KEY, ev.watched_names("text").alias("names"), F.inline(ev.hook_array("text")))
+    rows = rows.where(F.col("hook").isin(*HOOKS_WITH_DEPS) & F.col("deps").isNotNull())
+    rows = rows.withColumn("missing", ev.missing_names(F.col("names"), F.col("callback"), F.col("deps")))
+    return rows.where(F.size("missing") > 0).select(
         *KEY, "seg_no", "hook", F.size("missing").alias("n_missing"),
         F.array_join(F.slice("missing", 1, most), ", ").alias("listed"))
 
@@ -206,27 +121,11 @@ def unused_imports(files: DataFrame) -> DataFrame:
     """Imported names that no other line names."""
     imported = py_symbols(files).where("kind = 'import'").select(*KEY, "name").distinct()
     code = py_lines(files).where(~F.col("line").rlike(r"^\s*(?:import|from)\s"))
-    names = extract_all("line", r"(?:^|[^.\w])(%s)" % PY_NAME, 1)
+    names = extract_all("line", ARGUMENT_NAME, 1)
     used = code.select(*FILE, F.explode(F.array_distinct(names)).alias("name"))
     return imported.join(used, [*FILE, "name"], "left_anti")
 
 
-TAINTED = (
-    r"^\s*(%s(?:\s*,\s*%s)*)\s*(?::[^=]+)?=\s*(?:input\s*\(|sys\.argv\b|os\.environ\b"
-    r"|request\.(?:get_json|json|form\.get|args\.get|headers\.get)\s*\(|request\.[\w.]+\[)" % (PY_NAME, PY_NAME)
-)
-CALL = r"(?:^|[^\w.])(%s(?:\.%s)*)\s*\(([^()]*)" % (PY_NAME, PY_NAME)
-
-# Calls tainted names must not reach, and whether only their first argument counts.
-SINKS = (
-    ("shell", r"^(?:os\.system|subprocess\.(?:run|call|Popen))$", True),
-    ("path", r"^open$|\.(?:write_text|write_bytes|unlink|rename|replace)$", True),
-    ("database", r"\.(?:execute|executemany|query)$", False),
-    ("network", r"^requests\.|^urllib\.request\.urlopen$|^http\.client\.HTTPConnection\.request$", False),
-    ("log", r"^(?:print|logging\.(?:debug|info|warning|error|critical))$|^logger\.", False),
-)
-
-
 def taint_flow(files: DataFrame) -> DataFrame:
     """Calls (line_no, call, sink, name) that get a name assigned from an input on an earlier line.
 
@@ -239,29 +138,18 @@ def taint_flow(files: DataFrame) -> DataFrame:
         .groupBy(*FILE, "name").agg(F.min("line_no").alias("tainted_at"))
     )
     calls = rows.select(*KEY, "line_no", F.posexplode(extract_all("line", CALL)).alias("call_no", "c"))
-    call = F.regexp_extract("c", CALL, 1)
-    args = F.regexp_extract("c", CALL, 2)
-    sink, first = F, F.lit(False)
-    for name, pattern, first_only in SINKS:
-        sink = sink.when(call.rlike(pattern), name)
-        first = first | call.rlike(pattern) if first_only else first
     calls = calls.select(
-        *KEY, "line_no", "call_no", call.alias("call"), sink.otherwise(None).alias("sink"),
-        F.when(first, F.substring_index(args, ",", 1)).otherwise(args).alias("args")).where("sink is not null")
-    named = calls.select(
+        *KEY, "line_no", "call_no", F.regexp_extract("c", CALL, 1).alias("call"),
+        F.regexp_extract("c", CALL, 2).alias("args")).withColumn("sink", call_sink(F.col("call")))
+    named = calls.where("sink is not null").select(
         *KEY, "line_no", "call_no", "call", "sink",
-        F.explode(F.array_distinct(extract_all("args", r"(?:^|[^.\w])(%s)" % PY_NAME, 1))).alias("name"))
+        F.explode(F.array_distinct(sink_arguments(F.col("sink"), F.col("args")))).alias("name"))
     return (
         named.join(tainted, [*FILE, "name"]).where("tainted_at < line_no")
         .groupBy(*KEY, "line_no", "call_no", "call", "sink").agg(F.min("name").alias("name"))
     )
 
 
-LOOP = r"^\s*(?:async\s+)?(?:for|while)\b.*:\s*$"
-FOR_LOOP = r"^\s*(?:async\s+)?for\b.*:\s*$"
-ASYNC = r"^\s*async\s+def\b"
-
-
 def inside_span(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
     """Add the number of spans around every line.
 
@@ -286,33 +174,8 @@ def py_blocks(files: DataFrame) -> DataFrame:
     return inside_span(inside_span(rows, loops, "loops"), waits, "asyncs")
 
 
-HANDLER = r"^\s*except\b.*:"
-
-
-def swallowed_handlers(files: DataFrame) -> DataFrame:
-    """Exception handlers (line_no) whose block never raises."""
-    rows = py_lines(files)
-    w = W.partitionBy(*FILE).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    raises = rows.withColumn("raised", F.sum(F.col("line").rlike(r"\braise\b").cast("int")).over(w))
-    raises = raises.select(*FILE, "line_no", "raised")
-    handlers = indent_spans(rows, F.col("line").rlike(HANDLER))
-    last = raises.groupBy(*FILE).agg(F.max("raised").alias("in_file"))
-    ended = raises.select(*FILE, F.col("line_no").alias("end_no"), F.col("raised").alias("at_end"))
-    ends_on_raise = rows.select(*FILE, F.col("line_no").alias("end_no"),
-                                F.col("line").rlike(r"\braise\b").cast("int").alias("end_raises"))
-    return (
-        handlers.join(raises, [*FILE, "line_no"]).join(last, FILE)
-        .join(ended, [*FILE, "end_no"], "left").join(ends_on_raise, [*FILE, "end_no"], "left")
-        .withColumn("inside", F.coalesce(F.col("at_end") - F.col("end_raises"), F.col("in_file")) - F.col("raised"))
-        .where("inside = 0").select(*KEY, "line_no")
-    )
-
-
 # Styles -------------------------------------------------------------------------------------------------------
 
-VENDOR = r"^(?:--|-webkit-|-moz-|-ms-|-o-)"
-
-
 def unknown_properties(declarations: DataFrame, known=None) -> DataFrame:
     """Declarations of unknown properties and the nearest known name, if one is near.
 

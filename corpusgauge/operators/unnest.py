@@ -3,73 +3,37 @@
 Event rows carry the file key and their own piece of text, never the whole text.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.code import blank_code, blank_python
-from ..functions.css import selector_specificity
-from ..functions.text import col, count_regex, extract_all, matches, regex, replace_regex, squeeze
+from ..functions import events as ev
+from ..functions.events import (
+    CLASS_ATTRIBUTE, CLOSED, DEPS, HOOKS, HOOKS_WITH_DEPS, JS_NAME, JSX_TAG, MANIFEST_SECTIONS, PY_FROM, PY_IMPORT, PY_NAME,
+)
+from ..functions.text import extract_all
 from ..functions.utility import bracket_surplus, utility_parts
 from ..plans.features import SCRIPT, SCRIPT_TAG, STYLE, page_css, style_attribute_bodies
 
 KEY = ["job_id", "path", "language"]
 
-# Tags without content.
-VOID_TAGS = (
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param",
-)
-MARKUP = r"(?s)<!--.*?-->|<[^>]+>"
-TAG = r"(?s)^<\s*(/?)\s*([a-zA-Z](?:[\w:-]*\w)?)"
-ATTRIBUTE = r"""([a-zA-Z_:@][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-RULE = r"[^{}]+\{[^{}]*\}"
-
-
-def explode_at(files: DataFrame, array: Column, pos: str, item: str, *keep) -> DataFrame:
-    """One row per array element with its 1-based position."""
-    return (
-        files.select(*KEY, *keep, F.posexplode(array).alias("_pos", item))
-        .withColumn(pos, F.col("_pos") + 1).drop("_pos")
-    )
-
 
 def lines(files: DataFrame, text="text") -> DataFrame:
-    """Rows (line_no, line, indent); a final empty piece is no line."""
-    text = col(text)
-    pieces = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
-    rows = explode_at(files.where(text != ""), pieces, "line_no", "line")
-    return rows.withColumn("indent", F.length("line") - F.length(F.regexp_replace("line", r"^[ \t]+", "")))
-
-
-def tag_array(text="text", skip_scripts: bool = False) -> Column:
-    """Array of struct (tag, is_close, is_void, raw) of a page's tags in order."""
-    text = col(text)
-    if skip_scripts:
-        text = replace_regex(text, r"(?is)(<script\b[^>]*>).*?(</script>)", "$1$2")
-    tags = F.filter(extract_all(text, MARKUP), lambda t: t.rlike(regex(TAG)))
+    """Rows (line_no, line, indent)."""
+    return files.select(*KEY, F.inline(ev.line_array(text)))
 
-    def parsed(t):
-        name = F.lower(F.regexp_extract(t, regex(TAG), 2))
-        return F.struct(
-            name.alias("tag"),
-            (F.regexp_extract(t, regex(TAG), 1) == "/").alias("is_close"),
-            (t.endswith("/>") | name.isin(*VOID_TAGS)).alias("is_void"),
-            t.alias("raw"),
-        )
 
-    return F.transform(tags, parsed)
+def tag_events(files: DataFrame, skip_scripts: bool = False) -> DataFrame:
+    """Rows (pos, tag, is_close, is_void, raw)."""
+    return files.select(*KEY, F.inline(ev.tag_array("text", skip_scripts)))
 
 
-def tag_events(files: DataFrame, skip_scripts: bool = False) -> DataFrame:
-    rows = explode_at(files, tag_array("text", skip_scripts), "pos", "t")
-    return rows.select(*KEY, "pos", "t.tag", "t.is_close", "t.is_void", "t.raw")
+ATTRIBUTE = r"""([a-zA-Z_:@][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def attributes(events: DataFrame) -> DataFrame:
-    """Rows (pos, tag, attr, value) of opening tags."""
+    """Rows (pos, tag, attr_no, attr, value) of opening tags."""
     opened = events.where(~F.col("is_close") & F.col("raw").contains("="))
-    pairs = extract_all(F.col("raw"), ATTRIBUTE)
-    rows = opened.select(*KEY, "pos", "tag", F.posexplode(pairs).alias("attr_no", "pair"))
-    quoted = r"^[^=]*=\s*"
-    value = F.regexp_replace("pair", quoted, "")
+    rows = opened.select(*KEY, "pos", "tag", F.posexplode(extract_all("raw", ATTRIBUTE)).alias("attr_no", "pair"))
+    value = F.regexp_replace("pair", r"^[^=]*=\s*", "")
     bare = F.when(value.rlike("""^["']"""), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
     return rows.select(
         *KEY, "pos", "tag", (F.col("attr_no") + 1).alias("attr_no"),
@@ -94,16 +58,6 @@ def embedded_blocks(files: DataFrame) -> DataFrame:
     return files.select(*KEY, F.inline(blocks))
 
 
-def style_text(text="text") -> Column:
-    """Sheet text without comments, statement at-rules and the heads of nesting at-rules.
-
-    Nested rules come out flat; text inside strings is not told apart from style rules.
-    """
-    out = replace_regex(text, r"/\*[\s\S]*?\*/", "")
-    out = replace_regex(out, r"(?i)@(?:import|charset|namespace)[^;{}]*;", "")
-    return replace_regex(out, r"(?i)@(?:media|supports|layer|container|document|(?:-webkit-)?keyframes)[^{};]*\{", "")
-
-
 def css_source(files: DataFrame) -> DataFrame:
     """Sheets as they are, pages by their style blocks and attributes (column css)."""
     css = F.when(F.col("language") == "html", page_css("text")).otherwise(F.col("text"))
@@ -111,63 +65,24 @@ def css_source(files: DataFrame) -> DataFrame:
 
 
 def css_rules(sheets: DataFrame, css: str = "css") -> DataFrame:
-    """Rows (rule_no, selector, body); rules with an empty selector keep it empty."""
-    flat = style_text(css)
-    rows = explode_at(sheets, extract_all(F.concat(F.lit(" "), flat), RULE), "rule_no", "r")
-    return rows.select(
-        *KEY, "rule_no",
-        squeeze(F.substring_index("r", "{", 1)).alias("selector"),
-        F.regexp_replace(F.regexp_replace("r", r"^[^{]*\{", ""), r"\}$", "").alias("body"))
-
-
-DECLARATION = r"(?s)^\s*([-\w]+)\s*:\s*(.*\S)\s*$"
-IMPORTANT = r"(?i)\s*!\s*important\s*$"
-
-
-def declaration_array(body="body") -> Column:
-    """Array of struct (prop, raw, value, important) of a rule body."""
-    pieces = F.filter(F.split(col(body), ";"), lambda d: d.rlike(regex(DECLARATION)))
-
-    def parsed(d):
-        raw = squeeze(F.regexp_extract(d, regex(DECLARATION), 2))
-        return F.struct(
-            F.lower(F.regexp_extract(d, regex(DECLARATION), 1)).alias("prop"), raw.alias("raw"),
-            F.lower(F.regexp_replace(raw, IMPORTANT, "")).alias("value"), raw.rlike(IMPORTANT).alias("important"))
-
-    return F.transform(pieces, parsed)
+    """Rows (rule_no, selector, body, d); d holds the declarations."""
+    return sheets.select(*KEY, F.inline(ev.rule_array(css)))
 
 
 def css_declarations(sheets: DataFrame, css: str = "css") -> DataFrame:
     """Rows (rule_no, selector, decl_no, prop, raw, value, important)."""
-    rules = css_rules(sheets, css)
-    rows = rules.select(*KEY, "rule_no", "selector", F.posexplode(declaration_array()).alias("n", "d"))
-    return rows.select(
-        *KEY, "rule_no", "selector", (F.col("n") + 1).alias("decl_no"), "d.prop", "d.raw", "d.value", "d.important")
+    return css_rules(sheets, css).select(*KEY, "rule_no", "selector", F.inline("d"))
 
 
 def selectors(rules: DataFrame) -> DataFrame:
     """One row per comma-separated selector with its weight."""
-    rows = rules.select(
-        *KEY, "rule_no", F.explode(F.filter(F.split("selector", r"\s*,\s*"), lambda s: s != "")).alias("selector"))
-    return rows.withColumn("w", selector_specificity("selector")).select(*KEY, "rule_no", "selector", "w.*")
-
-
-# Attributes that hold class lists.
-CLASS_ATTRIBUTE = (
-    r"""(?i)(?:\bclassName\b|\bclass\b|\bngClass\b|\bclass:list\b|\bclass:\w+\b|\[[^\]]*class[^\]]*\]"""
-    r"""|:class\b|\bv-bind:class\b)\s*=\s*("[^"]*"|'[^']*'|`[^`]*`|\{[^{}]*\})"""
-)
-DYNAMIC = r"\$\{|\{\{|\}\}"
+    one = F.array(F.struct("rule_no", "selector"))
+    return rules.select(*KEY, F.inline(ev.selector_array(one)))
 
 
 def class_lists(files: DataFrame) -> DataFrame:
-    """Rows (element_no, value, static, tokens) of class attributes; dynamic parts are cut from static."""
-    rows = explode_at(files, extract_all("text", CLASS_ATTRIBUTE, 1), "element_no", "quoted")
-    value = F.substring(F.col("quoted"), F.lit(2), F.length("quoted") - 2)
-    static = F.translate(
-        replace_regex(replace_regex(value, r"\$\{[^}]*\}", " "), r"\{\{[^}]*\}\}", " "), "+", " ")
-    tokens = F.filter(F.split(F.trim(replace_regex(static, r"\s+", " ")), " "), lambda t: t != "")
-    return rows.select(*KEY, "element_no", value.alias("value"), tokens.alias("tokens"))
+    """Rows (element_no, value, tokens) of class attributes."""
+    return files.select(*KEY, F.inline(ev.class_list_array("text")))
 
 
 def class_tokens(files: DataFrame) -> DataFrame:
@@ -178,9 +93,6 @@ def class_tokens(files: DataFrame) -> DataFrame:
         bracket_surplus("token").alias("surplus"), "u.*")
 
 
-JS_NAME = r"[A-Za-z_$][\w$]*"
-
-
 def js_declarations(files: DataFrame) -> DataFrame:
     """First declaration of every name: (name, kind, line_no)."""
     pattern = r"\b(?:(?:let|const|var)\s+%s|function\s+%s\s*\()" % (JS_NAME, JS_NAME)
@@ -202,54 +114,25 @@ def js_names(files: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY, "name").agg(F.min("line_no").alias("line_no"))
 
 
-JSX_TAG = r"<[A-Za-z][\w.]*\b[^<>]*>"
-
-
 def jsx_tags(files: DataFrame) -> DataFrame:
-    """Rows (pos, tag, attrs) of component and element tags; attribute values holding `<` or `>` end the tag."""
-    rows = explode_at(files, extract_all("text", JSX_TAG), "pos", "raw")
-    return rows.select(
-        *KEY, "pos", F.regexp_extract("raw", r"^<([A-Za-z]\w*)", 1).alias("tag"),
-        F.regexp_replace("raw", r"^<[A-Za-z][\w.]*|/?>$", "").alias("attrs"))
-
-
-MANIFEST_SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
-MANIFEST_SCHEMA = "packageManager string, " + ", ".join(f"{s} map<string,string>" for s in MANIFEST_SECTIONS)
-
-
-def manifests(files: DataFrame) -> DataFrame:
-    """package.json files with their parsed columns; valid is false where the text is not JSON."""
-    name = F.lower(F.substring_index("path", "/", -1))
-    parsed = F.from_json("text", MANIFEST_SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    return (
-        files.where(name == "package.json")
-        .select(*KEY, parsed.alias("m"))
-        .select(*KEY, (F.col("m").isNotNull() & F.col("m._bad").isNull()).alias("valid"), "m.*")
-        .drop("_bad")
-    )
+    """Rows (pos, tag, attrs) of component and element tags."""
+    return files.select(*KEY, F.inline(ev.jsx_array("text")))
 
 
 def manifest_dependencies(files: DataFrame) -> DataFrame:
-    """Rows (section, package, spec)."""
-    found = manifests(files).where("valid")
-
-    def section(name):
-        pairs = F.map_entries(F.coalesce(F.col(name), F.create_map().cast("map<string,string>")))
-        return F.transform(pairs, lambda e: F.struct(
-            F.lit(name).alias("section"), e["key"].alias("package"), e["value"].alias("spec")))
-
-    entries = F.concat(*[section(name) for name in MANIFEST_SECTIONS])
-    return found.select(*KEY, F.inline(entries)).where(F.col("spec").isNotNull())
-
-
-PY_NAME = r"[A-Za-z_]\w*"
-PY_IMPORT = r"^\s*import\s+(.+)$"
-PY_FROM = r"^\s*from\s+[\w.]+\s+import\s+\(?([^()]*)\)?\s*$"
+    """Rows (section, package, spec) of package.json files that are JSON."""
+    name = F.lower(F.substring_index("path", "/", -1))
+    rows = files.where(name == "package.json").select(*KEY, ev.manifest().alias("m"))
+    return rows.where("m._bad is null").select(*KEY, F.inline(ev.dependency_array(F.col("m"))))
 
 
 def py_lines(files: DataFrame) -> DataFrame:
     """Lines of Python text with comments and strings blanked."""
-    return lines(files.withColumn("text", blank_python("text")))
+    return files.select(*KEY, F.inline(ev.py_line_array("text")))
+
+
+# Words that stand before a parenthesis without being a call.
+NOT_CALLS = ("if", "while", "for", "return", "def", "class", "and", "or", "not", "in", "print_function")
 
 
 def py_symbols(files: DataFrame) -> DataFrame:
@@ -258,14 +141,6 @@ def py_symbols(files: DataFrame) -> DataFrame:
     Lines, not a syntax tree: names bound over several lines and tuple targets inside calls are missed.
     """
     line = F.col("line")
-    imported = F.when(line.rlike(PY_IMPORT), F.transform(
-        F.split(F.regexp_extract("line", PY_IMPORT, 1), ","),
-        lambda p: F.when(p.rlike(r"\sas\s"), F.regexp_extract(p, r"\sas\s+(%s)" % PY_NAME, 1))
-        .otherwise(F.regexp_extract(p, r"^\s*(%s)" % PY_NAME, 1))))
-    from_names = F.when(line.rlike(PY_FROM), F.transform(
-        F.split(F.regexp_extract("line", PY_FROM, 1), ","),
-        lambda p: F.when(p.rlike(r"\sas\s"), F.regexp_extract(p, r"\sas\s+(%s)" % PY_NAME, 1))
-        .otherwise(F.regexp_extract(p, r"^\s*(%s)" % PY_NAME, 1))))
     targets = F.when(
         line.rlike(r"^\s*%s(?:\s*,\s*%s)*\s*(?::[^=]+)?=[^=]" % (PY_NAME, PY_NAME)),
         extract_all(F.regexp_extract("line", r"^\s*([\w\s,]+)", 1), PY_NAME))
@@ -274,49 +149,15 @@ def py_symbols(files: DataFrame) -> DataFrame:
     classes = extract_all("line", r"^\s*class\s+(%s)" % PY_NAME, 1)
 
     def tagged(kind, names):
-        names = F.coalesce(names, F.array().cast("array<string>"))
-        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+        return F.transform(F.coalesce(names, ev.strings()), lambda n: F.struct(
+            F.lit(kind).alias("kind"), n.alias("name")))
 
     rows = py_lines(files).select(*KEY, "line_no", F.inline(F.concat(
-        tagged("import", imported), tagged("import", from_names), tagged("assign", targets),
-        tagged("call", calls), tagged("function", functions), tagged("class", classes))))
-    header = F.col("kind").isin("call") & F.col("name").isin("if", "while", "for", "return", "def", "class", "and",
-                                                              "or", "not", "in", "print_function")
-    return rows.where((F.col("name") != "") & ~header)
-
+        tagged("import", ev.imported_names(line)), tagged("assign", targets), tagged("call", calls),
+        tagged("function", functions), tagged("class", classes))))
+    return rows.where((F.col("name") != "") & ~((F.col("kind") == "call") & F.col("name").isin(*NOT_CALLS)))
 
-HOOKS = ("useState", "useReducer", "useEffect", "useLayoutEffect", "useMemo", "useCallback", "useRef", "useContext")
-HOOKS_WITH_DEPS = ("useEffect", "useLayoutEffect", "useMemo", "useCallback")
-MARK = "\x01"
-DEPS = r"(?s)^\w+\((.*?),\s*(\[[\w\s.,$?]*\])\s*\)"
-CLOSED = r"(?s)^\w+\((.*?\})\s*\)\s*(?:;|\n|$)"
-HOOK_REACH = 180
 
-
-def hook_segments(files: DataFrame, *keep) -> DataFrame:
-    """Text cut at hook calls: (seg_no, hook, prefix, callback, deps).
-
-    `prefix` is the text of 180 characters before the call; `deps` is null where the call has no dependency
-    array. Calls are not bracket-balanced: a callback whose inner call ends with an array of names is cut there.
-    """
-    hooks = "|".join(HOOKS)
-    marked = replace_regex("text", r"(%s)\(" % hooks, MARK + "$1(")
-    cut = files.select(*KEY, *keep, F.split(marked, MARK).alias("segs")).where(F.size("segs") > 1)
-    # Segments after the first have at least seven characters, so 26 of them fill the prefix.
-    span = HOOK_REACH // 7 + 1
-
-    def parsed(i):
-        seg = F.get(F.col("segs"), i)
-        before = F.array_join(F.slice("segs", F.greatest(i - span + 1, F.lit(1)), F.least(i, F.lit(span))), "")
-        deps = F.regexp_extract(seg, regex(DEPS), 2)
-        closed = F.regexp_extract(seg, regex(CLOSED), 1)
-        callback = (
-            F.when(deps != "", F.regexp_extract(seg, regex(DEPS), 1))
-            .when(closed != "", closed).otherwise(F.regexp_replace(seg, r"^\w+\(", "")))
-        return F.struct(
-            i.alias("seg_no"), F.regexp_extract(seg, r"^(\w+)\(", 1).alias("hook"),
-            F.substring(before, F.greatest(F.length(before) - HOOK_REACH + 1, F.lit(1)), F.lit(HOOK_REACH))
-            .alias("prefix"),
-            callback.alias("callback"), F.when(deps != "", deps).alias("deps"))
-
-    return cut.select(*KEY, *keep, F.inline(F.transform(F.sequence(F.lit(1), F.size("segs") - 1), parsed)))
+def hook_segments(files: DataFrame) -> DataFrame:
+    """Text cut at hook calls: (seg_no, hook, prefix, callback, deps)."""
+    return files.select(*KEY, F.inline(ev.hook_array("text")))

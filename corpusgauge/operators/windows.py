@@ -2,12 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .unnest import KEY, VOID_TAGS, tag_array
-
-# Tags that may not stand inside a paragraph.
-NOT_IN_PARAGRAPH = (
-    "div", "section", "article", "header", "footer", "main", "nav", "aside", "form", "ul", "ol", "table",
-)
+from ..functions.events import VOID_TAGS, stack_walk, tag_array
+from .unnest import KEY
 
 PER_FILE = ["job_id", "path"]
 SO_FAR = (W.unboundedPreceding, 0)
@@ -34,35 +30,9 @@ def tag_balance(events: DataFrame) -> DataFrame:
         (F.sum(step) + F.greatest(-F.min("run"), F.lit(0))).cast("int").alias("unclosed"))
 
 
-def _stack_walk(tags: Column) -> Column:
-    """Fold the tags of one page over a stack of open tags."""
-    empty = F.array().cast("array<string>")
-    state = lambda stack, errors: F.struct(stack.alias("stack"), errors.alias("errors"))
-    start = state(empty, F.array().cast("array<struct<kind:string,tag:string>>"))
-
-    def step(acc, t):
-        stack, errors, tag = acc["stack"], acc["errors"], t["tag"]
-        error = lambda kind: F.concat(errors, F.array(F.struct(F.lit(kind).alias("kind"), tag.alias("tag"))))
-        depth = F.size(stack)
-        top = F.get(stack, depth - 1)
-        from_top = F.array_position(F.reverse(stack), tag).cast("int")
-        popped = F.slice(stack, F.lit(1), depth - from_top)
-        inside_p = (top == "p") & tag.isin(*NOT_IN_PARAGRAPH)
-        opened_errors = F.when(F.coalesce(inside_p, F.lit(False)), error("invalid_child")).otherwise(errors)
-        opened_stack = F.when(t["is_void"], stack).otherwise(F.concat(stack, F.array(tag)))
-        return (
-            F.when(~t["is_close"], state(opened_stack, opened_errors))
-            .when(from_top == 1, state(popped, errors))
-            .when(from_top > 1, state(popped, error("out_of_order")))
-            .otherwise(state(stack, error("unexpected_close")))
-        )
-
-    return F.aggregate(tags, start, step)
-
-
 def tag_stack(files: DataFrame, skip_scripts: bool = False) -> DataFrame:
     """Exact nesting per page: array `errors` of (kind, tag) and the tags left open, in order."""
-    walked = _stack_walk(tag_array("text", skip_scripts))
+    walked = stack_walk(tag_array("text", skip_scripts))
     return files.select(*KEY, walked.alias("s")).select(*KEY, "s.errors", F.col("s.stack").alias("unclosed"))
 
 

@@ -1,11 +1,17 @@
-"""Findings of join- and aggregate-shaped checks."""
+"""Findings of checks that need more than a condition on the text.
+
+A built-in check looks at one file, so it is an array of findings computed inside the file's row from the
+derived features: a scan shuffles nothing and a file, however large a share of the findings it has, is one row.
+Checks across files, and checks users add, are functions of a table instead (`flag`).
+"""
 
 from dataclasses import dataclass
+from typing import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import render_message
-from ..model import FINDING_COLUMNS
+from ..functions.text import col, let, render_message
+from ..model import FINDING, FINDING_COLUMNS
 
 
 @dataclass(frozen=True)
@@ -19,6 +25,13 @@ class Spec:
     fix: str | None = None
 
 
+@dataclass(frozen=True)
+class RowCheck:
+    languages: tuple
+    needs: tuple
+    build: Callable[[], Column]
+
+
 def finding_struct(spec: Spec, /, severity=None, impact=None, **values) -> Column:
     fix = render_message(spec.fix, **values) if spec.fix else F.lit(None).cast("string")
     return F.struct(
@@ -33,13 +46,42 @@ def finding_struct(spec: Spec, /, severity=None, impact=None, **values) -> Colum
     )
 
 
+def _hits(tests) -> Column:
+    """A test is (spec, condition) or (spec, condition, {name: column})."""
+    return F.array_compact(F.array(*[
+        F.when(t[1], finding_struct(t[0], **(t[2] if len(t) > 2 else {}))) for t in tests]))
+
+
+def none_found() -> Column:
+    return F.array().cast(T.ArrayType(FINDING))
+
+
+def once(*tests) -> Column:
+    """Findings of a whole file."""
+    return _hits(tests)
+
+
+def each(items, tests) -> Column:
+    """Findings of the tests that `tests` gives for every element of an array."""
+    found = F.flatten(F.transform(col(items), lambda x: _hits(tests(x))))
+    return F.coalesce(found, none_found())
+
+
+def one_per_message(findings) -> Column:
+    """One finding of each severity and message: the one with the first rule id."""
+    ranked = F.transform(findings, lambda f: F.struct(
+        f["severity"].alias("severity"), f["message"].alias("message"), f["rule_id"].alias("rule_id"), f.alias("f")))
+
+    def firsts(v):
+        def is_first(x, i):
+            before = F.get(v, i - 1)
+            return (i == 0) | (x["severity"] != before["severity"]) | (x["message"] != before["message"])
+
+        return F.transform(F.filter(v, is_first), lambda x: x["f"])
+
+    return let(F.array_sort(ranked), firsts)
+
+
 def flag(rows: DataFrame, *tests) -> DataFrame:
-    """Findings of several tests over the same rows in one pass.
-
-    A test is (spec, condition) or (spec, condition, {name: column}); rows carry job_id, path and language.
-    """
-    hits = [F.when(t[1], finding_struct(t[0], **(t[2] if len(t) > 2 else {}))) for t in tests]
-    return (
-        rows.select("job_id", "path", "language", F.inline(F.array_compact(F.array(*hits))))
-        .select(*FINDING_COLUMNS)
-    )
+    """Findings of several tests over the same rows in one pass; rows carry job_id, path and language."""
+    return rows.select("job_id", "path", "language", F.inline(_hits(tests))).select(*FINDING_COLUMNS)

@@ -1,18 +1,13 @@
 """Checks of scripts, manifests, Python text and components. Impacts and messages are fixed values."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from ..functions.code import version_risk
-from ..functions.text import extract_all
-from ..operators.joins import (
-    ASYNC, FOR_LOOP, LOOP, hook_reads, missing_required_props, nullish_access, py_blocks, stale_state_updates,
-    swallowed_handlers, taint_flow, unused_imports, use_before_declaration, RESOURCES,
+from ..functions.events import (
+    FOR_LOOP, HANDLER, HOOKS_WITH_DEPS, JS_NAME, PY_NAME, block_array, imported_names, inside, missing_names,
 )
-from ..operators.sets import all_findings
-from ..operators.unnest import (
-    HOOKS, HOOKS_WITH_DEPS, KEY, hook_segments, jsx_tags, lines, manifest_dependencies, manifests, py_symbols,
-)
-from .checks import Spec, flag
+from ..functions.text import extract_all, let, regex
+from .checks import RowCheck, Spec, each, once
 
 C = F.col
 
@@ -35,35 +30,98 @@ PROMISE_CALL = (
 )
 HANDLED = r"\bawait\b|\breturn\b|\.then\(|\.catch\(|\.finally\("
 THEN_REACH = 350
+NULL_ASSIGNED = r"(%s)\s*=\s*(?:null|undefined)\b" % JS_NAME
+MEMBER = r"(\??%s)\." % JS_NAME
+
+# Names that are never declarations to look for.
+JS_KEYWORDS = (
+    "break", "case", "catch", "class", "const", "continue", "debugger", "default", "delete", "do", "else", "export",
+    "extends", "false", "finally", "for", "function", "if", "import", "in", "instanceof", "let", "new", "null",
+    "return", "super", "switch", "this", "throw", "true", "try", "typeof", "var", "void", "while", "with", "yield",
+    "async", "await",
+)
+JS_GLOBALS = (
+    "Array", "ArrayBuffer", "Boolean", "Date", "Error", "EvalError", "Function", "Infinity", "JSON", "Map", "Math",
+    "NaN", "Number", "Object", "Promise", "Proxy", "RangeError", "ReferenceError", "Reflect", "RegExp", "Set",
+    "String", "Symbol", "SyntaxError", "TypeError", "URIError", "WeakMap", "WeakSet", "console", "document",
+    "window", "globalThis", "navigator", "location", "history", "localStorage", "sessionStorage", "fetch", "URL",
+    "URLSearchParams", "setTimeout", "setInterval", "clearTimeout", "clearInterval", "setImmediate",
+    "clearImmediate", "queueMicrotask",
+)
+
+
+def first_by_name(items) -> Column:
+    """Of structs (name, line_no, ...) the first of every name."""
+    def firsts(v):
+        return F.filter(v, lambda x, i: (i == 0) | (x["name"] != F.get(v, i - 1)["name"]))
 
+    return let(F.array_sort(items), firsts)
 
-def javascript_async(files: DataFrame) -> DataFrame:
-    loose = lines(files).where(C("line").rlike(PROMISE_CALL) & ~C("line").rlike(HANDLED))
-    loose = loose.groupBy(*KEY).agg(F.min("line_no").alias("n"))
+
+def javascript_async() -> Column:
+    loose = F.filter("lines", lambda l: l["line"].rlike(PROMISE_CALL) & ~l["line"].rlike(HANDLED))
     # Text cut behind each `.then(`; a cut shorter than the reach goes on with the next ones.
-    marked = F.split(F.regexp_replace("text", r"\.then\s*\(", "\x01$0"), "\x01")
-    chains = files.select(*KEY, marked.alias("segs")).where(F.size("segs") > 1)
     span = THEN_REACH // 6 + 1
-    bare = F.exists(
-        F.sequence(F.lit(2), F.size("segs")),
-        lambda i: ~F.substring(
-            F.array_join(F.slice("segs", i, F.lit(span)), ""), 1, THEN_REACH).rlike(r"\.catch\(|\.finally\("))
-    return all_findings(
-        flag(loose, (MISSING_AWAIT, F.lit(True), {"n": C("n")})), flag(chains, (NO_CATCH, bare)))
 
+    def bare(segs):
+        chain = lambda i: F.substring(F.array_join(F.slice(segs, i, F.lit(span)), ""), 1, THEN_REACH)
+        starts = F.filter(F.sequence(F.lit(1), F.size(segs)), lambda i: i > 1)
+        return F.exists(starts, lambda i: ~chain(i).rlike(r"\.catch\(|\.finally\("))
+
+    segments = F.split(F.regexp_replace("text", r"\.then\s*\(", "\x01$0"), "\x01")
+    return F.concat(
+        each(F.slice(loose, 1, 1), lambda l: ((MISSING_AWAIT, F.lit(True), {"n": l["line_no"]}),)),
+        once((NO_CATCH, C("text").contains(".then") & let(segments, bare))))
+
+
+def _early_uses() -> Column:
+    """Variables named on a line before their declaration: struct (name, kind)."""
+    pattern = r"\b(?:(?:let|const|var)\s+%s|function\s+%s\s*\()" % (JS_NAME, JS_NAME)
 
-def javascript_correctness(files: DataFrame) -> DataFrame:
-    var = C("kind") == "var"
-    early = flag(use_before_declaration(files), (EARLY_USE, F.lit(True), {
-        "name": C("name"), "severity": F.when(var, "low").otherwise("medium"),
-        "impact": F.when(var, 6).otherwise(9)}))
-    return all_findings(early, flag(nullish_access(files), (NULLISH, F.lit(True), {"name": C("name")})))
+    def declared(l):
+        # Within a line, variables come before functions.
+        return F.transform(extract_all(l["line"], pattern), lambda d, i: let(
+            F.regexp_extract(d, r"^(\w+)", 1), lambda kind: F.struct(
+                F.regexp_extract(d, r"^\w+\s+(%s)" % JS_NAME, 1).alias("name"), l["line_no"].alias("line_no"),
+                (kind == "function").alias("late"), i.alias("at"), kind.alias("kind"))))
 
+    def named(l):
+        names = F.array_distinct(extract_all(l["line"], r"(?:^|[^.\w$])(%s)" % JS_NAME, 1))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), l["line_no"].alias("line_no")))
 
-def javascript_efficiency(files: DataFrame) -> DataFrame:
+    def early(v):
+        variables = F.filter(
+            v["declared"], lambda d: (d["kind"] != "function") & ~d["name"].isin(*JS_KEYWORDS, *JS_GLOBALS))
+        return F.filter(variables, lambda d: F.exists(
+            v["named"], lambda n: (n["name"] == d["name"]) & (n["line_no"] < d["line_no"])))
+
+    return let(F.struct(
+        first_by_name(F.flatten(F.transform("lines", declared))).alias("declared"),
+        first_by_name(F.flatten(F.transform("lines", named))).alias("named")), early)
+
+
+def _nullish() -> Column:
+    """Names set to null or undefined and then read with a plain member access."""
+    empty = extract_all("code", NULL_ASSIGNED, 1)
+    members = F.filter(extract_all("code", MEMBER, 1), lambda n: ~n.startswith("?"))
+    return F.array_intersect(empty, members)
+
+
+def javascript_correctness() -> Column:
+    def early(u):
+        var = u["kind"] == "var"
+        return ((EARLY_USE, F.lit(True), {
+            "name": u["name"], "severity": F.when(var, "low").otherwise("medium"),
+            "impact": F.when(var, 6).otherwise(9)}),)
+
+    return F.concat(
+        each(_early_uses(), early), each(_nullish(), lambda n: ((NULLISH, F.lit(True), {"name": n}),)))
+
+
+def javascript_efficiency() -> Column:
     text = C("text")
-    return flag(
-        files, (INTERVAL, text.contains("setInterval(") & ~text.contains("clearInterval(")),
+    return once(
+        (INTERVAL, text.contains("setInterval(") & ~text.contains("clearInterval(")),
         (LISTENERS, text.rlike(r"\baddEventListener\s*\(") & ~text.contains("removeEventListener(")))
 
 
@@ -82,17 +140,21 @@ INVALID = Spec("dependencies.invalid_json", "dependency", "medium", 8,
                "package.json is not valid JSON, so dependency checks cannot be trusted.")
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    rows = manifest_dependencies(files).withColumn("risks", version_risk("spec"))
-    risk = lambda name: F.array_contains("risks", name)
-    who = {"name": C("package")}
-    specs = flag(
-        rows, (UNPINNED, risk("unpinned"), {**who, "spec": F.trim("spec")}), (NON_REGISTRY, risk("non_registry"), who),
-        (ZERO_MAJOR, risk("zero_major"), who), (RANGE, risk("range"), who))
-    whole = flag(
-        manifests(files), (INVALID, ~C("valid")),
-        (NO_MANAGER, C("valid") & (F.coalesce("packageManager", F.lit("")) == "")))
-    return all_findings(specs, whole)
+def dependencies() -> Column:
+    def tests(d):
+        risk = lambda name: F.array_contains(d["risks"], name)
+        who = {"name": d["package"]}
+        return (
+            (UNPINNED, risk("unpinned"), {**who, "spec": F.trim(d["spec"])}),
+            (NON_REGISTRY, risk("non_registry"), who), (ZERO_MAJOR, risk("zero_major"), who),
+            (RANGE, risk("range"), who))
+
+    specs = F.transform("dependencies", lambda d: F.struct(
+        d["package"].alias("package"), d["spec"].alias("spec"), version_risk(d["spec"]).alias("risks")))
+    valid = C("manifest._bad").isNull()
+    return F.concat(each(specs, tests), once(
+        (INVALID, C("manifest").isNotNull() & ~valid),
+        (NO_MANAGER, C("manifest").isNotNull() & valid & (F.coalesce("manifest.packageManager", F.lit("")) == ""))))
 
 
 # Python
@@ -135,42 +197,118 @@ BLOCKING = r"(?:^|[^\w.])(time\.sleep|open|subprocess\.(?:run|call|Popen))\s*\("
 BLOCKING_OR_SHELL = r"(?:^|[^\w.])(time\.sleep|open|os\.system|subprocess\.(?:run|call|Popen))\s*\("
 
 
-def python_security(files: DataFrame) -> DataFrame:
-    return flag(taint_flow(files), *[(spec, C("sink") == sink) for sink, spec in TAINT.items()])
+TAINTED = (
+    r"^\s*(%s(?:\s*,\s*%s)*)\s*(?::[^=]+)?=\s*(?:input\s*\(|sys\.argv\b|os\.environ\b"
+    r"|request\.(?:get_json|json|form\.get|args\.get|headers\.get)\s*\(|request\.[\w.]+\[)" % (PY_NAME, PY_NAME)
+)
+CALL = r"(?:^|[^\w.])(%s(?:\.%s)*)\s*\(([^()]*)" % (PY_NAME, PY_NAME)
+ARGUMENT_NAME = r"(?:^|[^.\w])(%s)" % PY_NAME
+
+# Calls tainted names must not reach, and whether only their first argument counts.
+SINKS = (
+    ("shell", r"^(?:os\.system|subprocess\.(?:run|call|Popen))$", True),
+    ("path", r"^open$|\.(?:write_text|write_bytes|unlink|rename|replace)$", True),
+    ("database", r"\.(?:execute|executemany|query)$", False),
+    ("network", r"^requests\.|^urllib\.request\.urlopen$|^http\.client\.HTTPConnection\.request$", False),
+    ("log", r"^(?:print|logging\.(?:debug|info|warning|error|critical))$|^logger\.", False),
+)
+
+
+def call_sink(call) -> Column:
+    out = F
+    for name, pattern, _ in SINKS:
+        out = out.when(call.rlike(pattern), name)
+    return out.otherwise(None)
+
+
+def sink_arguments(sink, args) -> Column:
+    """Names among the arguments that count for a sink."""
+    first = sink.isin(*[name for name, _, first_only in SINKS if first_only])
+    counted = F.when(first, F.substring_index(args, ",", 1)).otherwise(args)
+    return extract_all(counted, ARGUMENT_NAME, 1)
+
+
+def _flat(array, items) -> Column:
+    return F.flatten(F.transform(array, items))
+
+
+def python_security() -> Column:
+    """Names assigned from an input on an earlier line that reach a call.
+
+    Direct assignments only; arguments are read up to the first nested parenthesis of the call's line.
+    """
+    def sources(l):
+        return F.transform(extract_all(F.regexp_extract(l["line"], TAINTED, 1), PY_NAME), lambda n: F.struct(
+            n.alias("name"), l["line_no"].alias("line_no")))
+
+    tainted = first_by_name(_flat(F.filter("py_lines", lambda l: l["line"].rlike(TAINTED)), sources))
+
+    def flows(names):
+        def calls(l):
+            return F.transform(extract_all(l["line"], CALL), lambda c: let(
+                call_sink(F.regexp_extract(c, CALL, 1)), lambda sink: F.struct(
+                    l["line_no"].alias("line_no"), sink.alias("sink"),
+                    sink_arguments(sink, F.regexp_extract(c, CALL, 2)).alias("args"))))
+
+        reached = lambda c: c["sink"].isNotNull() & F.exists(names, lambda n: (
+            n["line_no"] < c["line_no"]) & F.array_contains(c["args"], n["name"]))
+        sinks = F.transform(F.filter(_flat(C("py_lines"), calls), reached), lambda c: c["sink"])
+        return F.when(F.size(names) > 0, sinks)
+
+    return each(let(tainted, flows), lambda s: [(spec, s == sink) for sink, spec in TAINT.items()])
+
+
+QUERY_CALL = r"([\w\])]\.execute)\s*\("
+CONCATENATION = r"[\w\])'\"]\s*\+\s*[\w\[('\"]"
 
 
-def python_efficiency(files: DataFrame) -> DataFrame:
+def _calls(lines, pattern) -> Column:
+    return _flat(lines, lambda l: extract_all(l["line"], pattern, 1))
+
+
+def python_efficiency() -> Column:
     """Loops and async functions by indentation; calls over several lines and one-line loops are missed."""
-    rows = py_blocks(files)
-    looped = rows.where("loops > 0")
-    per_line = flag(
-        looped, (NESTED, C("line").rlike(FOR_LOOP)),
-        (GROWTH, C("line").rlike(r"\+=")),
-        (CONCAT, C("line").rlike(r"[\w\])'\"]\s*\+\s*[\w\[('\"]")))
-    each = lambda rows, pattern: rows.select(*KEY, F.explode(extract_all("line", pattern, 1)).alias("name"))
-    return all_findings(
-        per_line,
-        flag(each(looped, HEAVY), (LOOP_CALL, F.lit(True))),
-        flag(each(looped, r"([\w\])]\.execute)\s*\("), (LOOP_QUERY, F.lit(True))),
-        flag(each(rows.where("asyncs > 0"), BLOCKING), (ASYNC_CALL, F.lit(True), {"name": C("name")})),
-    )
-
-
-def python_correctness(files: DataFrame) -> DataFrame:
-    waits = py_blocks(files).where("asyncs > 0")
-    calls = waits.select(*KEY, F.explode(extract_all("line", BLOCKING_OR_SHELL, 1)).alias("name"))
-    return all_findings(
-        flag(calls, (ASYNC_BLOCK, F.lit(True), {"name": C("name")})),
-        flag(unused_imports(files), (UNUSED, F.lit(True), {"name": C("name")})),
-        flag(swallowed_handlers(files), (SWALLOWED, F.lit(True))),
-    )
-
-
-def python_maintenance(files: DataFrame) -> DataFrame:
-    names = py_symbols(files)
-    return flag(
-        names, (NOT_SNAKE, (C("kind") == "function") & C("name").rlike("[A-Z-]"), {"name": C("name")}),
-        (NOT_PASCAL, (C("kind") == "class") & ~C("name").rlike("^[A-Z][A-Za-z0-9]+$"), {"name": C("name")}))
+    per_line = lambda l: (
+        (NESTED, l["line"].rlike(FOR_LOOP)), (GROWTH, l["line"].contains("+=")),
+        (CONCAT, l["line"].rlike(CONCATENATION)))
+    return F.concat(
+        each("loop_lines", per_line),
+        each(_calls(C("loop_lines"), HEAVY), lambda c: ((LOOP_CALL, F.lit(True)),)),
+        each(_calls(C("loop_lines"), QUERY_CALL), lambda c: ((LOOP_QUERY, F.lit(True)),)),
+        each(_calls(C("async_lines"), BLOCKING), lambda c: ((ASYNC_CALL, F.lit(True), {"name": c}),)))
+
+
+def _unused() -> Column:
+    """Imported names that no other line names."""
+    statement = lambda l: l["line"].rlike(r"^\s*(?:import|from)\s")
+    imported = F.array_distinct(_flat(F.filter("py_lines", statement), lambda l: imported_names(l["line"])))
+    used = _calls(F.filter("py_lines", lambda l: ~statement(l)), ARGUMENT_NAME)
+    return F.array_except(imported, used)
+
+
+def _swallowed() -> Column:
+    """Exception handlers whose block never raises."""
+    def silent(blocks):
+        raises = F.filter("py_lines", lambda l: l["line"].rlike(r"\braise\b"))
+        return F.filter(blocks, lambda b: ~F.exists(
+            raises, lambda l: inside(l["line_no"], F.array(b)) > 0))
+
+    return let(block_array(C("py_lines"), HANDLER), silent)
+
+
+def python_correctness() -> Column:
+    return F.concat(
+        each(_calls(C("async_lines"), BLOCKING_OR_SHELL), lambda c: ((ASYNC_BLOCK, F.lit(True), {"name": c}),)),
+        each(_unused(), lambda n: ((UNUSED, F.lit(True), {"name": n}),)),
+        each(_swallowed(), lambda b: ((SWALLOWED, F.lit(True)),)))
+
+
+def python_maintenance() -> Column:
+    functions = _calls(C("py_lines"), r"^\s*(?:async\s+)?def\s+(%s)" % PY_NAME)
+    classes = _calls(C("py_lines"), r"^\s*class\s+(%s)" % PY_NAME)
+    return F.concat(
+        each(functions, lambda n: ((NOT_SNAKE, n.rlike("[A-Z-]"), {"name": n}),)),
+        each(classes, lambda n: ((NOT_PASCAL, ~n.rlike("^[A-Z][A-Za-z0-9]+$"), {"name": n}),)))
 
 
 # Components
@@ -211,82 +349,129 @@ ANCHOR = Spec("react.accessibility.anchor", "accessibility", "medium", 10,
               "<a> with onClick but no href is not accessible by default.")
 
 
-def react_hooks(files: DataFrame) -> DataFrame:
-    reads = hook_reads(files)
-    hook = {"hook": C("hook")}
-    astray = reads.where(C("prefix").rlike(r"(?i)\b(if|for|while|switch|catch|try)\b")).select(*KEY, "hook").distinct()
-    deps = F.coalesce("deps", F.lit(""))
-    names_missing = F.array_join(F.slice("missing", 1, 5), ", ")
-    stale = C("callback").rlike(r"\b(props\.|useState|useReducer|useRef|set[A-Z][A-Za-z0-9_]*)")
-    updates = stale_state_updates(files)
-    pair = {"state": C("state"), "setter": C("setter")}
-    return all_findings(
-        flag(astray, (CONTROL_FLOW, F.lit(True), hook)),
-        flag(
-            reads.where(C("hook").isin(*HOOKS_WITH_DEPS)),
-            (NO_DEPS, deps == "", hook),
-            (PROPS_DEPS, (deps != "") & C("callback").contains("props.") & ~deps.contains("props."), hook),
-            (MISSING_DEPS, (deps != "") & (F.size("missing") > 0), {**hook, "names": names_missing}),
-            (EMPTY_DEPS, (deps == "[]") & stale, hook)),
-        flag(updates, (SHIFTED, C("shift"), pair), (REBUILT, C("rebuild"), pair)),
-    )
-
-
-def react_state(files: DataFrame) -> DataFrame:
-    pair = {"state": C("state"), "setter": C("setter")}
-    return flag(stale_state_updates(files), (STEPPED, C("step"), pair), (TOGGLED, C("toggle"), pair))
-
-
-def react_lifecycle(files: DataFrame) -> DataFrame:
-    effects = hook_segments(files).where("hook = 'useEffect'")
-    body = C("callback")
-    cleanup = body.rlike(r"\breturn\s*\(\s*\)\s*=>|\breturn\s+function\b")
-    tests = [(ASYNC_EFFECT, body.rlike(r"\basync\s*\(|\basync\s+(?:\w+|\()"))]
-    for resource, release in RESOURCES:
-        shown = {"resource": F.lit(resource.rstrip("(")), "release": F.lit(release)}
-        used = body.contains(resource)
-        tests.append((NO_CLEANUP, used & ~cleanup, shown))
-        tests.append((OTHER_CLEANUP, used & cleanup & ~body.contains(release), shown))
-    return flag(effects, *tests)
-
-
-def react_props(files: DataFrame) -> DataFrame:
-    required = flag(missing_required_props(files), (
-        REQUIRED_PROP, F.lit(True), {"component": C("component"), "prop": C("prop")}))
-    attrs = C("attrs")
-    control = (
-        C("tag").isin("input", "textarea", "select") & attrs.rlike(r"\b(value|checked)\s*=\s*\{")
-        & ~attrs.rlike(r"\bonChange\s*=") & ~attrs.rlike(r"\breadOnly\s*="))
-    return all_findings(required, flag(jsx_tags(files), (CONTROLLED, control, {"tag": C("tag")})))
-
-
-def react_accessibility(files: DataFrame) -> DataFrame:
-    attrs, tag = C("attrs"), F.lower("tag")
-    click = attrs.rlike(r"\bonClick\s*=")
-    keyboard = (
-        attrs.rlike(r"""\brole\s*=\s*['"]""") & attrs.rlike(r"\bon(KeyDown|KeyUp|KeyPress)\s*=")
-        & attrs.rlike(r"\btabIndex\s*="))
-    label = attrs.rlike(r"(?i)\b(aria-label|aria-labelledby|title)\s*=") | attrs.rlike(r"(?i)\bid\s*=")
-    return flag(
-        jsx_tags(files),
-        (IMAGE_ALT, (tag == "img") & ~attrs.rlike(r"(?i)\balt\s*=")),
-        (CONTROL_LABEL, tag.isin("input", "textarea", "select") & ~label, {"tag": tag}),
-        (CLICKABLE, tag.isin("div", "span", "li", "section", "article", "p") & click & ~keyboard, {"tag": tag}),
-        (ANCHOR, (tag == "a") & click & ~attrs.rlike(r"\bhref\s*=")))
+# Resources and their release.
+RESOURCES = (
+    ("setInterval", "clearInterval"),
+    ("setTimeout", "clearTimeout"),
+    ("addEventListener", "removeEventListener"),
+    ("subscribe", "unsubscribe"),
+    ("fetch(", "AbortController"),
+    ("new WebSocket", "close"),
+)
+IN_CONTROL_FLOW = r"(?i)\b(if|for|while|switch|catch|try)\b"
+STALE_READ = r"\b(props\.|useState|useReducer|useRef|set[A-Z][A-Za-z0-9_]*)"
+
+
+def react_hooks() -> Column:
+    astray = F.filter("hooks", lambda h: h["prefix"].rlike(IN_CONTROL_FLOW))
+    astray = F.array_distinct(F.transform(astray, lambda h: h["hook"]))
+    watching = F.transform(F.filter("hooks", lambda h: h["hook"].isin(*HOOKS_WITH_DEPS)), lambda h: F.struct(
+        h["hook"].alias("hook"), h["callback"].alias("callback"), F.coalesce(h["deps"], F.lit("")).alias("deps"),
+        missing_names(C("watched"), h["callback"], h["deps"]).alias("missing")))
+
+    def tests(h):
+        hook, listed = {"hook": h["hook"]}, h["deps"] != ""
+        names = F.array_join(F.slice(h["missing"], 1, 5), ", ")
+        return (
+            (NO_DEPS, ~listed, hook),
+            (PROPS_DEPS, listed & h["callback"].contains("props.") & ~h["deps"].contains("props."), hook),
+            (MISSING_DEPS, listed & (F.size(h["missing"]) > 0), {**hook, "names": names}),
+            (EMPTY_DEPS, (h["deps"] == "[]") & h["callback"].rlike(STALE_READ), hook))
+
+    def updates(u):
+        pair = {"state": u["state"], "setter": u["setter"]}
+        return (SHIFTED, u["shift"], pair), (REBUILT, u["rebuild"], pair)
+
+    return F.concat(
+        each(astray, lambda h: ((CONTROL_FLOW, F.lit(True), {"hook": h}),)), each(watching, tests),
+        each("stale", updates))
+
+
+def react_state() -> Column:
+    def updates(u):
+        pair = {"state": u["state"], "setter": u["setter"]}
+        return (STEPPED, u["step"], pair), (TOGGLED, u["toggle"], pair)
+
+    return each("stale", updates)
+
+
+def react_lifecycle() -> Column:
+    def tests(h):
+        body = h["callback"]
+        cleanup = body.rlike(r"\breturn\s*\(\s*\)\s*=>|\breturn\s+function\b")
+        out = [(ASYNC_EFFECT, body.rlike(r"\basync\s*\(|\basync\s+(?:\w+|\()"))]
+        for resource, release in RESOURCES:
+            shown = {"resource": F.lit(resource.rstrip("(")), "release": F.lit(release)}
+            used = body.contains(resource)
+            out.append((NO_CLEANUP, used & ~cleanup, shown))
+            out.append((OTHER_CLEANUP, used & cleanup & ~body.contains(release), shown))
+        return out
+
+    return each(F.filter("hooks", lambda h: h["hook"] == "useEffect"), tests)
+
+
+PROP_TYPES = r"\b([A-Z][A-Za-z0-9_]*)\.propTypes\s*=\s*\{([^{}]*)\}"
+REQUIRED = r"\b(%s)\s*:\s*[^,\n]+?\.isRequired\b" % JS_NAME
+GIVEN = r"(%s)\s*=" % JS_NAME
+
+
+def _lacking() -> Column:
+    """Uses (component, prop) that leave out a required prop; tags that spread props are trusted."""
+    def wanted(block):
+        props = extract_all(F.regexp_extract(block, regex(PROP_TYPES), 2), REQUIRED, 1)
+        return F.transform(F.array_distinct(props), lambda p: F.struct(
+            F.regexp_extract(block, regex(PROP_TYPES), 1).alias("component"), p.alias("prop")))
+
+    def lacking(required):
+        uses = F.filter("jsx", lambda t: t["tag"].rlike("^[A-Z]") & ~t["attrs"].contains("..."))
+        return F.when(F.size(required) > 0, _flat(uses, lambda t: F.filter(required, lambda r: (
+            r["component"] == t["tag"]) & ~F.array_contains(extract_all(t["attrs"], GIVEN, 1), r["prop"]))))
+
+    return let(F.array_distinct(_flat(extract_all("text", PROP_TYPES), wanted)), lacking)
+
+
+def react_props() -> Column:
+    def control(t):
+        attrs = t["attrs"]
+        loose = (
+            t["tag"].isin("input", "textarea", "select") & attrs.rlike(r"\b(value|checked)\s*=\s*\{")
+            & ~attrs.rlike(r"\bonChange\s*=") & ~attrs.rlike(r"\breadOnly\s*="))
+        return ((CONTROLLED, loose, {"tag": t["tag"]}),)
+
+    required = lambda r: ((REQUIRED_PROP, F.lit(True), {"component": r["component"], "prop": r["prop"]}),)
+    return F.concat(each(_lacking(), required), each("jsx", control))
+
+
+def react_accessibility() -> Column:
+    def tests(t):
+        attrs, tag = t["attrs"], F.lower(t["tag"])
+        click = attrs.rlike(r"\bonClick\s*=")
+        keyboard = (
+            attrs.rlike(r"""\brole\s*=\s*['"]""") & attrs.rlike(r"\bon(KeyDown|KeyUp|KeyPress)\s*=")
+            & attrs.rlike(r"\btabIndex\s*="))
+        label = attrs.rlike(r"(?i)\b(aria-label|aria-labelledby|title)\s*=") | attrs.rlike(r"(?i)\bid\s*=")
+        return (
+            (IMAGE_ALT, (tag == "img") & ~attrs.rlike(r"(?i)\balt\s*=")),
+            (CONTROL_LABEL, tag.isin("input", "textarea", "select") & ~label, {"tag": tag}),
+            (CLICKABLE, tag.isin("div", "span", "li", "section", "article", "p") & click & ~keyboard, {"tag": tag}),
+            (ANCHOR, (tag == "a") & click & ~attrs.rlike(r"\bhref\s*=")))
+
+    return each("jsx", tests)
 
 
+JS, PYTHON, REACT = ("javascript",), ("python",), ("react",)
 CHECKS = {
-    "javascript.async": ("javascript", javascript_async),
-    "javascript.correctness": ("javascript", javascript_correctness),
-    "javascript.efficiency": ("javascript", javascript_efficiency),
-    "dependencies": ("manifest", dependencies),
-    "python.security": ("python", python_security),
-    "python.efficiency": ("python", python_efficiency),
-    "python.correctness": ("python", python_correctness),
-    "python.maintenance": ("python", python_maintenance),
-    "react.hooks": ("react", react_hooks),
-    "react.state": ("react", react_state),
-    "react.lifecycle": ("react", react_lifecycle),
-    "react.props": ("react", react_props),
-    "react.accessibility": ("react", react_accessibility),
+    "javascript.async": RowCheck(JS, ("lines",), javascript_async),
+    "javascript.correctness": RowCheck(JS, ("lines", "code"), javascript_correctness),
+    "javascript.efficiency": RowCheck(JS, (), javascript_efficiency),
+    "dependencies": RowCheck(("manifest",), ("manifest", "dependencies"), dependencies),
+    "python.security": RowCheck(PYTHON, ("py_lines",), python_security),
+    "python.efficiency": RowCheck(PYTHON, ("loop_lines", "async_lines"), python_efficiency),
+    "python.correctness": RowCheck(PYTHON, ("py_lines", "async_lines"), python_correctness),
+    "python.maintenance": RowCheck(PYTHON, ("py_lines",), python_maintenance),
+    "react.hooks": RowCheck(REACT, ("hooks", "watched", "stale"), react_hooks),
+    "react.state": RowCheck(REACT, ("stale",), react_state),
+    "react.lifecycle": RowCheck(REACT, ("hooks",), react_lifecycle),
+    "react.props": RowCheck(REACT, ("jsx",), react_props),
+    "react.accessibility": RowCheck(REACT, ("jsx",), react_accessibility),
 }

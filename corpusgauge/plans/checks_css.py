@@ -1,19 +1,12 @@
 """Style sheet and utility-class checks. Messages, impacts, confidences and fixes are fixed values."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from ..functions.css import contrast_ratio, css_length, css_rgb, known_properties
-from ..functions.text import extract_all, matches, replace_regex, squeeze
-from ..functions.utility import BREAKPOINTS, bracket_surplus, known_base, known_variant, utility_parts, valid_arbitrary
-from ..operators.aggregates import (
-    class_bundles, conflicting_declarations, duplicate_rule_bodies, duplicate_selectors, rule_signatures, top_value,
-)
-from ..operators.joins import unknown_properties
-from ..operators.sets import all_findings, dedupe_findings
-from ..operators.unnest import (
-    DYNAMIC, KEY, class_lists, css_declarations, css_rules, css_source, declaration_array, selectors,
-)
-from .checks import Spec, flag
+from ..functions.css import closest_property, contrast_ratio, css_length, css_rgb, known_properties
+from ..functions.events import DYNAMIC, repeated, selector_array, signature
+from ..functions.text import extract_all, let, replace_regex, squeeze
+from ..functions.utility import BREAKPOINTS, known_base, known_variant
+from .checks import RowCheck, Spec, each, once
 
 C = F.col
 
@@ -128,149 +121,181 @@ OVERRIDE_WARS = Spec("css.maintenance.specificity", "maintenance", "warning", 10
                      "Prefer lower-specificity selectors and component-scoped styling.")
 
 
-def _rules(files: DataFrame) -> DataFrame:
-    return css_rules(css_source(files))
-
-
-def security(files: DataFrame) -> DataFrame:
-    body = C("body")
-    return flag(
-        _rules(files),
-        (EXPRESSION, body.rlike(r"(?i)\bexpression\s*\(")),
-        (UNSAFE_URL, body.rlike(r"""(?i)url\s*\(\s*['"]?\s*(?:(?:javascript|vbscript)\s*:|data\s*:\s*text/html)""")),
-        (BINDING, body.rlike(r"(?i)-moz-binding\s*:|\bbehavior\s*:")),
-        (SCRIPT_URL, F.lower(body).contains("url(") & F.lower(body).contains("javascript:")))
-
-
+VENDOR = r"^(?:--|-webkit-|-moz-|-ms-|-o-)"
+LITERAL = r"(?i)#[0-9a-f]{3,8}\b|\brgba?\([^)]+\)"
+COLOR_PROPERTIES = ("color", "background", "background-color", "border-color", "outline-color")
 LAYOUT_PROPERTY = (
     r"(?i)\b(?:top|left|right|bottom|width|height|margin|padding|inset|font-size|line-height)\b"
 )
-
-
-def performance(files: DataFrame) -> DataFrame:
-    selector, body = C("selector"), C("body")
-    bare = replace_regex(replace_regex(selector, r"\[[^\]]*\]", ""), r"\([^)]*\)", "")
-    depth = F.size(extract_all(bare, r"\s+|[>+~]"))
-    shadow = F.lower(squeeze(F.regexp_extract(body, r"(?i)box-shadow\s*:\s*([^;]+)", 1)))
-    pixels = extract_all(shadow, r"(\d+(?:\.\d+)?)px", 1)
-    blurred = shadow.rlike(r"(\d+)(px|rem|em)\s+(\d+)(px|rem|em)\s+(\d+)(px|rem|em)")
-    moves = F.lower(body).contains("transition:") | F.lower(body).contains("animation:")
-    return flag(
-        _rules(files),
-        (UNIVERSAL, selector.rlike(r"(?:^|[,\s>+~])\*(?:$|[,\s>+~.:#\[])")),
-        (HAS, F.lower(selector).contains(":has(")),
-        (DEEP_CHAIN, depth > 4),
-        (FILTER, body.rlike(r"(?i)(backdrop-filter|filter)\s*:")),
-        (TRANSITION_ALL, body.rlike(r"(?i)transition(?:-property)?\s*:\s*all\b")),
-        (WILL_CHANGE, body.rlike(r"(?i)will-change\s*:\s*[^;]+")),
-        (SHADOWS, F.size(extract_all(shadow, ",")) >= 2),
-        (BLUR, blurred & (F.get(pixels, 2).cast("double") >= 32)),
-        (LAYOUT_ANIMATION, moves & body.rlike(LAYOUT_PROPERTY)))
-
-
-def _declaration_tests(files: DataFrame) -> DataFrame:
-    prop, value, selector = C("prop"), C("value"), F.lower("selector")
-    length = css_length("value")
+UNSAFE_URL_VALUE = r"""(?i)url\s*\(\s*['"]?\s*(?:(?:javascript|vbscript)\s*:|data\s*:\s*text/html)"""
+FOCUS_OFF = r"(?i)outline\s*:\s*(none|0)\b|outline-style\s*:\s*none\b|box-shadow\s*:\s*none\b"
+
+
+def security() -> Column:
+    def tests(r):
+        body, low = r["body"], F.lower(r["body"])
+        return (
+            (EXPRESSION, body.rlike(r"(?i)\bexpression\s*\(")),
+            (UNSAFE_URL, body.rlike(UNSAFE_URL_VALUE)),
+            (BINDING, body.rlike(r"(?i)-moz-binding\s*:|\bbehavior\s*:")),
+            (SCRIPT_URL, low.contains("url(") & low.contains("javascript:")))
+
+    return each("sheet_rules", tests)
+
+
+def performance() -> Column:
+    def tests(r):
+        selector, body = r["selector"], r["body"]
+        bare = replace_regex(replace_regex(selector, r"\[[^\]]*\]", ""), r"\([^)]*\)", "")
+        depth = F.size(extract_all(bare, r"\s+|[>+~]"))
+        shadow = F.lower(squeeze(F.regexp_extract(body, r"(?i)box-shadow\s*:\s*([^;]+)", 1)))
+        pixels = extract_all(shadow, r"(\d+(?:\.\d+)?)px", 1)
+        blurred = shadow.rlike(r"(\d+)(px|rem|em)\s+(\d+)(px|rem|em)\s+(\d+)(px|rem|em)")
+        moves = F.lower(body).contains("transition:") | F.lower(body).contains("animation:")
+        return (
+            (UNIVERSAL, selector.rlike(r"(?:^|[,\s>+~])\*(?:$|[,\s>+~.:#\[])")),
+            (HAS, F.lower(selector).contains(":has(")),
+            (DEEP_CHAIN, depth > 4),
+            (FILTER, body.rlike(r"(?i)(backdrop-filter|filter)\s*:")),
+            (TRANSITION_ALL, body.rlike(r"(?i)transition(?:-property)?\s*:\s*all\b")),
+            (WILL_CHANGE, body.rlike(r"(?i)will-change\s*:\s*[^;]+")),
+            (SHADOWS, F.size(extract_all(shadow, ",")) >= 2),
+            (BLUR, blurred & (F.get(pixels, 2).cast("double") >= 32)),
+            (LAYOUT_ANIMATION, moves & body.rlike(LAYOUT_PROPERTY)))
+
+    return each("sheet_rules", tests)
+
+
+def _declaration_tests(d) -> list:
+    prop, value, selector = d["prop"], d["value"], d["selector"]
+    length = css_length(value)
     pixels = F.when(length["unit"] == "px", length["number"])
     shown = {"name": prop, "value": value}
     width = prop.isin("width", "min-width", "max-width")
-    root = selector.rlike("html|body|#app|#root")
     plain_number = F.when(value.rlike(r"^\d*\.?\d+$"), value.try_cast("double"))
-    return flag(
-        css_declarations(css_source(files)),
+    return [
         (FONT_SIZE, (prop == "font-size") & (pixels < 14), shown),
         (LINE_HEIGHT, (prop == "line-height") & (plain_number < 1.2), shown),
         (FIXED_WIDTH, width & (pixels >= 600), shown),
         (VIEWPORT_WIDTH, width & value.contains("100vw"), shown),
         (VIEWPORT_HEIGHT, (prop == "height") & value.contains("100vh")),
-        (ROOT_OVERFLOW, prop.isin("overflow", "overflow-x") & value.contains("hidden") & root, shown),
+        (ROOT_OVERFLOW, prop.isin("overflow", "overflow-x") & value.contains("hidden")
+         & selector.rlike("html|body|#app|#root"), shown),
         (OUTLINE, (prop == "outline") & (value.contains("none") | (value == "0"))),
-        (MUTED_FOCUS, (prop == "box-shadow") & (value == "none") & selector.contains(":focus")))
+        (MUTED_FOCUS, (prop == "box-shadow") & (value == "none") & selector.contains(":focus"))]
 
 
-def _last_value(*props):
-    own = F.filter("d", lambda d: d["prop"].isin(*props))
+def _last_value(declarations, *props) -> Column:
+    own = F.filter(declarations, lambda d: d["prop"].isin(*props))
     return F.get(own, F.size(own) - 1)["value"]
 
 
-def rule_contrast(files: DataFrame) -> DataFrame:
-    """Rules with their declarations (d) and the contrast of their last text and background colours."""
-    rules = _rules(files).withColumn("d", declaration_array())
-    back = F.coalesce(_last_value("background-color"), _last_value("background"))
-    return rules.withColumn("ratio", contrast_ratio(css_rgb(_last_value("color")), css_rgb(back)))
-
-
-def _rule_tests(files: DataFrame) -> DataFrame:
-    important = F.size(F.filter("d", lambda d: d["important"]))
-    focus_off = r"(?i)outline\s*:\s*(none|0)\b|outline-style\s*:\s*none\b|box-shadow\s*:\s*none\b"
-    return flag(
-        rule_contrast(files),
-        (EMPTY_SELECTOR, C("selector") == ""),
-        (RULE_IMPORTANT, important >= 3, {"n": important}),
-        (FOCUS_REMOVED, F.lower("selector").contains(":focus") & C("body").rlike(focus_off)),
-        (CONTRAST, C("ratio") < 4.5, {"ratio": F.format_string("%.2f", C("ratio"))}))
-
-
-HEAVY = "ids > 1 or (ids > 0 and classes > 3)"
-
-
-def _weights(rules: DataFrame) -> DataFrame:
-    """Selector lists with whether one selector of the list is too heavy or too deep."""
-    plain = rules.where("selector != '' and not startswith(selector, '@')")
-    each = selectors(plain.withColumn("own", C("selector"))).withColumn("heavy", F.expr(HEAVY))
-    lists = plain.select("job_id", "path", "rule_no", C("selector").alias("list"))
-    # Weights of one rule come back together under the rule's number.
-    worst = each.groupBy(*KEY, "rule_no").agg(
-        F.max("heavy").alias("heavy"), F.max("combinators").alias("combinators"))
-    return worst.join(lists, ["job_id", "path", "rule_no"])
-
-
-def style(files: DataFrame) -> DataFrame:
-    sheets = css_source(files)
-    declared = css_declarations(sheets)
-    odd = unknown_properties(declared)
-    conflicts = conflicting_declarations(declared)
-    named, prop = {"selector": C("list")}, {"prop": C("prop")}
-    close = {"name": C("prop"), "close": F.coalesce("suggestion", F.lit(""))}
-    return all_findings(
-        _declaration_tests(files), _rule_tests(files),
-        flag(odd, (MISSPELT, C("suggestion").isNotNull(), close), (UNRECOGNIZED, C("suggestion").isNull(), close)),
-        flag(conflicts, (CONFLICT, C("different") > 1, prop), (REPEATED, C("different") == 1, prop)),
-        flag(_weights(css_rules(sheets)), (SPECIFIC, C("heavy"), named), (CHAIN, C("combinators") > 4, named)),
-    )
-
-
-LITERAL = r"(?i)#[0-9a-f]{3,8}\b|\brgba?\([^)]+\)"
-COLOR_PROPERTIES = ("color", "background", "background-color", "border-color", "outline-color")
-
-
-def maintenance(files: DataFrame) -> DataFrame:
-    sheets = css_source(files)
-    rules = css_rules(sheets).where("not startswith(selector, '@')")
-    declared = css_declarations(sheets)
-    named = {"selector": C("selector")}
-    literal = C("value").rlike(LITERAL).cast("int")
-    per_prop = declared.groupBy(*KEY, "rule_no", "prop").agg(
-        F.sum(literal).alias("literals"),
-        F.max(C("value").contains("var(").cast("int")).alias("uses_var"),
-        F.min_by("value", "decl_no").alias("first_value"),
-        F.sum(C("important").cast("int")).alias("important"))
-    own_color = C("prop").isin(*COLOR_PROPERTIES) & C("first_value").rlike(LITERAL)
-    totals = per_prop.groupBy(*KEY).agg(
-        F.sum(C("literals") + own_color.cast("int")).alias("literals"), F.max("uses_var").alias("uses_var"),
-        F.sum("important").alias("important"))
-    blocks = rule_signatures(sheets).groupBy(*KEY, "selector", "signature").agg(
-        F.count("*").alias("uses"), F.min("rule_no").alias("rule_no")).where("uses > 8")
-    blocks = blocks.groupBy(*KEY).agg(F.min_by("selector", "rule_no").alias("selector"))
-    heavy = _weights(rules).where("heavy").select(*KEY, C("list").alias("selector")).distinct()
-    repeats = duplicate_selectors(rules)
-    return all_findings(
-        flag(repeats, (REDEFINED, C("bodies") > 1, named), (DUPLICATED, C("bodies") == 1, named)),
-        flag(blocks, (REPEATED_BLOCK, F.lit(True), named)),
-        flag(totals, (IMPORTANT, C("important") >= 8, {"n": C("important")}),
-             (HARDCODED, (C("literals") >= 10) & (C("uses_var") == 0))),
-        flag(top_value(declared).where("uses > 10"), (REPEATED_VALUE, F.lit(True), {"top": C("pair")})),
-        flag(heavy, (OVERRIDE_WARS, F.lit(True), named)),
+def rule_contrast(declarations) -> Column:
+    """Contrast of the last text and background colours of a rule."""
+    back = F.coalesce(_last_value(declarations, "background-color"), _last_value(declarations, "background"))
+    return contrast_ratio(css_rgb(_last_value(declarations, "color")), css_rgb(back))
+
+
+def _weight(rule) -> Column:
+    """Struct (named, heavy, deep) of a rule: whether one of its selectors is too heavy or too deep."""
+    return let(selector_array(F.array(rule)), lambda w: F.struct(
+        ((rule["selector"] != "") & ~rule["selector"].startswith("@")).alias("named"),
+        F.exists(w, lambda s: (s["ids"] > 1) | ((s["ids"] > 0) & (s["classes"] > 3))).alias("heavy"),
+        F.exists(w, lambda s: s["combinators"] > 4).alias("deep")))
+
+
+def _doubles(rule) -> Column:
+    """Struct (prop, same) of properties that a rule sets more than once."""
+    names = F.transform(rule["d"], lambda d: d["prop"])
+
+    def double(prop):
+        own = F.transform(F.filter(rule["d"], lambda d: d["prop"] == prop), lambda d: d["value"])
+        return F.struct(prop.alias("prop"), (F.size(F.array_distinct(own)) == 1).alias("same"))
+
+    return F.transform(repeated(names, 2), double)
+
+
+def style() -> Column:
+    read = F.transform("sheet_rules", lambda r: let(_weight(r), lambda w: F.struct(
+        r["selector"].alias("selector"), r["body"].alias("body"), w.alias("w"),
+        F.size(F.filter(r["d"], lambda d: d["important"])).alias("important"),
+        rule_contrast(r["d"]).alias("ratio"))))
+
+    def rules(r):
+        shown = {"selector": r["selector"]}
+        return (
+            (EMPTY_SELECTOR, r["selector"] == ""),
+            (RULE_IMPORTANT, r["important"] >= 3, {"n": r["important"]}),
+            (FOCUS_REMOVED, F.lower(r["selector"]).contains(":focus") & r["body"].rlike(FOCUS_OFF)),
+            (CONTRAST, r["ratio"] < 4.5, {"ratio": F.format_string("%.2f", r["ratio"])}),
+            (SPECIFIC, r["w"]["named"] & r["w"]["heavy"], shown),
+            (CHAIN, r["w"]["named"] & r["w"]["deep"], shown))
+
+    known = known_properties()
+    odd = F.filter("sheet_declarations", lambda d: ~d["prop"].rlike(VENDOR) & ~d["prop"].isin(*known))
+    near = F.transform(F.array_distinct(F.transform(odd, lambda d: d["prop"])), lambda p: F.struct(
+        p.alias("prop"), closest_property(p, known).alias("close")))
+
+    def names(n):
+        shown = {"name": n["prop"], "close": F.coalesce(n["close"], F.lit(""))}
+        return (MISSPELT, n["close"].isNotNull(), shown), (UNRECOGNIZED, n["close"].isNull(), shown)
+
+    doubles = F.flatten(F.transform("sheet_rules", _doubles))
+    return F.concat(
+        each("sheet_declarations", _declaration_tests), each(read, rules), each(near, names),
+        each(doubles, lambda d: (
+            (CONFLICT, ~d["same"], {"prop": d["prop"]}), (REPEATED, d["same"], {"prop": d["prop"]}))))
+
+
+def _literals(rule) -> Column:
+    """Hard-coded colours of a rule; colour properties count their first value once more."""
+    def first_is_literal(prop):
+        first = F.get(F.filter(rule["d"], lambda d: d["prop"] == prop), 0)["value"]
+        return F.coalesce(first.rlike(LITERAL).cast("int"), F.lit(0))
+
+    every = F.size(F.filter(rule["d"], lambda d: d["value"].rlike(LITERAL)))
+    return sum((first_is_literal(p) for p in COLOR_PROPERTIES), every)
+
+
+def _top_pair(pairs) -> Column:
+    """The most common of the texts that occur more than ten times, ties by text."""
+    counted = F.transform(repeated(pairs, 11), lambda p: F.struct(
+        (-F.size(F.filter(pairs, lambda x: x == p))).alias("n"), p.alias("p")))
+    return F.array_min(counted)["p"]
+
+
+def maintenance() -> Column:
+    plain = F.filter("sheet_rules", lambda r: (r["selector"] != "") & ~r["selector"].startswith("@"))
+    named = F.transform(plain, lambda r: F.struct(
+        r["selector"].alias("selector"), squeeze(r["body"]).alias("body"), _weight(r)["heavy"].alias("heavy")))
+
+    def twice(v):
+        def entry(selector):
+            bodies = F.transform(F.filter(v, lambda r: r["selector"] == selector), lambda r: r["body"])
+            return F.struct(selector.alias("selector"), (F.size(F.array_distinct(bodies)) == 1).alias("same"))
+
+        return F.transform(repeated(F.transform(v, lambda r: r["selector"]), 2), entry)
+
+    blocks = F.transform(F.filter("sheet_rules", lambda r: F.size(r["d"]) > 0), lambda r: F.struct(
+        r["selector"].alias("selector"), signature(r).alias("signature")))
+    first_block = let(blocks, lambda v: let(repeated(v, 9), lambda often: F.slice(
+        F.filter(v, lambda b: F.array_contains(often, b)), 1, 1)))
+    heavy = F.array_distinct(F.transform(F.filter(named, lambda r: r["heavy"]), lambda r: r["selector"]))
+    pairs = F.transform("sheet_declarations", lambda d: F.concat(d["prop"], F.lit(":"), d["value"]))
+    totals = F.array(F.struct(
+        F.aggregate(F.transform("sheet_rules", _literals), F.lit(0), lambda n, x: n + x).alias("literals"),
+        F.exists("sheet_declarations", lambda d: d["value"].contains("var(")).alias("uses_var"),
+        F.size(F.filter("sheet_declarations", lambda d: d["important"])).alias("important"),
+        let(pairs, _top_pair).alias("top")))
+    shown = lambda r: {"selector": r["selector"]}
+    return F.concat(
+        each(let(named, twice), lambda t: ((REDEFINED, ~t["same"], shown(t)), (DUPLICATED, t["same"], shown(t)))),
+        each(first_block, lambda b: ((REPEATED_BLOCK, F.lit(True), shown(b)),)),
+        each(totals, lambda t: (
+            (IMPORTANT, t["important"] >= 8, {"n": t["important"]}),
+            (HARDCODED, (t["literals"] >= 10) & ~t["uses_var"]),
+            (REPEATED_VALUE, t["top"].isNotNull(), {"top": t["top"]}))),
+        each(heavy, lambda s: ((OVERRIDE_WARS, F.lit(True), {"selector": s}),)),
     )
 
 
@@ -335,84 +360,100 @@ DRIFT = Spec("utility.token_drift", "design-system", "warning", 9,
              "Move those values into the Tailwind theme or a shared design token set.")
 
 DYNAMIC_CALL = r"clsx\(|cn\(|(?i:classnames\()"
-SYNTAX = ("unbalanced", "no_base", "bad_variant", "bad_value")
-
-
-def _parsed_token(token):
-    """Struct (token, state, variants, base, utility_group, important); state is null for a sound token."""
-    u = utility_parts(token)
-    bare = F.regexp_replace(token, "^!", "")
-    state = (
-        F.when(bracket_surplus(token) != 0, "unbalanced")
-        .when(u["base"] == "", "no_base")
-        .when(bare.rlike("^:|::|:$"), "bad_variant")
-        .when(~valid_arbitrary(u["base"]), "bad_value")
-    )
-    return F.struct(token.alias("token"), state.alias("state"), u["variants"].alias("variants"),
-                    u["base"].alias("base"), u["utility_group"].alias("utility_group"),
-                    u["important"].alias("important"))
-
-
-def utility_lists(files: DataFrame) -> DataFrame:
-    """Class lists with parsed tokens: one row per class attribute."""
-    lists = class_lists(files)
-    return lists.withColumn("parts", F.transform("tokens", _parsed_token))
-
-
-def utility(files: DataFrame) -> DataFrame:
-    """Class lists of pages and component files; all but conflicts and repeats is settled inside a list's row."""
-    rows = utility_lists(files)
-    sound = F.filter("parts", lambda p: p["state"].isNull())
-    rows = rows.withColumn("sound", sound)
-    with_variant = lambda *names: F.exists("sound", lambda p: F.exists(p["variants"], lambda v: v.isin(*names)))
-    with_base = lambda base: F.exists("sound", lambda p: p["base"] == base)
-    dynamic = C("value").rlike(DYNAMIC) | C("value").rlike(DYNAMIC_CALL)
-    filled = F.size("tokens") > 0
-    bracketed = F.size(F.filter("tokens", lambda t: t.contains("[") & t.contains("]")))
-    per_list = flag(
-        rows, (DYNAMIC_CLASS, dynamic), (INTERPOLATED, C("value").rlike(DYNAMIC)),
-        (LONG_LIST, F.size("tokens") >= 18),
+
+
+def _sound(parts) -> Column:
+    return F.filter(parts, lambda p: p["state"].isNull())
+
+
+def _list_tests(l) -> list:
+    parts = l["sound"]
+    with_variant = lambda *names: F.exists(parts, lambda p: F.exists(p["variants"], lambda v: v.isin(*names)))
+    with_base = lambda base: F.exists(parts, lambda p: p["base"] == base)
+    bracketed = F.size(F.filter(l["tokens"], lambda t: t.contains("[") & t.contains("]")))
+    return [
+        (DYNAMIC_CLASS, l["dynamic"]), (INTERPOLATED, l["value"].rlike(DYNAMIC)),
+        (LONG_LIST, F.size(l["tokens"]) >= 18),
         (HOVER_ONLY, with_variant("hover") & ~with_variant("focus", "focus-visible")),
         (HIDDEN, with_base("hidden") & with_variant(*BREAKPOINTS)),
         (RING, with_base("outline-none")),
-        (MANY_ARBITRARY, filled & (bracketed >= 4)))
-
-    reduced = F.transform(
-        "parts", lambda p: F.coalesce(F.array_contains(p["variants"], "motion-reduce") & p["state"].isNull(), F.lit(False)))
-    first_reduced = F.array_position(reduced, True)
-    tokens = rows.select(*KEY, "element_no", first_reduced.alias("reduced_at"), F.posexplode("parts").alias("n", "p"))
-    tokens = tokens.select(*KEY, "element_no", "reduced_at", (C("n") + 1).alias("token_no"), "p.*")
-    ok = C("state").isNull()
-    shown = {"token": C("token"), "base": C("base")}
-    motion = C("base").startswith("animate-") | (C("base") == "transition-all")
-    still = (C("reduced_at") == 0) | (C("reduced_at") > C("token_no"))
-    per_token = flag(
-        tokens, (UNBALANCED, C("state") == "unbalanced", shown), (NO_BASE, C("state") == "no_base", shown),
-        (BAD_VARIANT, C("state") == "bad_variant", shown), (BAD_VALUE, C("state") == "bad_value", shown),
-        (IMPORTANT_UTILITY, ok & C("important"), shown),
-        (ARBITRARY, ok & C("base").rlike(r"[\[\]]"), shown),
-        (UNKNOWN_BASE, ok & ~known_base("base") & ~C("base").startswith("["), shown),
-        (SMALL_TEXT, ok & C("base").rlike(r"^text-(?:xs|sm|\[.*\])$"), shown),
-        (MOTION, ok & motion & still, shown))
-    variants = tokens.where(ok).select(*KEY, F.explode("variants").alias("variant"))
-    odd = flag(variants, (UNKNOWN_VARIANT, ~known_variant("variant"), {"variant": C("variant")}))
-
-    from ..operators.aggregates import conflicting_utilities
-
-    conflicts = flag(conflicting_utilities(tokens.where(ok)), (GROUP_CONFLICT, F.lit(True), {
-        "group": C("utility_group"), "tokens": F.array_join(F.slice("tokens", 1, 3), ", ")}))
-    bundles = class_bundles(rows).where("uses > 4 and size > 4").select(*KEY).distinct()
-    drift = tokens.where(ok & C("base").rlike(r"[\[\]]")).groupBy(*KEY).agg(F.count_distinct("base").alias("n"))
-    moving = rows.groupBy(*KEY).agg(F.sum(dynamic.cast("int")).alias("n"))
-    return all_findings(
-        per_list, per_token, odd, conflicts, flag(bundles, (BUNDLE, F.lit(True))),
-        flag(drift, (DRIFT, C("n") >= 6)), flag(moving, (MANY_DYNAMIC, C("n") >= 3)))
-
-
+        (MANY_ARBITRARY, bracketed >= 4)]
+
+
+def _token_tests(t) -> list:
+    state, base, ok = t["state"], t["base"], t["state"].isNull()
+    shown = {"token": t["token"], "base": base}
+    motion = base.startswith("animate-") | (base == "transition-all")
+    return [
+        (UNBALANCED, state == "unbalanced", shown), (NO_BASE, state == "no_base", shown),
+        (BAD_VARIANT, state == "bad_variant", shown), (BAD_VALUE, state == "bad_value", shown),
+        (IMPORTANT_UTILITY, ok & t["important"], shown),
+        (ARBITRARY, ok & base.rlike(r"[\[\]]"), shown),
+        (UNKNOWN_BASE, ok & ~known_base(base) & ~base.startswith("["), shown),
+        (SMALL_TEXT, ok & base.rlike(r"^text-(?:xs|sm|\[.*\])$"), shown),
+        (MOTION, ok & motion & ~t["reduced"], shown)]
+
+
+def _list_tokens(l) -> Column:
+    """Tokens of a list, each with whether a reduced-motion variant stands up to it."""
+    reduced = F.transform(l["parts"], lambda p: F.coalesce(
+        F.array_contains(p["variants"], "motion-reduce") & p["state"].isNull(), F.lit(False)))
+    return let(F.array_position(reduced, True), lambda at: F.transform(l["parts"], lambda p, i: F.struct(
+        *[p[n].alias(n) for n in ("token", "state", "base", "important")],
+        ((at > 0) & (at <= i + 1)).alias("reduced"))))
+
+
+def _list_conflicts(l) -> Column:
+    """Struct (group, tokens): different tokens of one group under one set of variants in a list."""
+    keyed = F.transform(
+        F.filter(l["sound"], lambda p: p["utility_group"] != "other"), lambda p: F.struct(
+            F.array_sort(F.filter(p["variants"], lambda v: v != "")).alias("v"), p["utility_group"].alias("g"),
+            p["token"].alias("t")))
+
+    def conflicts(v):
+        keys = F.array_distinct(F.transform(v, lambda p: F.struct(p["v"].alias("v"), p["g"].alias("g"))))
+
+        def entry(k):
+            own = F.filter(v, lambda p: (p["v"] == k["v"]) & (p["g"] == k["g"]))
+            tokens = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["t"])))
+            return F.struct(k["g"].alias("group"), tokens.alias("tokens"))
+
+        return F.filter(F.transform(keys, entry), lambda c: F.size(c["tokens"]) > 1)
+
+    return let(keyed, conflicts)
+
+
+def utility() -> Column:
+    """Class lists of pages and component files."""
+    lists = F.transform("class_lists", lambda l: F.struct(
+        *[l[n].alias(n) for n in ("value", "tokens", "parts")], _sound(l["parts"]).alias("sound"),
+        (l["value"].rlike(DYNAMIC) | l["value"].rlike(DYNAMIC_CALL)).alias("dynamic")))
+
+    def read(v):
+        flat = lambda items: F.flatten(F.transform(v, items))
+        variants = flat(lambda l: F.flatten(F.transform(l["sound"], lambda p: p["variants"])))
+        bundles = F.filter(
+            F.transform(v, lambda l: F.array_sort(F.array_distinct(l["tokens"]))), lambda b: F.size(b) > 4)
+        bases = F.filter(
+            flat(lambda l: F.transform(l["sound"], lambda p: p["base"])), lambda b: b.rlike(r"[\[\]]"))
+        return F.concat(
+            each(v, _list_tests), each(flat(_list_tokens), _token_tests),
+            each(variants, lambda x: ((UNKNOWN_VARIANT, ~known_variant(x), {"variant": x}),)),
+            each(flat(_list_conflicts), lambda c: ((GROUP_CONFLICT, F.lit(True), {
+                "group": c["group"], "tokens": F.array_join(F.slice(c["tokens"], 1, 3), ", ")}),)),
+            once(
+                (BUNDLE, F.size(repeated(bundles, 5)) > 0),
+                (DRIFT, F.size(F.array_distinct(bases)) >= 6),
+                (MANY_DYNAMIC, F.size(F.filter(v, lambda l: l["dynamic"])) >= 3)))
+
+    return let(lists, read)
+
+
+CSS = ("css",)
 CHECKS = {
-    "css.security": ("css", security),
-    "css.performance": ("css", performance),
-    "css.style": ("css", style),
-    "css.maintenance": ("css", maintenance),
-    "utility": (("html", "react"), utility),
+    "css.security": RowCheck(CSS, ("sheet_rules",), security),
+    "css.performance": RowCheck(CSS, ("sheet_rules",), performance),
+    "css.style": RowCheck(CSS, ("sheet_rules", "sheet_declarations"), style),
+    "css.maintenance": RowCheck(CSS, ("sheet_rules", "sheet_declarations"), maintenance),
+    "utility": RowCheck(("html", "react"), ("class_lists",), utility),
 }

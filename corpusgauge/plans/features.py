@@ -5,6 +5,7 @@ from typing import Callable
 
 from pyspark.sql import Column, functions as F
 
+from ..functions import events as ev
 from ..functions.code import blank_code, blank_python, strip_code
 from ..functions.text import count_regex, count_substr, count_substrs, extract_all, let, line_count, lines_over, matches
 
@@ -43,8 +44,11 @@ TRAILING = r"(?m)[ \t]+$"
 COMMENTED_CODE = (
     r"(?m)^\s*#\s*(?:if|for|while|def|class|return|import|from|try|except|with|else|elif|switch|case)\b"
 )
-BLANK_RUN = r"\n{4,}"
-NESTED_TERNARY = r"\?[^\n]*\?"
+
+# Names, classes and addresses in pages.
+ID = r"""(?i)\bid\s*=\s*["']([^"']+)["']"""
+ID_OR_CLASS = r"""(?i)\b(?:id|class)\s*=\s*["']([^"']+)["']"""
+URL = r"""(?i)https?://[^\s"'>)]+"""
 
 
 @dataclass(frozen=True)
@@ -115,4 +119,35 @@ FEATURES: dict[str, Feature] = {
     "commented_code": Feature(lambda: count_regex("text", COMMENTED_CODE)),
     "ternary_lines": Feature(_ternary_lines),
     "before_return": Feature(lambda: F.substring_index("text", "return", 1)),
+    # Events of a file that several checks read.
+    "tags": Feature(lambda: ev.tag_array("text")),
+    "walk": Feature(lambda: ev.stack_walk("tags"), ("tags",)),
+    "div_depth": Feature(lambda: ev.tag_depth("tags"), ("tags",)),
+    "id_repeats": Feature(lambda: ev.repeated(extract_all("text", ID, 1), 2)),
+    "url_repeats": Feature(lambda: ev.repeated(extract_all("text", URL), 3)),
+    "line_repeats": Feature(lambda: ev.repeated_line_array("text", 4, 12)),
+    "script_line_repeats": Feature(lambda: ev.repeated_line_array("script_text", 4, 20), ("script_text",)),
+    "page_names": Feature(lambda: F.flatten(F.transform(
+        extract_all("text", ID_OR_CLASS, 1), lambda names: F.split(names, r"\s+")))),
+    "page_rules": Feature(lambda: ev.rule_array("css_text"), ("css_text",)),
+    "page_weights": Feature(lambda: ev.selector_array("page_rules"), ("page_rules",)),
+    "sheet_rules": Feature(lambda: ev.rule_array("text")),
+    "sheet_declarations": Feature(lambda: F.flatten(F.transform("sheet_rules", lambda r: F.transform(
+        r["d"], lambda d: F.struct(
+            F.lower(r["selector"]).alias("selector"), *[d[n].alias(n) for n in ("prop", "value", "important")])))),
+        ("sheet_rules",)),
+    "class_lists": Feature(lambda: F.transform(ev.class_list_array("text"), lambda l: F.struct(
+        l["value"].alias("value"), l["tokens"].alias("tokens"),
+        F.transform(l["tokens"], lambda t: ev.parsed_token(t)).alias("parts")))),
+    "lines": Feature(lambda: ev.line_array("text")),
+    "py_lines": Feature(lambda: ev.line_array("py_code"), ("py_code",)),
+    "loop_lines": Feature(lambda: ev.lines_within(F.col("py_lines"), ev.LOOP), ("py_lines",)),
+    "async_lines": Feature(lambda: ev.lines_within(F.col("py_lines"), ev.ASYNC), ("py_lines",)),
+    "manifest": Feature(lambda: F.when(F.col("file_name") == "package.json", ev.manifest()), ("file_name",)),
+    "dependencies": Feature(
+        lambda: F.when(F.col("manifest._bad").isNull(), ev.dependency_array(F.col("manifest"))), ("manifest",)),
+    "hooks": Feature(lambda: ev.hook_array("text")),
+    "watched": Feature(lambda: ev.watched_names("text")),
+    "stale": Feature(lambda: ev.stale_update_array("text")),
+    "jsx": Feature(lambda: ev.jsx_array("text")),
 }

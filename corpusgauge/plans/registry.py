@@ -4,15 +4,15 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.sets import all_findings, dedupe_findings
-from ..model import FINDING_COLUMNS
+from ..operators.sets import all_findings
 from . import checks_code, checks_css, checks_html
+from .checks import RowCheck
 from .packs import PACKS as BUILT_IN
 from .rules import Rule, rules_from_table, rules_table
-from .scan import rule_scan
+from .scan import rule_scan, scored_files
 
 PACKS: dict[str, list[Rule]] = dict(BUILT_IN)
-CHECKS: dict[str, tuple] = {**checks_html.CHECKS, **checks_code.CHECKS, **checks_css.CHECKS}
+CHECKS: dict = {**checks_html.CHECKS, **checks_code.CHECKS, **checks_css.CHECKS}
 
 
 def register_pack(name: str, rules) -> None:
@@ -22,7 +22,7 @@ def register_pack(name: str, rules) -> None:
 
 def register_check(name: str, languages, check: Callable[[DataFrame], DataFrame]) -> None:
     """Add a check: a function of files that returns findings."""
-    CHECKS[name] = (languages, check)
+    CHECKS[name] = ([languages] if isinstance(languages, str) else list(languages), check)
 
 
 def _named(entries, names):
@@ -33,27 +33,34 @@ def rules_named(*names) -> list[Rule]:
     return [r for pack in _named(PACKS, names).values() for r in pack]
 
 
-def check_findings(files: DataFrame, *names) -> list[DataFrame]:
+def checks_named(*names) -> list[RowCheck]:
+    """Built-in checks, evaluated inside the file's row."""
+    return [c for c in _named(CHECKS, names).values() if isinstance(c, RowCheck)]
+
+
+def table_checks(files: DataFrame, *names) -> list[DataFrame]:
+    """Findings of the checks that users registered as functions of a table."""
     out = []
-    for languages, check in _named(CHECKS, names).values():
-        languages = [languages] if isinstance(languages, str) else list(languages)
-        out.append(check(files.where(F.col("language").isin(*languages))))
+    for check in _named(CHECKS, names).values():
+        if not isinstance(check, RowCheck):
+            languages, fn = check
+            out.append(fn(files.where(F.col("language").isin(*languages))))
     return out
 
 
 def scan(files: DataFrame, *names) -> DataFrame:
     """Findings of the named packs and checks, of all when none is named.
 
-    Style sheet findings with equal severity and message count once per file.
+    Packs and built-in checks read every text once, in one projection.
     """
-    rules = rules_named(*names)
-    parts = ([rule_scan(files, rules)] if rules else []) + check_findings(files, *names)
-    found = all_findings(*parts)
-    sheets = [n for n, (langs, _) in _named(CHECKS, names).items() if langs == "css"]
-    if not sheets and not any(r.language == "css" for r in rules):
-        return found
-    css = F.col("language") == "css"
-    return found.where(~css).unionByName(dedupe_findings(found.where(css)))
+    rules, checks = rules_named(*names), checks_named(*names)
+    parts = [rule_scan(files, rules, checks=checks)] if rules or checks else []
+    return all_findings(*parts, *table_checks(files, *names))
+
+
+def scan_scores(files: DataFrame, *names) -> DataFrame:
+    """Scores by the named packs and built-in checks, without a shuffle."""
+    return scored_files(files, rules_named(*names), checks_named(*names))
 
 
 # Profiles -----------------------------------------------------------------------------------------------------

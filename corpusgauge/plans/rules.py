@@ -14,6 +14,7 @@ from ..functions.text import (
     count_regex, count_substr, extract_all, first_position, line_of, matches, regex, render_message, snippet_of,
 )
 from ..model import RULES
+from .checks import one_per_message
 from .features import FEATURES
 
 MAX_RULES = 5000
@@ -187,48 +188,54 @@ def by_language(rules) -> dict[str, list[Rule]]:
     return out
 
 
-def needed_features(rules) -> list[str]:
-    used = set()
-    for rule in rules:
-        used.update(c.subject for c in (*rule.all_of, *rule.any_of))
-        used.add(rule.measure)
-    used -= {None, "text", "path"}
-    return [name for name in FEATURES if name in used]
-
-
-def with_features(files: DataFrame, rules) -> DataFrame:
-    """Derive the features some rule reads, each only in the languages whose rules read it."""
-    for names in _levels(rules):
-        files = files.withColumns({
-            name: F.when(F.col("language").isin(*langs), FEATURES[name].column()) for name, langs in names.items()
-        })
-    return files
+def _needs(rules, checks) -> dict[str, set]:
+    """Features with the languages whose rules or checks read them."""
+    needs: dict[str, set] = {}
 
+    def add(name, language):
+        if name in FEATURES:
+            needs.setdefault(name, set()).add(language)
+            for n in FEATURES[name].needs:
+                add(n, language)
 
-def _levels(rules):
-    """Features by dependency level, each with the languages that need it."""
-    langs: dict[str, set] = {}
     for language, group in by_language(rules).items():
-        for name in needed_features(group):
-            todo = [name]
-            while todo:
-                n = todo.pop()
-                langs.setdefault(n, set()).add(language)
-                todo.extend(FEATURES[n].needs)
-    done: set[str] = set()
-    while len(done) < len(langs):
-        ready = {n: sorted(langs[n]) for n in FEATURES
-                 if n in langs and n not in done and all(d in done for d in FEATURES[n].needs)}
+        for rule in group:
+            for clause in (*rule.all_of, *rule.any_of):
+                add(clause.subject, language)
+            add(rule.measure, language)
+    for check in checks:
+        for language in check.languages:
+            for name in check.needs:
+                add(name, language)
+    return needs
+
+
+def with_features(files: DataFrame, rules, checks=()) -> DataFrame:
+    """Derive the features some rule or check reads, each only in the languages that read it.
+
+    Features that need others come one projection later, so nothing is computed twice.
+    """
+    needs, done = _needs(rules, checks), set()
+    while len(done) < len(needs):
+        ready = [n for n in needs if n not in done and all(d in done for d in FEATURES[n].needs)]
+        files = files.withColumns({
+            n: F.when(F.col("language").isin(*sorted(needs[n])), FEATURES[n].column()) for n in ready})
         done.update(ready)
-        yield ready
+    return files
 
 
-def findings_array(rules) -> Column:
-    """All findings of a file's language as one array."""
+def findings_array(rules, checks=()) -> Column:
+    """All findings of a file's language as one array; style sheets keep one per severity and message."""
+    groups = by_language(rules)
+    for check in checks:
+        for language in check.languages:
+            groups.setdefault(language, [])
     out = F
-    for language, group in by_language(rules).items():
-        arrays = F.array(*[_emitted(r) for r in group])
-        out = out.when(F.col("language") == language, F.flatten(F.array_compact(arrays)))
+    for language, group in groups.items():
+        found = [F.flatten(F.array_compact(F.array(*[_emitted(r) for r in group])))] if group else []
+        found += [check.build() for check in checks if language in check.languages]
+        whole = F.concat(*found)
+        out = out.when(F.col("language") == language, one_per_message(whole) if language == "css" else whole)
     return out
 
 

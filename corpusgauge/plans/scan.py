@@ -4,17 +4,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import clamp_score, regex
 from ..model import FINDING_COLUMNS
+from .checks import none_found
 from .rules import Rule, findings_array, with_features
 
 
-def rule_scan(files: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
-    """All findings of the rules of each file's language: one projection and one explode.
+def rule_scan(files: DataFrame, rules: list[Rule], *keep: str, checks=()) -> DataFrame:
+    """All findings of the rules and in-row checks of each file's language: one pass, nothing shuffled.
 
     `keep` names further file columns to carry along.
     """
-    marked = with_features(files.where(F.col("language").isin(*sorted({r.language for r in rules}))), rules)
+    languages = {r.language for r in rules} | {l for c in checks for l in c.languages}
+    marked = with_features(files.where(F.col("language").isin(*sorted(languages))), rules, checks)
     return (
-        marked.select("job_id", "path", "language", *keep, F.inline(findings_array(rules)))
+        marked.select("job_id", "path", "language", *keep, F.inline(findings_array(rules, checks)))
         .select(*FINDING_COLUMNS, *keep)
     )
 
@@ -32,10 +34,10 @@ def scan_joined(files: DataFrame, rules: DataFrame) -> DataFrame:
     return files.join(simple, "language").where(F.regexp_like("text", F.col("pattern"))).select(*FINDING_COLUMNS)
 
 
-def scored_files(files: DataFrame, rules: list[Rule]) -> DataFrame:
+def scored_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:
     """Score of every file straight from the rule projection, without exploding or shuffling."""
-    marked = with_features(files, rules)
-    hits = F.coalesce(findings_array(rules), F.array())
+    marked = with_features(files, rules, checks)
+    hits = F.coalesce(findings_array(rules, checks), none_found())
     penalty = F.aggregate(hits, F.lit(0), lambda n, f: n + f["score_impact"])
     return (
         marked.select("job_id", "path", "language", penalty.alias("penalty"), F.size(hits).alias("findings"))

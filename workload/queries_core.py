@@ -287,7 +287,8 @@ def sca_12(spark, sf):
 
 
 def sca_13(spark, sf):
-    rows = cs.rule_contrast(corpus("code", "pages")(spark, sf).where("language in ('css', 'html')"))
+    rules = u.css_rules(u.css_source(corpus("code", "pages")(spark, sf).where("language in ('css', 'html')")))
+    rows = rules.withColumn("ratio", cs.rule_contrast("d"))
     return rows.where("ratio is not null").select("path", "rule_no", F.bround("ratio", 6).alias("ratio"))
 
 

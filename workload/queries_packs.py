@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.css import LENGTH, known_properties
 from corpusgauge.functions.utility import BREAKPOINTS, GROUPS, KNOWN_BASE, KNOWN_PREFIX, PART, VARIANTS, VARIANT_FAMILIES
-from corpusgauge.operators import joins as j, unnest as u
-from corpusgauge.operators.windows import NOT_IN_PARAGRAPH
+from corpusgauge.functions import events as u
+from corpusgauge.functions.events import NOT_IN_PARAGRAPH
 from corpusgauge.plans import checks_code as cc, checks_css as cs, checks_html as ch, features as f
 from corpusgauge.plans.registry import rules_named, scan
 from .corpora import corpus, quote as q
@@ -125,10 +125,10 @@ def html_security():
     return with_corpus(("pages", "code"), body)
 
 
-UNLABELLED = f"""controls AS (SELECT {KEY}, pos, {part('raw', '^<([a-zA-Z0-9_]+)', 1)} AS tag, {part('raw', j.ID, 1)} AS id FROM (
-  {unnested(every('text', j.CONTROL), 'pos', 'raw', "files WHERE language = 'html'")})
-  WHERE NOT {has('raw', j.SKIPPED_INPUT)} AND NOT {has('raw', r'(?i)aria-label(?:ledby)?[ ]*=|[^a-z0-9_]placeholder[ ]*=')}),
-labels AS (SELECT path, unnest({every('text', j.LABEL, 1)}) AS id FROM files WHERE language = 'html'),
+UNLABELLED = f"""controls AS (SELECT {KEY}, pos, {part('raw', '^<([a-zA-Z0-9_]+)', 1)} AS tag, {part('raw', ch.CONTROL_ID, 1)} AS id FROM (
+  {unnested(every('text', ch.CONTROL), 'pos', 'raw', "files WHERE language = 'html'")})
+  WHERE NOT {has('raw', ch.SKIPPED_INPUT)} AND NOT {has('raw', r'(?i)aria-label(?:ledby)?[ ]*=|[^a-z0-9_]placeholder[ ]*=')}),
+labels AS (SELECT path, unnest({every('text', ch.LABEL, 1)}) AS id FROM files WHERE language = 'html'),
 unlabelled AS (SELECT * FROM controls c WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.path = c.path AND l.id = c.id))"""
 
 
@@ -167,7 +167,7 @@ DECLARED = f"""declared AS (SELECT {KEY}, name, arg_min(kind, line_no * 1000000
 EARLY = f"""named AS (SELECT path, name, min(line_no) AS first_use FROM (
   SELECT path, line_no, unnest({every('line', r'(?:^|[^.\w$])([A-Za-z_$][\w$]*)', 1)}) AS name FROM lines WHERE {JS}) GROUP BY ALL),
 early AS (SELECT d.*, CAST(first_use AS INT) AS first_use FROM declared d JOIN named n ON d.path = n.path AND d.name = n.name
-  WHERE first_use < line_no AND kind <> 'function' AND d.name NOT IN {in_list(j.JS_KEYWORDS + j.JS_GLOBALS)})"""
+  WHERE first_use < line_no AND kind <> 'function' AND d.name NOT IN {in_list(cc.JS_KEYWORDS + cc.JS_GLOBALS)})"""
 NULLISH = f"""code AS (SELECT {KEY}, {STRIPPED} AS code FROM files WHERE {JS}),
 nullish AS (SELECT DISTINCT {KEY}, name FROM (SELECT {KEY}, code, unnest({every('code', r'([A-Za-z_$][\w$]*)\s*=\s*(?:null|undefined)\b', 1)}) AS name FROM code)
   WHERE list_contains({every('code', r'([?]?[A-Za-z_$][\w$]*)[.]', 1)}, name))"""
@@ -215,11 +215,11 @@ def dependencies():
 # Python -------------------------------------------------------------------------------------------------------
 
 NAME = r"[A-Za-z_]\w*"
-TAINT = f"""tainted AS (SELECT path, name, min(line_no) AS tainted_at FROM (SELECT path, line_no, unnest({every(part('line', j.TAINTED, 1), NAME)}) AS name
-  FROM py_lines WHERE {has('line', j.TAINTED)}) GROUP BY ALL),
-calls AS (SELECT {KEY}, line_no, call_no, {part('c', j.CALL, 1)} AS call, {part('c', j.CALL, 2)} AS args FROM (
-  {unnested(every('line', j.CALL), 'call_no', 'c', 'py_lines', KEY + ', line_no')})),
-sinks AS (SELECT *, CASE {' '.join(f"WHEN {has('call', p)} THEN '{n}'" for n, p, _ in j.SINKS)} END AS sink FROM calls),
+TAINT = f"""tainted AS (SELECT path, name, min(line_no) AS tainted_at FROM (SELECT path, line_no, unnest({every(part('line', cc.TAINTED, 1), NAME)}) AS name
+  FROM py_lines WHERE {has('line', cc.TAINTED)}) GROUP BY ALL),
+calls AS (SELECT {KEY}, line_no, call_no, {part('c', cc.CALL, 1)} AS call, {part('c', cc.CALL, 2)} AS args FROM (
+  {unnested(every('line', cc.CALL), 'call_no', 'c', 'py_lines', KEY + ', line_no')})),
+sinks AS (SELECT *, CASE {' '.join(f"WHEN {has('call', p)} THEN '{n}'" for n, p, _ in cc.SINKS)} END AS sink FROM calls),
 flows AS (SELECT {KEY}, CAST(line_no AS INT) AS line_no, call_no, call, sink, min(t.name) AS name FROM (
     SELECT s.* EXCLUDE (args), unnest({every("CASE WHEN sink IN ('shell', 'path') THEN split_part(args, ',', 1) ELSE args END", '(?:^|[^.a-zA-Z0-9_])([A-Za-z_][a-zA-Z0-9_]*)', 1)}) AS arg
     FROM sinks s WHERE sink IS NOT NULL) a JOIN tainted t USING (path)
@@ -243,7 +243,7 @@ def around(name):
 
 
 BLOCKS = ",\n".join([
-    spans("loops", j.LOOP), spans("waits", j.ASYNC),
+    spans("loops", u.LOOP), spans("waits", u.ASYNC),
     f"blocks AS MATERIALIZED (SELECT l.*, {around('loops')} AS loops, {around('waits')} AS asyncs FROM py_lines l)"])
 
 
@@ -254,7 +254,7 @@ def each(pattern, where):
 def python_efficiency():
     return with_corpus(("code",), counted(
         rules_sql(rules_named("python.efficiency")),
-        fire(cc.NESTED, "blocks", f"loops > 0 AND {has('line', j.FOR_LOOP)}"),
+        fire(cc.NESTED, "blocks", f"loops > 0 AND {has('line', u.FOR_LOOP)}"),
         fire(cc.GROWTH, "blocks", "loops > 0 AND contains(line, '+=')"),
         fire(cc.CONCAT, "blocks", "loops > 0 AND " + has("line", r"""[\w\])'"]\s*\+\s*[\w\[('"]""")),
         fire(cc.LOOP_CALL, each(cc.HEAVY, "loops > 0")),
@@ -269,7 +269,7 @@ UNUSED = f"""imports AS (SELECT DISTINCT {KEY}, {part('p', r'([A-Za-z_]\w*)\s*$'
 imported AS (SELECT DISTINCT {KEY}, CASE WHEN aliased THEN alias ELSE head END AS name FROM imports WHERE head <> ''),
 unused AS (SELECT * FROM imported i WHERE NOT EXISTS (SELECT 1 FROM py_lines l WHERE l.path = i.path
   AND NOT {has('l.line', r'^\s*(?:import|from)\s')} AND regexp_matches(l.line, '(?:^|[^.a-zA-Z0-9_])\\Q' || i.name || '\\E(?:[^a-zA-Z0-9_]|$)')))"""
-SWALLOWED = spans("handlers", j.HANDLER) + f""",
+SWALLOWED = spans("handlers", u.HANDLER) + f""",
 swallowed AS (SELECT h.*, l.job_id, l.language FROM handlers h JOIN py_lines l ON l.path = h.path AND l.line_no = h.line_no
   WHERE NOT EXISTS (SELECT 1 FROM py_lines r WHERE r.path = h.path AND r.line_no > h.line_no
     AND (h.end_no IS NULL OR r.line_no < h.end_no) AND {has('r.line', r'[^a-zA-Z0-9_]raise[^a-zA-Z0-9_]|^raise\b|[^a-zA-Z0-9_]raise$')}))"""
@@ -294,13 +294,13 @@ def python_maintenance():
 
 REACT = "language = 'react'"
 JSN = r"[A-Za-z_$][\w$]*"
-PAIRS = f"list_transform({every('text', j.STATE_PAIR)}, lambda p: {{'state': {part('p', j.STATE_PAIR, 1)}, 'setter': {part('p', j.STATE_PAIR, 2)}}})"
+PAIRS = f"list_transform({every('text', u.STATE_PAIR)}, lambda p: {{'state': {part('p', u.STATE_PAIR, 1)}, 'setter': {part('p', u.STATE_PAIR, 2)}}})"
 STALE = f"""updates AS (SELECT {KEY}, state, setter,
   regexp_matches(text, call || own || '\\s*[+-]\\s*\\d+') AS shift, regexp_matches(text, call || own || '\\s*[+-]\\s*1\\s*\\)') AS step,
   regexp_matches(text, call || '!\\s*' || own || '\\s*\\)') AS toggle, regexp_matches(text, call || '[\\[{{](?s:.*)\\b' || own || '\\b') AS rebuild
   FROM (SELECT {KEY}, text, p.state, p.setter, '\\b\\Q' || p.setter || '\\E\\s*\\(\\s*' AS call, '\\Q' || p.state || '\\E' AS own
     FROM (SELECT {KEY}, text, unnest({PAIRS}) AS p FROM files WHERE {REACT})))"""
-PROP_NAMES = f"""list_filter(list_transform(flatten(list_transform({every('text', j.PROP_LISTS, 1)}, lambda l: string_split(l, ','))),
+PROP_NAMES = f"""list_filter(list_transform(flatten(list_transform({every('text', u.PROP_LISTS, 1)}, lambda l: string_split(l, ','))),
   lambda p: trim({sub('p', '(?s)[=:].*$')})), lambda p: {has('p', '^[A-Za-z_$][a-zA-Z0-9_$]*$')})"""
 NAMES = f"""list_concat(list_sort(list_distinct(list_transform({PAIRS}, lambda p: p.state))), list_sort(list_distinct({PROP_NAMES})))"""
 SEGMENTS = f"""cut AS (SELECT {KEY}, {NAMES} AS names, string_split({sub('text', '(' + '|'.join(u.HOOKS) + ')[(]', chr(1) + chr(92) + '1(')}, chr(1)) AS segs
@@ -335,7 +335,7 @@ def react_lifecycle():
     cleanup = has("callback", r"\breturn\s*\(\s*\)\s*=>|\breturn\s+function\b")
     effects = "(SELECT * FROM segments WHERE hook = 'useEffect')"
     checks = [fire(cc.ASYNC_EFFECT, effects, has("callback", r"\basync\s*\(|\basync\s+\w"))]
-    for resource, release in j.RESOURCES:
+    for resource, release in cc.RESOURCES:
         used = f"contains(callback, '{resource}')"
         shown = {"resource": q(resource.rstrip("(")), "release": q(release)}
         checks.append(fire(cc.NO_CLEANUP, effects, f"{used} AND NOT {cleanup}", **shown))
@@ -345,8 +345,8 @@ def react_lifecycle():
 
 JSX = f"""jsx AS (SELECT {KEY}, pos, {part('raw', '^<([A-Za-z][a-zA-Z0-9_]*)', 1)} AS tag, {sub('raw', r'^<[A-Za-z][\w.]*|/?>$')} AS attrs FROM (
   {unnested(every('text', u.JSX_TAG), 'pos', 'raw', f'files WHERE {REACT}')}))"""
-REQUIRED = f"""required AS (SELECT DISTINCT path, {part('b', j.PROP_TYPES, 1)} AS component, unnest({every(part('b', j.PROP_TYPES, 2), j.REQUIRED, 1)}) AS prop
-  FROM (SELECT path, unnest({every('text', j.PROP_TYPES)}) AS b FROM files WHERE {REACT})),
+REQUIRED = f"""required AS (SELECT DISTINCT path, {part('b', cc.PROP_TYPES, 1)} AS component, unnest({every(part('b', cc.PROP_TYPES, 2), cc.REQUIRED, 1)}) AS prop
+  FROM (SELECT path, unnest({every('text', cc.PROP_TYPES)}) AS b FROM files WHERE {REACT})),
 lacking AS (SELECT {KEY}, component, pos, prop FROM jsx JOIN required USING (path) WHERE tag = component AND NOT contains(attrs, '...')
   AND NOT regexp_matches(attrs, '(?:^|[^a-zA-Z0-9_$])\\Q' || prop || '\\E\\s*='))"""
 
@@ -417,7 +417,7 @@ contrasts AS (SELECT d.*, (greatest(f.light, k.light) + 0.05) / (least(f.light,
   FROM decls GROUP BY ALL) d JOIN lights f ON f.v = fg JOIN lights k ON k.v = bg WHERE f.a >= 1 AND k.a >= 1)"""
 KNOWN = in_list(known_properties())
 UNKNOWN = f"""known AS (SELECT unnest({'[' + KNOWN[1:-1] + ']'}) AS k),
-odd AS (SELECT * FROM decls WHERE prop NOT IN {KNOWN} AND NOT {has('prop', j.VENDOR)}),
+odd AS (SELECT * FROM decls WHERE prop NOT IN {KNOWN} AND NOT {has('prop', cs.VENDOR)}),
 near AS (SELECT prop, arg_min(k, k) AS suggestion FROM (SELECT prop, k, share, min(share) OVER (PARTITION BY prop) AS best FROM (
   SELECT prop, k, (2 * levenshtein(prop, k) - abs(length(prop) - length(k))) / (length(prop) + length(k)) AS share
   FROM (SELECT DISTINCT prop FROM odd), known)) WHERE share = best AND share <= 1 - 0.86 GROUP BY prop),

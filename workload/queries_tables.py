@@ -216,7 +216,7 @@ def compare_sql():
       f"before AS ({grouped(rules_sql(rules_named('html')))})", f"after AS ({grouped(rules_sql(rules_named('html'), stripped))})")
 
 
-RELEASES = "[" + ", ".join(f"{{'a': {q(a)}, 'r': {q(r)}}}" for a, r in jo.RESOURCES) + "]"
+RELEASES = "[" + ", ".join(f"{{'a': {q(a)}, 'r': {q(r)}}}" for a, r in cc.RESOURCES) + "]"
 JOI = {
     "joi_1_rule_scan": (joi_1, lambda: with_corpus(ALL, counted(rules_sql(rules_named())))),
     "joi_1b_scan_joined": (joi_1b, joi_1b_sql),
