@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from .code import blank_python
 from .css import selector_specificity
-from .text import col, count_regex, extract_all, let, regex, replace_regex, squeeze
+from .text import col, extract_all, let, one_of, regex, replace_regex, squeeze
 from .utility import bracket_surplus, utility_parts, valid_arbitrary
 
 
@@ -59,14 +59,13 @@ def tag_array(text="text", skip_scripts: bool = False) -> Column:
     tags = F.filter(extract_all(text, MARKUP), lambda t: t.rlike(regex(TAG)))
 
     def parsed(t, i):
-        name = F.lower(F.regexp_extract(t, regex(TAG), 2))
-        return F.struct(
+        return let(F.lower(F.regexp_extract(t, regex(TAG), 2)), lambda name: F.struct(
             (i + 1).alias("pos"),
             name.alias("tag"),
-            (F.regexp_extract(t, regex(TAG), 1) == "/").alias("is_close"),
-            (t.endswith("/>") | name.isin(*VOID_TAGS)).alias("is_void"),
+            t.rlike(r"^<\s*/").alias("is_close"),
+            (t.endswith("/>") | one_of(name, VOID_TAGS)).alias("is_void"),
             t.alias("raw"),
-        )
+        ))
 
     return F.transform(tags, parsed)
 
@@ -83,7 +82,7 @@ def stack_walk(tags) -> Column:
         top = F.get(stack, depth - 1)
         from_top = F.array_position(F.reverse(stack), tag).cast("int")
         popped = F.slice(stack, F.lit(1), depth - from_top)
-        inside_p = (top == "p") & tag.isin(*NOT_IN_PARAGRAPH)
+        inside_p = (top == "p") & one_of(tag, NOT_IN_PARAGRAPH)
         opened_errors = F.when(F.coalesce(inside_p, F.lit(False)), error("invalid_child")).otherwise(errors)
         opened_stack = F.when(t["is_void"], stack).otherwise(F.concat(stack, F.array(tag)))
         return (

@@ -14,6 +14,25 @@ def col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def sql_text(value) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "null"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return str(value)
+
+
+def one_of(value, names) -> Column:
+    """Membership in a list of constants, as one SQL literal."""
+    return F.array_contains(constants(names), col(value))
+
+
+def constants(names) -> Column:
+    return F.expr("array(" + ", ".join(sql_text(n) for n in names) + ")")
+
+
 def let(value, body) -> Column:
     """Bind a value to a name inside an expression, so that a long expression is not repeated at every use."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -122,7 +141,8 @@ def render_message(template: str, /, **values) -> Column:
     """Fill `{name}` placeholders from columns."""
     out = F.lit(template)
     for name, value in values.items():
-        out = F.replace(out, F.lit("{%s}" % name), col(value).cast("string"))
+        if "{%s}" % name in template:
+            out = F.replace(out, F.lit("{%s}" % name), col(value).cast("string"))
     return out
 
 

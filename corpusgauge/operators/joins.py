@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import events as ev
 from ..functions.code import strip_code
 from ..functions.css import closest_property, known_properties
-from ..functions.text import count_regex, extract_all, regex
+from ..functions.text import count_regex, extract_all, one_of, regex
 from ..functions.events import ASYNC, HOOKS_WITH_DEPS, LOOP, PY_NAME
 from ..plans.checks_code import (
     ARGUMENT_NAME, CALL, GIVEN, JS_GLOBALS, JS_KEYWORDS, MEMBER, NULL_ASSIGNED, PROP_TYPES, REQUIRED, RESOURCES,
@@ -56,7 +56,7 @@ def dead_selectors(selectors: DataFrame, files: DataFrame) -> DataFrame:
 def use_before_declaration(files: DataFrame) -> DataFrame:
     """Variables named on a line before their declaration: (name, kind, line_no, first_use)."""
     declared = js_declarations(files).where(
-        (F.col("kind") != "function") & ~F.col("name").isin(*JS_KEYWORDS, *JS_GLOBALS))
+        (F.col("kind") != "function") & ~one_of("name", JS_KEYWORDS + JS_GLOBALS))
     used = js_names(files).select(*FILE, "name", F.col("line_no").alias("first_use"))
     return declared.join(used, [*FILE, "name"]).where("first_use < line_no").select(
         *KEY, "name", "kind", "line_no", "first_use")
@@ -182,7 +182,7 @@ def unknown_properties(declarations: DataFrame, known=None) -> DataFrame:
     The nearest name is looked for once per distinct unknown name, among a literal list.
     """
     known = known or known_properties()
-    odd = declarations.where(~F.col("prop").rlike(VENDOR) & ~F.col("prop").isin(*known))
+    odd = declarations.where(~F.col("prop").rlike(VENDOR) & ~one_of("prop", known))
     near = odd.select("prop").distinct().withColumn("suggestion", closest_property("prop", known))
     return odd.select(*KEY, "rule_no", "decl_no", "prop").join(near, "prop")
 

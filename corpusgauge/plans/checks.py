@@ -10,7 +10,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import col, let, render_message
+from ..functions.text import col, let, render_message, sql_text
 from ..model import FINDING, FINDING_COLUMNS
 
 
@@ -32,18 +32,28 @@ class RowCheck:
     build: Callable[[], Column]
 
 
+def constant_finding(rule_id, category, severity, impact, message, confidence, fix) -> Column:
+    """A finding of constants, as one SQL literal: a pack holds hundreds of them."""
+    fields = {
+        "rule_id": sql_text(rule_id), "rule": sql_text(category), "severity": sql_text(severity),
+        "score_impact": f"int({impact})", "message": sql_text(message), "line": "int(null)",
+        "confidence": f"double({sql_text(confidence)})", "fix": f"string({sql_text(fix)})",
+    }
+    return F.expr("named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")")
+
+
 def finding_struct(spec: Spec, /, severity=None, impact=None, **values) -> Column:
-    fix = render_message(spec.fix, **values) if spec.fix else F.lit(None).cast("string")
-    return F.struct(
-        F.lit(spec.rule_id).alias("rule_id"),
-        F.lit(spec.category).alias("rule"),
-        (F.lit(spec.severity) if severity is None else severity).alias("severity"),
-        (F.lit(spec.impact) if impact is None else impact).cast("int").alias("score_impact"),
-        render_message(spec.message, **values).alias("message"),
-        F.lit(None).cast("int").alias("line"),
-        F.lit(spec.confidence).cast("double").alias("confidence"),
-        fix.alias("fix"),
-    )
+    out = constant_finding(
+        spec.rule_id, spec.category, spec.severity, spec.impact, spec.message, spec.confidence, spec.fix)
+    if values:
+        out = out.withField("message", render_message(spec.message, **values))
+        if spec.fix and "{" in spec.fix:
+            out = out.withField("fix", render_message(spec.fix, **values))
+    if severity is not None:
+        out = out.withField("severity", severity)
+    if impact is not None:
+        out = out.withField("score_impact", impact.cast("int"))
+    return out
 
 
 def _hits(tests) -> Column:

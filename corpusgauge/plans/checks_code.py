@@ -6,7 +6,7 @@ from ..functions.code import version_risk
 from ..functions.events import (
     FOR_LOOP, HANDLER, HOOKS_WITH_DEPS, JS_NAME, PY_NAME, block_array, imported_names, inside, missing_names,
 )
-from ..functions.text import extract_all, let, regex
+from ..functions.text import extract_all, let, one_of, regex
 from .checks import RowCheck, Spec, each, once
 
 C = F.col
@@ -91,7 +91,7 @@ def _early_uses() -> Column:
 
     def early(v):
         variables = F.filter(
-            v["declared"], lambda d: (d["kind"] != "function") & ~d["name"].isin(*JS_KEYWORDS, *JS_GLOBALS))
+            v["declared"], lambda d: (d["kind"] != "function") & ~one_of(d["name"], JS_KEYWORDS + JS_GLOBALS))
         return F.filter(variables, lambda d: F.exists(
             v["named"], lambda n: (n["name"] == d["name"]) & (n["line_no"] < d["line_no"])))
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.css import closest_property, contrast_ratio, css_length, css_rgb, known_properties
 from ..functions.events import DYNAMIC, repeated, selector_array, signature
-from ..functions.text import extract_all, let, replace_regex, squeeze
+from ..functions.text import extract_all, let, one_of, replace_regex, squeeze
 from ..functions.utility import BREAKPOINTS, known_base, known_variant
 from .checks import RowCheck, Spec, each, once
 
@@ -232,7 +232,7 @@ def style() -> Column:
             (CHAIN, r["w"]["named"] & r["w"]["deep"], shown))
 
     known = known_properties()
-    odd = F.filter("sheet_declarations", lambda d: ~d["prop"].rlike(VENDOR) & ~d["prop"].isin(*known))
+    odd = F.filter("sheet_declarations", lambda d: ~d["prop"].rlike(VENDOR) & ~one_of(d["prop"], known))
     near = F.transform(F.array_distinct(F.transform(odd, lambda d: d["prop"])), lambda p: F.struct(
         p.alias("prop"), closest_property(p, known).alias("close")))
 

@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import (
-    count_regex, count_substr, extract_all, first_position, line_of, matches, regex, render_message, snippet_of,
+    count_regex, count_substr, extract_all, first_position, line_of, matches, regex, render_message, scaled_impact,
+    scaled_severity,
 )
 from ..model import RULES
-from .checks import one_per_message
+from .checks import constant_finding, one_per_message
 from .features import FEATURES
 
 MAX_RULES = 5000
@@ -151,25 +152,19 @@ def condition(rule: Rule) -> Column:
 
 
 def _finding(rule: Rule) -> Column:
-    count = F.col(rule.measure) if rule.measure else None
-    impact, severity, message = F.lit(rule.impact), F.lit(rule.severity), F.lit(rule.message)
-    if count is not None:
-        message = render_message(rule.message, n=count)
+    out = constant_finding(
+        rule.rule_id, rule.category, rule.severity, rule.impact, rule.message, rule.confidence, rule.fix)
+    if rule.measure:
+        count = F.col(rule.measure)
+        if "{n}" in rule.message:
+            out = out.withField("message", render_message(rule.message, n=count))
         if rule.cap is not None:
-            impact = impact + F.least(F.floor(count / F.lit(rule.div)).cast("int"), F.lit(rule.cap))
+            out = out.withField("score_impact", scaled_impact(count, rule.impact, rule.div, rule.cap))
         if rule.step is not None:
-            severity = F.when(count >= rule.step, rule.severity_above).otherwise(rule.severity)
-    line = line_of("text", first_position("text", rule.locate)) if rule.locate else F.lit(None).cast("int")
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.category).alias("rule"),
-        severity.alias("severity"),
-        impact.cast("int").alias("score_impact"),
-        message.alias("message"),
-        line.alias("line"),
-        F.lit(rule.confidence).cast("double").alias("confidence"),
-        F.lit(rule.fix).cast("string").alias("fix"),
-    )
+            out = out.withField("severity", scaled_severity(count, rule.severity, rule.step, rule.severity_above))
+    if rule.locate:
+        out = out.withField("line", line_of("text", first_position("text", rule.locate)))
+    return out
 
 
 def _emitted(rule: Rule) -> Column:

@@ -40,7 +40,7 @@ def code_files(spark, sf_dir) -> DataFrame:
     """One source file per part: the snippet of the part's size, then a document's whole text as a comment."""
     snippets = spark.createDataFrame(SNIPPETS, "snippet_id int, file_name string, language string, snippet string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("body"))
-    parts = table(spark, sf_dir, "part").select(
+    parts = spread(table(spark, sf_dir, "part")).select(
         "p_partkey", "p_name", "p_brand", F.col("p_size").cast("int").alias("snippet_id"))
     code = F.replace("snippet", F.lit("@PART@"), F.col("p_name"))
     as_lines = lambda mark: F.concat(F.lit("\n" + mark), F.replace("body", F.lit("\n"), F.lit("\n" + mark)))

@@ -7,7 +7,7 @@ from corpusgauge.operators import aggregates as ag, joins as jo, sets as st, unn
 from corpusgauge.plans import checks_code as cc
 from corpusgauge.plans.checks import Spec, flag
 from corpusgauge.plans.registry import (
-    CHECKS, PACKS, load_profile, register_check, register_pack, rules_named, save_profile, scan,
+    CHECKS, PACKS, load_profile, register_check, register_pack, rules_named, save_profile, scan, scan_scores,
 )
 from corpusgauge.plans.rules import Rule, chars_over, has, reaches, rules_table
 from corpusgauge.plans.scan import rule_scan, scan_joined, scored_files
@@ -521,6 +521,12 @@ SELECT (t // 3600) * 3600 AS window_start, severity, CAST(sum(n) AS BIGINT) AS f
 WHERE (t // 3600) * 3600 + 3600 <= (SELECT max(t) FROM timed) - 7200 GROUP BY ALL"""
 
 
+def full_scan_scores(spark, sf):
+    """Scores by all packs and checks over pages, documents and code, with the language summary on top."""
+    scores = scan_scores(corpus(*ALL)(spark, sf))
+    return ag.language_summary(scores)
+
+
 # Extensions ---------------------------------------------------------------------------------------------------
 
 HYGIENE = [
@@ -573,6 +579,7 @@ OTHERS = {
         "SELECT language, count(*) AS files, CAST(sum(score) AS BIGINT) AS total, round_even(avg(score), 2) AS average_score FROM scores GROUP BY language",
         SCORES, names=("html",))),
     "str_3_findings_per_window": (str_3, str_3_sql),
+    "full_scan_scores": (full_scan_scores, None),
     "udx_1_register_pack": (udx_1, lambda: with_corpus(("documents",), counted(rules_sql(HYGIENE)))),
     "udx_2_register_check": (udx_2, lambda: with_corpus(("documents",), counted(fire(
         REPEATS, f"(SELECT {KEY}, trim(line) AS l, count(*) AS uses FROM lines WHERE length(trim(line)) > 8 GROUP BY ALL HAVING count(*) >= 3)", n="uses")), LINES)),
