@@ -70,7 +70,17 @@ def run_trend(scores: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+SALTS = 64
+
+
 def worst_files(scores: DataFrame, k: int) -> DataFrame:
-    """The k lowest scores per language; Spark keeps k rows per task before the shuffle."""
-    w = W.partitionBy("language").orderBy("score", "path")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """The k lowest scores per language.
+
+    Ranked first within salted parts of a language, so that no task ranks all files of a hot one; the final
+    rank sees at most k rows of each part.
+    """
+    order = ("score", "path")
+    part = W.partitionBy("language", F.pmod(F.hash("path"), F.lit(SALTS))).orderBy(*order)
+    firsts = scores.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k).drop("rank")
+    whole = W.partitionBy("language").orderBy(*order)
+    return firsts.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)

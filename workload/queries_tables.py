@@ -13,6 +13,7 @@ from corpusgauge.plans.rules import Rule, chars_over, has, reaches, rules_table
 from corpusgauge.plans.scan import rule_scan, scan_joined, scored_files
 from corpusgauge.session import shared_folder
 from corpusgauge.streaming import streams
+from . import queries_packs
 from .corpora import JOB, code_files, corpus, document_files, page_files, quote as q, table
 from .queries_core import SCORES, STRUCTURE, findings_sql, on_findings, sql
 from .queries_packs import (
@@ -20,7 +21,7 @@ from .queries_packs import (
     SIGNATURES, STACK, STALE, TAINT, UNKNOWN, UNLABELLED, UNUSED, URLS, each, found, in_list, spans,
 )
 from .sql import (
-    CSS_RULES, DECLS, FOLDED, LINES, PY_LINES, SELECTORS, SHEETS, TAGS, count, counted, every, fire, has as like, part,
+    CSS_RULES, DECLS, FOLDED, LINES, PY_LINES, SELECTORS, SHEETS, TAGS, count, counted, every, fire, forced_corpus, has as like, part,
     rules_sql, squeeze, sub, unnested, with_corpus,
 )
 
@@ -527,6 +528,19 @@ def full_scan_scores(spark, sf):
     return ag.language_summary(scores)
 
 
+def full_scan_sql():
+    """All pack queries over one corpus, summed per file."""
+    forced_corpus.append(ALL)
+    try:
+        packs = [build() for _, build in queries_packs.QUERIES.values()]
+    finally:
+        forced_corpus.pop()
+    union = "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in packs)
+    return with_corpus(ALL, f"""SELECT language, count(*) AS files, CAST(sum(score) AS BIGINT) AS total, round_even(avg(score), 2) AS average_score FROM (
+      SELECT f.language, CAST(greatest(0, least(100, 100 - coalesce(p.penalty, 0))) AS INT) AS score FROM files f
+      LEFT JOIN (SELECT path, sum(score_impact * n) AS penalty FROM ({union}) GROUP BY path) p USING (path)) GROUP BY language""")
+
+
 # Extensions ---------------------------------------------------------------------------------------------------
 
 HYGIENE = [
@@ -579,7 +593,7 @@ OTHERS = {
         "SELECT language, count(*) AS files, CAST(sum(score) AS BIGINT) AS total, round_even(avg(score), 2) AS average_score FROM scores GROUP BY language",
         SCORES, names=("html",))),
     "str_3_findings_per_window": (str_3, str_3_sql),
-    "full_scan_scores": (full_scan_scores, None),
+    "full_scan_scores": (full_scan_scores, full_scan_sql),
     "udx_1_register_pack": (udx_1, lambda: with_corpus(("documents",), counted(rules_sql(HYGIENE)))),
     "udx_2_register_check": (udx_2, lambda: with_corpus(("documents",), counted(fire(
         REPEATS, f"(SELECT {KEY}, trim(line) AS l, count(*) AS uses FROM lines WHERE length(trim(line)) > 8 GROUP BY ALL HAVING count(*) >= 3)", n="uses")), LINES)),

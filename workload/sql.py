@@ -181,7 +181,12 @@ def counted(*selects) -> str:
             f"FROM ({union}) GROUP BY ALL")
 
 
+# A larger query sets this to have the packs inside it read one corpus.
+forced_corpus: list = []
+
+
 def with_corpus(names, body, *ctes, recursive=False) -> str:
+    names = forced_corpus[-1] if forced_corpus else names
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join([corpus_sql(*names), *ctes]) + "\n" + body
 
