@@ -19,7 +19,7 @@ FINDING = _struct(
 FINDING_COLUMNS = ["job_id", "path", "language", *FINDING.fieldNames()]
 
 CLAUSE = _struct(
-    test=S, subject=S, pattern=S, present=S, missing=S, threshold=D
+    test=S, subject=S, pattern=S, present=S, missing=S, threshold=D, needles=T.ArrayType(S)
 )
 
 RULES = T.StructType([

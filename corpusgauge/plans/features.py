@@ -85,6 +85,7 @@ def _ternary_lines() -> Column:
 
 
 FEATURES: dict[str, Feature] = {
+    "lower_text": Feature(lambda: F.lower("text")),
     "file_name": Feature(lambda: F.lower(F.substring_index("path", "/", -1))),
     "line_count": Feature(lambda: line_count("text")),
     "newlines": Feature(lambda: count_substr("text", "\n") + (F.col("text") != "").cast("int")),

@@ -24,12 +24,12 @@ STRUCTURE = [
       at_least(r"(?i)<(?:div|span)\b", 18), at_most(SEMANTIC, 2)),
     r("lang", "medium", 8, "HTML root should declare a lang attribute.",
       first(r"(?i)<html\b[^>]*>", missing=r"(?i)\blang\s*=")),
-    r("charset", "medium", 8, "Missing meta charset declaration.", lacks(r"(?i)<meta\b[^>]*charset\s*=")),
+    r("charset", "medium", 8, "Missing meta charset declaration.", lacks(r"(?i)<meta\b[^>]*charset\s*=", needs="charset")),
     r("viewport", "medium", 8, "Missing viewport meta tag for responsive layout support.",
-      lacks(r"""(?i)<meta\b[^>]*name\s*=\s*["']viewport["']""")),
+      lacks(r"""(?i)<meta\b[^>]*name\s*=\s*["']viewport["']""", needs="viewport")),
     r("title", "high", 14, "Missing <title> element.", lacks(r"(?is)<title\b[^>]*>.*?</title>")),
     r("description", "low", 4, "Meta description is missing on a non-trivial page.",
-      chars_over(300), lacks(r"""(?i)<meta\b[^>]*name\s*=\s*["']description["']""")),
+      chars_over(300), lacks(r"""(?i)<meta\b[^>]*name\s*=\s*["']description["']""", needs="description")),
     r("inline_handler", "medium", 10,
       "Inline event handlers keep behavior inside markup and are hard to maintain.",
       has(r"""(?i)\son\w+\s*=\s*["']""")),
@@ -110,22 +110,23 @@ r = _pack("security")
 SECURITY = [
     r("dom_insertion", "high", 24,
       "Unsafe DOM insertion can create XSS risk, especially with user-controlled data.",
-      has(r"(?i)\b(?:innerHTML|outerHTML|insertAdjacentHTML|document\.write)\b")),
+      has(r"(?i)\b(?:innerHTML|outerHTML|insertAdjacentHTML|document\.write)\b", needs=("innerhtml", "outerhtml", "insertadjacenthtml", "document.write"))),
     r("tainted_insertion", "high", 24,
       "User-controlled input appears to flow into DOM insertion without escaping or sanitization.",
       has(r"(?i)\b(?:innerHTML|outerHTML|insertAdjacentHTML)\s*=\s*[^;\n]*(?:location\.|searchParams\.get"
-          r"|document\.cookie|localStorage\.|sessionStorage\.|\.value\b|prompt\s*\()")),
+          r"|document\.cookie|localStorage\.|sessionStorage\.|\.value\b|prompt\s*\()",
+          needs=("innerhtml", "outerhtml", "insertadjacenthtml"))),
     r("inline_code", "medium", 10, "Inline scripts or styles make a strong CSP much harder to adopt.",
       any_of=(has(SCRIPT), has(STYLE), has(STYLE_ATTR))),
     r("blank_target", "medium", 10, 'Links using target="_blank" should include rel="noopener noreferrer".',
-      has(r"""(?i)<a\b[^>]*target\s*=\s*["']_blank["'][^>]*>"""),
+      has(r"""(?i)<a\b[^>]*target\s*=\s*["']_blank["'][^>]*>""", needs="_blank"),
       lacks(r"""(?i)\brel\s*=\s*["'][^"']*\bnoopener\b[^"']*["']""")),
     r("script_integrity", "medium", 10, "External script is missing integrity metadata or trust control.",
       some(r"""(?i)<script\b[^>]*\bsrc\s*=\s*["']https?://[^"']*["'][^>]*>""", missing=r"(?i)integrity=",
            on="script_tags")),
     r("form_validation", "low", 6,
       "Form inputs have little visible client-side validation. Do not rely on frontend checks alone.",
-      some(r"(?is)<form\b[^>]*>.*?</form>",
+      some(r"(?is)<form\b[^>]*>.*?</form>", needs="<form",
            present=r"(?i)<(?:input|textarea|select|button)\b[^>]*>",
            missing=r"""(?i)<(?:input|textarea|select|button)\b[^>]*\b(?:required|pattern|minlength|maxlength"""
                    r"""|type\s*=\s*["'](?:email|url|number|tel|password)["'])""")),
@@ -137,18 +138,18 @@ ROLE_BUTTON = r"""(?i)\brole\s*=\s*["']button["']"""
 r = _pack("accessibility")
 ACCESSIBILITY = [
     r("image_alt", "high", 16, "Image tag missing meaningful alt text.",
-      some(r"(?i)<img\b[^>]*>", missing=r"""(?i)\balt\s*=\s*["'][^"']*[^"'\s][^"']*["']""")),
+      some(r"(?i)<img\b[^>]*>", needs="<img", missing=r"""(?i)\balt\s*=\s*["'][^"']*[^"'\s][^"']*["']""")),
     r("clickable_generic", "medium", 10, "Clickable div/span patterns hurt keyboard and screen-reader support.",
       has(INTERACTIVE)),
     r("script_only", "medium", 10,
       "JS-only interactions on generic elements need keyboard support and proper roles.",
       has(INTERACTIVE), lacks(r"(?i)\bon(?:keydown|keyup|keypress)\s*="), lacks(ROLE_BUTTON)),
     r("weak_aria", "low", 4, "ARIA attributes are present, but usable labeling/role context is weak.",
-      has(r"(?i)\baria-[\w-]+\s*="), lacks(r"(?i)\b(role|aria-label|aria-labelledby|aria-describedby)\s*=")),
+      has(r"(?i)\baria-[\w-]+\s*=", needs="aria-"), lacks(r"(?i)\b(role|aria-label|aria-labelledby|aria-describedby)\s*=")),
     r("focus_visible", "low", 4, "No focus-visible styling was detected for interactive elements.",
-      has(r"(?i)<button\b|<a\b|<input\b|<select\b|<textarea\b"), lacks(r"(?i):focus(?:-visible)?\b")),
+      has(r"(?i)<button\b|<a\b|<input\b|<select\b|<textarea\b"), lacks(r"(?i):focus(?:-visible)?\b", needs=":focus")),
     r("clickable_div", "medium", 10, "Use a real <button> instead of a clickable <div>.",
-      has(r"(?i)<div\b[^>]*\bonclick\s*="), lacks(ROLE_BUTTON)),
+      has(r"(?i)<div\b[^>]*\bonclick\s*=", needs="onclick"), lacks(ROLE_BUTTON)),
 ]
 
 r = _pack("maintenance")
@@ -164,9 +165,10 @@ MAINTENANCE = [
     r("large_file", "medium", 8, "Very large HTML files are difficult to maintain safely.",
       exceeds("line_count", 700)),
     r("commented_todo", "low", 4, "Commented-out TODO/FIXME/HACK blocks should be cleaned up.",
-      has(r"(?s)<!--.*?-->"), has(r"(?i)<!--\s*(?:TODO|FIXME|HACK)\b")),
+      has(r"(?s)<!--.*?-->", needs="<!--"), has(r"(?i)<!--\s*(?:TODO|FIXME|HACK)\b", needs=("todo", "fixme", "hack"))),
     r("vague_names", "low", 4, "Naming looks vague in places; descriptive names scale better.",
-      has(r"(?i)\b(?:box1|box2|temp\d+|newDiv|data1|item1|stuff|test\d*)\b")),
+      has(r"(?i)\b(?:box1|box2|temp\d+|newDiv|data1|item1|stuff|test\d*)\b",
+          needs=("box", "temp", "newdiv", "data1", "item1", "stuff", "test"))),
     r("much_logic", "medium", 8, "This file contains a lot of logic and should be split into smaller units.",
       at_least(r"\b(?:function|const|let|var)\b", 15), chars_over(2000)),
 ]
@@ -176,7 +178,7 @@ PERF_QUERY = r"\b(?:querySelector(?:All)?|getElementById|getElementsByClassName|
 r = _pack("performance")
 PERFORMANCE = [
     r("data_uri", "medium", 8, "Large base64 assets are embedded directly in the page.",
-      has(r"""(?i)data:[^"']+;base64,[A-Za-z0-9+/=]{200,}""")),
+      has(r"""(?i)data:[^"']+;base64,[A-Za-z0-9+/=]{200,}""", needs=";base64,")),
     r("large_script", "medium", 8, "Large inline JavaScript increases initial load cost.", chars_over(2000, JS)),
     r("large_style", "medium", 8, "Large inline CSS increases initial load cost.", chars_over(2000, "style_text")),
     r("queries_in_loops", "medium", 8, "DOM queries inside loops can create unnecessary work and reflows.",
@@ -192,13 +194,13 @@ PERFORMANCE = [
       has(r"(?is)<head\b.*?<script\b"),
       some(r"""(?i)<script\b[^>]*src\s*=\s*["'][^"']+["'][^>]*>""", missing=DEFERRED)),
     r("lazy_images", "low", 4, "Consider lazy-loading images to reduce initial page cost.",
-      has(r"(?i)<img\b[^>]*>"), lacks(r"""(?i)\bloading\s*=\s*["']lazy["']"""), at_least(r"(?i)<img\b", 3)),
+      has(r"(?i)<img\b[^>]*>", needs="<img"), lacks(r"""(?i)\bloading\s*=\s*["']lazy["']"""), at_least(r"(?i)<img\b", 3)),
 ]
 
 r = _pack("compatibility")
 COMPATIBILITY = [
-    r("optional_chaining", "low", 4, "Optional chaining may not be supported on older targets.", has(r"\?\.")),
-    r("nullish", "low", 4, "Nullish coalescing may not be supported on older targets.", has(r"\?\?")),
+    r("optional_chaining", "low", 4, "Optional chaining may not be supported on older targets.", has(r"\?\.", needs="?.")),
+    r("nullish", "low", 4, "Nullish coalescing may not be supported on older targets.", has(r"\?\?", needs="??")),
     r("modern_api", "low", 4, "Modern JavaScript APIs were detected and may need fallbacks.",
       has(r"\b(?:fetch|Promise\.allSettled|queueMicrotask|IntersectionObserver|ResizeObserver|AbortController"
           r"|crypto\.randomUUID|structuredClone|at)\b")),

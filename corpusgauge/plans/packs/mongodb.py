@@ -13,31 +13,31 @@ def _pack(pack):
 r = _pack("security")
 SECURITY = [
     r("where", "high", 25, "$where can be unsafe and slow. Replace it with structured predicates.",
-      has(r"(?i)\$where\b")),
+      has(r"(?i)\$where\b", needs="$where")),
     r("empty_find", "medium", 10, "Unfiltered find() query can expose too much data or scan large collections.",
-      has(r"(?i)\.(?:find|findOne|findMany)\s*\(\s*\{\s*\}\s*\)")),
+      has(r"(?i)\.(?:find|findOne|findMany)\s*\(\s*\{\s*\}\s*\)", needs=".find")),
     r("empty_delete", "high", 22,
       "Destructive operation appears to target an empty filter. That is a serious data-loss risk.",
-      has(r"(?i)\.(?:deleteOne|deleteMany|remove|removeOne)\s*\(\s*\{\s*\}\s*\)")),
+      has(r"(?i)\.(?:deleteOne|deleteMany|remove|removeOne)\s*\(\s*\{\s*\}\s*\)", needs=(".delete", ".remove"))),
     r("empty_update", "high", 20,
       "Update operation appears to use an empty filter. That can modify far more data than intended.",
-      has(r"(?i)\.(?:updateOne|updateMany|replaceOne|update)\s*\(\s*\{\s*\}\s*,")),
+      has(r"(?i)\.(?:updateOne|updateMany|replaceOne|update)\s*\(\s*\{\s*\}\s*,", needs=(".update", ".replaceone"))),
     r("dynamic_code", "high", 24,
       "Dynamic code execution detected. That is a major security risk in query-adjacent code.",
-      has(r"(?i)\b(?:eval|Function|new\s+Function)\s*\(")),
+      has(r"(?i)\b(?:eval|Function|new\s+Function)\s*\(", needs=("eval", "function"))),
     r("regex_input", "medium", 12,
       "Regex appears to be built from user-controlled input. Sanitize or escape it before use.",
-      has(r"(?is)\$regex\b.{0,120}\b(?:req|request|body|query|params|input|user|data|payload)\b")),
+      has(r"(?is)\$regex\b.{0,120}\b(?:req|request|body|query|params|input|user|data|payload)\b", needs="$regex")),
     r("interpolation", "medium", 11,
       "String interpolation or concatenation appears near query logic. That can invite injection bugs.",
       has(r"""(?i)(\+\s*[\w.]+\s*\+|f['"]|format\s*\()"""),
       any_of=(contains("find("), contains("aggregate("), contains("$where"))),
 ]
 
-FIND = has(r"(?i)\bfind(?:One|Many)?\s*\(")
-AGGREGATE = has(r"(?i)aggregate\s*\(\s*\[")
-NO_LIMIT = lacks(r"(?i)\.limit\s*\(")
-NO_INDEX = lacks(r"(?i)\b(?:createIndex|create_index|ensureIndex|ensure_index|index(?:es)?)\b")
+FIND = has(r"(?i)\bfind(?:One|Many)?\s*\(", needs="find")
+AGGREGATE = has(r"(?i)aggregate\s*\(\s*\[", needs="aggregate")
+NO_LIMIT = lacks(r"(?i)\.limit\s*\(", needs=".limit")
+NO_INDEX = lacks(r"(?i)\b(?:createIndex|create_index|ensureIndex|ensure_index|index(?:es)?)\b", needs="index")
 
 r = _pack("performance")
 PERFORMANCE = [
@@ -47,14 +47,14 @@ PERFORMANCE = [
       has(r"(?i)\$(?:sort|group|lookup|unwind|facet|bucket|bucketAuto|graphLookup|setWindowFields)\b"),
       lacks(r"(?i)\$match\b")),
     r("sort_index", "medium", 7, "Sort logic has no obvious index support. Unindexed sorts get expensive fast.",
-      has(r"(?i)\.sort\s*\("), NO_INDEX),
+      has(r"(?i)\.sort\s*\(", needs=".sort"), NO_INDEX),
     r("find_limit", "low", 4,
       "find() appears without limit(). Bound reads when possible to reduce work and response size.", FIND, NO_LIMIT),
     r("skip_limit", "medium", 6, "skip() appears without limit(). Large-offset paging is usually inefficient.",
-      has(r"(?i)\.skip\s*\("), NO_LIMIT),
+      has(r"(?i)\.skip\s*\(", needs=".skip"), NO_LIMIT),
     r("regex_prefix", "high", 9,
       "Regex pattern appears to use a leading wildcard or broad match. That can trigger collection scans.",
-      has(r"(?i)\$regex\b"), has(r"""(?i)\.\*\S*|\^\.\*|\$regex\s*:\s*['"][^'"]*\.\*""")),
+      has(r"(?i)\$regex\b", needs="$regex"), has(r"""(?i)\.\*\S*|\^\.\*|\$regex\s*:\s*['"][^'"]*\.\*""")),
     r("no_index", "low", 3,
       "No indexing signal found near query logic. Repeated scans may become a bottleneck.",
       NO_INDEX, any_of=(FIND, AGGREGATE)),
@@ -65,7 +65,7 @@ PERFORMANCE = [
 
 QUERY = has(
     r"(?i)(?:find\(|find_one\(|findMany\(|aggregate\(|update\(|update_one\(|update_many\(|delete\(|delete_one\("
-    r"|delete_many\()")
+    r"|delete_many\()", needs=("find", "aggregate(", "update", "delete"))
 
 r = _pack("maintenance")
 MAINTENANCE = [
@@ -117,7 +117,7 @@ STYLE = [
       "Commented-out code found ({n} line(s)). Remove dead code instead of parking it.",
       reaches("commented_code", 1), measure="commented_code", div=1, cap=5, step=3, severity_above="medium"),
     r("blank_runs", "low", 2,
-      "Excessive blank-line runs detected. Tighten spacing so the file stays easier to scan.", has(r"\n{4,}")),
+      "Excessive blank-line runs detected. Tighten spacing so the file stays easier to scan.", has(r"\n{4,}", needs="\n\n\n\n")),
 ]
 
 PACKS = {

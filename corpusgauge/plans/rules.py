@@ -29,14 +29,21 @@ class Clause:
     present: str = ""
     missing: str = ""
     threshold: float = 0.0
+    needles: tuple = ()
 
 
-def has(pattern, on="text"):
-    return Clause("match", on, pattern)
+def _words(needs) -> tuple:
+    return (needs,) if isinstance(needs, str) else tuple(needs)
 
 
-def lacks(pattern, on="text"):
-    return Clause("absent", on, pattern)
+def has(pattern, on="text", needs=()):
+    """The pattern matches. `needs` names literals of which every match holds one: a text without them is not
+    put to the costlier pattern. They are lower-case where the pattern ignores case."""
+    return Clause("match", on, pattern, needles=_words(needs))
+
+
+def lacks(pattern, on="text", needs=()):
+    return Clause("absent", on, pattern, needles=_words(needs))
 
 
 def contains(literal, on="text"):
@@ -47,8 +54,8 @@ def omits(literal, on="text"):
     return Clause("omits", on, literal)
 
 
-def at_least(pattern, n, on="text"):
-    return Clause("at_least", on, pattern, threshold=n)
+def at_least(pattern, n, on="text", needs=()):
+    return Clause("at_least", on, pattern, threshold=n, needles=_words(needs))
 
 
 def at_most(pattern, n, on="text"):
@@ -68,9 +75,9 @@ def exceeds(feature, n):
     return Clause("exceeds", feature, threshold=n)
 
 
-def some(pattern, present="", missing="", on="text"):
+def some(pattern, present="", missing="", on="text", needs=()):
     """One of the matches contains `present` and does not contain `missing`."""
-    return Clause("some", on, pattern, present, missing)
+    return Clause("some", on, pattern, present, missing, needles=_words(needs))
 
 
 def first(pattern, present="", missing="", on="text"):
@@ -114,18 +121,30 @@ def _held(piece, clause) -> Column:
     return out
 
 
+def ignores_case(c: Clause) -> bool:
+    return c.pattern.startswith(("(?i", "(?si", "(?mi"))
+
+
+def _with_needle(c: Clause, test: Column) -> Column:
+    """The cheap search for a literal before the pattern; `and` stops at the first that fails."""
+    if not c.needles:
+        return test
+    text = F.col("lower_text" if ignores_case(c) else c.subject)
+    return reduce(lambda a, b: a | b, [text.contains(n) for n in c.needles]) & test
+
+
 def clause_column(c: Clause) -> Column:
     s = F.col(c.subject)
     if c.test == "match":
-        return matches(s, c.pattern)
+        return _with_needle(c, matches(s, c.pattern))
     if c.test == "absent":
-        return ~matches(s, c.pattern)
+        return ~_with_needle(c, matches(s, c.pattern))
     if c.test == "contains":
         return s.contains(c.pattern)
     if c.test == "omits":
         return ~s.contains(c.pattern)
     if c.test == "at_least":
-        return count_regex(s, c.pattern) >= int(c.threshold)
+        return _with_needle(c, count_regex(s, c.pattern) >= int(c.threshold))
     if c.test == "at_most":
         return count_regex(s, c.pattern) <= int(c.threshold)
     if c.test == "chars_over":
@@ -135,7 +154,7 @@ def clause_column(c: Clause) -> Column:
     if c.test == "exceeds":
         return s > c.threshold
     if c.test == "some":
-        return F.exists(extract_all(s, c.pattern), lambda m: _held(m, c))
+        return _with_needle(c, F.exists(extract_all(s, c.pattern), lambda m: _held(m, c)))
     if c.test == "first":
         found = F.regexp_extract(s, regex(c.pattern), 0)
         return (found != "") & _held(found, c)
@@ -197,6 +216,8 @@ def _needs(rules, checks) -> dict[str, set]:
         for rule in group:
             for clause in (*rule.all_of, *rule.any_of):
                 add(clause.subject, language)
+                if clause.needles and ignores_case(clause):
+                    add("lower_text", language)
             add(rule.measure, language)
     for check in checks:
         for language in check.languages:
@@ -256,6 +277,6 @@ def rules_from_table(table: DataFrame) -> list[Rule]:
     for row in rows:
         values = {n: row[n] for n in names}
         for key in ("all_of", "any_of"):
-            values[key] = tuple(Clause(**c.asDict()) for c in row[key] or [])
+            values[key] = tuple(Clause(**{**c.asDict(), "needles": tuple(c["needles"])}) for c in row[key] or [])
         out.append(Rule(**values))
     return sorted(out, key=lambda r: r.rule_id)
