@@ -22,6 +22,15 @@ def repeated(values, times: int) -> Column:
         F.filter(v, lambda x, i: x == F.get(v, i - (times - 1)))))
 
 
+def repeated_counts(values, times: int, name: str) -> Column:
+    """Struct (name, uses) of the values that occur at least `times` times."""
+    def counted(v):
+        return F.transform(repeated(v, times), lambda x: F.struct(
+            x.alias(name), F.size(F.filter(v, lambda y: y == x)).cast("long").alias("uses")))
+
+    return let(values, counted)
+
+
 # Lines --------------------------------------------------------------------------------------------------------
 
 def line_array(text="text") -> Column:
@@ -33,9 +42,9 @@ def line_array(text="text") -> Column:
         (F.length(l) - F.length(F.regexp_replace(l, r"^[ \t]+", ""))).alias("indent")))
 
 
-def repeated_line_array(text, times: int, longer_than: int) -> Column:
+def trimmed_lines(text, longer_than: int) -> Column:
     trimmed = F.transform(F.split(col(text), "\n"), lambda l: F.trim(l))
-    return repeated(F.filter(trimmed, lambda l: F.length(l) > longer_than), times)
+    return F.filter(trimmed, lambda l: F.length(l) > longer_than)
 
 
 # Tags ---------------------------------------------------------------------------------------------------------

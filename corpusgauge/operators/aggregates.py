@@ -2,12 +2,12 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.events import signature
+from ..functions.events import repeated_counts, signature, trimmed_lines
 from ..functions.text import clamp_score, content_hash, extract_all, squeeze
-from .unnest import KEY, css_rules, lines
+from ..plans.features import ID, URL
+from .unnest import KEY, css_rules
 
 FILE = ["job_id", "path"]
-URL = r"""(?i)https?://[^\s"'>)]+"""
 
 
 def file_scores(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -90,25 +90,21 @@ def folder_rollup(scores: DataFrame) -> DataFrame:
     )
 
 
+# Ids, lines and addresses repeat within one file, so they are counted in its row and no text is shuffled.
+
+
 def duplicate_ids(files: DataFrame) -> DataFrame:
     """Id values used more than once in a page."""
-    ids = extract_all("text", r"""(?i)\bid\s*=\s*["']([^"']+)["']""", 1)
-    return (
-        files.select(*KEY, F.explode(ids).alias("id")).groupBy(*KEY, "id")
-        .agg(F.count("*").alias("uses")).where("uses > 1")
-    )
+    return files.select(*KEY, F.inline(repeated_counts(extract_all("text", ID, 1), 2, "id")))
 
 
 def repeated_lines(files: DataFrame, min_count: int = 4, longer_than: int = 12, text="text") -> DataFrame:
-    rows = lines(files, text).select(*KEY, F.trim("line").alias("line")).where(F.length("line") > longer_than)
-    return rows.groupBy(*KEY, "line").agg(F.count("*").alias("uses")).where(F.col("uses") >= min_count)
+    """Trimmed lines of some length that a file repeats."""
+    return files.select(*KEY, F.inline(repeated_counts(trimmed_lines(text, longer_than), min_count, "line")))
 
 
 def repeated_urls(files: DataFrame, min_count: int = 3) -> DataFrame:
-    return (
-        files.select(*KEY, F.explode(extract_all("text", URL)).alias("url")).groupBy(*KEY, "url")
-        .agg(F.count("*").alias("uses")).where(F.col("uses") >= min_count)
-    )
+    return files.select(*KEY, F.inline(repeated_counts(extract_all("text", URL), min_count, "url")))
 
 
 def rule_signatures(sheets: DataFrame) -> DataFrame:

@@ -126,8 +126,8 @@ FEATURES: dict[str, Feature] = {
     "div_depth": Feature(lambda: ev.tag_depth("tags"), ("tags",)),
     "id_repeats": Feature(lambda: ev.repeated(extract_all("text", ID, 1), 2)),
     "url_repeats": Feature(lambda: ev.repeated(extract_all("text", URL), 3)),
-    "line_repeats": Feature(lambda: ev.repeated_line_array("text", 4, 12)),
-    "script_line_repeats": Feature(lambda: ev.repeated_line_array("script_text", 4, 20), ("script_text",)),
+    "line_repeats": Feature(lambda: ev.repeated(ev.trimmed_lines("text", 12), 4)),
+    "script_line_repeats": Feature(lambda: ev.repeated(ev.trimmed_lines("script_text", 20), 4), ("script_text",)),
     "page_names": Feature(lambda: F.flatten(F.transform(
         extract_all("text", ID_OR_CLASS, 1), lambda names: F.split(names, r"\s+")))),
     "page_rules": Feature(lambda: ev.rule_array("css_text"), ("css_text",)),

@@ -1,8 +1,10 @@
 """Apply rule packs to files."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import clamp_score, regex
+from ..functions.text import clamp_score, regex, text_metrics
 from ..model import FINDING_COLUMNS
 from .checks import none_found
 from .rules import Rule, findings_array, with_features
@@ -21,17 +23,43 @@ def rule_scan(files: DataFrame, rules: list[Rule], *keep: str, checks=()) -> Dat
     )
 
 
+BROADCAST_RULES = 20_000
+
+
 def scan_joined(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules kept as a table: equi join on language, the pattern of the first clause tested per row.
+    """Rules kept as a table: equi join on language, the pattern of the single clause tested per row.
 
-    For rule tables too long to compile; Spark broadcasts the rule side only if its size allows.
+    For rule tables too long to compile. The table is counted; a longer one is broadcast slice by slice, so
+    neither is a large side broadcast nor is text shuffled by its language, which would be a hot key.
     """
-    simple = rules.where("enabled and size(all_of) = 1 and all_of[0].test = 'match' and all_of[0].subject = 'text'")
+    simple = rules.where(
+        "enabled and emit = 'once' and size(all_of) = 1 and size(any_of) = 0 and all_of[0].test = 'match' "
+        "and all_of[0].subject = 'text'")
     simple = simple.select(
         "language", "rule_id", F.col("category").alias("rule"), "severity", F.col("impact").alias("score_impact"),
         "message", F.lit(None).cast("int").alias("line"), "confidence", "fix",
         F.concat(F.lit(regex("")), F.col("all_of")[0]["pattern"]).alias("pattern"))
-    return files.join(simple, "language").where(F.regexp_like("text", F.col("pattern"))).select(*FINDING_COLUMNS)
+    slices = max(1, -(-simple.count() // BROADCAST_RULES))
+    found = [
+        files.join(F.broadcast(simple.where(F.pmod(F.hash("rule_id"), F.lit(slices)) == i)), "language")
+        .where(F.regexp_like("text", F.col("pattern"))).select(*FINDING_COLUMNS)
+        for i in range(slices)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def detailed_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:
+    """One JSON document per file with score, findings and metrics, written inside the file's row."""
+    item = lambda f: F.struct(*[f[n].alias(n) for n in ("rule", "severity", "score_impact", "message", "line")])
+    marked = with_features(files, rules, checks)
+    rows = marked.select(
+        "job_id", "path", "language", text_metrics("text").alias("metrics"),
+        F.coalesce(findings_array(rules, checks), none_found()).alias("hits"))
+    penalty = F.aggregate("hits", F.lit(0), lambda n, f: n + f["score_impact"])
+    rows = rows.withColumn("score", clamp_score(100 - penalty))
+    document = F.struct(
+        "language", F.col("path").alias("file_path"), F.concat("language", F.lit("_analyzer")).alias("analyzer_name"),
+        "score", F.array_sort(F.transform("hits", item)).alias("findings"), "metrics")
+    return rows.select("job_id", "path", "language", "score", F.to_json(document).alias("details"))
 
 
 def scored_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:

@@ -1,5 +1,7 @@
 """Extensions, profiles, rule tables and streams."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from corpusgauge.plans.registry import (
 from corpusgauge.plans.rules import Clause, Rule, clause_column, has, rules_from_table, rules_table
 from corpusgauge.plans.scan import rule_scan, scan_joined
 from corpusgauge.streaming import streams
-from workload.corpora import document_files, page_files
+from workload.corpora import code_files, page_files
 
 
 def rows(df, *columns):
@@ -33,13 +35,22 @@ def test_unknown_test_is_refused():
         clause_column(Clause("guess"))
 
 
-def test_joined_scan_equals_compiled_scan(spark, sf):
+def test_joined_scan_equals_compiled_scan(spark, sf, monkeypatch):
     files = page_files(spark, sf)
-    simple = [r for r in rules_named("html") if len(r.all_of) == 1 and r.all_of[0].test == "match"
-              and r.all_of[0].subject == "text"]
-    a = rule_scan(files, simple)
-    b = scan_joined(files, rules_table(spark, rules_named("html")))
-    assert rows(a, "path", "rule_id") == rows(b, "path", "rule_id")
+    simple = [r for r in rules_named("html") if len(r.all_of) == 1 and not r.any_of and r.emit == "once"
+              and r.all_of[0].test == "match" and r.all_of[0].subject == "text"]
+    want = rows(rule_scan(files, simple), "path", "rule_id")
+    table = rules_table(spark, rules_named("html"))
+    assert rows(scan_joined(files, table), "path", "rule_id") == want
+    monkeypatch.setattr("corpusgauge.plans.scan.BROADCAST_RULES", 3)
+    assert rows(scan_joined(files, table), "path", "rule_id") == want
+
+
+def test_needles_only_save_time(spark, sf):
+    files, rules = code_files(spark, sf), rules_named()
+    bare = [replace(r, all_of=tuple(replace(c, needles=()) for c in r.all_of),
+                    any_of=tuple(replace(c, needles=()) for c in r.any_of)) for r in rules]
+    assert rows(rule_scan(files, rules), "path", "rule_id") == rows(rule_scan(files, bare), "path", "rule_id")
 
 
 def test_own_pack_and_check(spark, make_files):

@@ -10,7 +10,8 @@ from corpusgauge.functions.utility import utility_parts
 from corpusgauge.operators import detect, unnest as u
 from corpusgauge.plans import checks_css as cs
 from corpusgauge.plans.registry import rules_named
-from corpusgauge.plans.scan import rule_scan, scored_files
+from corpusgauge.model import DETAILS
+from corpusgauge.plans.scan import detailed_files, rule_scan, scored_files
 from corpusgauge.plans.features import page_css
 from corpusgauge.session import shared_folder
 from corpusgauge.sources import corpus as src, results
@@ -111,6 +112,13 @@ def src_7(spark, sf):
         F.get_json_object("details", "$.metrics.lines").cast("long").alias("lines"))
 
 
+def src_7b(spark, sf):
+    """The same documents made in one pass; equal to the joined ones."""
+    rows = detailed_files(page_files(spark, sf), rules_named(*STRUCTURE))
+    return rows.select("path", "score", F.get_json_object("details", "$.findings[0].message").alias("first_message"),
+                       F.size(F.from_json("details", DETAILS)["findings"]).alias("findings"))
+
+
 def src_8(spark, sf):
     return results.from_details_json(_documents(spark, sf)).select(
         "path", "language", "score", "rule", "severity", "score_impact", "message")
@@ -334,6 +342,10 @@ QUERIES = {
         """SELECT s.path, 'html_analyzer' AS analyzer_name, s.score, f.first_message, m.lines FROM scores s JOIN metrics m USING (path)
         LEFT JOIN (SELECT path, arg_min(message, rule || severity || lpad(CAST(score_impact AS VARCHAR), 3, '0') || message) AS first_message
           FROM findings GROUP BY path) f USING (path)""", SCORES, METRICS)),
+    "src_7b_detailed_files": (src_7b, on_findings(
+        """SELECT s.path, s.score, f.first_message, CAST(s.findings AS INT) AS findings FROM scores s
+        LEFT JOIN (SELECT path, arg_min(message, rule || severity || lpad(CAST(score_impact AS VARCHAR), 3, '0') || message) AS first_message
+          FROM findings GROUP BY path) f USING (path)""", SCORES)),
     "src_8_from_details_json": (src_8, on_findings(
         "SELECT f.path, f.language, s.score, rule, severity, score_impact, message FROM findings f JOIN scores s USING (path)", SCORES)),
     "src_9_register_run": (src_9, lambda: """SELECT 'conv-' || conv_id AS job_id, arg_max(role || '-' || turn, turn) AS original_name,

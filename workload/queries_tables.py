@@ -160,7 +160,8 @@ def joi_1b(spark, sf):
 
 
 def simple_rules():
-    return [r for r in rules_named() if len(r.all_of) == 1 and r.all_of[0].test == "match" and r.all_of[0].subject == "text"]
+    return [r for r in rules_named() if len(r.all_of) == 1 and not r.any_of and r.emit == "once"
+            and r.all_of[0].test == "match" and r.all_of[0].subject == "text"]
 
 
 def joi_1b_sql():
