@@ -193,7 +193,8 @@ def _last_value(declarations, *props) -> Column:
 def rule_contrast(declarations) -> Column:
     """Contrast of the last text and background colours of a rule."""
     back = F.coalesce(_last_value(declarations, "background-color"), _last_value(declarations, "background"))
-    return contrast_ratio(css_rgb(_last_value(declarations, "color")), css_rgb(back))
+    both = F.array(_last_value(declarations, "color"), back)
+    return let(F.transform(both, lambda v: css_rgb(v)), lambda c: contrast_ratio(F.get(c, 0), F.get(c, 1)))
 
 
 def _weight(rule) -> Column:

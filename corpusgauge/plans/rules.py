@@ -246,10 +246,11 @@ def findings_array(rules, checks=()) -> Column:
     for check in checks:
         for language in check.languages:
             groups.setdefault(language, [])
+    built = [(check.languages, check.build()) for check in checks]
     out = F
     for language, group in groups.items():
         found = [F.flatten(F.array_compact(F.array(*[_emitted(r) for r in group])))] if group else []
-        found += [check.build() for check in checks if language in check.languages]
+        found += [column for languages, column in built if language in languages]
         whole = F.concat(*found)
         out = out.when(F.col("language") == language, one_per_message(whole) if language == "css" else whole)
     return out
