@@ -6,9 +6,7 @@ Event rows carry the file key and their own piece of text, never the whole text.
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import events as ev
-from ..functions.events import (
-    CLASS_ATTRIBUTE, CLOSED, DEPS, HOOKS, HOOKS_WITH_DEPS, JS_NAME, JSX_TAG, MANIFEST_SECTIONS, PY_FROM, PY_IMPORT, PY_NAME,
-)
+from ..functions.events import JS_NAME, PY_NAME
 from ..functions.text import extract_all
 from ..functions.utility import bracket_surplus, utility_parts
 from ..plans.features import SCRIPT, SCRIPT_TAG, STYLE, page_css, style_attribute_bodies

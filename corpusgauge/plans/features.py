@@ -14,7 +14,6 @@ SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script>"
 SCRIPT_TAG = r"(?is)(<script\b[^>]*>).*?</script>"
 STYLE = r"(?is)<style\b[^>]*>(.*?)</style>"
 STYLE_ATTR = r"""(?is)\sstyle\s*=\s*(?:"[^"]*"|'[^']*')"""
-STYLE_ATTR_BODY = r"""(?is)\sstyle\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 # Layout systems mixed in one page.
 LAYOUTS = (

@@ -5,9 +5,3 @@ from . import css, html, javascript, mongodb, python, react
 PACKS = {
     **html.PACKS, **javascript.PACKS, **mongodb.PACKS, **python.PACKS, **react.PACKS, **css.PACKS,
 }
-
-
-def rules_of(*names) -> list:
-    """Rules of the named packs; a prefix such as `html` names all its packs. None means all."""
-    chosen = [n for n in PACKS if not names or any(n == p or n.startswith(p + ".") for p in names)]
-    return [rule for n in chosen for rule in PACKS[n]]

@@ -1,6 +1,6 @@
 """Rule packs for query files. Patterns, thresholds, impacts and messages are fixed values."""
 
-from ..rules import Rule, chars_over, contains, exceeds, has, lacks, omits, reaches
+from ..rules import Rule, chars_over, contains, exceeds, has, lacks, reaches
 
 LANG = "mongodb"
 

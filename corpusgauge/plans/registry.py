@@ -65,11 +65,11 @@ def scan_scores(files: DataFrame, *names) -> DataFrame:
 
 # Profiles -----------------------------------------------------------------------------------------------------
 
-OVERRIDES = "rule_id string, impact int, severity string, enabled boolean"
-
-
 def save_profile(spark: SparkSession, path: str, rules, overrides: DataFrame | None = None) -> None:
-    """Write rules as a table; overrides replace impact, severity or enabled where they are not null."""
+    """Write rules as a table.
+
+    Overrides (rule_id, impact, severity, enabled) replace what they hold that is not null.
+    """
     table = rules_table(spark, rules)
     if overrides is not None:
         o = overrides.select("rule_id", *[F.col(c).alias("o_" + c) for c in ("impact", "severity", "enabled")])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import text_metrics
+from ..functions.text import content_hash, size_bytes, text_metrics
 from ..model import DETAILS
 from ..operators.unnest import KEY
 
@@ -23,6 +23,13 @@ def write_scores(scores: DataFrame, path: str) -> None:
     _write(scores, path)
 
 
+def file_records(files: DataFrame, created_at) -> DataFrame:
+    """The registry of a run's files: hash, size and arrival time next to the text."""
+    return files.select(
+        "job_id", "path", "language", content_hash("text").alias("sha256"), size_bytes("text").alias("size_bytes"),
+        "text", created_at.cast("timestamp").alias("created_at"))
+
+
 def file_metrics(files: DataFrame) -> DataFrame:
     return files.select(*KEY, text_metrics("text").alias("metrics"))
 

@@ -1,7 +1,6 @@
 """Hand-worked findings of the snippets, and one firing and one silent file for every rule."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusgauge.plans import checks_code, checks_css, checks_html
 from corpusgauge.plans.checks import Spec

@@ -6,22 +6,20 @@ import zipfile
 from pyspark.sql import functions as F
 
 from corpusgauge.functions import code as fc, css as fcss, text as ft
-from corpusgauge.functions.utility import utility_parts
 from corpusgauge.operators import detect, unnest as u
 from corpusgauge.plans import checks_css as cs
 from corpusgauge.plans.registry import rules_named
 from corpusgauge.model import DETAILS
 from corpusgauge.plans.scan import detailed_files, rule_scan, scored_files
-from corpusgauge.plans.features import page_css
 from corpusgauge.session import shared_folder
 from corpusgauge.sources import corpus as src, results
 from .corpora import (
-    JOB, code_files, conversation_files, corpus, corpus_sql, document_files, page_files, quote as q, table,
+    JOB, code_files, corpus, corpus_sql, document_files, page_files, quote as q, table,
 )
-from .queries_packs import CLASSES, COLORS, KEY, in_list
+from .queries_packs import CLASSES, COLORS
 from .sql import (
-    BLANKED, CSS_RULES, DECLS, LINE_COUNT, SELECTORS, SHEETS, STRIPPED, count, every, has, lines_of, literals, part,
-    rules_sql, squeeze, sub, with_corpus,
+    BLANKED, CSS_RULES, DECLS, LINE_COUNT, SELECTORS, SHEETS, STRIPPED, count, has, lines_of, literals, part,
+    rules_sql, with_corpus,
 )
 
 ALL_TEXT = ("pages", "documents", "conversations")

@@ -10,7 +10,7 @@ from corpusgauge.plans import checks_code as cc, checks_css as cs, checks_html a
 from corpusgauge.plans.registry import rules_named, scan
 from .corpora import corpus, quote as q
 from .sql import (
-    CSS_RULES, DECLS, LINES, PAGE_CSS, PY_LINES, SELECTORS, SHEETS, STRIPPED, TAGS, count, counted, every, fire, has,
+    CSS_RULES, DECLS, LINES, PY_LINES, SELECTORS, SHEETS, STRIPPED, TAGS, count, counted, every, fire, has,
     joined, lines_of, part, rules_sql, squeeze, sub, unnested, with_corpus,
 )
 

@@ -2,27 +2,28 @@
 
 from pyspark.sql import functions as F
 
-from corpusgauge.functions.text import capped_list, extract_all
+from corpusgauge.functions import events as ev
+from corpusgauge.functions.text import capped_list
 from corpusgauge.operators import aggregates as ag, joins as jo, sets as st, unnest as u, windows as wi
 from corpusgauge.plans import checks_code as cc
 from corpusgauge.plans.checks import Spec, flag
 from corpusgauge.plans.registry import (
     CHECKS, PACKS, load_profile, register_check, register_pack, rules_named, save_profile, scan, scan_scores,
 )
-from corpusgauge.plans.rules import Rule, chars_over, has, reaches, rules_table
+from corpusgauge.plans.rules import Rule, has, reaches, rules_table
 from corpusgauge.plans.scan import rule_scan, scan_joined, scored_files
 from corpusgauge.session import shared_folder
 from corpusgauge.streaming import streams
 from . import queries_packs
-from .corpora import JOB, code_files, corpus, document_files, page_files, quote as q, table
+from .corpora import JOB, corpus, document_files, page_files, quote as q
 from .queries_core import SCORES, STRUCTURE, findings_sql, on_findings, sql
 from .queries_packs import (
     BLOCKS, CLASSES, DEAD_SELECTORS, DECLARED, DEPENDENCIES, DEPTH, EARLY, IDS, JSX, KEY, NULLISH, REQUIRED, SEGMENTS,
-    SIGNATURES, STACK, STALE, TAINT, UNKNOWN, UNLABELLED, UNUSED, URLS, each, found, in_list, spans,
+    SIGNATURES, STACK, STALE, TAINT, UNKNOWN, UNLABELLED, UNUSED, URLS, found, in_list, spans,
 )
 from .sql import (
-    CSS_RULES, DECLS, FOLDED, LINES, PY_LINES, SELECTORS, SHEETS, TAGS, count, counted, every, fire, forced_corpus, has as like, part,
-    rules_sql, squeeze, sub, unnested, with_corpus,
+    CSS_RULES, DECLS, FOLDED, LINES, PY_LINES, SELECTORS, SHEETS, TAGS, counted, every, fire, forced_corpus, has as like, part,
+    rules_sql, squeeze, unnested, with_corpus,
 )
 
 HTML = "language = 'html'"
@@ -62,8 +63,8 @@ NAME = r"[A-Za-z_]\w*"
 DOTTED = r"(?:^|[^\w.])([A-Za-z_]\w*(?:[.][A-Za-z_]\w*)*)\s*\("
 PY_SYMBOLS = f"""symbols AS (
   SELECT path, line_no, 'import' AS kind, CASE WHEN {like('p', r'[ ]as[ ]')} THEN {part('p', r'[ ]as[ ]+([A-Za-z_]\w*)', 1)} ELSE {part('p', r'^[ ]*([A-Za-z_]\w*)', 1)} END AS name
-    FROM (SELECT path, line_no, unnest(string_split({part('line', u.PY_IMPORT, 1)}, ',')) AS p FROM py_lines WHERE {like('line', u.PY_IMPORT)}
-      UNION ALL SELECT path, line_no, unnest(string_split({part('line', u.PY_FROM, 1)}, ',')) FROM py_lines WHERE {like('line', u.PY_FROM)})
+    FROM (SELECT path, line_no, unnest(string_split({part('line', ev.PY_IMPORT, 1)}, ',')) AS p FROM py_lines WHERE {like('line', ev.PY_IMPORT)}
+      UNION ALL SELECT path, line_no, unnest(string_split({part('line', ev.PY_FROM, 1)}, ',')) FROM py_lines WHERE {like('line', ev.PY_FROM)})
   UNION ALL SELECT path, line_no, 'assign', unnest({every(part('line', r'^\s*([A-Za-z0-9_, ]+)', 1), NAME)}) FROM py_lines
     WHERE {like('line', r'^\s*[A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*\s*(?::[^=]+)?=[^=]')}
   UNION ALL SELECT path, line_no, 'call', unnest({every('line', DOTTED, 1)}) FROM py_lines
@@ -249,7 +250,7 @@ JOI = {
     "joi_11_missing_hook_deps": (
         of(("code",), lambda f: jo.missing_hook_deps(f).select("path", "seg_no", "hook", "n_missing", "listed"), "language = 'react'"),
         sql(("code",), f"""SELECT path, seg_no, hook, CAST(len(missing) AS INT) AS n_missing, array_to_string(missing[1:5], ', ') AS listed
-          FROM reads WHERE deps IS NOT NULL AND len(missing) > 0 AND hook IN {in_list(u.HOOKS_WITH_DEPS)}""", SEGMENTS)),
+          FROM reads WHERE deps IS NOT NULL AND len(missing) > 0 AND hook IN {in_list(ev.HOOKS_WITH_DEPS)}""", SEGMENTS)),
     "joi_12_inside_span": (of(("code", "documents:python"), joi_12, "language = 'python'"), sql(
         ("code", "documents:python"), "SELECT path, line_no, CAST(loops AS INT) AS loops, CAST(asyncs AS INT) AS asyncs FROM blocks", PY_LINES, BLOCKS)),
     "joi_13_unreleased_resources": (
@@ -433,10 +434,6 @@ def srt_1(spark, sf):
     return st.order_results(joi_2(spark, sf)).select("path", "language", "score")
 
 
-def set_2(files):
-    return st.dedupe_findings(scan(files, "css")).select("path", "severity", "message", "rule_id")
-
-
 PLAIN_TABLES = {
     "win_1_max_tag_depth": (
         of(BOTH, lambda f: wi.max_tag_depth(u.tag_events(f)).select("path", "depth"), HTML), sql(BOTH, "SELECT path, depth FROM depth", TAGS, DEPTH)),
