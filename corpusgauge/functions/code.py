@@ -36,13 +36,13 @@ MONGO_WORDS = (
     "$match", "$group", "db.", "collection", "aggregate", "find(", "insertOne", "updateOne", "createIndex",
 )
 
-# Strings are written without alternation inside the repetition, so long bodies need no deep recursion.
+# Possessive repetitions (`*+`) run as loops: a string of many escapes must not exhaust a task's stack.
 BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
 LINE_COMMENT = r"//[^\n]*"
 HASH_COMMENT = r"#[^\n]*"
-SINGLE = r"'[^'\\]*(?:\\[\s\S][^'\\]*)*'"
-DOUBLE = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"'
-BACKTICK = r"`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
+SINGLE = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
+DOUBLE = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+BACKTICK = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
 TRIPLE = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
 
 BLANKED = "|".join([LINE_COMMENT, BLOCK_COMMENT, SINGLE, DOUBLE, BACKTICK])

@@ -117,7 +117,6 @@ def tag_depth(tags, tag: str = "div") -> Column:
 
 # Style sheets -------------------------------------------------------------------------------------------------
 
-RULE = r"[^{}]+\{[^{}]*\}"
 DECLARATION = r"(?s)^\s*([-\w]+)\s*:\s*(.*\S)\s*$"
 IMPORTANT = r"(?i)\s*!\s*important\s*$"
 
@@ -146,14 +145,21 @@ def declaration_array(body) -> Column:
 
 
 def rule_array(css="css") -> Column:
-    """Struct (rule_no, selector, body, d) of a sheet's rules; an empty selector stays empty."""
-    def parsed(r, i):
-        body = F.regexp_replace(F.regexp_replace(r, r"^[^{]*\{", ""), r"\}$", "")
-        return let(body, lambda b: F.struct(
-            (i + 1).alias("rule_no"), squeeze(F.substring_index(r, "{", 1)).alias("selector"), b.alias("body"),
-            declaration_array(b).alias("d")))
-
-    return F.transform(extract_all(F.concat(F.lit(" "), style_text(css)), RULE), parsed)
+    """Struct (rule_no, selector, body, d) of a sheet's rules; an empty selector stays empty.
+
+    The text is cut at closing braces, which takes one walk; what follows the last one is no rule.
+    """
+    def closed(pieces):
+        cut = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.split(p, r"\{"))
+        return F.filter(cut, lambda p: (F.size(p) > 1) & (F.get(p, F.size(p) - 2) != ""))
+
+    def parsed(p, i):
+        return let(F.get(p, F.size(p) - 1), lambda body: F.struct(
+            (i + 1).alias("rule_no"), squeeze(F.get(p, F.size(p) - 2)).alias("selector"), body.alias("body"),
+            declaration_array(body).alias("d")))
+
+    pieces = F.split(F.concat(F.lit(" "), style_text(css)), r"\}")
+    return F.transform(let(pieces, closed), parsed)
 
 
 def selector_array(rules) -> Column:

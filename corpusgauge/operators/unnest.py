@@ -140,9 +140,9 @@ def py_symbols(files: DataFrame) -> DataFrame:
     """
     line = F.col("line")
     targets = F.when(
-        line.rlike(r"^\s*%s(?:\s*,\s*%s)*\s*(?::[^=]+)?=[^=]" % (PY_NAME, PY_NAME)),
+        line.rlike(r"^\s*%s(?:\s*,\s*%s)*+\s*(?::[^=]+)?=[^=]" % (PY_NAME, PY_NAME)),
         extract_all(F.regexp_extract("line", r"^\s*([\w\s,]+)", 1), PY_NAME))
-    calls = extract_all("line", r"(?:^|[^\w.])(%s(?:\.%s)*)\s*\(" % (PY_NAME, PY_NAME), 1)
+    calls = extract_all("line", r"(?:^|[^\w.])(%s(?:\.%s)*+)\s*\(" % (PY_NAME, PY_NAME), 1)
     functions = extract_all("line", r"^\s*(?:async\s+)?def\s+(%s)" % PY_NAME, 1)
     classes = extract_all("line", r"^\s*class\s+(%s)" % PY_NAME, 1)
 

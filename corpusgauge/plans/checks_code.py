@@ -198,10 +198,10 @@ BLOCKING_OR_SHELL = r"(?:^|[^\w.])(time\.sleep|open|os\.system|subprocess\.(?:ru
 
 
 TAINTED = (
-    r"^\s*(%s(?:\s*,\s*%s)*)\s*(?::[^=]+)?=\s*(?:input\s*\(|sys\.argv\b|os\.environ\b"
+    r"^\s*(%s(?:\s*,\s*%s)*+)\s*(?::[^=]+)?=\s*(?:input\s*\(|sys\.argv\b|os\.environ\b"
     r"|request\.(?:get_json|json|form\.get|args\.get|headers\.get)\s*\(|request\.[\w.]+\[)" % (PY_NAME, PY_NAME)
 )
-CALL = r"(?:^|[^\w.])(%s(?:\.%s)*)\s*\(([^()]*)" % (PY_NAME, PY_NAME)
+CALL = r"(?:^|[^\w.])(%s(?:\.%s)*+)\s*\(([^()]*)" % (PY_NAME, PY_NAME)
 ARGUMENT_NAME = r"(?:^|[^.\w])(%s)" % PY_NAME
 
 # Calls tainted names must not reach, and whether only their first argument counts.

@@ -23,15 +23,21 @@ def read_corpus(spark: SparkSession, directory: str, max_bytes: int | None = Non
     return files if max_bytes is None else files.where(F.col("size_bytes") <= max_bytes)
 
 
+SPREAD_LIMIT = 4 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table that is read in fewer pieces than there are cores over all cores.
+    """Deal the rows of a small table that is read in far fewer pieces than there are cores over all cores.
 
-    Text rules cost far more than reading, so one row group would keep one core busy. Tables of many pieces,
-    as any large one, are left alone and nothing is shuffled.
+    Text rules cost far more than reading, so one row group would keep one core busy. Tables of more bytes than
+    SPREAD_LIMIT or of enough pieces are left alone and nothing is shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if pieces < cores else df
+    query = df._jdf.queryExecution()
+    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_LIMIT or query.toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
 
 
 def decode_text(content, limit: int = TEXT_LIMIT):

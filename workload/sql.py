@@ -5,12 +5,17 @@ from corpusgauge.plans.rules import by_language
 from .corpora import corpus_sql, quote as q
 
 
+def rx(p):
+    """A pattern without possessive repetitions, which DuckDB does not know and need not: it never backtracks."""
+    return q(p.replace("*+", "*"))
+
+
 def has(s, p):
-    return f"regexp_matches({s}, {q(p)})"
+    return f"regexp_matches({s}, {rx(p)})"
 
 
 def every(s, p, group=0):
-    return f"regexp_extract_all({s}, {q(p)}, {group})"
+    return f"regexp_extract_all({s}, {rx(p)}, {group})"
 
 
 def count(s, p):
@@ -18,11 +23,11 @@ def count(s, p):
 
 
 def part(s, p, group=0):
-    return f"regexp_extract({s}, {q(p)}, {group})"
+    return f"regexp_extract({s}, {rx(p)}, {group})"
 
 
 def sub(s, p, by=""):
-    return f"regexp_replace({s}, {q(p)}, {q(by)}, 'g')"
+    return f"regexp_replace({s}, {rx(p)}, {q(by)}, 'g')"
 
 
 def joined(s, p, group=1):
