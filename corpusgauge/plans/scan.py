@@ -66,8 +66,10 @@ def scored_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:
     """Score of every file straight from the rule projection, without exploding or shuffling."""
     marked = with_features(files, rules, checks)
     hits = F.coalesce(findings_array(rules, checks), none_found())
-    penalty = F.aggregate(hits, F.lit(0), lambda n, f: n + f["score_impact"])
+    # The findings are a column of their own: sum and count read them, and they are computed once.
+    rows = marked.select("job_id", "path", "language", hits.alias("hits"))
+    penalty = F.aggregate("hits", F.lit(0), lambda n, f: n + f["score_impact"])
     return (
-        marked.select("job_id", "path", "language", penalty.alias("penalty"), F.size(hits).alias("findings"))
+        rows.select("job_id", "path", "language", penalty.alias("penalty"), F.size("hits").alias("findings"))
         .withColumn("score", clamp_score(100 - F.col("penalty")))
     )
