@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, lines, secrets, sharding, sql, urls
+from . import bpe, lines, neighbours, packing, sampling, secrets, sharding, simhash, sql, toxicity, urls
 from .common import table
 
 
@@ -19,6 +19,19 @@ def op1_sharding(spark, sf_dir):
     return sharding.place(docs, F.col("doc_id"), shards).select("doc_id", "source", "n_chars", "slot", "shard")
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op4_fingerprints(spark, sf_dir):
+    return sampling.chain(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     day = lambda step: F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * step % 366).cast("int"))
@@ -38,6 +51,10 @@ def op6_secrets(spark, sf_dir):
     return secrets.digest(secrets.find(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source")))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op8_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -47,10 +64,20 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_sharding": (op1_sharding, None),
+    "op2_simhash": (op2_simhash, None),
+    "op3_neighbours": (op3_neighbours, None),
+    "op4_fingerprints": (op4_fingerprints, None),
     "op5_url_filters": (op5_url_filters, lambda: sql.URL_FILTERS),
     "op6_secrets": (op6_secrets, lambda: sql.SECRETS),
+    "op7_packing": (op7_packing, None),
     "op8_line_dedup": (op8_line_dedup, lambda: sql.LINE_DEDUP),
     "op9_bpe": (op9_bpe, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
