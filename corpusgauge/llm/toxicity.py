@@ -21,7 +21,7 @@ from .common import written
 LENGTHS = (3, 4, 5)
 #: Bits of a hashed n-gram: the model is a table of so many floats.
 BITS = 20
-PRIOR = 10.0
+PRIOR = 20.0
 #: Characters hashed at once.
 BLOCK = 1 << 20
 
