@@ -60,10 +60,11 @@ def indent_spans(lines: DataFrame, headers: Column) -> DataFrame:
 
 
 def run_trend(scores: DataFrame, runs: DataFrame) -> DataFrame:
-    """Score change of a path against the run before."""
-    w = W.partitionBy("path").orderBy("created_at", "job_id")
+    """Score change of a path against the run before; with original_name in runs, the run before of the same project."""
+    project = [c for c in ("original_name",) if c in runs.columns]
+    w = W.partitionBy(*project, "path").orderBy("created_at", "job_id")
     return (
-        scores.join(runs.select("job_id", "created_at"), "job_id")
+        scores.join(runs.select("job_id", "created_at", *project), "job_id")
         .withColumn("previous", F.lag("score").over(w))
         .withColumn("change", F.col("score") - F.col("previous"))
         .select("job_id", "path", "score", "previous", "change")

@@ -1,13 +1,11 @@
 """Apply rule packs to files."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import clamp_score, regex, text_metrics
+from ..functions.text import clamp_score, text_metrics
 from ..model import FINDING_COLUMNS
 from .checks import none_found
-from .rules import Rule, findings_array, with_features
+from .rules import Rule, findings_array, rules_from_table, with_features
 
 
 def rule_scan(files: DataFrame, rules: list[Rule], *keep: str, checks=()) -> DataFrame:
@@ -23,28 +21,17 @@ def rule_scan(files: DataFrame, rules: list[Rule], *keep: str, checks=()) -> Dat
     )
 
 
-BROADCAST_RULES = 20_000
-
-
-def scan_joined(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules kept as a table: equi join on language, the pattern of the single clause tested per row.
+def scan_joined(files: DataFrame, rules: DataFrame, chunk: int = 500) -> DataFrame:
+    """Findings of the enabled rules of a rule table.
 
-    For rule tables too long to compile. The table is counted; a longer one is broadcast slice by slice, so
-    neither is a large side broadcast nor is text shuffled by its language, which would be a hot key.
+    The rules are compiled like built-in ones, `chunk` to an array, over one read of the files: the patterns are literals,
+    compiled once per task, and the text is neither joined nor shuffled.
     """
-    simple = rules.where(
-        "enabled and emit = 'once' and size(all_of) = 1 and size(any_of) = 0 and all_of[0].test = 'match' "
-        "and all_of[0].subject = 'text'")
-    simple = simple.select(
-        "language", "rule_id", F.col("category").alias("rule"), "severity", F.col("impact").alias("score_impact"),
-        "message", F.lit(None).cast("int").alias("line"), "confidence", "fix",
-        F.concat(F.lit(regex("")), F.col("all_of")[0]["pattern"]).alias("pattern"))
-    slices = max(1, -(-simple.count() // BROADCAST_RULES))
-    found = [
-        files.join(F.broadcast(simple.where(F.pmod(F.hash("rule_id"), F.lit(slices)) == i)), "language")
-        .where(F.regexp_like("text", F.col("pattern"))).select(*FINDING_COLUMNS)
-        for i in range(slices)]
-    return reduce(DataFrame.unionByName, found)
+    compiled = rules_from_table(rules.where("enabled"))
+    languages = sorted({r.language for r in compiled})
+    marked = with_features(files.where(F.col("language").isin(*languages)), compiled, ())
+    parts = [F.coalesce(findings_array(compiled[i : i + chunk], ()), none_found()) for i in range(0, len(compiled), chunk)]
+    return marked.select("job_id", "path", "language", F.inline(F.concat(none_found(), *parts))).select(*FINDING_COLUMNS)
 
 
 def detailed_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:

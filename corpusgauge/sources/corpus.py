@@ -7,56 +7,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import col
 
-TEXT_LIMIT = 500_000
-MEMBERS = "archive string, path string, content binary"
+MEMBERS = "archive string, path string, content binary, error string"
 
 
-def read_corpus(spark: SparkSession, directory: str, max_bytes: int | None = None) -> DataFrame:
-    """One row per file below a directory: path, size_bytes, modified, content.
+def read_corpus(spark: SparkSession, directory: str) -> DataFrame:
+    """One row per file below a directory: path, size_bytes, created_at, content.
 
-    The size test prunes files before their bytes are read.
+    A test of size_bytes on the result prunes files before their bytes are read.
     """
-    files = (
+    return (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
         .select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("created_at"), "content")
     )
-    return files if max_bytes is None else files.where(F.col("size_bytes") <= max_bytes)
 
 
-SPREAD_LIMIT = 4 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small table that is read in far fewer pieces than there are cores over all cores.
-
-    Text rules cost far more than reading, so one row group would keep one core busy. Tables of more bytes than
-    SPREAD_LIMIT or of enough pieces are left alone and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    query = df._jdf.queryExecution()
-    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_LIMIT or query.toRdd().getNumPartitions() * 2 > cores:
-        return df
-    return df.repartition(cores)
-
-
-def decode_text(content, limit: int = TEXT_LIMIT):
-    """Text of the first `limit` bytes: UTF-8, else Latin-1.
-
-    A character cut by the limit is dropped instead of turning the whole file into Latin-1.
-    """
+def decode_text(content):
+    """Text of a file's bytes: UTF-8, else Latin-1."""
     content = col(content)
-    head = F.substring(content, 1, limit)
-    size = F.octet_length(head)
-    cut = F.octet_length(content) > limit
-    valid = F.when(F.is_valid_utf8(head), head)
-    # A character has at most four bytes, so at most three trail behind the last whole one.
-    shorter = [F.when(cut & F.is_valid_utf8(F.substring(head, F.lit(1), size - n)), F.substring(head, F.lit(1), size - n))
-               for n in (1, 2, 3)]
-    return F.coalesce(
-        F.decode(F.coalesce(valid, *shorter), "UTF-8"),
-        F.decode(head, "ISO-8859-1"),
-    )
+    return F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def corpus_from_table(df: DataFrame, path, text, language, job_id: str = "job") -> DataFrame:
@@ -73,18 +41,22 @@ def _members(batches):
         for archive, content in zip(batch["path"], batch["content"]):
             try:
                 packed = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
+            except zipfile.BadZipFile as problem:
+                yield pd.DataFrame({"archive": [archive], "path": [None], "content": [None], "error": [str(problem)]})
                 continue
             with packed:
                 for member in packed.infolist():
                     if not member.is_dir():
                         yield pd.DataFrame({
-                            "archive": [archive], "path": [member.filename], "content": [packed.read(member)]})
+                            "archive": [archive], "path": [member.filename], "content": [packed.read(member)],
+                            "error": [None]})
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
     """Members of ZIP archives held as (path, content) rows, unsafe names dropped.
 
+    An archive that can't be read gives one row without path and content, with the error.
+
     Archives are spread one per row over the tasks and members leave the task one by one.
     """
     return safe_paths(archives.select("path", "content").mapInPandas(_members, MEMBERS))
@@ -96,5 +68,5 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
 
 def safe_paths(df: DataFrame, path: str = "path") -> DataFrame:
     """Drop absolute paths and paths with a `..` segment."""
-    p = F.col(path)
+    p = F.coalesce(F.col(path), F.lit(""))
     return df.where(~p.startswith("/") & ~F.array_contains(F.split(p, "/"), ".."))

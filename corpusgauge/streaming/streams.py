@@ -28,18 +28,35 @@ def findings_per_window(findings: DataFrame, time: str = "created_at", size: str
     )
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", key: tuple = ()) -> None:
     """Process what has arrived into parquet files and stop.
 
-    A mode other than append replaces the output with the latest result table of each batch.
+    Complete mode replaces the output with the result table of each batch. Update mode tells only the rows that changed, so
+    it needs their `key`: rows of the output with other keys stay. Each batch then writes a new folder below path, named by its
+    number; the one with the largest number is the output (see latest).
     """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        query = (stream.writeStream.outputMode("append").format("parquet").option("path", path)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query = writer.format("parquet").option("path", path).start()
+    elif mode == "complete":
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    elif not key:
+        raise ValueError("update mode needs the key of the rows")
     else:
-        def replace(batch, _):
-            batch.write.mode("overwrite").parquet(path)
+        def merge(batch, number):
+            before = latest(batch.sparkSession, path, number)
+            whole = batch if before is None else batch.unionByName(before.join(batch, list(key), "left_anti"))
+            whole.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
 
-        query = (stream.writeStream.outputMode(mode).foreachBatch(replace)
-                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query = writer.foreachBatch(merge).start()
     query.awaitTermination()
+
+
+def latest(spark, path: str, under: int | None = None) -> DataFrame | None:
+    """The output of update mode after its last batch, or its last batch below a number; None if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+    numbers = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    numbers = [n for n in numbers if under is None or n < under]
+    return spark.read.parquet(f"{path}/batch={numbers[-1]:012d}") if numbers else None

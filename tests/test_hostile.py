@@ -1,7 +1,6 @@
 """Texts built to exhaust the stack or the time of a task."""
 
 from corpusgauge.plans.registry import scan_scores
-from corpusgauge.sources.corpus import spread
 
 HOSTILE = [
     ("escapes.js", "javascript", 'x = "' + "\\n" * 50_000 + '"\n'),
@@ -26,12 +25,3 @@ def test_null_and_empty_texts(spark, make_files):
                          for l in ("html", "javascript", "python", "mongodb", "react", "css", "manifest")])
     scores = {r["path"]: r["score"] for r in scan_scores(files).collect()}
     assert len(scores) == 14 and all(s is not None for s in scores.values())
-
-
-def test_only_small_tables_are_spread(spark, sf, monkeypatch):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan(spread(pages))
-    assert "RoundRobinPartitioning" not in plan(spread(pages.repartition(8, "page_id")))
-    monkeypatch.setattr("corpusgauge.sources.corpus.SPREAD_LIMIT", 1)
-    assert "RoundRobinPartitioning" not in plan(spread(pages))

@@ -24,26 +24,28 @@ def test_rules_survive_the_table(spark):
     assert rules_from_table(rules_table(spark, rules)) == sorted(rules, key=lambda r: r.rule_id)
 
 
-def test_too_many_rules_are_refused(spark, monkeypatch):
-    monkeypatch.setattr("corpusgauge.plans.rules.MAX_RULES", 3)
-    with pytest.raises(ValueError):
-        rules_from_table(rules_table(spark, rules_named()))
-
-
 def test_unknown_test_is_refused():
     with pytest.raises(ValueError):
         clause_column(Clause("guess"))
 
 
-def test_joined_scan_equals_compiled_scan(spark, sf, monkeypatch):
-    files = page_files(spark, sf)
-    simple = [r for r in rules_named("html") if len(r.all_of) == 1 and not r.any_of and r.emit == "once"
-              and r.all_of[0].test == "match" and r.all_of[0].subject == "text"]
-    want = rows(rule_scan(files, simple), "path", "rule_id")
-    table = rules_table(spark, rules_named("html"))
-    assert rows(scan_joined(files, table), "path", "rule_id") == want
-    monkeypatch.setattr("corpusgauge.plans.scan.BROADCAST_RULES", 3)
-    assert rows(scan_joined(files, table), "path", "rule_id") == want
+def test_joined_scan_equals_compiled_scan(spark, sf):
+    files, rules = page_files(spark, sf), rules_named("html")
+    want = rows(rule_scan(files, rules), "path", "rule_id")
+    for chunk in (500, 7):
+        assert rows(scan_joined(files, rules_table(spark, rules), chunk), "path", "rule_id") == want
+
+
+def test_update_mode_keeps_other_groups(spark, tmp_path):
+    schema = "language string, score int"
+    into, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    stream = lambda: spark.readStream.schema(schema).parquet(into).groupBy("language").agg(F.sum("score").alias("total"))
+    for batch in ([("html", 1), ("python", 2)], [("python", 5)]):
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(into)
+        streams.drain(stream(), out, state, "update", ("language",))
+    assert rows(streams.latest(spark, out), "language", "total") == [("html", 1), ("python", 7)]
+    with pytest.raises(ValueError):
+        streams.drain(stream(), out, state, "update")
 
 
 def test_needles_only_save_time(spark, sf):

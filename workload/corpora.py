@@ -4,33 +4,35 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusgauge.sources.corpus import corpus_from_table, spread
+from corpusgauge.sources.corpus import corpus_from_table
 from .snippets import SNIPPETS
 
 JOB = "job-1"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. A session that sets spark.corpusgauge.tasks wants its rows dealt over so many tasks."""
+    rows, tasks = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get("spark.corpusgauge.tasks", None)
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 def page_files(spark, sf_dir) -> DataFrame:
     """Pages as html files; the path is the address without its scheme."""
-    pages = spread(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
     return corpus_from_table(
         pages, path=F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("~"), F.col("page_id"), F.lit(".html")),
         text="html", language="html", job_id=JOB)
 
 
 def document_files(spark, sf_dir, language="text") -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     return corpus_from_table(
         docs, path=F.concat("source", F.lit("/doc_"), F.col("doc_id"), F.lit(".txt")), text="text",
         language=language, job_id=JOB)
 
 
 def conversation_files(spark, sf_dir) -> DataFrame:
-    turns = spread(table(spark, sf_dir, "conversations"))
+    turns = table(spark, sf_dir, "conversations")
     return corpus_from_table(
         turns, path=F.concat(F.lit("conv_"), F.col("conv_id"), F.lit("/"), F.col("turn"), F.lit(".txt")), text="text",
         language="text", job_id=JOB)
@@ -40,7 +42,7 @@ def code_files(spark, sf_dir) -> DataFrame:
     """One source file per part: the snippet of the part's size, then a document's whole text as a comment."""
     snippets = spark.createDataFrame(SNIPPETS, "snippet_id int, file_name string, language string, snippet string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("body"))
-    parts = spread(table(spark, sf_dir, "part")).select(
+    parts = table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", F.col("p_size").cast("int").alias("snippet_id"))
     code = F.replace("snippet", F.lit("@PART@"), F.col("p_name"))
     as_lines = lambda mark: F.concat(F.lit("\n" + mark), F.replace("body", F.lit("\n"), F.lit("\n" + mark)))

@@ -41,7 +41,7 @@ def src_1(spark, sf):
 
 def src_2(spark, sf):
     """French documents arrive as Latin-1 bytes, the others as UTF-8."""
-    docs = src.spread(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
     raw = F.when(F.col("lang") == "fr", F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     text = docs.select("doc_id", raw.alias("content")).select("doc_id", src.decode_text("content").alias("text"))
     return text.select("doc_id", F.length("text").alias("chars"), ft.content_hash("text").alias("sha256"))
@@ -69,7 +69,7 @@ def _zipped(batches):
 
 def src_4(spark, sf):
     """Every document in a ZIP of its own, next to two members with unsafe names."""
-    docs = src.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     members = src.expand_archives(docs.mapInPandas(_zipped, "path string, content binary"))
     return members.select("archive", "path", ft.content_hash(src.decode_text("content")).alias("sha256"))
 
