@@ -29,9 +29,9 @@ BLOCK = 4_096
 def nearest(points: np.ndarray, degree: int) -> np.ndarray:
     """The places of each point's nearest other points."""
     square, out = (points**2).sum(axis=1), []
-    for start in range(0, len(points), 512):
-        part = points[start : start + 512]
-        gap = square[start : start + 512, None] + square - 2 * part @ points.T
+    for start in range(0, len(points), 128):
+        part = points[start : start + 128]
+        gap = square[start : start + 128, None] + square - 2 * part @ points.T
         gap[np.arange(len(part)), np.arange(start, start + len(part))] = np.inf
         out.append(np.argpartition(gap, degree - 1, axis=1)[:, :degree])
     return np.concatenate(out)
