@@ -140,6 +140,11 @@ def replicate(distinct: DataFrame, anchored: list[str], vertex: str, near: int)
 
 # Links
 
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of differing bits of signed integers; unsigned, for numpy counts the bits of the absolute value."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
 class Forest:
     """Union-find over integers."""
 
@@ -177,7 +182,7 @@ def compared(batches, bits: int, vertex_bits: int):
             x, xv = fp[left][i : i + 256, None], v[left][i : i + 256, None]
             for j in range(0, right.sum(), 4096):
                 y, yv = fp[right][j : j + 4096], v[right][j : j + 4096]
-                at, to = np.nonzero((np.bitwise_count(x ^ y) <= bits) & (np.bitwise_count(xv ^ yv) <= vertex_bits) & (xv != yv))
+                at, to = np.nonzero((differing(x, y) <= bits) & (differing(xv, yv) <= vertex_bits) & (xv != yv))
                 for p, q in zip(xv[at, 0].tolist(), yv[to].tolist()):
                     if forest.join(p, q):
                         yield p, q
@@ -191,7 +196,7 @@ def compared(batches, bits: int, vertex_bits: int):
         sizes, found = np.diff(starts), []
         # Groups of two, most by far, are looked at together first.
         two = starts[:-1][sizes == 2]
-        two = two[(np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits) & (near[two] | near[two + 1])]
+        two = two[(differing(fp[two], fp[two + 1]) <= bits) & (near[two] | near[two + 1])]
         spans = [(i, i + 2) for i in two.tolist()]
         spans += [(s, s + n) for s, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist())]
         for s, e in spans:

@@ -74,15 +74,17 @@ def test_simhash(odd, empty):
 def test_simhash_in_blocks(spark):
     """Dense groups give the same components when anchors are split into tiny parts."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 5)
+    base = rng.integers(-(2**63), 2**63, 5)
     fps = []
     for b in base.tolist():
         for _ in range(60):
-            x = b
-            for bit in rng.choice(63, rng.integers(0, 6), replace=False).tolist():
+            x = b & (1 << 64) - 1
+            for bit in rng.choice(64, rng.integers(0, 6), replace=False).tolist():
                 x ^= 1 << bit
             fps.append(x)
-    fps = sorted(set(fps))
+        # Only the sign bit of the column differs.
+        fps.append((b & (1 << 64) - 1) ^ 1 << 63)
+    fps = sorted(x - (x >> 63 << 64) for x in set(fps))
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(fps)], "id long, f0 long")
     root = list(range(len(fps)))
 
@@ -93,7 +95,7 @@ def test_simhash_in_blocks(spark):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
+            if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 3:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     for most in (1 << 14, 5):
