@@ -30,41 +30,68 @@ WIDTH, CHECKS = 23, 11
 MOST_PER_TASK = 1 << 14
 #: Shingles hashed at once.
 BLOCK = 1 << 15
+#: Bands of distance within which links are thinned out to a forest.
+BANDS = 5
 
 
 # Fingerprints
 
-def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
-    """The fingerprint of a text's shingles, as an unsigned 64-bit integer; 0 if it has no words."""
+def hashes(text: str | None, words: int, seed: int = 42):
+    """Hashes of a text's shingles in blocks: of the whole sequence if it has fewer words, none if it has no words."""
     tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return 0
-    if len(tokens) < words:
+    if tokens and len(tokens) < words:
         tokens, words = [b" ".join(tokens)], 1
-    n, counts = len(tokens) - words + 1, np.zeros(64, np.int64)
-    for start in range(0, n, BLOCK):
+    for start in range(0, len(tokens) - words + 1 if tokens else 0, BLOCK):
         part = tokens[start : start + BLOCK + words - 1]
         rows = zip(*(part[i:] for i in range(words)))
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(row), seed) for row in rows], np.uint64)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(row), seed) for row in rows], np.uint64)
+
+
+def mixed(values: np.ndarray, stream: int) -> np.ndarray:
+    """Other hashes from hashes, by the finalizer of splitmix64; stream 0 leaves them as they are."""
+    if not stream:
+        return values
+    x = values + np.uint64(0x9E3779B97F4A7C15 * stream & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_fingerprint(text: str | None, words: int, longs: int, seed: int = 42) -> list[int]:
+    """A fingerprint of `longs` times 64 bits of a text's shingles, as unsigned integers; zeros if it has no words."""
+    n, counts = 0, np.zeros((longs, 64), np.int64)
+    for block in hashes(text, words, seed):
+        n += len(block)
+        for i in range(longs):
+            bits = np.unpackbits(mixed(block, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[i] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+
+
+def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
+    """The fingerprint of a text's shingles, as an unsigned 64-bit integer; 0 if it has no words."""
+    return wide_fingerprint(text, words, 1, seed)[0]
 
 
 def fingerprints(docs: DataFrame, shapes: list[tuple[int, int]], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id, text_key (hash of the text) and f0, f1, ... (long): a fingerprint per shape (words, seed)."""
-    names = [f"f{i}" for i in range(len(shapes))]
+    """id, text_key (hash of the text) and f0, f1, ... (long): as many longs per shape (words, longs) as it says."""
+    names = [f"f{i}" for i in range(sum(longs for _, longs in shapes))]
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2)
-            fps = [np.fromiter((fingerprint(t.as_py(), *shape) for t in texts), np.uint64, len(texts)) for shape in shapes]
+            found = [[x for words, longs in shapes for x in wide_fingerprint(t.as_py(), words, longs)] for t in batch.column(2)]
+            fps = np.array(found, np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(f.view(np.int64)) for f in fps)], ["id", "text_key", *names])
+                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(f)) for f in fps.T)], ["id", "text_key", *names])
 
-    rows = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("text_key"), docs[text].alias("text"))
+    rows = docs.select(docs[key].cast("long").alias("id"), text_hash(docs[text]).alias("text_key"), docs[text].alias("text"))
     return rows.mapInArrow(run, "id long, text_key long, " + ", ".join(f"{n} long" for n in names))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -121,21 +148,25 @@ def replicas(fps: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def replicate(distinct: DataFrame, anchored: list[str], vertex: str, near: int) -> DataFrame:
-    """(anchor, near, fp, v) of distinct rows, for each fingerprint column in `anchored`; v is the row's vertex column."""
+def replicate(distinct: DataFrame, anchored: list[str], vertex: str, near: int, wide: list[str] = ()) -> DataFrame:
+    """(anchor, near, fp, v, w0, ...) of distinct rows, for each fingerprint column in `anchored`; v is the row's vertex
+    column and w0, ... are its wide fingerprint."""
+    names = [f"w{i}" for i in range(len(wide))]
+
     def run(batches):
         for batch in batches:
-            v = batch.column(len(anchored)).to_numpy()
+            carried = [batch.column(i).to_numpy() for i in range(len(anchored), batch.num_columns)]
             for i in range(len(anchored)):
                 fps = batch.column(i).to_numpy()
                 for start in range(0, len(fps), 2048):
                     part = fps[start : start + 2048]
                     at, anchor, mark = replicas(part, near)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((anchor | i << 24).astype(np.int32)), pa.array(mark), pa.array(part[at]), pa.array(v[start + at])],
-                        ["anchor", "near", "fp", "v"])
+                        [pa.array((anchor | i << 24).astype(np.int32)), pa.array(mark), pa.array(part[at]), *(pa.array(c[start + at]) for c in carried)],
+                        ["anchor", "near", "fp", "v", *names])
 
-    return distinct.select(*anchored, F.col(vertex).alias("v")).mapInArrow(run, "anchor int, near boolean, fp long, v long")
+    schema = ", ".join(["anchor int", "near boolean", "fp long", "v long", *(f"{n} long" for n in names)])
+    return distinct.select(*anchored, F.col(vertex).alias("v"), *wide).mapInArrow(run, schema)
 
 
 # Links
@@ -168,28 +199,38 @@ class Forest:
         return a != b
 
 
-def compared(batches, bits: int, vertex_bits: int):
-    """Links (a, b) of vertices, from rows (group, near, fp, v, side) sorted by group.
+def compared(batches, bits: int, bands: list[int]):
+    """Links (a, b) of vertices, from rows (group, near, fp, v, side, w0, ...) sorted by group.
 
-    Marked rows of side 0 or 2 are compared with all of side 1 or 2 of their group. Of the links found only those that join
-    something new in this task are given, so a dense group gives a forest and not its pairs.
+    Marked rows of side 0 or 2 are compared with all of side 1 or 2 of their group, by fp and then by their wide
+    fingerprints, where they may differ in as many bits as the last band says. Of the links found only those are given that
+    join something new in this task among the links of their band or a closer one: a dense group gives a forest per band
+    and not its pairs, and no link is left out for looser ones.
     """
-    forest = Forest()
+    forests = [Forest() for _ in bands]
 
-    def links(near, fp, v, side):
+    def links(near, fp, v, side, *wide):
         left, right = near & (side != 1), side != 0
-        for i in range(0, left.sum(), 256):
-            x, xv = fp[left][i : i + 256, None], v[left][i : i + 256, None]
-            for j in range(0, right.sum(), 4096):
-                y, yv = fp[right][j : j + 4096], v[right][j : j + 4096]
-                at, to = np.nonzero((differing(x, y) <= bits) & (differing(xv, yv) <= vertex_bits) & (xv != yv))
-                for p, q in zip(xv[at, 0].tolist(), yv[to].tolist()):
-                    if forest.join(p, q):
+        fp_left, v_left, fp_right, v_right = fp[left], v[left], fp[right], v[right]
+        wide_left, wide_right = [w[left] for w in wide], [w[right] for w in wide]
+        for i in range(0, len(fp_left), 256):
+            x, xv = fp_left[i : i + 256], v_left[i : i + 256]
+            for j in range(0, len(fp_right), 4096):
+                y, yv = fp_right[j : j + 4096], v_right[j : j + 4096]
+                # What the closest band connects already needs no look at the pair.
+                xr, yr = (np.array([forests[0].root(k) for k in z.tolist()]) for z in (xv, yv))
+                at, to = np.nonzero((differing(x[:, None], y) <= bits) & (xr[:, None] != yr))
+                apart = sum((differing(w[i + at], u[j + to]).astype(np.int16) for w, u in zip(wide_left, wide_right)), np.zeros(len(at), np.int16))
+                band = np.searchsorted(bands, apart)
+                order = np.argsort(band, kind="stable")
+                order = order[: np.searchsorted(band[order], len(bands))]
+                for p, q, k in zip(xv[at[order]].tolist(), yv[to[order]].tolist(), band[order].tolist()):
+                    if [forest.join(p, q) for forest in forests[k:]][0]:
                         yield p, q
 
     def emit(rows):
         """One batch with the links of whole groups."""
-        groups, near, fp, v, side = rows
+        groups, near, fp, *rest = rows
         if not len(groups):
             return
         starts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]])
@@ -200,7 +241,7 @@ def compared(batches, bits: int, vertex_bits: int):
         spans = [(i, i + 2) for i in two.tolist()]
         spans += [(s, s + n) for s, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist())]
         for s, e in spans:
-            found.extend(links(near[s:e], fp[s:e], v[s:e], side[s:e]))
+            found.extend(links(*(c[s:e] for c in (near, fp, *rest))))
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -218,8 +259,9 @@ def compared(batches, bits: int, vertex_bits: int):
         yield from emit(held)
 
 
-def linked(rows: DataFrame, bits: int, vertex_bits: int, most: int = MOST_PER_TASK) -> DataFrame:
-    """Links (a, b) that connect the vertices that replicas (anchor, near, fp, v) at one anchor connect."""
+def linked(rows: DataFrame, bits: int, bands: list[int], most: int = MOST_PER_TASK) -> DataFrame:
+    """Links (a, b) that connect the vertices that replicas (anchor, near, fp, v, w0, ...) at one anchor connect."""
+    wide = [c for c in rows.columns if c not in ("anchor", "near", "fp", "v")]
     hot = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     hot = written(hot.select("anchor", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot")
     # A hot anchor's rows are dealt into parts, and each pair of parts is a group: (i, j) compares i's marked with j's.
@@ -227,13 +269,13 @@ def linked(rows: DataFrame, bits: int, vertex_bits: int, most: int = MOST_PER_TA
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     as_left = F.transform(every, lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
     as_right = F.transform(F.filter(every, lambda i: i != F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side")))
-    split = dealt.select("anchor", "near", "fp", "v", F.explode(F.concat(as_left, as_right)).alias("p")).select(
-        F.xxhash64("anchor", "p.i", "p.j").alias("group"), "near", "fp", "v", F.col("p.side").cast("byte").alias("side"))
+    split = dealt.select("anchor", "near", "fp", "v", *wide, F.explode(F.concat(as_left, as_right)).alias("p")).select(
+        F.xxhash64("anchor", "p.i", "p.j").alias("group"), "near", "fp", "v", F.col("p.side").cast("byte").alias("side"), *wide)
     plain = rows.join(hot, "anchor", "left_anti").select(
-        F.col("anchor").cast("long").alias("group"), "near", "fp", "v", F.lit(2).cast("byte").alias("side"))
+        F.col("anchor").cast("long").alias("group"), "near", "fp", "v", F.lit(2).cast("byte").alias("side"), *wide)
     groups = plain if hot.isEmpty() else plain.unionByName(split)
     groups = groups.repartition("group").sortWithinPartitions("group")
-    return groups.mapInArrow(lambda batches: compared(batches, bits, vertex_bits), "a long, b long")
+    return groups.mapInArrow(lambda batches: compared(batches, bits, bands), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,10 +309,18 @@ def components(links: DataFrame) -> DataFrame:
     return labels.join(least, "root").select("v", F.col("least").alias("root"))
 
 
-def connected(marked: DataFrame, anchored: list[str], vertex: str, near: int, bits: int, vertex_bits: int, most: int) -> DataFrame:
-    """marked (id, ..., fingerprints) with component_id, the smallest id reachable."""
-    distinct = written(marked.groupBy(*{*anchored, vertex}).agg(F.min("id").alias("first")), "distinct")
-    links = linked(replicate(distinct, anchored, vertex, near), bits, vertex_bits, most)
+def connected(marked: DataFrame, anchored: list[str], vertex: str, near: int, bits: int, wide_bits: int, most: int,
+              wide: list[str] = (), check=None) -> DataFrame:
+    """marked (id, ..., fingerprints) with component_id, the smallest id reachable.
+
+    Links differ in `bits` or fewer bits of a fingerprint in `anchored` and `wide_bits` or fewer of the columns in `wide`;
+    `check` tells which of them stay.
+    """
+    distinct = written(marked.groupBy(*dict.fromkeys([*anchored, vertex, *wide])).agg(F.min("id").alias("first")), "distinct")
+    bands = [wide_bits * (k + 1) // BANDS for k in range(BANDS)] if wide else [0]
+    links = linked(replicate(distinct, anchored, vertex, near, wide), bits, bands, most)
+    if check:
+        links = check(written(links.distinct(), "candidates"))
     roots = written(components(links).withColumnRenamed("v", vertex), "roots")
     firsts = distinct.groupBy(vertex).agg(F.min("first").alias("first"))
     grouped = firsts.join(roots, vertex).groupBy("root").agg(F.min("first").alias("least"))
@@ -288,23 +338,53 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     """
     if bits > 3:
         raise ValueError("the replicas reach 3 bits")
-    marked = written(fingerprints(docs, [(words, 42)], text, key), "fingerprints")
+    marked = written(fingerprints(docs, [(words, 1)], text, key), "fingerprints")
     found = connected(marked, ["f0"], "f0", 1, bits, bits, most)
     return found.select(F.col("id").alias(key), hexadecimal(F.col("f0")).alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, tables: int = 2,
+def alike(links: DataFrame, docs: DataFrame, marked: DataFrame, words: int, similarity: float, text: str, key: str) -> DataFrame:
+    """The links (a, b) of vertices whose texts' sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    Sets are made of one text per vertex in a link, and meet link by link.
+    """
+    ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "v")
+    one = marked.join(ends, "v").groupBy("v").agg(F.min(F.struct("text_key", "id")).alias("k")).select("v", "k.*")
+    rows = docs.select(docs[key].cast("long").alias("key"), text_hash(docs[text]).alias("hash"), docs[text].alias("text"))
+    rows = rows.join(one, (F.col("hash") == F.col("text_key")) & F.col("key").eqNullSafe(F.col("id"))).select("v", "text")
+
+    def run(batches):
+        for batch in batches:
+            for v, t in zip(batch.column(0), batch.column(1)):
+                blocks = [np.unique(h) for h in hashes(t.as_py(), words)]
+                found = np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v.as_py()], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["v", "s"])
+
+    sets = written(rows.mapInArrow(run, "v long, s array<long>").groupBy("v").agg(F.first("s").alias("s")), "sets")
+    pairs = links.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    pairs = pairs.select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    return pairs.filter(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+
+
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, tables: int = 3,
             most: int = MOST_PER_TASK) -> DataFrame:
     """Per row: id, text_key (hash of the text) and component_id: texts whose shingles of `words` words are similar are linked.
 
-    Similar: the share of equal bits of their fingerprints tells a cosine of `similarity` or more. That allows more bits to
-    differ than anchors can cover, so candidates meet at the anchors of other fingerprints, of three-word shingles, which edits
+    Similar: the Jaccard similarity of their sets of shingles is `similarity` or more, counted exactly. That allows more bits
+    to differ than anchors can cover, so candidates meet at the anchors of other fingerprints, of two-word shingles, which edits
     move less: `tables` of them, with 2 flips on either side, so those within 4 of 46 bits in one of them meet for
-    certain and others often. Nulls as in near_duplicates.
+    certain and others often. Of these the pairs go on whose wide fingerprints, 128 bits of shingles of `words` words, don't
+    differ by over 2.5 standard deviations more than the similarity lets expect. Nulls as in near_duplicates.
     """
-    allowed = int(64 * math.acos(similarity) / math.pi)
-    marked = written(fingerprints(docs, [*((3, 42 + i) for i in range(tables)), (words, 42)], text, key), "fingerprints")
-    found = connected(marked, [f"f{i}" for i in range(tables)], f"f{tables}", 2, allowed, allowed, most)
+    # The angle between the shingles' vectors of equally long texts with this Jaccard similarity.
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    allowed = lambda n: int(n * share + 2.5 * math.sqrt(n * share * (1 - share)))
+    names = [f"f{i}" for i in range(tables + 2)]
+    marked = fingerprints(docs, [(2, tables), (words, 2)], text, key)
+    marked = written(marked.withColumn("v", F.xxhash64(*names)), "fingerprints")
+    check = lambda links: alike(links, docs, marked, words, similarity, text, key)
+    found = connected(marked, names[:tables], "v", 2, allowed(64), allowed(128), most, names[tables:], check)
     return found.select("id", "text_key", "component_id")
 
 
@@ -321,7 +401,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how)
         F.count("*").alias("n"), F.min("text_key").alias("text_key"), F.max("text_key").alias("other"))
     twice = kept.filter((F.col("n") > 1) & F.col("id").isNotNull()).select("id", "text_key")
     bare = kept.filter((F.col("n") > 1) & F.col("id").isNull()).select("id")
-    docs_key, text_key = docs[key].cast("long"), F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    docs_key, text_key = docs[key].cast("long"), text_hash(docs[text])
     rest = docs.join(lost, same(lost), "left_anti")
     again = twice.select("id").union(bare)
     if again.isEmpty():

@@ -316,3 +316,24 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty, stage):
         got = step(spark, rows, folder)
         got.collect()
         assert stage == 4 or got.columns == columns
+
+
+def test_similar_keeps_to_the_threshold(spark):
+    """Copies just above a Jaccard similarity of 0.8 go, those well below stay, also beside closer ones."""
+    rng = np.random.default_rng(9)
+    texts, words = [], [f"w{i}" for i in range(5000)]
+
+    def edited(base, n):
+        copy = list(base)
+        for at in range(5, 5 + 10 * n, 10):
+            copy[at] = f"edit{rng.integers(1 << 40)}"
+        return copy
+
+    for _ in range(30):
+        base = rng.choice(words, 400).tolist()
+        # 5 n of 396 shingles change: 0.83 and 0.70.
+        texts += [" ".join(base), " ".join(edited(base, 7)), " ".join(edited(base, 14))]
+    docs = spark.createDataFrame([(i, str(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert all(got[i] == i for i in got if i % 3 != 1)
+    assert sum(got[i] == i - 1 for i in range(1, 90, 3)) >= 29
