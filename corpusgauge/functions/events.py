@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from .code import blank_python
 from .css import selector_specificity
-from .text import col, extract_all, let, one_of, regex, replace_regex, squeeze
+from .text import LINE_END, col, extract_all, let, one_of, regex, replace_regex, squeeze
 from .utility import bracket_surplus, utility_parts, valid_arbitrary
 
 
@@ -22,13 +22,51 @@ def repeated(values, times: int) -> Column:
         F.filter(v, lambda x, i: x == F.get(v, i - (times - 1)))))
 
 
+def runs(v, key=lambda x: x) -> Column:
+    """Struct (at, n) of the runs of elements with equal keys in a sorted array."""
+    new = lambda i: (i == 0) | (key(F.get(v, i)) != key(F.get(v, i - 1)))
+    starts = F.when(F.size(v) > 0, F.filter(F.sequence(F.lit(0), F.size(v) - 1), new))
+    return let(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.transform(s, lambda at, k: F.struct(
+        at.alias("at"), (F.coalesce(F.get(s, k + 1), F.size(v)) - at).alias("n"))))
+
+
 def repeated_counts(values, times: int, name: str) -> Column:
-    """Struct (name, uses) of the values that occur at least `times` times."""
+    """Struct (name, uses) of the values that occur at least `times` times, in order."""
     def counted(v):
-        return F.transform(repeated(v, times), lambda x: F.struct(
-            x.alias(name), F.size(F.filter(v, lambda y: y == x)).cast("long").alias("uses")))
+        return F.transform(F.filter(runs(v), lambda r: r["n"] >= times), lambda r: F.struct(
+            F.get(v, r["at"]).alias(name), r["n"].cast("long").alias("uses")))
+
+    return let(F.array_sort(values), counted)
+
+
+GATHERED = 256
+#: Open tags of a page that are kept as one text.
+STACKED = 256
+
+
+def running(items, start, step, kind: str) -> Column:
+    """Struct (state, out) of a walk over an array: the last state, and what the step gives for every element.
+
+    `step` takes the state and an element and gives struct (state, out); `kind` is the type of its `out`. What it gives
+    is gathered in blocks of 256, so that appending to the result doesn't copy all of it.
+    """
+    def appended(acc, r):
+        return let(r, lambda r: F.struct(
+            r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    def walked(v):
+        def block(acc, at):
+            begin = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+            return appended(acc, F.aggregate(
+                F.slice(v, at, F.lit(GATHERED)), begin, lambda inner, x: appended(inner, step(inner["state"], x))))
+
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(GATHERED)))
+        begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.aggregate(
+            F.coalesce(starts, F.array().cast("array<int>")), begin, block,
+            lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["out"]).alias("out")))
 
-    return let(values, counted)
+    return let(items, walked)
 
 
 # Lines --------------------------------------------------------------------------------------------------------
@@ -36,14 +74,14 @@ def repeated_counts(values, times: int, name: str) -> Column:
 def line_array(text="text") -> Column:
     """Struct (line_no, line, indent); a final empty piece is no line."""
     text = col(text)
-    pieces = F.when(text != "", F.split(F.regexp_replace(text, r"\n\z", ""), "\n")).otherwise(strings())
+    pieces = F.when(text != "", F.split(F.regexp_replace(text, r"(?:%s)\z" % LINE_END, ""), LINE_END)).otherwise(strings())
     return F.transform(pieces, lambda l, i: F.struct(
         (i + 1).alias("line_no"), l.alias("line"),
         (F.length(l) - F.length(F.regexp_replace(l, r"^[ \t]+", ""))).alias("indent")))
 
 
 def trimmed_lines(text, longer_than: int) -> Column:
-    trimmed = F.transform(F.split(col(text), "\n"), lambda l: F.trim(l))
+    trimmed = F.transform(F.split(col(text), LINE_END), lambda l: F.trim(l))
     return F.filter(trimmed, lambda l: F.length(l) > longer_than)
 
 
@@ -80,28 +118,64 @@ def tag_array(text="text", skip_scripts: bool = False) -> Column:
 
 
 def stack_walk(tags) -> Column:
-    """Fold the tags of a page over a stack of open tags: struct (stack, errors of (kind, tag))."""
-    state = lambda stack, errors: F.struct(stack.alias("stack"), errors.alias("errors"))
-    start = state(strings(), F.array().cast("array<struct<kind:string,tag:string>>"))
+    """Walk the tags of a page over a stack of open tags: struct (stack, errors of (kind, tag)).
 
-    def step(acc, t):
-        stack, errors, tag = acc["stack"], acc["errors"], t["tag"]
-        error = lambda kind: F.concat(errors, F.array(F.struct(F.lit(kind).alias("kind"), tag.alias("tag"))))
-        depth = F.size(stack)
-        top = F.get(stack, depth - 1)
-        from_top = F.array_position(F.reverse(stack), tag).cast("int")
-        popped = F.slice(stack, F.lit(1), depth - from_top)
-        inside_p = (top == "p") & one_of(tag, NOT_IN_PARAGRAPH)
-        opened_errors = F.when(F.coalesce(inside_p, F.lit(False)), error("invalid_child")).otherwise(errors)
-        opened_stack = F.when(t["is_void"], stack).otherwise(F.concat(stack, F.array(tag)))
-        return (
-            F.when(~t["is_close"], state(opened_stack, opened_errors))
-            .when(from_top == 1, state(popped, errors))
-            .when(from_top > 1, state(popped, error("out_of_order")))
-            .otherwise(state(stack, error("unexpected_close")))
-        )
+    A fold copies its state at every step, so a deep stack is kept as few values: full blocks as one text each (`low`,
+    with their distinct names to search in) and the tags on top of them (`top`), which is empty only where the stack is.
+    """
+    def spaced(names):
+        return F.concat(F.lit(" "), F.array_join(names, " "), F.lit(" "))
+
+    def tags_of(block):
+        return F.split(F.trim(block["tags"]), " ")
+
+    def state(low, top):
+        refill = (F.size(top) == 0) & (F.size(low) > 0)
+        return F.struct(
+            F.when(refill, F.slice(low, F.lit(1), F.size(low) - 1)).otherwise(low).alias("low"),
+            F.when(refill, tags_of(F.get(low, F.size(low) - 1))).otherwise(top).alias("top"))
+
+    def up_to(block, from_top):
+        return F.slice(block, F.lit(1), F.size(block) - from_top)
 
-    return F.aggregate(col(tags), start, step)
+    def last_at(block, tag):
+        return F.array_position(F.reverse(block), tag).cast("int")
+
+    def step(acc, t):
+        low, top, tag = acc["low"], acc["top"], t["tag"]
+
+        def after(now, kind):
+            error = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), tag.alias("tag")))
+            return F.struct(now.alias("state"), error.alias("out"))
+
+        def closed_below(holding):
+            at = F.get(holding, F.size(holding) - 1)
+            block = tags_of(F.get(low, at))
+            found = state(F.slice(low, F.lit(1), at), up_to(block, last_at(block, tag)))
+            return F.when(at.isNull(), after(acc, F.lit("unexpected_close"))).otherwise(
+                after(found, F.lit("out_of_order")))
+
+        def closed(from_top):
+            below = F.filter(F.sequence(F.lit(0), F.size(low)), lambda i: F.contains(
+                F.get(low, i)["names"], F.concat(F.lit(" "), tag, F.lit(" "))))
+            return F.when(from_top > 0, after(
+                state(low, up_to(top, from_top)), F.when(from_top > 1, "out_of_order"))
+            ).otherwise(let(below, closed_below))
+
+        full = F.size(top) >= STACKED
+        block = F.struct(spaced(top).alias("tags"), spaced(F.array_distinct(top)).alias("names"))
+        pushed = F.struct(
+            F.when(full, F.concat(low, F.array(block))).otherwise(low).alias("low"),
+            F.when(full, F.array(tag)).otherwise(F.concat(top, F.array(tag))).alias("top"))
+        misplaced = (F.get(top, F.size(top) - 1) == "p") & one_of(tag, NOT_IN_PARAGRAPH)
+        opened = after(F.when(t["is_void"], acc).otherwise(pushed), F.when(misplaced, "invalid_child"))
+        return F.when(t["is_close"], let(last_at(top, tag), closed)).otherwise(opened)
+
+    start = F.struct(
+        F.array().cast("array<struct<tags:string,names:string>>").alias("low"), strings().alias("top"))
+    return let(running(col(tags), start, step, "struct<kind:string,tag:string>"), lambda r: F.struct(
+        F.concat(F.flatten(F.transform(r["state"]["low"], tags_of)), r["state"]["top"]).alias("stack"),
+        F.filter(r["out"], lambda e: e.isNotNull()).alias("errors")))
 
 
 def tag_depth(tags, tag: str = "div") -> Column:
@@ -365,39 +439,83 @@ def imported_names(line) -> Column:
     return F.filter(F.coalesce(names, strings()), lambda n: n != "")
 
 
+# Block headers.
+LOOP = r"^\s*(?:async\s+)?(?:for|while)\b.*:\s*$"
+FOR_LOOP = r"^\s*(?:async\s+)?for\b.*:\s*$"
+ASYNC = r"^\s*async\s+def\b"
+HANDLER = r"^\s*except\b.*:"
+
+
+
+# Blocks are found in one walk over a file's lines with the blocks that are open there. Open blocks are indented ever
+# deeper, so their number stays below the root of twice the text's length.
+
+
 def block_array(lines, header: str) -> Column:
-    """Struct (line_no, end_no) of the indented blocks under header lines.
+    """Struct (line_no, indent, end_no) of the indented blocks under header lines.
 
-    `end_no` is the next non-blank line indented no deeper, null at the end of the file.
+    `end_no` is the next non-blank line indented no deeper, null at the end of the file. Lines are walked from the
+    last one; the state holds the first line of each smaller indent behind.
     """
-    lines = F.filter(lines, lambda l: F.trim(l["line"]) != "")
+    def step(behind, l):
+        def settled(outer):
+            end_no = F.get(outer, F.size(outer) - 1)["line_no"]
+            here = F.array(F.struct(l["indent"].alias("indent"), l["line_no"].alias("line_no")))
+            block = F.struct(l["line_no"].alias("line_no"), l["indent"].alias("indent"), end_no.alias("end_no"))
+            return F.struct(
+                F.concat(F.filter(outer, lambda o: o["indent"] < l["indent"]), here).alias("state"),
+                F.when(l["line"].rlike(header), block).alias("out"))
 
-    def read(rows):
-        def block(h):
-            later = F.filter(rows, lambda l: (l["line_no"] > h["line_no"]) & (l["indent"] <= h["indent"]))
-            return F.struct(h["line_no"].alias("line_no"), F.get(later, 0)["line_no"].alias("end_no"))
+        return let(F.filter(behind, lambda o: o["indent"] <= l["indent"]), settled)
 
-        return F.transform(F.filter(rows, lambda l: l["line"].rlike(header)), block)
+    start = F.array().cast("array<struct<indent:int,line_no:int>>")
+    walk = running(_backward(lines), start, step, "struct<line_no:int,indent:int,end_no:int>")
+    return F.reverse(F.filter(walk["out"], lambda b: b.isNotNull()))
 
-    return let(lines, read)
 
+def _backward(lines) -> Column:
+    return F.reverse(F.filter(lines, lambda l: F.trim(l["line"]) != ""))
 
-def inside(line_no, blocks) -> Column:
-    """Number of blocks around a line."""
-    return F.size(F.filter(blocks, lambda b: (b["line_no"] < line_no) & (
-        b["end_no"].isNull() | (line_no < b["end_no"]))))
 
+def blocks_without(lines, header: str, mark: str) -> Column:
+    """A true for every block under a header that no line like `mark` stands in."""
+    def step(behind, l):
+        def settled(inner):
+            equal = F.exists(behind, lambda o: (o["indent"] == l["indent"]) & o["marked"])
+            here = F.array(F.struct(
+                l["indent"].alias("indent"), (inner | equal | l["line"].rlike(mark)).alias("marked")))
+            return F.struct(
+                F.concat(F.filter(behind, lambda o: o["indent"] < l["indent"]), here).alias("state"),
+                (l["line"].rlike(header) & ~inner).alias("out"))
 
-# Block headers.
-LOOP = r"^\s*(?:async\s+)?(?:for|while)\b.*:\s*$"
-FOR_LOOP = r"^\s*(?:async\s+)?for\b.*:\s*$"
-ASYNC = r"^\s*async\s+def\b"
-HANDLER = r"^\s*except\b.*:"
+        return let(F.exists(behind, lambda o: (o["indent"] > l["indent"]) & o["marked"]), settled)
+
+    start = F.array().cast("array<struct<indent:int,marked:boolean>>")
+    return F.filter(running(_backward(lines), start, step, "boolean")["out"], lambda silent: silent)
+
+
+def depth_array(lines, header: str) -> Column:
+    """The number of blocks under a header around each line."""
+    def step(around, l):
+        still = F.when(F.trim(l["line"]) == "", around).otherwise(F.filter(around, lambda i: i < l["indent"]))
+        return let(still, lambda s: F.struct(
+            F.when(l["line"].rlike(header), F.concat(s, F.array(l["indent"]))).otherwise(s).alias("state"),
+            F.size(s).alias("out")))
+
+    return running(lines, F.array().cast("array<int>"), step, "int")["out"]
 
 
 def lines_within(lines, header: str) -> Column:
     """Lines inside some block under a header."""
-    def within(blocks):
-        return F.when(F.size(blocks) > 0, F.filter(lines, lambda l: inside(l["line_no"], blocks) > 0))
-
-    return let(block_array(lines, header), within)
+    def step(outermost, l):
+        # The indent of the outermost open block; null outside of all.
+        still = F.when((F.trim(l["line"]) == "") | (l["indent"] > outermost), outermost)
+        return let(still, lambda s: F.struct(
+            F.coalesce(s, F.when(l["line"].rlike(header), l["indent"])).alias("state"), s.isNotNull().alias("out")))
+
+    def within(v):
+        flags = running(v, F.lit(None).cast("int"), step, "boolean")["out"]
+        held = let(flags, lambda f: F.filter(v, lambda l, i: F.get(f, i)))
+        return F.when(F.exists(v, lambda l: l["line"].rlike(header)), held)
+
+    return let(lines, within)

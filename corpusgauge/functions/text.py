@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 REPORT_BANDS = ((85, "Good"), (70, "Fair"), (50, "Weak"), (0, "Poor"))
 PAGE_BANDS = ((80, "good"), (50, "warn"), (0, "bad"))
 
+# The characters that end a line, as in Python's splitlines; a newline behind a return belongs to it.
+ENDS = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+LINE_END = r"\r\n|[%s]" % ENDS
+ENDS_BUT_NEWLINE = r"[%s&&[^\n]]" % ENDS
+
 
 def col(c):
     return F.col(c) if isinstance(c, str) else c
@@ -77,19 +82,29 @@ def line_count(text) -> Column:
     return count_substr(text, "\n") + open_end.cast("int")
 
 
+def longer_line(width: int) -> str:
+    """Pattern of a line of more than `width` characters."""
+    return "[^%s]{%d}" % (ENDS, width + 1)
+
+
 def lines_over(text, width: int) -> Column:
-    return count_regex(text, "(?m)^.{%d,}$" % (width + 1))
+    return count_regex(text, "[^%s]{%d,}+" % (ENDS, width + 1))
 
 
 def text_metrics(text) -> Column:
-    """Struct of line count, non-empty lines, mean line length and todo marks, without splitting."""
+    """Struct of line count, non-empty lines, mean line length and todo marks, without splitting.
+
+    `lines` counts newlines; the mean is over lines however they end, and leaves their ends out.
+    """
     text = col(text)
-    lines = line_count(text)
-    chars = F.length(text) - count_substr(text, "\n")
-    mean = F.when(lines > 0, F.bround(chars / lines, 2)).otherwise(F.lit(0.0))
+    ends = count_regex(text, LINE_END)
+    others = ends + ((text != "") & ~text.rlike(r"[%s]\z" % ENDS)).cast("int")
+    split = F.when(text.rlike(ENDS_BUT_NEWLINE), others).otherwise(line_count(text))
+    chars = F.length(replace_regex(text, "[%s]++" % ENDS, ""))
+    mean = let(split, lambda n: F.when(n > 0, F.bround(chars / n, 2)).otherwise(F.lit(0.0)))
     return F.struct(
-        lines.cast("long").alias("lines"),
-        count_regex(text, r"[^\n]*\S[^\n]*").cast("long").alias("non_empty_lines"),
+        line_count(text).cast("long").alias("lines"),
+        count_regex(text, r"[^\s%s][^%s]*+" % (ENDS, ENDS)).cast("long").alias("non_empty_lines"),
         mean.alias("avg_line_length"),
         count_substr(F.lower(text), "todo").cast("long").alias("todo_count"),
     )

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import events as ev
 from ..functions.code import strip_code
 from ..functions.css import closest_property, known_properties
-from ..functions.text import count_regex, extract_all, one_of, regex
+from ..functions.text import count_regex, extract_all, let, one_of, regex
 from ..functions.events import ASYNC, HOOKS_WITH_DEPS, LOOP, PY_NAME
 from ..plans.checks_code import (
     ARGUMENT_NAME, CALL, GIVEN, JS_GLOBALS, JS_KEYWORDS, MEMBER, NULL_ASSIGNED, PROP_TYPES, REQUIRED, RESOURCES,
@@ -14,7 +14,6 @@ from ..plans.checks_code import (
 from ..plans.checks_css import VENDOR
 from ..plans.checks_html import CONTROL, CONTROL_ID, LABEL, SELF_LABELLED, SKIPPED_INPUT
 from .unnest import KEY, js_declarations, js_names, jsx_tags, py_lines, py_symbols
-from .windows import indent_spans
 
 FILE = ["job_id", "path"]
 
@@ -150,28 +149,23 @@ def taint_flow(files: DataFrame) -> DataFrame:
     )
 
 
-def inside_span(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
-    """Add the number of spans around every line.
+def inside_span(files: DataFrame, **headers: str) -> DataFrame:
+    """Lines (line_no, line, indent) of Python texts with the number of blocks under each kind of header around them.
 
-    A span adds one from the line after its header and takes it back at its end; the running sum is the depth,
-    so no line is paired with the spans around it.
+    One walk over the lines in the file's row for each kind; no line is paired with the blocks around it.
     """
-    opened = spans.select(*FILE, (F.col("line_no") + 1).alias("line_no"), F.lit(1).alias("step"))
-    closed = spans.where("end_no is not null").select(*FILE, F.col("end_no").alias("line_no"), F.lit(-1).alias("step"))
-    steps = opened.unionByName(closed).groupBy(*FILE, "line_no").agg(F.sum("step").alias("step"))
-    w = W.partitionBy(*FILE).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    # Steps may fall on blank lines, which carry no row of their own.
-    every = rows.join(steps, [*FILE, "line_no"], "full")
-    depth = F.coalesce(F.sum("step").over(w), F.lit(0)).cast("int")
-    return every.withColumn(name, depth).where("line is not null").drop("step")
+    def counted(lines):
+        depths = F.struct(*[ev.depth_array(lines, header).alias(name) for name, header in headers.items()])
+        return let(depths, lambda d: F.transform(lines, lambda l, i: F.struct(
+            l["line_no"].alias("line_no"), l["line"].alias("line"), l["indent"].alias("indent"),
+            *[F.get(d[name], i).alias(name) for name in headers])))
+
+    return files.select(*KEY, F.inline(let(ev.py_line_array("text"), counted)))
 
 
 def py_blocks(files: DataFrame) -> DataFrame:
     """Python lines with the number of loops and async functions around them."""
-    rows = py_lines(files)
-    loops = indent_spans(rows, F.col("line").rlike(LOOP))
-    waits = indent_spans(rows, F.col("line").rlike(ASYNC))
-    return inside_span(inside_span(rows, loops, "loops"), waits, "asyncs")
+    return inside_span(files, loops=LOOP, asyncs=ASYNC)
 
 
 # Styles -------------------------------------------------------------------------------------------------------
@@ -191,8 +185,9 @@ def unknown_properties(declarations: DataFrame, known=None) -> DataFrame:
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Findings counted per (path, rule_id, message) in two runs, with their state."""
-    key = ["path", "rule_id", "message"]
+    """Findings counted per (path, rule_id, message) in two runs, with their state; per project too, where both name it."""
+    project = [c for c in ("original_name",) if c in before.columns and c in after.columns]
+    key = [*project, "path", "rule_id", "message"]
     a = before.groupBy(*key).agg(F.count("*").alias("n_before"))
     b = after.groupBy(*key).agg(F.count("*").alias("n_after"))
     n, m = F.coalesce("n_before", F.lit(0)), F.coalesce("n_after", F.lit(0))

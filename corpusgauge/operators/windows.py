@@ -1,8 +1,8 @@
 """Running and ranked operators. Windows over a file's rows are bounded by that file's text."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.events import VOID_TAGS, stack_walk, tag_array
+from ..functions.events import VOID_TAGS, block_array, line_array, py_line_array, stack_walk, tag_array
 from .unnest import KEY
 
 PER_FILE = ["job_id", "path"]
@@ -43,20 +43,14 @@ def first_per_rule(findings: DataFrame, *order) -> DataFrame:
     return findings.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def indent_spans(lines: DataFrame, headers: Column) -> DataFrame:
-    """Blocks by indentation: rows (line_no, line, indent, end_no) of header lines.
+def indent_spans(files: DataFrame, header: str, python: bool = True) -> DataFrame:
+    """Blocks by indentation: rows (line_no, indent, end_no) of the lines like `header`, found in the file's row.
 
-    `end_no` is the next non-blank line indented no deeper, null at the end of the file. For each indent that
-    a header of the file has, one backward running minimum finds the next such line: no line pairs are formed.
+    `end_no` is the next non-blank line indented no deeper, null at the end of the file. In Python texts, comments
+    and strings are blanked first.
     """
-    rows = lines.where(F.trim("line") != "").withColumn("is_header", headers)
-    levels = rows.where("is_header").select(*PER_FILE, F.col("indent").alias("level")).distinct()
-    stops = rows.select(*PER_FILE, "line_no", "indent").join(levels, PER_FILE)
-    after = W.partitionBy(*PER_FILE, "level").orderBy("line_no").rowsBetween(1, W.unboundedFollowing)
-    stops = stops.withColumn(
-        "end_no", F.min(F.when(F.col("indent") <= F.col("level"), F.col("line_no"))).over(after))
-    ends = stops.where(F.col("indent") == F.col("level")).select(*PER_FILE, "line_no", "end_no")
-    return rows.where("is_header").drop("is_header").join(ends, [*PER_FILE, "line_no"])
+    lines = py_line_array("text") if python else line_array("text")
+    return files.select(*KEY, F.inline(block_array(lines, header)))
 
 
 def run_trend(scores: DataFrame, runs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.code import version_risk
 from ..functions.events import (
-    FOR_LOOP, HANDLER, HOOKS_WITH_DEPS, JS_NAME, PY_NAME, block_array, imported_names, inside, missing_names,
+    FOR_LOOP, HANDLER, HOOKS_WITH_DEPS, JS_NAME, PY_NAME, blocks_without, imported_names, missing_names,
 )
 from ..functions.text import extract_all, let, one_of, regex
 from .checks import RowCheck, Spec, each, once
@@ -89,15 +89,25 @@ def _early_uses() -> Column:
         names = F.array_distinct(extract_all(l["line"], r"(?:^|[^.\w$])(%s)" % JS_NAME, 1))
         return F.transform(names, lambda n: F.struct(n.alias("name"), l["line_no"].alias("line_no")))
 
+    def entry(source, x, kind):
+        return F.struct(x["name"].alias("name"), F.lit(source).alias("source"), x["line_no"].alias("line_no"),
+                        kind.alias("kind"))
+
+    # Sorted together, a variable stands right before the first line that names it.
     def early(v):
-        variables = F.filter(
-            v["declared"], lambda d: (d["kind"] != "function") & ~one_of(d["name"], JS_KEYWORDS + JS_GLOBALS))
-        return F.filter(variables, lambda d: F.exists(
-            v["named"], lambda n: (n["name"] == d["name"]) & (n["line_no"] < d["line_no"])))
+        def is_early(d, i):
+            return let(F.get(v, i + 1), lambda n: (d["source"] == 0) & (n["source"] == 1) & (
+                n["name"] == d["name"]) & (n["line_no"] < d["line_no"]))
+
+        return F.filter(v, is_early)
 
-    return let(F.struct(
-        first_by_name(F.flatten(F.transform("lines", declared))).alias("declared"),
-        first_by_name(F.flatten(F.transform("lines", named))).alias("named")), early)
+    first_declared = first_by_name(F.flatten(F.transform("lines", declared)))
+    variables = F.filter(
+        first_declared, lambda d: (d["kind"] != "function") & ~one_of(d["name"], JS_KEYWORDS + JS_GLOBALS))
+    first_named = first_by_name(F.flatten(F.transform("lines", named)))
+    return let(F.array_sort(F.concat(
+        F.transform(variables, lambda d: entry(0, d, d["kind"])),
+        F.transform(first_named, lambda n: entry(1, n, F.lit(None).cast("string"))))), early)
 
 
 def _nullish() -> Column:
@@ -287,13 +297,8 @@ def _unused() -> Column:
 
 
 def _swallowed() -> Column:
-    """Exception handlers whose block never raises."""
-    def silent(blocks):
-        raises = F.filter("py_lines", lambda l: l["line"].rlike(r"\braise\b"))
-        return F.filter(blocks, lambda b: ~F.exists(
-            raises, lambda l: inside(l["line_no"], F.array(b)) > 0))
-
-    return let(block_array(C("py_lines"), HANDLER), silent)
+    """A true for every exception handler whose block never raises."""
+    return blocks_without(C("py_lines"), HANDLER, r"\braise\b")
 
 
 def python_correctness() -> Column:

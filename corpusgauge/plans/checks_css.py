@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from ..functions.css import closest_property, contrast_ratio, css_length, css_rgb, known_properties
-from ..functions.events import DYNAMIC, repeated, selector_array, signature
+from ..functions.events import DYNAMIC, repeated, repeated_counts, runs, selector_array, signature
 from ..functions.text import extract_all, let, one_of, replace_regex, squeeze
 from ..functions.utility import BREAKPOINTS, known_base, known_variant
 from .checks import RowCheck, Spec, each, once
@@ -207,13 +207,13 @@ def _weight(rule) -> Column:
 
 def _doubles(rule) -> Column:
     """Struct (prop, same) of properties that a rule sets more than once."""
-    names = F.transform(rule["d"], lambda d: d["prop"])
+    def doubles(v):
+        return F.transform(F.filter(runs(v, lambda d: d["prop"]), lambda r: r["n"] > 1), lambda r: F.struct(
+            F.get(v, r["at"])["prop"].alias("prop"),
+            (F.get(v, r["at"])["value"] == F.get(v, r["at"] + r["n"] - 1)["value"]).alias("same")))
 
-    def double(prop):
-        own = F.transform(F.filter(rule["d"], lambda d: d["prop"] == prop), lambda d: d["value"])
-        return F.struct(prop.alias("prop"), (F.size(F.array_distinct(own)) == 1).alias("same"))
-
-    return F.transform(repeated(names, 2), double)
+    pairs = F.transform(rule["d"], lambda d: F.struct(d["prop"].alias("prop"), d["value"].alias("value")))
+    return let(F.array_sort(pairs), doubles)
 
 
 def style() -> Column:
@@ -260,8 +260,7 @@ def _literals(rule) -> Column:
 
 def _top_pair(pairs) -> Column:
     """The most common of the texts that occur more than ten times, ties by text."""
-    counted = F.transform(repeated(pairs, 11), lambda p: F.struct(
-        (-F.size(F.filter(pairs, lambda x: x == p))).alias("n"), p.alias("p")))
+    counted = F.transform(repeated_counts(pairs, 11, "p"), lambda r: F.struct((-r["uses"]).alias("n"), r["p"]))
     return F.array_min(counted)["p"]
 
 

@@ -1,5 +1,6 @@
 """Rule packs for component files. Patterns, thresholds, impacts and messages are fixed values."""
 
+from ...functions.text import longer_line
 from ..rules import Rule, at_least, exceeds, has, lacks, reaches
 
 LANG = "react"
@@ -105,7 +106,7 @@ STYLE = [
     r("nested_ternary", "low", 4, "Nested ternary logic hurts readability.", reaches("ternary_lines", 1)),
     r("inline_style", "low", 4, "Heavy inline styling makes JSX harder to maintain.",
       at_least(r"\bstyle\s*=\s*\{\s*\{", 4)),
-    r("long_lines", "low", 3, "Some lines are very long. Split them for readability.", has(r"(?m)^.{161,}$")),
+    r("long_lines", "low", 3, "Some lines are very long. Split them for readability.", has(longer_line(160))),
 ]
 
 PACKS = {

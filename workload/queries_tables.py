@@ -391,7 +391,7 @@ def win_4(findings):
 
 
 def win_5(files):
-    rows = wi.indent_spans(u.py_lines(files), F.col("line").rlike(r":\s*$"))
+    rows = wi.indent_spans(files, r":\s*$")
     return rows.select("path", "line_no", "indent", "end_no")
 
 
