@@ -86,17 +86,17 @@ DOM_VARIABLE = (
     r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:document\.querySelector(?:All)?|document\.getElementById"
     r"|document\.getElementsByClassName|document\.getElementsByTagName)\s*\("
 )
-DOM_USE = r"\E\s*\.\s*(?:addEventListener|classList|style|value|textContent|innerHTML|setAttribute)\b"
+DOM_USE = (
+    r"(?:^|[^\w$])([A-Za-z_$][\w$]*+)\s*+\.\s*(?:addEventListener|classList|style|value|textContent|innerHTML"
+    r"|setAttribute)\b"
+)
+DOM_GUARD = r"\bif\s*\(\s*([A-Za-z_$][\w$]*)\s*\)"
 
 
 def _unguarded() -> Column:
-    """The first of the first eight element variables, if any, that is used without a guard."""
-    def bare(name):
-        used = F.concat(F.lit(r"\b\Q"), name, F.lit(DOM_USE))
-        guard = F.concat(F.lit(r"\bif\s*\(\s*\Q"), name, F.lit(r"\E\s*\)"))
-        return F.regexp_like("script_text", used) & ~F.regexp_like("script_text", guard)
-
-    return F.slice(F.filter(F.slice(extract_all("script_text", DOM_VARIABLE, 1), 1, 8), bare), 1, 1)
+    """The first element variable, if any, that is used without a guard."""
+    names, used, guarded = (extract_all("script_text", p, 1) for p in (DOM_VARIABLE, DOM_USE, DOM_GUARD))
+    return F.slice(F.array_except(F.array_intersect(names, used), guarded), 1, 1)
 
 
 def script() -> Column:

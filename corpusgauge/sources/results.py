@@ -7,10 +7,13 @@ from ..model import DETAILS
 from ..operators.unnest import KEY
 
 FILE = ["job_id", "path"]
+SALTS = 32
 
 
 def _write(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write by job and language; the rows of one folder come from at most as many tasks as there are salts."""
+    salt = F.pmod(F.hash("path"), F.lit(SALTS))
+    (df.repartition("job_id", "language", salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("job_id", "language").parquet(path))
 
 

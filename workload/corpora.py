@@ -38,8 +38,12 @@ def conversation_files(spark, sf_dir) -> DataFrame:
         language="text", job_id=JOB)
 
 
+ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+
+
 def code_files(spark, sf_dir) -> DataFrame:
-    """One source file per part: the snippet of the part's size, then a document's whole text as a comment."""
+    """One source file per part: the snippet of the part's size with a document's whole text, as a comment behind it or,
+    in JSON, as a string in front of the object's other values."""
     snippets = spark.createDataFrame(SNIPPETS, "snippet_id int, file_name string, language string, snippet string")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("body"))
     parts = table(spark, sf_dir, "part").select(
@@ -48,10 +52,15 @@ def code_files(spark, sf_dir) -> DataFrame:
     as_lines = lambda mark: F.concat(F.lit("\n" + mark), F.replace("body", F.lit("\n"), F.lit("\n" + mark)))
     comment = (
         F.when(F.col("language") == "python", as_lines("# "))
-        .when(F.col("language").isin("javascript", "react"), as_lines("// "))
+        .when(F.col("language").isin("javascript", "react", "mongodb"), as_lines("// "))
         .when(F.col("language") == "css", F.concat(F.lit("\n/* "), "body", F.lit(" */")))
         .when(F.col("language") == "html", F.concat(F.lit("\n<!-- "), "body", F.lit(" -->")))
     )
+    string = F.col("body")
+    for raw, escaped in ESCAPES:
+        string = F.replace(string, F.lit(raw), F.lit(escaped))
+    as_value = F.concat(F.lit('{"about": "'), string, F.lit('", '), F.substr(code, F.lit(2)))
+    is_object = (F.col("language") == "manifest") & code.startswith("{") & F.col("body").isNotNull()
     return (
         parts.join(F.broadcast(snippets), "snippet_id")  # 50 constant rows
         .join(docs, "p_partkey", "left")
@@ -59,7 +68,7 @@ def code_files(spark, sf_dir) -> DataFrame:
             F.lit(JOB).alias("job_id"),
             F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string"), "file_name").alias("path"),
             "language",
-            F.concat(code, F.coalesce(comment, F.lit(""))).alias("text"),
+            F.when(is_object, as_value).otherwise(F.concat(code, F.coalesce(comment, F.lit("")))).alias("text"),
         )
     )
 
@@ -87,17 +96,21 @@ def quote(s: str) -> str:
 
 CODE_VALUES = ",\n".join(f"({i}, {quote(n)}, {quote(l)}, {quote(t)})" for i, n, l, t in SNIPPETS)
 
+AS_STRING = reduce(lambda s, e: f"replace({s}, {quote(e[0])}, {quote(e[1])})", ESCAPES, "d.text")
+
 SQL = {
     "pages": f"""SELECT '{JOB}' AS job_id, regexp_replace(url, '^https?://', '') || '~' || page_id || '.html' AS path,
   'html' AS language, html AS text FROM pages""",
     "conversations": f"""SELECT '{JOB}' AS job_id, 'conv_' || conv_id || '/' || turn || '.txt' AS path,
   'text' AS language, text FROM conversations""",
     "code": f"""SELECT '{JOB}' AS job_id, p_brand || '/' || p_partkey || '/' || file_name AS path, s.language,
-  replace(snippet, '@PART@', p_name) || coalesce(CASE
+  CASE WHEN s.language = 'manifest' AND starts_with(snippet, '{{') AND d.text IS NOT NULL
+    THEN '{{"about": "' || {AS_STRING} || '", ' || replace(snippet, '@PART@', p_name)[2:]
+    ELSE replace(snippet, '@PART@', p_name) || coalesce(CASE
     WHEN s.language = 'python' THEN chr(10) || '# ' || replace(d.text, chr(10), chr(10) || '# ')
-    WHEN s.language IN ('javascript', 'react') THEN chr(10) || '// ' || replace(d.text, chr(10), chr(10) || '// ')
+    WHEN s.language IN ('javascript', 'react', 'mongodb') THEN chr(10) || '// ' || replace(d.text, chr(10), chr(10) || '// ')
     WHEN s.language = 'css' THEN chr(10) || '/* ' || d.text || ' */'
-    WHEN s.language = 'html' THEN chr(10) || '<!-- ' || d.text || ' -->' END, '') AS text
+    WHEN s.language = 'html' THEN chr(10) || '<!-- ' || d.text || ' -->' END, '') END AS text
   FROM part JOIN snippets s ON p_size = snippet_id LEFT JOIN documents d ON doc_id = p_partkey""",
 }
 

@@ -122,16 +122,17 @@ def src_8(spark, sf):
         "path", "language", "score", "rule", "severity", "score_impact", "message")
 
 
-def _turns(spark, sf, role):
-    turns = table(spark, sf, "conversations").where(F.col("role") == role)
+def _turns(spark, sf, which):
+    turns = table(spark, sf, "conversations").where(which)
     return turns.select(
         F.concat(F.lit("conv-"), "conv_id").alias("job_id"), F.concat("role", F.lit("-"), "turn").alias("original_name"),
         F.timestamp_seconds(F.col("turn") * 3600).alias("created_at"))
 
 
 def src_9(spark, sf):
-    """Runs named by conversations: the user turns registered first, then the assistant turns."""
-    runs = results.register_run(_turns(spark, sf, "user"), _turns(spark, sf, "assistant"))
+    """Runs named by conversations: the user turns registered first, then those of all other roles."""
+    users = F.coalesce(F.col("role") == "user", F.lit(False))
+    runs = results.register_run(_turns(spark, sf, users), _turns(spark, sf, ~users))
     return runs.select("job_id", "original_name", F.unix_timestamp("created_at").alias("created"))
 
 
@@ -347,7 +348,7 @@ QUERIES = {
     "src_8_from_details_json": (src_8, on_findings(
         "SELECT f.path, f.language, s.score, rule, severity, score_impact, message FROM findings f JOIN scores s USING (path)", SCORES)),
     "src_9_register_run": (src_9, lambda: """SELECT 'conv-' || conv_id AS job_id, arg_max(role || '-' || turn, turn) AS original_name,
-        max(turn) * 3600 AS created FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id"""),
+        max(turn) * 3600 AS created FROM conversations GROUP BY conv_id"""),
     "src_10_export_report": (src_10, on_findings(
         "SELECT path, language, score, format FROM scores, (VALUES ('csv'), ('json')) v(format)", SCORES)),
     "prj_1_file_ext": (prj_1, sql(("code", "pages"), "SELECT path, ext FROM exts", PATHS)),

@@ -98,9 +98,9 @@ def html_style():
 
 def html_script():
     scripts = f"(SELECT {KEY}, {joined('text', f.SCRIPT)} AS s FROM files WHERE language = 'html')"
-    variables = f"({every('s', ch.DOM_VARIABLE, 1)})[1:8]"
-    bare = f"""list_filter({variables}, lambda v: regexp_matches(s, '\\b\\Q' || v || {q(ch.DOM_USE)})
-      AND NOT regexp_matches(s, '\\bif\\s*\\(\\s*\\Q' || v || '\\E\\s*\\)'))"""
+    variables = every("s", ch.DOM_VARIABLE, 1)
+    bare = (f"list_filter({variables}, lambda v: list_contains({every('s', ch.DOM_USE, 1)}, v) "
+            f"AND NOT list_contains({every('s', ch.DOM_GUARD, 1)}, v))")
     rows = f"(SELECT {KEY}, list_sort(list_distinct({every('s', ch.GLOBAL_ASSIGN, 1)})) AS g, {bare} AS b FROM {scripts})"
     repeated = f"""(SELECT DISTINCT {KEY} FROM (SELECT {KEY}, trim(l) AS l FROM (SELECT {KEY}, unnest({lines_of('s')}) AS l FROM {scripts})
       GROUP BY ALL HAVING count(*) >= 4 AND length(trim(l)) > 20))"""
