@@ -97,17 +97,24 @@ def text_metrics(text) -> Column:
     `lines` counts newlines; the mean is over lines however they end, and leaves their ends out.
     """
     text = col(text)
-    ends = count_regex(text, LINE_END)
-    others = ends + ((text != "") & ~text.rlike(r"[%s]\z" % ENDS)).cast("int")
-    split = F.when(text.rlike(ENDS_BUT_NEWLINE), others).otherwise(line_count(text))
-    chars = F.length(replace_regex(text, "[%s]++" % ENDS, ""))
-    mean = let(split, lambda n: F.when(n > 0, F.bround(chars / n, 2)).otherwise(F.lit(0.0)))
-    return F.struct(
+    open_end = (text != "") & ~text.rlike(r"[%s]\z" % ENDS)
+
+    def counts(split, chars, non_empty):
+        return F.struct(split.alias("split"), chars.alias("chars"), non_empty.alias("non_empty"))
+
+    # Most texts know only newlines, which are counted without the wide class.
+    found = F.when(text.rlike(ENDS_BUT_NEWLINE), counts(
+        count_regex(text, LINE_END) + open_end.cast("int"), F.length(replace_regex(text, "[%s]++" % ENDS, "")),
+        count_regex(text, r"[^\s%s][^%s]*+" % (ENDS, ENDS)))
+    ).otherwise(counts(
+        line_count(text), F.length(text) - count_substr(text, "\n"), count_regex(text, r"\S[^\n]*+")))
+    mean = lambda n: F.when(n["split"] > 0, F.bround(n["chars"] / n["split"], 2)).otherwise(F.lit(0.0))
+    return let(found, lambda n: F.struct(
         line_count(text).cast("long").alias("lines"),
-        count_regex(text, r"[^\s%s][^%s]*+" % (ENDS, ENDS)).cast("long").alias("non_empty_lines"),
-        mean.alias("avg_line_length"),
+        n["non_empty"].cast("long").alias("non_empty_lines"),
+        mean(n).alias("avg_line_length"),
         count_substr(F.lower(text), "todo").cast("long").alias("todo_count"),
-    )
+    ))
 
 
 def content_hash(text) -> Column:
