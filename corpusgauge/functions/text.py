@@ -108,7 +108,7 @@ def text_metrics(text) -> Column:
         count_regex(text, r"[^\s%s][^%s]*+" % (ENDS, ENDS)))
     ).otherwise(counts(
         line_count(text), F.length(text) - count_substr(text, "\n"), count_regex(text, r"\S[^\n]*+")))
-    mean = lambda n: F.when(n["split"] > 0, F.bround(n["chars"] / n["split"], 2)).otherwise(F.lit(0.0))
+    mean = lambda n: F.when(n["split"] > 0, F.rint(n["chars"] / n["split"] * 100) / 100).otherwise(F.lit(0.0))
     return let(found, lambda n: F.struct(
         line_count(text).cast("long").alias("lines"),
         n["non_empty"].cast("long").alias("non_empty_lines"),
