@@ -32,6 +32,12 @@ MOST_PER_TASK = 1 << 14
 BLOCK = 1 << 15
 #: Bands of distance within which links are thinned out to a forest.
 BANDS = 5
+#: Texts whose shingles are counted to tell the frequent ones, and how many of these are told to the tasks.
+SAMPLE, FREQUENT = 1 << 14, 1 << 17
+#: Sets that meet at one shingle and are taken pair by pair; above that, sets and shingles compared in one task.
+FEW, MOST_SETS, MOST_SHINGLES = 64, 1 << 12, 1 << 22
+#: Buckets in which a set's shingles are counted.
+SKETCH = 128
 
 
 # Fingerprints
@@ -343,12 +349,125 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     return found.select(F.col("id").alias(key), hexadecimal(F.col("f0")).alias("fingerprint"), "component_id")
 
 
-def alike(links: DataFrame, docs: DataFrame, marked: DataFrame, words: int, similarity: float, text: str, key: str) -> DataFrame:
-    """The links (a, b) of vertices whose texts' sets of shingles have a Jaccard similarity of `similarity` or more.
+# Similar sets
 
-    Sets are made of one text per vertex in a link, and meet link by link.
-    """
-    ends = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "v")
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The set of a text's shingles, as sorted hashes."""
+    blocks = [np.unique(h) for h in hashes(text, words)]
+    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
+
+
+def frequent(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the most frequent shingles in a sample of the texts. Only the order of shingles depends on it."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select(text_hash(docs[text]).alias("text_key"), docs[text].alias("text"))
+    some = some.filter(F.pmod("text_key", F.lit(every)) == 0).dropDuplicates(["text_key"])
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["h"])
+
+    counted = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    most = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    found, n = most.column("h").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, known: tuple[np.ndarray, np.ndarray], text: str, key: str) -> DataFrame:
+    """id, text_key, v (hash of the set of shingles), n (its size), k (its sketch) and p, its prefix: so many of its rarest shingles
+    that sets of this similarity have one of them in common."""
+    often, counts = np.append(known[0], np.uint64(0)), np.append(known[1], 0)
+
+    def row(t):
+        s = shingles(t, words)
+        at = np.searchsorted(known[0], s)
+        order = np.lexsort((s, np.where(often[at] == s, counts[at], 0)))
+        p = s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
+        sketch = np.minimum(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
+        return xxhash.xxh64_intdigest(s.tobytes()), len(s), sketch.tobytes(), p.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                v, n, k, p = zip(*(row(t.as_py()) for t in part.column(2)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
+                     pa.array(k, pa.binary()), pa.array(p, pa.list_(pa.int64()))], ["id", "text_key", "v", "n", "k", "p"])
+
+    rows = docs.select(docs[key].cast("long").alias("id"), text_hash(docs[text]).alias("text_key"), docs[text].alias("text"))
+    return rows.mapInArrow(run, "id long, text_key long, v long, n int, k binary, p array<long>")
+
+
+def whole_groups(batches):
+    """The columns of the batches, sorted by the first, so that no group of it goes on in the next ones."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0).to_numpy()
+        whole = int(np.searchsorted(first, first[-1]))
+        if held and whole:
+            yield pa.Table.from_batches([*held, batch.slice(0, whole)])
+            held = []
+        elif whole:
+            yield pa.Table.from_batches([batch.slice(0, whole)])
+        elif held and held[-1].column(0)[-1].as_py() != first[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(whole))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def meetings(batches, similarity: float):
+    """From rows (h, v, n, at) sorted by h, sets of n shingles with h at place `at` of their order: (a, b, null), pairs of sets
+    that meet at a shingle of few sets and may be similar, and (v, n, h) for shingles of more sets, which also meet their first."""
+    for table in whole_groups(batches):
+        h, v, n, at = (c.to_numpy() for c in table.columns)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
+        sizes = np.diff(starts)
+        start, end = np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes)
+        many = end - start > FEW
+
+        def pairs(i, j):
+            # If h is the first they share, they share no more than what follows it.
+            room = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
+            kept = room >= np.ceil(similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-9)
+            return i[kept], j[kept]
+
+        rows = np.flatnonzero(many)
+        found = [pairs(start[rows][start[rows] != rows], rows[start[rows] != rows])]
+        i, step = np.flatnonzero(~many), 1
+        while len(i := i[i + step < end[i]]):
+            found.append(pairs(i, i + step))
+            step += 1
+        i, j = (np.concatenate(x) for x in zip(*found))
+        a, b = np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
+        if len(a):
+            a, b = np.unique(np.stack([a, b], 1), axis=0).T
+        if len(a) or len(rows):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([a, v[rows]])), pa.array(np.concatenate([b, n[rows].astype(np.int64)])),
+                 pa.array(np.concatenate([np.zeros_like(a), h[rows]]), mask=np.arange(len(a) + len(rows)) < len(a))], ["a", "b", "h"])
+
+
+def promising(pairs: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but for those whose sketches differ by more than similar sets can."""
+    def run(batches):
+        for batch in batches:
+            a, b, m, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (3, 5))
+            kept = np.abs(x - y).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (m.astype(np.int64) + n) + 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+
+    both = pairs.join(one.select(F.col("v").alias("a"), "n", "k"), "a").join(one.select(F.col("v").alias("b"), F.col("n").alias("o"), F.col("k").alias("l")), "b")
+    return both.select("a", "b", "n", "k", "o", "l").mapInArrow(run, "a long, b long")
+
+
+def sets_of(ends: DataFrame, docs: DataFrame, marked: DataFrame, words: int, text: str, key: str) -> DataFrame:
+    """(v, s): the sets of the vertices v, made of one text each."""
     one = marked.join(ends, "v").groupBy("v").agg(F.min(F.struct("text_key", "id")).alias("k")).select("v", "k.*")
     rows = docs.select(docs[key].cast("long").alias("key"), text_hash(docs[text]).alias("hash"), docs[text].alias("text"))
     rows = rows.join(one, (F.col("hash") == F.col("text_key")) & F.col("key").eqNullSafe(F.col("id"))).select("v", "text")
@@ -356,36 +475,102 @@ def alike(links: DataFrame, docs: DataFrame, marked: DataFrame, words: int, simi
     def run(batches):
         for batch in batches:
             for v, t in zip(batch.column(0), batch.column(1)):
-                blocks = [np.unique(h) for h in hashes(t.as_py(), words)]
-                found = np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v.as_py()], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["v", "s"])
+                    [pa.array([v.as_py()], pa.int64()), pa.array([shingles(t.as_py(), words).view(np.int64)], pa.list_(pa.int64()))], ["v", "s"])
+
+    return rows.mapInArrow(run, "v long, s array<long>").groupBy("v").agg(F.first("s").alias("s"))
 
-    sets = written(rows.mapInArrow(run, "v long, s array<long>").groupBy("v").agg(F.first("s").alias("s")), "sets")
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of sets whose Jaccard similarity is `similarity` or more."""
     pairs = links.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
     pairs = pairs.select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
     return pairs.filter(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
 
 
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, tables: int = 3,
-            most: int = MOST_PER_TASK) -> DataFrame:
+def alike_within(batches, similarity: float):
+    """Links (a, b) of similar sets of one group, from rows (group, v, root, side, s) sorted by group: a forest, of links that are
+    each counted. Sets of one root are connected already; those of sides 0 and 1 are compared with the other side only."""
+    for table in whole_groups(batches):
+        group, v, root, side = (table.column(i).to_numpy() for i in range(4))
+        lists = table.column(4).combine_chunks()
+        offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
+        found = []
+        for s, e in zip(cuts, cuts[1:]):
+            starts, own = offsets[s:e] - offsets[s], side[s:e]
+            universe, flat = np.unique(values[offsets[s] : offsets[e]], return_inverse=True)
+            n, label = np.diff(offsets[s : e + 1]), np.unique(root[s:e], return_inverse=True)[1]
+            ends, mark = starts + n, np.zeros(len(universe), np.int32)
+            for x in range(e - s - 1):
+                other = label != label[x]
+                other[: x + 1] = False
+                if own[x] != 2:
+                    other &= own != own[x]
+                other = np.flatnonzero(other & (np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-9))
+                if not len(other):
+                    continue
+                mark[flat[starts[x] : ends[x]]] = 1
+                if len(other) < 32:
+                    both = np.array([mark[flat[starts[y] : ends[y]]].sum() for y in other])
+                else:
+                    both = np.add.reduceat(mark[flat], starts)[other]
+                mark[flat[starts[x] : ends[x]]] = 0
+                for y in other[both >= similarity * (n[x] + n[other] - both)].tolist():
+                    if label[y] != label[x]:
+                        label[label == label[y]] = label[x]
+                        found.append((v[s + x], v[s + y]))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def linked_within(dense: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) that connect the similar sets of each group (h, v, n), but for those that `roots` connects."""
+    members = written(dense.join(roots, "v", "left").select("h", "v", "n", F.coalesce("root", "v").alias("root")), "members")
+    groups = members.groupBy("h").agg(
+        F.count("*").alias("m"), F.sum("n").alias("n"), F.min("root").alias("first"), F.max("root").alias("last"),
+        F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
+    # Shingles of one passage have the same sets.
+    groups = groups.filter("first <> last").groupBy("m", "n", "x", "y").agg(F.min("h").alias("h"))
+    parts = F.ceil(F.greatest(F.col("m") / most, F.col("n") / MOST_SHINGLES)).cast("int")
+    rows = members.drop("n").join(groups.select("h", parts.alias("parts")), "h").join(sets, "v")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    # Each pair of parts is a group.
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("with") == F.col("part"), 2).otherwise((F.col("part") > F.col("with")).cast("int")).cast("byte")
+    rows = rows.select(F.xxhash64("h", F.least("part", "with"), F.greatest("part", "with")).alias("group"), "v", "root", side.alias("side"), "s")
+    rows = rows.repartition("group").sortWithinPartitions("group")
+    return rows.mapInArrow(lambda batches: alike_within(batches, similarity), "a long, b long")
+
+
+def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, most: int = MOST_SETS) -> DataFrame:
     """Per row: id, text_key (hash of the text) and component_id: texts whose shingles of `words` words are similar are linked.
 
-    Similar: the Jaccard similarity of their sets of shingles is `similarity` or more, counted exactly. That allows more bits
-    to differ than anchors can cover, so candidates meet at the anchors of other fingerprints, of two-word shingles, which edits
-    move less: `tables` of them, with 2 flips on either side, so those within 4 of 46 bits in one of them meet for
-    certain and others often. Of these the pairs go on whose wide fingerprints, 128 bits of shingles of `words` words, don't
-    differ by over 2.5 standard deviations more than the similarity lets expect. Nulls as in near_duplicates.
+    Similar: the Jaccard similarity of their sets of shingles is `similarity` or more. All such pairs are connected and each link
+    is counted. With the shingles in one order, rare ones first, two similar sets share one of the first n - ceil(similarity n) + 1
+    of their n. Pairs that meet there and whose counts by bucket allow it are counted; where over FEW sets meet at one shingle they are
+    compared in the task, on the sets, and only counted links spare others. Nulls as in near_duplicates.
     """
-    # The angle between the shingles' vectors of equally long texts with this Jaccard similarity.
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    allowed = lambda n: int(n * share + 2.5 * math.sqrt(n * share * (1 - share)))
-    names = [f"f{i}" for i in range(tables + 2)]
-    marked = fingerprints(docs, [(2, tables), (words, 2)], text, key)
-    marked = written(marked.withColumn("v", F.xxhash64(*names)), "fingerprints")
-    check = lambda links: alike(links, docs, marked, words, similarity, text, key)
-    found = connected(marked, names[:tables], "v", 2, allowed(64), allowed(128), most, names[tables:], check)
-    return found.select("id", "text_key", "component_id")
+    marked = written(prefixes(docs, words, similarity, frequent(docs, words, text), text, key), "prefixes")
+    one = written(marked.filter("n > 0").select("v", "n", "k", "p").dropDuplicates(["v"]), "distinct")
+    rows = one.select(F.posexplode("p").alias("at", "h"), "v", "n").select("h", "v", "n", "at")
+    met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: meetings(batches, similarity), "a long, b long, h long")
+    met = written(met, "met")
+    dense = met.filter("h is not null").select("h", F.col("a").alias("v"), F.col("b").alias("n"))
+    pairs = written(promising(met.filter("h is null").select("a", "b").distinct(), one, similarity), "candidates")
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(dense.select("v")).distinct()
+    sets = written(sets_of(ends, docs, marked, words, text, key), "sets")
+    links = written(alike(pairs, sets, similarity), "counted")
+    roots = written(components(links), "roots")
+    if not dense.isEmpty():
+        more = written(linked_within(dense, roots, sets, similarity, most), "more")
+        roots = written(components(links.union(more)), "roots")
+    firsts = marked.groupBy("v").agg(F.min("id").alias("first"))
+    grouped = firsts.join(roots, "v").groupBy("root").agg(F.min("first").alias("least"))
+    least = roots.join(grouped, "root").select("v", "least")
+    ids = firsts.join(least, "v", "left").select("v", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(ids, "v").select("id", "text_key", "component_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:

@@ -337,3 +337,15 @@ def test_similar_keeps_to_the_threshold(spark):
     got = {r["id"]: r["component_id"] for r in simhash.similar(docs).collect()}
     assert all(got[i] == i for i in got if i % 3 != 1)
     assert sum(got[i] == i - 1 for i in range(1, 90, 3)) >= 29
+
+
+def test_texts_of_one_fingerprint_are_compared(spark):
+    """A long run of one token fixes all bits of a fingerprint; unrelated texts around it stay apart."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"{x:x}" for x in rng.integers(1 << 40, size=n))
+    run = " same" * 2000
+    docs = [(k, words(1000) + run) for k in range(3)]
+    assert len({tuple(simhash.wide_fingerprint(t, 5, 2)) for _, t in docs}) == 1
+    docs = spark.createDataFrame([*docs, (9, docs[0][1].upper())], "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in simhash.similar(docs).collect()} == {0: 0, 1: 1, 2: 2, 9: 0}
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 1, 2]
