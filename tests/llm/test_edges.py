@@ -349,3 +349,46 @@ def test_texts_of_one_fingerprint_are_compared(spark):
     docs = spark.createDataFrame([*docs, (9, docs[0][1].upper())], "doc_id long, text string")
     assert {r["id"]: r["component_id"] for r in simhash.similar(docs).collect()} == {0: 0, 1: 1, 2: 2, 9: 0}
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 1, 2]
+
+
+def similar_by_pairs(texts):
+    """Components over all pairs at a Jaccard similarity of 0.8 or more."""
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (t.lower().split() for t in texts)]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in range(len(sets))}
+
+
+@pytest.mark.parametrize("most", [1 << 12, 30])
+def test_pairs_in_a_template_group(spark, most):
+    """A group of texts of one template, at about 0.75 to each other, holds pairs at about 0.82."""
+    rng = np.random.default_rng(13)
+    base, texts = [f"t{i}" for i in range(600)], []
+
+    def edited(words, share):
+        return [f"e{rng.integers(1 << 40)}" if x < share else w for x, w in zip(rng.random(len(words)), words)]
+
+    def passage(words, n):
+        at = rng.integers(len(words) - n)
+        return [*words[:at], *(f"e{x}" for x in rng.integers(1 << 40, size=n)), *words[at + n :]]
+
+    for _ in range(130):
+        texts.append(passage(base, 84))
+    texts += [passage(texts[k], 55) for k in range(20)]
+    texts = [" ".join(t) for t in texts]
+    expected = similar_by_pairs(texts)
+    groups = len(set(expected.values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs, most=most).collect()}
+    assert got == expected and 20 < groups < 149
