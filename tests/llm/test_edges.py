@@ -392,3 +392,20 @@ def test_pairs_in_a_template_group(spark, most):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in simhash.similar(docs, most=most).collect()}
     assert got == expected and 20 < groups < 149
+
+
+def test_block_appended_and_repeated_copies(spark):
+    """Copies at 0.80 to 0.85: scattered edits, a block replaced, a block appended, and a passage repeated at any length."""
+    rng, texts = np.random.default_rng(17), []
+    words = lambda n: [f"w{x}" for x in rng.integers(1 << 40, size=n)]
+    for _ in range(30):
+        base = words(400)
+        scattered = list(base)
+        for at in range(5, 75, 10):
+            scattered[at] = words(1)[0]
+        copies = [scattered, [*base[:200], *words(35), *base[235:]], [*base, *words(90)], [*base, *base[:20] * 40]]
+        texts += [" ".join(t) for t in (base, *copies)]
+    expected = similar_by_pairs(texts)
+    assert all(expected[i] == i - i % 5 for i in expected)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["id"]: r["component_id"] for r in simhash.similar(docs).collect()} == expected
