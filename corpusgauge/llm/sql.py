@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from . import licenses
+
 LINE_DEDUP = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -79,3 +81,38 @@ found AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct
 SELECT page_id, url, fetched, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists, coalesce(n, 0) > 0 AS blocked
 FROM parts LEFT JOIN found USING (page_id)
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _rows(pairs) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in pairs)
+
+
+#: Every block of every document against every template of its scale.
+LICENSES = f"""
+WITH templates AS (
+  SELECT row_number() OVER () AS t, label, {_WORDS.format(text="text")} AS w FROM (VALUES {_rows(licenses.TEMPLATES)}) v(label, text)),
+sized AS (
+  SELECT t, label, list_distinct(w) AS w, CAST(greatest(4, pow(2, ceil(log2(len(w))))) AS BIGINT) AS scale FROM templates),
+phrases AS (SELECT {_WORDS.format(text="phrase")} AS w, label FROM (VALUES {_rows(licenses.PHRASES)}) v(phrase, label)),
+docs AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+places AS (
+  SELECT doc_id, label, pos FROM (
+    SELECT d.doc_id, p.label, d.w AS dw, p.w AS pw, unnest(range(0, len(d.w))) AS pos FROM docs d, phrases p WHERE list_has_all(d.w, p.w))
+  WHERE dw[pos + 1 : pos + len(pw)] = pw),
+blocks AS (
+  SELECT doc_id, scale, list_distinct(w[k * scale + 1 : k * scale + 2 * scale]) AS b FROM (
+    SELECT doc_id, w, scale, unnest(range(0, (len(w) + scale - 1) // scale)) AS k FROM docs, (SELECT DISTINCT scale FROM sized))),
+met AS (
+  SELECT doc_id, label, n / len(w) AS score FROM (
+    SELECT doc_id, label, w, len(list_intersect(b, w)) AS n FROM blocks JOIN sized USING (scale))
+  WHERE n >= ceil(len(w) * {licenses.THRESHOLD} - 1e-9)),
+p AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS z, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n, max(score) AS score, list_distinct(list(label)) AS labels FROM met GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(p.n, 0) AS n_base, p.a AS first_word, p.z AS last_word,
+       coalesce(array_to_string(list_sort(p.labels), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(p.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       CASE WHEN p.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.score, 0) END AS score, coalesce(m.n, 0) AS n_blocks
+FROM docs d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
