@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, lines, neighbours, packing, sampling, secrets, sharding, simhash, sql, toxicity, urls
+from . import bpe, lexical, licenses, lines, neighbours, packing, sampling, secrets, sharding, simhash, sql, toxicity, urls
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_lexical(spark, sf_dir):
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_licenses(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -84,5 +88,6 @@ QUERIES = {
     "op8_line_dedup": (op8_line_dedup, lambda: sql.LINE_DEDUP),
     "op9_bpe": (op9_bpe, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_lexical": (op11_lexical, lambda: sql.LEXICAL),
     "op13_licenses": (op13_licenses, lambda: sql.LICENSES),
 }

@@ -116,3 +116,21 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(p.n, 0) AS n_base, p.a AS first_w
        CASE WHEN p.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.score, 0) END AS score, coalesce(m.n, 0) AS n_blocks
 FROM docs d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)
 """
+
+_TERMS = _WORDS.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60")
+
+#: Every document's score for every item.
+LEXICAL = f"""
+WITH words AS (SELECT doc_id, unnest({_TERMS.format(text="text")}) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t, docs),
+norms AS (SELECT doc_id, 100 - 90 + (90 * n * docs) // terms AS m FROM sizes, total),
+items AS (SELECT item_id, unnest(list_distinct({_TERMS.format(text="text")})) AS t FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (t) JOIN tf USING (t) JOIN norms USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
