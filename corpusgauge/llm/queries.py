@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import bpe, lexical, licenses, lines, neighbours, packing, sampling, secrets, sharding, simhash, sql, toxicity, urls
+from . import bpe, lexical, licenses, lines, negatives, neighbours, packing, sampling, secrets, sharding, simhash, sql, toxicity, urls
 from .common import table
 
 
@@ -73,6 +73,13 @@ def op11_lexical(spark, sf_dir):
     return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return negatives.mine(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op13_licenses(spark, sf_dir):
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -89,5 +96,6 @@ QUERIES = {
     "op9_bpe": (op9_bpe, None),
     "op10_toxicity": (op10_toxicity, None),
     "op11_lexical": (op11_lexical, lambda: sql.LEXICAL),
+    "op12_negatives": (op12_negatives, lambda: sql.NEGATIVES),
     "op13_licenses": (op13_licenses, lambda: sql.LICENSES),
 }
