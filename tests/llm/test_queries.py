@@ -35,7 +35,7 @@ def rows(spark, name):
 @pytest.mark.parametrize("name", [n for n, (_, sql) in queries.QUERIES.items() if sql])
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = rows(spark, name)
     names = sorted(got[0])
