@@ -7,8 +7,7 @@ file is settled without a shuffle. An array is bounded by its own file's text.
 from pyspark.sql import Column, functions as F
 
 from .code import blank_python
-from .css import selector_specificity
-from .text import LINE_END, col, extract_all, let, one_of, regex, replace_regex, squeeze
+from .text import LINE_END, col, extract_all, let, match_lines, one_of, regex, replace_regex, squeeze
 from .utility import bracket_surplus, utility_parts, valid_arbitrary
 
 
@@ -18,8 +17,8 @@ def strings() -> Column:
 
 def repeated(values, times: int) -> Column:
     """Distinct values that occur at least `times` times, in order."""
-    return let(F.array_sort(values), lambda v: F.array_distinct(
-        F.filter(v, lambda x, i: x == F.get(v, i - (times - 1)))))
+    return let(F.array_sort(values), lambda v: F.transform(
+        F.filter(runs(v), lambda r: r["n"] >= times), lambda r: F.get(v, r["at"])))
 
 
 def runs(v, key=lambda x: x) -> Column:
@@ -189,70 +188,6 @@ def tag_depth(tags, tag: str = "div") -> Column:
     return F.aggregate(F.filter(col(tags), lambda t: t["tag"] == tag), start, step, lambda acc: acc["most"])
 
 
-# Style sheets -------------------------------------------------------------------------------------------------
-
-DECLARATION = r"(?s)^\s*([-\w]+)\s*:\s*(.*\S)\s*$"
-IMPORTANT = r"(?i)\s*!\s*important\s*$"
-
-
-def style_text(text="text") -> Column:
-    """Sheet text without comments, statement at-rules and the heads of nesting at-rules.
-
-    Nested rules come out flat; text inside strings is not told apart from style rules.
-    """
-    out = replace_regex(text, r"/\*[\s\S]*?\*/", "")
-    out = replace_regex(out, r"(?i)@(?:import|charset|namespace)[^;{}]*;", "")
-    return replace_regex(out, r"(?i)@(?:media|supports|layer|container|document|(?:-webkit-)?keyframes)[^{};]*\{", "")
-
-
-def declaration_array(body) -> Column:
-    """Struct (decl_no, prop, raw, value, important) of a rule body."""
-    pieces = F.filter(F.split(col(body), ";"), lambda d: d.rlike(regex(DECLARATION)))
-
-    def parsed(d, i):
-        return let(squeeze(F.regexp_extract(d, regex(DECLARATION), 2)), lambda raw: F.struct(
-            (i + 1).alias("decl_no"), F.lower(F.regexp_extract(d, regex(DECLARATION), 1)).alias("prop"),
-            raw.alias("raw"), F.lower(F.regexp_replace(raw, IMPORTANT, "")).alias("value"),
-            raw.rlike(IMPORTANT).alias("important")))
-
-    return F.transform(pieces, parsed)
-
-
-def rule_array(css="css") -> Column:
-    """Struct (rule_no, selector, body, d) of a sheet's rules; an empty selector stays empty.
-
-    The text is cut at closing braces, which takes one walk; what follows the last one is no rule.
-    """
-    def closed(pieces):
-        cut = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.split(p, r"\{"))
-        return F.filter(cut, lambda p: (F.size(p) > 1) & (F.get(p, F.size(p) - 2) != ""))
-
-    def parsed(p, i):
-        return let(F.get(p, F.size(p) - 1), lambda body: F.struct(
-            (i + 1).alias("rule_no"), squeeze(F.get(p, F.size(p) - 2)).alias("selector"), body.alias("body"),
-            declaration_array(body).alias("d")))
-
-    pieces = F.split(F.concat(F.lit(" "), style_text(css)), r"\}")
-    return F.transform(let(pieces, closed), parsed)
-
-
-def selector_array(rules) -> Column:
-    """Struct (rule_no, selector, ids, classes, elements, combinators, depth) of every single selector."""
-    def weighed(rule):
-        each = F.filter(F.split(rule["selector"], r"\s*,\s*"), lambda s: s != "")
-        return F.transform(each, lambda s: let(selector_specificity(s), lambda w: F.struct(
-            rule["rule_no"].alias("rule_no"), s.alias("selector"),
-            *[w[n].alias(n) for n in ("ids", "classes", "elements", "combinators", "depth")])))
-
-    return F.flatten(F.transform(col(rules), weighed))
-
-
-def signature(rule) -> Column:
-    """The sorted declarations of a rule as one text."""
-    pairs = F.transform(rule["d"], lambda d: F.concat(d["prop"], F.lit(":"), d["raw"]))
-    return F.array_join(F.array_sort(pairs), "|")
-
-
 # Class lists --------------------------------------------------------------------------------------------------
 
 # Attributes that hold class lists.
@@ -264,15 +199,16 @@ DYNAMIC = r"\$\{|\{\{|\}\}"
 
 
 def class_list_array(text="text") -> Column:
-    """Struct (element_no, value, tokens) of class attributes; dynamic parts are cut from the tokens."""
-    def parsed(quoted, i):
+    """Struct (element_no, value, tokens, line) of class attributes; dynamic parts are cut from the tokens."""
+    def parsed(quoted, i, lines):
         value = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
         static = F.translate(
             replace_regex(replace_regex(value, r"\$\{[^}]*\}", " "), r"\{\{[^}]*\}\}", " "), "+", " ")
         tokens = F.filter(F.split(F.trim(replace_regex(static, r"\s+", " ")), " "), lambda t: t != "")
-        return F.struct((i + 1).alias("element_no"), value.alias("value"), tokens.alias("tokens"))
+        return F.struct((i + 1).alias("element_no"), value.alias("value"), tokens.alias("tokens"), F.get(lines, i).alias("line"))
 
-    return F.transform(extract_all(text, CLASS_ATTRIBUTE, 1), parsed)
+    return let(match_lines(text, CLASS_ATTRIBUTE), lambda lines: F.transform(
+        extract_all(text, CLASS_ATTRIBUTE, 1), lambda quoted, i: parsed(quoted, i, lines)))
 
 
 def parsed_token(token) -> Column:

@@ -76,6 +76,16 @@ def count_substrs(text, needles) -> Column:
     return reduce(add, [count_substr(text, n) for n in needles])
 
 
+def line_ends(text) -> Column:
+    """Number of line ends; most texts know only newlines, which are counted without the wide class."""
+    text = col(text)
+    return F.when(text.rlike(ENDS_BUT_NEWLINE), count_regex(text, LINE_END)).otherwise(count_substr(text, "\n"))
+
+
+def strip(text) -> Column:
+    return F.btrim(col(text), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def line_count(text) -> Column:
     text = col(text)
     open_end = (text != "") & ~text.endswith("\n")
@@ -185,9 +195,26 @@ def with_details(message, line=None, snippet=None, confidence=None, fix=None) ->
 
 
 def line_of(text, pos) -> Column:
-    """1-based line of the 1-based character position; null where there is no match."""
+    """1-based line of the 1-based character position, by any line end; null where there is no match."""
     head = F.substring(col(text), F.lit(1), col(pos) - 1)
-    return F.when(col(pos) > 0, count_substr(head, "\n") + 1).cast("int")
+    return F.when(col(pos) > 0, line_ends(head) + 1).cast("int")
+
+
+def match_lines(text, pattern: str) -> Column:
+    """1-based lines of all matches of a pattern: the text between and inside the matches is counted once."""
+    from .events import running
+
+    text = col(text)
+
+    def counted(matches):
+        def step(line, p):
+            return F.struct((line + p["between"] + p["inside"]).alias("state"), (line + p["between"]).alias("out"))
+
+        between = F.slice(F.split(text, regex(pattern), -1), F.lit(1), F.size(matches))
+        parts = F.zip_with(between, matches, lambda b, m: F.struct(line_ends(b).alias("between"), line_ends(m).alias("inside")))
+        return F.when(F.size(matches) > 0, running(parts, F.lit(1), step, "int")["out"]).otherwise(F.array().cast("array<int>"))
+
+    return let(extract_all(text, pattern), counted)
 
 
 def first_position(text, pattern: str) -> Column:
@@ -195,8 +222,12 @@ def first_position(text, pattern: str) -> Column:
 
 
 def snippet_of(text, line) -> Column:
-    """Trimmed text of a line."""
-    return F.trim(F.split_part(col(text), F.lit("\n"), col(line)))
+    """A line of a text without blanks around it; null where there is no line."""
+    return line_at(F.split(col(text), LINE_END), line)
+
+
+def line_at(lines, line) -> Column:
+    return strip(F.get(lines, col(line) - 1))
 
 
 def capped_list(values, n: int) -> Column:

@@ -14,7 +14,7 @@ FILES = _struct(
 )
 
 FINDING = _struct(
-    rule_id=S, rule=S, severity=S, score_impact=I, message=S, line=I, confidence=D, fix=S
+    rule_id=S, rule=S, severity=S, score_impact=I, message=S, line=I, snippet=S, confidence=D, fix=S
 )
 FINDING_COLUMNS = ["job_id", "path", "language", *FINDING.fieldNames()]
 

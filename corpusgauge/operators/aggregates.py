@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.events import repeated_counts, signature, trimmed_lines
+from ..functions.events import repeated_counts, trimmed_lines
+from ..functions.sheets import signature
 from ..functions.text import clamp_score, content_hash, extract_all, squeeze
 from ..plans.features import ID, URL
 from .unnest import KEY, css_rules
@@ -127,9 +128,9 @@ def repeated_declarations(declarations: DataFrame, min_count: int = 4, value: st
 
 
 def duplicate_selectors(rules: DataFrame) -> DataFrame:
-    """Selectors defined more than once, with the number of different bodies."""
+    """Selectors defined more than once under the same blocks, with the number of different bodies."""
     return (
-        rules.where("selector != ''").groupBy(*KEY, "selector")
+        rules.where("selector != ''").groupBy(*KEY, "context", "selector")
         .agg(F.count("*").alias("uses"), F.count_distinct(F.trim(squeeze("body"))).alias("bodies"))
         .where("uses > 1")
     )
@@ -138,7 +139,7 @@ def duplicate_selectors(rules: DataFrame) -> DataFrame:
 def conflicting_declarations(declarations: DataFrame) -> DataFrame:
     """Properties repeated inside one rule, with the number of different values."""
     return (
-        declarations.groupBy(*KEY, "rule_no", "selector", "prop")
+        declarations.groupBy(*KEY, "rule_no", "selector", "context", "prop")
         .agg(F.count("*").alias("uses"), F.count_distinct("value").alias("different"))
         .where("uses > 1")
     )

@@ -171,14 +171,10 @@ def py_blocks(files: DataFrame) -> DataFrame:
 # Styles -------------------------------------------------------------------------------------------------------
 
 def unknown_properties(declarations: DataFrame, known=None) -> DataFrame:
-    """Declarations of unknown properties and the nearest known name, if one is near.
-
-    The nearest name is looked for once per distinct unknown name, among a literal list.
-    """
+    """Declarations of unknown properties and the nearest known name, if one is near, found inside the row."""
     known = known or known_properties()
     odd = declarations.where(~F.col("prop").rlike(VENDOR) & ~one_of("prop", known))
-    near = odd.select("prop").distinct().withColumn("suggestion", closest_property("prop", known))
-    return odd.select(*KEY, "rule_no", "decl_no", "prop").join(near, "prop")
+    return odd.select(*KEY, "rule_no", "decl_no", "prop", closest_property("prop", known).alias("suggestion"))
 
 
 # Runs ---------------------------------------------------------------------------------------------------------

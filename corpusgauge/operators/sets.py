@@ -13,11 +13,15 @@ def all_findings(*packs: DataFrame) -> DataFrame:
 
 
 def dedupe_findings(findings: DataFrame) -> DataFrame:
-    """One finding of each severity and message per file: the one with the first rule id."""
-    kept = F.min(F.struct(*[c for c in ("rule_id", "rule", "score_impact", "line", "confidence", "fix")]))
+    """One of the findings of a file that are told in the same words of the same place: the one with the first rule id.
+
+    Told are severity, message, line, snippet, confidence and fix; equal messages on other lines stay.
+    """
+    told = ["severity", "message", "line", "snippet", "confidence", "fix"]
+    kept = F.min(F.struct("rule_id", "rule", "score_impact"))
     return (
-        findings.groupBy("job_id", "path", "language", "severity", "message").agg(kept.alias("k"))
-        .select("job_id", "path", "language", "severity", "message", "k.*").select(*FINDING_COLUMNS)
+        findings.groupBy("job_id", "path", "language", *told).agg(kept.alias("k"))
+        .select("job_id", "path", "language", *told, "k.*").select(*FINDING_COLUMNS)
     )
 
 

@@ -5,7 +5,7 @@ Event rows carry the file key and their own piece of text, never the whole text.
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import events as ev
+from ..functions import events as ev, sheets as sh
 from ..functions.events import JS_NAME, PY_NAME
 from ..functions.text import extract_all
 from ..functions.utility import bracket_surplus, utility_parts
@@ -63,23 +63,23 @@ def css_source(files: DataFrame) -> DataFrame:
 
 
 def css_rules(sheets: DataFrame, css: str = "css") -> DataFrame:
-    """Rows (rule_no, selector, body, d); d holds the declarations."""
-    return sheets.select(*KEY, F.inline(ev.rule_array(css)))
+    """Rows (rule_no, selector, body, d, line, context); d holds the declarations, context the heads of the blocks around."""
+    return sheets.select(*KEY, F.inline(sh.rule_array(css)))
 
 
 def css_declarations(sheets: DataFrame, css: str = "css") -> DataFrame:
-    """Rows (rule_no, selector, decl_no, prop, raw, value, important)."""
-    return css_rules(sheets, css).select(*KEY, "rule_no", "selector", F.inline("d"))
+    """Rows (rule_no, selector, context, decl_no, prop, raw, value, important, line)."""
+    return css_rules(sheets, css).select(*KEY, "rule_no", "selector", "context", F.inline("d"))
 
 
 def selectors(rules: DataFrame) -> DataFrame:
     """One row per comma-separated selector with its weight."""
     one = F.array(F.struct("rule_no", "selector"))
-    return rules.select(*KEY, F.inline(ev.selector_array(one)))
+    return rules.select(*KEY, F.inline(sh.selector_array(one)))
 
 
 def class_lists(files: DataFrame) -> DataFrame:
-    """Rows (element_no, value, tokens) of class attributes."""
+    """Rows (element_no, value, tokens, line) of class attributes."""
     return files.select(*KEY, F.inline(ev.class_list_array("text")))
 
 

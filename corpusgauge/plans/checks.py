@@ -10,7 +10,7 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.text import col, let, render_message, sql_text
+from ..functions.text import col, let, line_at, render_message, sql_text
 from ..model import FINDING, FINDING_COLUMNS
 
 
@@ -37,7 +37,7 @@ def constant_finding(rule_id, category, severity, impact, message, confidence, f
     fields = {
         "rule_id": sql_text(rule_id), "rule": sql_text(category), "severity": sql_text(severity),
         "score_impact": f"int({impact})", "message": sql_text(message), "line": "int(null)",
-        "confidence": f"double({sql_text(confidence)})", "fix": f"string({sql_text(fix)})",
+        "snippet": "string(null)", "confidence": f"double({sql_text(confidence)})", "fix": f"string({sql_text(fix)})",
     }
     return F.expr("named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")")
 
@@ -66,28 +66,37 @@ def none_found() -> Column:
     return F.array().cast(T.ArrayType(FINDING))
 
 
-def once(*tests) -> Column:
+def on_line(findings, line) -> Column:
+    return F.transform(findings, lambda f: f.withField("line", line.cast("int")))
+
+
+def once(*tests, line=None) -> Column:
     """Findings of a whole file."""
-    return _hits(tests)
+    return _hits(tests) if line is None else on_line(_hits(tests), F.lit(line))
+
+
+def each(items, tests, located: bool = False) -> Column:
+    """Findings of the tests that `tests` gives for every element of an array; those of located elements have their line."""
+    hits = lambda x: on_line(_hits(tests(x)), x["line"]) if located else _hits(tests(x))
+    return F.coalesce(F.flatten(F.transform(col(items), hits)), none_found())
 
 
-def each(items, tests) -> Column:
-    """Findings of the tests that `tests` gives for every element of an array."""
-    found = F.flatten(F.transform(col(items), lambda x: _hits(tests(x))))
-    return F.coalesce(found, none_found())
+def with_snippets(findings, lines="text_lines") -> Column:
+    """Findings with the text of their lines."""
+    return F.transform(findings, lambda f: f.withField("snippet", line_at(col(lines), f["line"])))
 
 
-def one_per_message(findings) -> Column:
-    """One finding of each severity and message: the one with the first rule id."""
+TOLD = ("severity", "message", "line", "snippet", "confidence", "fix")
+
+
+def told_once(findings) -> Column:
+    """One of the findings that are told in the same words of the same place: the one with the first rule id."""
     ranked = F.transform(findings, lambda f: F.struct(
-        f["severity"].alias("severity"), f["message"].alias("message"), f["rule_id"].alias("rule_id"), f.alias("f")))
+        F.struct(*[f[n].alias(n) for n in TOLD]).alias("told"), f["rule_id"].alias("rule_id"), f.alias("f")))
 
     def firsts(v):
-        def is_first(x, i):
-            before = F.get(v, i - 1)
-            return (i == 0) | (x["severity"] != before["severity"]) | (x["message"] != before["message"])
-
-        return F.transform(F.filter(v, is_first), lambda x: x["f"])
+        first = lambda x, i: (i == 0) | ~x["told"].eqNullSafe(F.get(v, i - 1)["told"])
+        return F.transform(F.filter(v, first), lambda x: x["f"])
 
     return let(F.array_sort(ranked), firsts)
 

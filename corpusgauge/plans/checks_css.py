@@ -3,10 +3,11 @@
 from pyspark.sql import Column, functions as F
 
 from ..functions.css import closest_property, contrast_ratio, css_length, css_rgb, known_properties
-from ..functions.events import DYNAMIC, repeated, repeated_counts, runs, selector_array, signature
+from ..functions.events import DYNAMIC, repeated, repeated_counts, runs
+from ..functions.sheets import in_keyframes, selector_array, signature
 from ..functions.text import extract_all, let, one_of, replace_regex, squeeze
 from ..functions.utility import BREAKPOINTS, known_base, known_variant
-from .checks import RowCheck, Spec, each, once
+from .checks import RowCheck, Spec, each, on_line, once, with_snippets
 
 C = F.col
 
@@ -140,7 +141,7 @@ def security() -> Column:
             (BINDING, body.rlike(r"(?i)-moz-binding\s*:|\bbehavior\s*:")),
             (SCRIPT_URL, low.contains("url(") & low.contains("javascript:")))
 
-    return each("sheet_rules", tests)
+    return with_snippets(each("sheet_rules", tests, located=True))
 
 
 def performance() -> Column:
@@ -163,7 +164,7 @@ def performance() -> Column:
             (BLUR, blurred & (F.get(pixels, 2).cast("double") >= 32)),
             (LAYOUT_ANIMATION, moves & body.rlike(LAYOUT_PROPERTY)))
 
-    return each("sheet_rules", tests)
+    return with_snippets(each("sheet_rules", tests, located=True))
 
 
 def _declaration_tests(d) -> list:
@@ -200,17 +201,17 @@ def rule_contrast(declarations) -> Column:
 def _weight(rule) -> Column:
     """Struct (named, heavy, deep) of a rule: whether one of its selectors is too heavy or too deep."""
     return let(selector_array(F.array(rule)), lambda w: F.struct(
-        ((rule["selector"] != "") & ~rule["selector"].startswith("@")).alias("named"),
+        ((rule["selector"] != "") & ~rule["selector"].startswith("@") & ~in_keyframes(rule["context"])).alias("named"),
         F.exists(w, lambda s: (s["ids"] > 1) | ((s["ids"] > 0) & (s["classes"] > 3))).alias("heavy"),
         F.exists(w, lambda s: s["combinators"] > 4).alias("deep")))
 
 
 def _doubles(rule) -> Column:
-    """Struct (prop, same) of properties that a rule sets more than once."""
+    """Struct (prop, same, line) of properties that a rule sets more than once, on the rule's line."""
     def doubles(v):
         return F.transform(F.filter(runs(v, lambda d: d["prop"]), lambda r: r["n"] > 1), lambda r: F.struct(
             F.get(v, r["at"])["prop"].alias("prop"),
-            (F.get(v, r["at"])["value"] == F.get(v, r["at"] + r["n"] - 1)["value"]).alias("same")))
+            (F.get(v, r["at"])["value"] == F.get(v, r["at"] + r["n"] - 1)["value"]).alias("same"), rule["line"].alias("line")))
 
     pairs = F.transform(rule["d"], lambda d: F.struct(d["prop"].alias("prop"), d["value"].alias("value")))
     return let(F.array_sort(pairs), doubles)
@@ -218,7 +219,7 @@ def _doubles(rule) -> Column:
 
 def style() -> Column:
     read = F.transform("sheet_rules", lambda r: let(_weight(r), lambda w: F.struct(
-        r["selector"].alias("selector"), r["body"].alias("body"), w.alias("w"),
+        r["selector"].alias("selector"), r["body"].alias("body"), w.alias("w"), r["line"].alias("line"),
         F.size(F.filter(r["d"], lambda d: d["important"])).alias("important"),
         rule_contrast(r["d"]).alias("ratio"))))
 
@@ -234,18 +235,18 @@ def style() -> Column:
 
     known = known_properties()
     odd = F.filter("sheet_declarations", lambda d: ~d["prop"].rlike(VENDOR) & ~one_of(d["prop"], known))
-    near = F.transform(F.array_distinct(F.transform(odd, lambda d: d["prop"])), lambda p: F.struct(
-        p.alias("prop"), closest_property(p, known).alias("close")))
+    near = F.transform(odd, lambda d: F.struct(
+        d["prop"].alias("prop"), closest_property(d["prop"], known).alias("close"), d["line"].alias("line")))
 
     def names(n):
         shown = {"name": n["prop"], "close": F.coalesce(n["close"], F.lit(""))}
         return (MISSPELT, n["close"].isNotNull(), shown), (UNRECOGNIZED, n["close"].isNull(), shown)
 
     doubles = F.flatten(F.transform("sheet_rules", _doubles))
-    return F.concat(
-        each("sheet_declarations", _declaration_tests), each(read, rules), each(near, names),
+    return with_snippets(F.concat(
+        each("sheet_declarations", _declaration_tests, located=True), each(read, rules, located=True), each(near, names, located=True),
         each(doubles, lambda d: (
-            (CONFLICT, ~d["same"], {"prop": d["prop"]}), (REPEATED, d["same"], {"prop": d["prop"]}))))
+            (CONFLICT, ~d["same"], {"prop": d["prop"]}), (REPEATED, d["same"], {"prop": d["prop"]})), located=True)))
 
 
 def _literals(rule) -> Column:
@@ -264,23 +265,36 @@ def _top_pair(pairs) -> Column:
     return F.array_min(counted)["p"]
 
 
-def maintenance() -> Column:
-    plain = F.filter("sheet_rules", lambda r: (r["selector"] != "") & ~r["selector"].startswith("@"))
-    named = F.transform(plain, lambda r: F.struct(
-        r["selector"].alias("selector"), squeeze(r["body"]).alias("body"), _weight(r)["heavy"].alias("heavy")))
+def _selector_groups(rules) -> Column:
+    """Struct (selector, uses, same, heavy, line) of the selectors under the same blocks: whether all bodies are equal, whether
+    the selector is too heavy, and the line of the last use."""
+    def entry(v, r):
+        own = F.slice(v, r["at"] + 1, r["n"])
+        bodies = F.transform(own, lambda x: x["body"])
+        return F.struct(
+            F.get(own, 0)["selector"].alias("selector"), r["n"].alias("uses"), (F.array_min(bodies) == F.array_max(bodies)).alias("same"),
+            F.get(own, 0)["heavy"].alias("heavy"), F.get(own, r["n"] - 1)["line"].alias("line"))
+
+    keyed = F.transform(rules, lambda r: F.struct(
+        r["context"].alias("context"), r["selector"].alias("selector"), r["rule_no"].alias("rule_no"), r["line"].alias("line"),
+        squeeze(r["body"]).alias("body"), _weight(r)["heavy"].alias("heavy")))
+    group = lambda x: F.struct(x["context"].alias("context"), x["selector"].alias("selector"))
+    return let(F.array_sort(keyed), lambda v: F.transform(runs(v, group), lambda r: entry(v, r)))
+
 
-    def twice(v):
-        def entry(selector):
-            bodies = F.transform(F.filter(v, lambda r: r["selector"] == selector), lambda r: r["body"])
-            return F.struct(selector.alias("selector"), (F.size(F.array_distinct(bodies)) == 1).alias("same"))
+def _first_block(rules) -> Column:
+    """The selector of the first rule that stands more than eight times, as an array of at most one."""
+    blocks = F.transform(F.filter(rules, lambda r: F.size(r["d"]) > 0), lambda r: F.struct(
+        r["selector"].alias("selector"), signature(r).alias("signature"), r["rule_no"].alias("rule_no")))
+    group = lambda x: F.struct(x["selector"].alias("selector"), x["signature"].alias("signature"))
+    often = let(F.array_sort(blocks), lambda v: F.transform(
+        F.filter(runs(v, group), lambda r: r["n"] > 8), lambda r: F.struct(
+            F.get(v, r["at"])["rule_no"].alias("rule_no"), F.get(v, r["at"])["selector"].alias("selector"))))
+    return F.array_compact(F.array(F.array_min(often)["selector"]))
 
-        return F.transform(repeated(F.transform(v, lambda r: r["selector"]), 2), entry)
 
-    blocks = F.transform(F.filter("sheet_rules", lambda r: F.size(r["d"]) > 0), lambda r: F.struct(
-        r["selector"].alias("selector"), signature(r).alias("signature")))
-    first_block = let(blocks, lambda v: let(repeated(v, 9), lambda often: F.slice(
-        F.filter(v, lambda b: F.array_contains(often, b)), 1, 1)))
-    heavy = F.array_distinct(F.transform(F.filter(named, lambda r: r["heavy"]), lambda r: r["selector"]))
+def maintenance() -> Column:
+    plain = F.filter("sheet_rules", lambda r: (r["selector"] != "") & ~r["selector"].startswith("@"))
     pairs = F.transform("sheet_declarations", lambda d: F.concat(d["prop"], F.lit(":"), d["value"]))
     totals = F.array(F.struct(
         F.aggregate(F.transform("sheet_rules", _literals), F.lit(0), lambda n, x: n + x).alias("literals"),
@@ -288,15 +302,15 @@ def maintenance() -> Column:
         F.size(F.filter("sheet_declarations", lambda d: d["important"])).alias("important"),
         let(pairs, _top_pair).alias("top")))
     shown = lambda r: {"selector": r["selector"]}
-    return F.concat(
-        each(let(named, twice), lambda t: ((REDEFINED, ~t["same"], shown(t)), (DUPLICATED, t["same"], shown(t)))),
-        each(first_block, lambda b: ((REPEATED_BLOCK, F.lit(True), shown(b)),)),
-        each(totals, lambda t: (
+    return with_snippets(F.concat(
+        each(_selector_groups(plain), lambda g: (
+            (REDEFINED, (g["uses"] > 1) & ~g["same"], shown(g)), (DUPLICATED, (g["uses"] > 1) & g["same"], shown(g)),
+            (OVERRIDE_WARS, g["heavy"], shown(g))), located=True),
+        on_line(each(_first_block(F.col("sheet_rules")), lambda s: ((REPEATED_BLOCK, F.lit(True), {"selector": s}),)), F.lit(1)),
+        on_line(each(totals, lambda t: (
             (IMPORTANT, t["important"] >= 8, {"n": t["important"]}),
             (HARDCODED, (t["literals"] >= 10) & ~t["uses_var"]),
-            (REPEATED_VALUE, t["top"].isNotNull(), {"top": t["top"]}))),
-        each(heavy, lambda s: ((OVERRIDE_WARS, F.lit(True), {"selector": s}),)),
-    )
+            (REPEATED_VALUE, t["top"].isNotNull(), {"top": t["top"]}))), F.lit(1))))
 
 
 # Utility classes
@@ -400,60 +414,60 @@ def _list_tokens(l) -> Column:
         F.array_contains(p["variants"], "motion-reduce") & p["state"].isNull(), F.lit(False)))
     return let(F.array_position(reduced, True), lambda at: F.transform(l["parts"], lambda p, i: F.struct(
         *[p[n].alias(n) for n in ("token", "state", "base", "important")],
-        ((at > 0) & (at <= i + 1)).alias("reduced"))))
+        ((at > 0) & (at <= i + 1)).alias("reduced"), l["line"].alias("line"))))
 
 
 def _list_conflicts(l) -> Column:
-    """Struct (group, tokens): different tokens of one group under one set of variants in a list."""
+    """Struct (group, tokens, line): different tokens of one group under one set of variants in a list."""
     keyed = F.transform(
         F.filter(l["sound"], lambda p: p["utility_group"] != "other"), lambda p: F.struct(
             F.array_sort(F.filter(p["variants"], lambda v: v != "")).alias("v"), p["utility_group"].alias("g"),
             p["token"].alias("t")))
+    group = lambda p: F.struct(p["v"].alias("v"), p["g"].alias("g"))
 
     def conflicts(v):
-        keys = F.array_distinct(F.transform(v, lambda p: F.struct(p["v"].alias("v"), p["g"].alias("g"))))
-
-        def entry(k):
-            own = F.filter(v, lambda p: (p["v"] == k["v"]) & (p["g"] == k["g"]))
-            tokens = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["t"])))
-            return F.struct(k["g"].alias("group"), tokens.alias("tokens"))
+        def entry(r):
+            tokens = F.array_distinct(F.transform(F.slice(v, r["at"] + 1, r["n"]), lambda p: p["t"]))
+            return F.struct(F.get(v, r["at"])["g"].alias("group"), tokens.alias("tokens"), l["line"].alias("line"))
 
-        return F.filter(F.transform(keys, entry), lambda c: F.size(c["tokens"]) > 1)
+        several = F.filter(runs(v, group), lambda r: r["n"] > 1)
+        return F.filter(F.transform(several, entry), lambda c: F.size(c["tokens"]) > 1)
 
-    return let(keyed, conflicts)
+    return let(F.array_sort(keyed), conflicts)
 
 
 def utility() -> Column:
     """Class lists of pages and component files."""
     lists = F.transform("class_lists", lambda l: F.struct(
-        *[l[n].alias(n) for n in ("value", "tokens", "parts")], _sound(l["parts"]).alias("sound"),
+        *[l[n].alias(n) for n in ("value", "tokens", "parts", "line")], _sound(l["parts"]).alias("sound"),
         (l["value"].rlike(DYNAMIC) | l["value"].rlike(DYNAMIC_CALL)).alias("dynamic")))
 
     def read(v):
         flat = lambda items: F.flatten(F.transform(v, items))
-        variants = flat(lambda l: F.flatten(F.transform(l["sound"], lambda p: p["variants"])))
+        variants = flat(lambda l: F.transform(F.flatten(F.transform(l["sound"], lambda p: p["variants"])), lambda x: F.struct(
+            x.alias("variant"), l["line"].alias("line"))))
         bundles = F.filter(
             F.transform(v, lambda l: F.array_sort(F.array_distinct(l["tokens"]))), lambda b: F.size(b) > 4)
         bases = F.filter(
             flat(lambda l: F.transform(l["sound"], lambda p: p["base"])), lambda b: b.rlike(r"[\[\]]"))
         return F.concat(
-            each(v, _list_tests), each(flat(_list_tokens), _token_tests),
-            each(variants, lambda x: ((UNKNOWN_VARIANT, ~known_variant(x), {"variant": x}),)),
+            each(v, _list_tests, located=True), each(flat(_list_tokens), _token_tests, located=True),
+            each(variants, lambda x: ((UNKNOWN_VARIANT, ~known_variant(x["variant"]), {"variant": x["variant"]}),), located=True),
             each(flat(_list_conflicts), lambda c: ((GROUP_CONFLICT, F.lit(True), {
-                "group": c["group"], "tokens": F.array_join(F.slice(c["tokens"], 1, 3), ", ")}),)),
+                "group": c["group"], "tokens": F.array_join(F.slice(c["tokens"], 1, 3), ", ")}),), located=True),
             once(
                 (BUNDLE, F.size(repeated(bundles, 5)) > 0),
                 (DRIFT, F.size(F.array_distinct(bases)) >= 6),
-                (MANY_DYNAMIC, F.size(F.filter(v, lambda l: l["dynamic"])) >= 3)))
+                (MANY_DYNAMIC, F.size(F.filter(v, lambda l: l["dynamic"])) >= 3), line=1))
 
-    return let(lists, read)
+    return with_snippets(let(lists, read))
 
 
 CSS = ("css",)
 CHECKS = {
-    "css.security": RowCheck(CSS, ("sheet_rules",), security),
-    "css.performance": RowCheck(CSS, ("sheet_rules",), performance),
-    "css.style": RowCheck(CSS, ("sheet_rules", "sheet_declarations"), style),
-    "css.maintenance": RowCheck(CSS, ("sheet_rules", "sheet_declarations"), maintenance),
-    "utility": RowCheck(("html", "react"), ("class_lists",), utility),
+    "css.security": RowCheck(CSS, ("sheet_rules", "text_lines"), security),
+    "css.performance": RowCheck(CSS, ("sheet_rules", "text_lines"), performance),
+    "css.style": RowCheck(CSS, ("sheet_rules", "sheet_declarations", "text_lines"), style),
+    "css.maintenance": RowCheck(CSS, ("sheet_rules", "sheet_declarations", "text_lines"), maintenance),
+    "utility": RowCheck(("html", "react"), ("class_lists", "text_lines"), utility),
 }

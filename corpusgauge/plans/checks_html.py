@@ -67,7 +67,8 @@ def _dead(s) -> Column:
 
 
 def style() -> Column:
-    from ..functions.events import repeated, signature
+    from ..functions.events import repeated
+    from ..functions.sheets import signature
 
     filled = F.filter("page_rules", lambda r: F.size(r["d"]) > 0)
     bodies = F.transform(filled, lambda r: signature(r))

@@ -5,9 +5,9 @@ from typing import Callable
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import events as ev
+from ..functions import events as ev, sheets
 from ..functions.code import blank_code, blank_python, strip_code
-from ..functions.text import count_regex, count_substr, count_substrs, extract_all, let, line_count, lines_over, matches
+from ..functions.text import LINE_END, count_regex, count_substr, count_substrs, extract_all, let, line_count, lines_over, matches
 
 # Blocks of a page.
 SCRIPT = r"(?is)<script\b[^>]*>(.*?)</script>"
@@ -39,7 +39,7 @@ MAGIC_NUMBERS = (
 )
 COMMENT_LINE = r"(?m)^[^\S\n]*(?:#|//|/\*|\*)"
 TODO_WORDS = r"\b(?:TODO|FIXME|HACK|XXX|TEMP)\b"
-TRAILING = r"(?m)[ \t]+$"
+TRAILING = r"(?m)(?<![ \t])[ \t]++$"
 COMMENTED_CODE = (
     r"(?m)^\s*#\s*(?:if|for|while|def|class|return|import|from|try|except|with|else|elif|switch|case)\b"
 )
@@ -129,16 +129,17 @@ FEATURES: dict[str, Feature] = {
     "script_line_repeats": Feature(lambda: ev.repeated(ev.trimmed_lines("script_text", 20), 4), ("script_text",)),
     "page_names": Feature(lambda: F.flatten(F.transform(
         extract_all("text", ID_OR_CLASS, 1), lambda names: F.split(names, r"\s+")))),
-    "page_rules": Feature(lambda: ev.rule_array("css_text"), ("css_text",)),
-    "page_weights": Feature(lambda: ev.selector_array("page_rules"), ("page_rules",)),
-    "sheet_rules": Feature(lambda: ev.rule_array("text")),
+    "page_rules": Feature(lambda: sheets.rule_array("css_text"), ("css_text",)),
+    "page_weights": Feature(lambda: sheets.selector_array("page_rules"), ("page_rules",)),
+    "sheet_rules": Feature(lambda: sheets.rule_array("text")),
     "sheet_declarations": Feature(lambda: F.flatten(F.transform("sheet_rules", lambda r: F.transform(
         r["d"], lambda d: F.struct(
-            F.lower(r["selector"]).alias("selector"), *[d[n].alias(n) for n in ("prop", "value", "important")])))),
+            F.lower(r["selector"]).alias("selector"), *[d[n].alias(n) for n in ("prop", "value", "important", "line")])))),
         ("sheet_rules",)),
     "class_lists": Feature(lambda: F.transform(ev.class_list_array("text"), lambda l: F.struct(
-        l["value"].alias("value"), l["tokens"].alias("tokens"),
+        l["value"].alias("value"), l["tokens"].alias("tokens"), l["line"].alias("line"),
         F.transform(l["tokens"], lambda t: ev.parsed_token(t)).alias("parts")))),
+    "text_lines": Feature(lambda: F.split("text", LINE_END)),
     "lines": Feature(lambda: ev.line_array("text")),
     "py_lines": Feature(lambda: ev.line_array("py_code"), ("py_code",)),
     "loop_lines": Feature(lambda: ev.lines_within(F.col("py_lines"), ev.LOOP), ("py_lines",)),

@@ -81,7 +81,7 @@ r = _pack("style")
 STYLE = [
     r("long_line", "low", 2, "Line exceeds 88 characters.", has(longer_line(88))),
     r("wildcard", "medium", 8, WILDCARD_MESSAGE, WILDCARD),
-    r("trailing_blanks", "low", 1, "Trailing whitespace detected.", has(r"(?m)[ \t]+$")),
+    r("trailing_blanks", "low", 1, "Trailing whitespace detected.", has(r"(?m)[ \t]$")),
 ]
 
 r = _pack("correctness")

@@ -11,11 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import (
-    count_regex, count_substr, extract_all, first_position, line_of, matches, regex, render_message, scaled_impact,
-    scaled_severity,
+    count_regex, count_substr, extract_all, first_position, let, line_of, matches, regex, render_message, scaled_impact,
+    scaled_severity, snippet_of,
 )
 from ..model import RULES
-from .checks import constant_finding, one_per_message
+from .checks import constant_finding, told_once
 from .features import FEATURES
 
 
@@ -180,7 +180,8 @@ def _finding(rule: Rule) -> Column:
         if rule.step is not None:
             out = out.withField("severity", scaled_severity(count, rule.severity, rule.step, rule.severity_above))
     if rule.locate:
-        out = out.withField("line", line_of("text", first_position("text", rule.locate)))
+        line = line_of("text", first_position("text", rule.locate))
+        out = let(line, lambda n: out.withField("line", n).withField("snippet", snippet_of("text", n)))
     return out
 
 
@@ -239,7 +240,7 @@ def with_features(files: DataFrame, rules, checks=()) -> DataFrame:
 
 
 def findings_array(rules, checks=()) -> Column:
-    """All findings of a file's language as one array; style sheets keep one per severity and message."""
+    """All findings of a file's language as one array; of a style sheet one of those told alike."""
     groups = by_language(rules)
     for check in checks:
         for language in check.languages:
@@ -250,7 +251,7 @@ def findings_array(rules, checks=()) -> Column:
         found = [F.flatten(F.array_compact(F.array(*[_emitted(r) for r in group])))] if group else []
         found += [column for languages, column in built if language in languages]
         whole = F.concat(*found)
-        out = out.when(F.col("language") == language, one_per_message(whole) if language == "css" else whole)
+        out = out.when(F.col("language") == language, told_once(whole) if language == "css" else whole)
     return out
 
 

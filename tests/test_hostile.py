@@ -96,3 +96,22 @@ def test_work_grows_with_the_text(make_files):
             scan_scores(files, pack).collect()
             took.append(time.time() - start)
         assert took[2] < 8 * max(took[1], 0.5), (pack, piece, took)
+
+
+def test_work_grows_with_rules_lists_and_blanks(make_files):
+    """Four times the rules, tokens or blanks take no more than about four times the time."""
+    lists = lambda n: '<i class="' + " ".join(f"hover:p-{i} w-{i}" for i in range(n)) + '">'
+    cases = [
+        ("css.maintenance", "css", lambda n: "".join(f".a{i} {{ top: 0; left: 0 }}\n.a{i} {{ top: 0 }}\n" for i in range(n)), 1_000),
+        ("css.style", "css", lambda n: "".join(f".a{i} {{ color: red; color: red }}\n" for i in range(n)), 1_000),
+        ("css.performance", "css", lambda n: ".a {" + "top: 0;\n" * n + "}", 5_000),
+        ("mongodb.style", "mongodb", lambda n: " " * n + "x", 25_000), ("python.style", "python", lambda n: " " * n + "x", 25_000),
+        ("utility", "html", lists, 400), ("html.style", "html", lambda n: "<style>" + "".join(f".a{i} {{ top: {i} }}\n" for i in range(n)) + "</style>", 1_000)]
+    for pack, language, build, n in cases:
+        took = []
+        for size in (n, n, 4 * n):
+            files = make_files((f"a.{language}", language, build(size)))
+            start = time.time()
+            scan_scores(files, pack).collect()
+            took.append(time.time() - start)
+        assert took[2] < 6 * max(took[1], 0.5), (pack, took)

@@ -119,13 +119,14 @@ def test_compare_runs(spark):
 
 
 def test_dedupe_and_first(spark):
-    row = lambda rule, sev, msg, line: ("j", "f", "css", rule, "c", sev, 1, msg, line, None, None)
+    row = lambda rule, sev, msg, line: ("j", "f", "css", rule, "c", sev, 1, msg, line, "s", None, None)
     schema = ("job_id string, path string, language string, rule_id string, rule string, severity string, "
-              "score_impact int, message string, line int, confidence double, fix string")
+              "score_impact int, message string, line int, snippet string, confidence double, fix string")
     df = spark.createDataFrame(
         [row("b", "low", "m", 2), row("a", "low", "m", 5), row("a", "high", "m", 1), row("a", "low", "n", 9)], schema)
-    assert sorted((r["rule_id"], r["severity"], r["message"]) for r in st.dedupe_findings(df).collect()) == [
-        ("a", "high", "m"), ("a", "low", "m"), ("a", "low", "n")]
+    again = df.unionByName(spark.createDataFrame([row("c", "low", "m", 5), row("b", "low", "m", None), row("a", "low", "m", None)], schema))
+    assert sorted((r["rule_id"], r["severity"], r["message"], r["line"] or 0) for r in st.dedupe_findings(again).collect()) == [
+        ("a", "high", "m", 1), ("a", "low", "m", 0), ("a", "low", "m", 5), ("a", "low", "n", 9), ("b", "low", "m", 2)]
     assert sorted((r["rule_id"], r["line"]) for r in wi.first_per_rule(df).collect()) == [("a", 1), ("b", 2)]
 
 

@@ -11,15 +11,15 @@ from corpusgauge.plans.registry import rules_named, scan
 from .corpora import corpus, quote as q
 from .sql import (
     CSS_RULES, DECLS, LINES, PY_LINES, SELECTORS, SHEETS, STRIPPED, TAGS, count, counted, every, fire, has,
-    joined, lines_of, part, rules_sql, squeeze, sub, unnested, with_corpus,
+    joined, lines_of, located, newlines, part, rules_sql, squeeze, sub, unnested, with_corpus,
 )
 
 KEY = "job_id, path, language"
 
 
-def found(findings):
+def found(findings, *more):
     """Equal findings of a file with their number."""
-    return findings.groupBy("path", "rule_id", "rule", "severity", "score_impact", "message").agg(
+    return findings.groupBy("path", "rule_id", "rule", "severity", "score_impact", "message", *more).agg(
         F.count("*").alias("n"))
 
 
@@ -367,19 +367,13 @@ def react_props():
 
 # Styles -------------------------------------------------------------------------------------------------------
 
-def once_per_message(body):
-    """Style sheet findings of equal severity and message count once per file, the first rule id standing for all."""
-    return f"""SELECT path, arg_min(rule_id, rule_id) AS rule_id, arg_min(rule, rule_id) AS rule, severity,
-  arg_min(score_impact, rule_id) AS score_impact, message, CAST(1 AS BIGINT) AS n FROM ({body}) GROUP BY path, severity, message"""
-
-
 def css_security():
-    c = lambda spec, test: fire(spec, "css_rules", f"language = 'css' AND {test}")
+    c = lambda spec, test: fire(spec, "css_rules", f"language = 'css' AND {test}", at="line")
     body = lambda p: has("body", p)
     shadow = f"lower({squeeze(part('body', '(?i)box-shadow[ ]*:[ ]*([^;]+)', 1))})"
     moves = "(contains(lower(body), 'transition:') OR contains(lower(body), 'animation:'))"
     bare = sub(sub("selector", r"\[[^\]]*\]"), r"\([^)]*\)")
-    return with_corpus(("code",), once_per_message(counted(
+    return with_corpus(("code",), located(
         rules_sql(rules_named("css.security", "css.performance")),
         c(cs.EXPRESSION, body(r"(?i)\bexpression\s*\(")),
         c(cs.UNSAFE_URL, "(" + body(r"""(?i)url\s*\(\s*['"]?\s*(?:javascript|vbscript)\s*:""") + " OR " + body(r"""(?i)url\s*\(\s*['"]?\s*data\s*:\s*text/html""") + ")"),
@@ -391,7 +385,7 @@ def css_security():
         c(cs.WILL_CHANGE, body(r"(?i)will-change\s*:\s*[^;]+")),
         c(cs.SHADOWS, f"length({shadow}) - length(replace({shadow}, ',', '')) >= 2"),
         c(cs.BLUR, f"{has(shadow, '[0-9]+(px|rem|em)[ ]+[0-9]+(px|rem|em)[ ]+[0-9]+(px|rem|em)')} AND CAST({every(shadow, '([0-9]+(?:[.][0-9]+)?)px', 1)}[3] AS DOUBLE) >= 32"),
-        c(cs.LAYOUT_ANIMATION, f"{moves} AND {body(cs.LAYOUT_PROPERTY)}"))), SHEETS, CSS_RULES)
+        c(cs.LAYOUT_ANIMATION, f"{moves} AND {body(cs.LAYOUT_PROPERTY)}"), once=True), SHEETS, CSS_RULES)
 
 
 HEXD = lambda s: f"CAST('0x' || {s} AS INT)"
@@ -412,7 +406,7 @@ colors AS (
 lights AS (SELECT v, a, list_sum(list_transform([[r / 255.0, 0.2126], [g / 255.0, 0.7152], [b / 255.0, 0.0722]],
   lambda c: c[2] * CASE WHEN c[1] <= 0.03928 THEN c[1] / 12.92 ELSE pow((c[1] + 0.055) / 1.055, 2.4) END)) AS light FROM colors),
 contrasts AS (SELECT d.*, (greatest(f.light, k.light) + 0.05) / (least(f.light, k.light) + 0.05) AS ratio FROM (
-  SELECT {KEY}, rule_no, selector, arg_max(value, decl_no) FILTER (prop = 'color') AS fg,
+  SELECT {KEY}, rule_no, selector, rule_line, arg_max(value, decl_no) FILTER (prop = 'color') AS fg,
     coalesce(arg_max(value, decl_no) FILTER (prop = 'background-color'), arg_max(value, decl_no) FILTER (prop = 'background')) AS bg
   FROM decls GROUP BY ALL) d JOIN lights f ON f.v = fg JOIN lights k ON k.v = bg WHERE f.a >= 1 AND k.a >= 1)"""
 KNOWN = in_list(known_properties())
@@ -423,19 +417,20 @@ near AS (SELECT prop, arg_min(k, k) AS suggestion FROM (SELECT prop, k, share, m
   FROM (SELECT DISTINCT prop FROM odd), known)) WHERE share = best AND share <= 1 - 0.86 GROUP BY prop),
 odd_near AS (SELECT o.*, n.suggestion FROM odd o LEFT JOIN near n USING (prop))"""
 LISTS = f"""plain_rules AS (SELECT * FROM css_rules WHERE selector <> '' AND NOT starts_with(selector, '@')),
-lists AS (SELECT {KEY}, rule_no, list, bool_or(ids > 1 OR (ids > 0 AND classes > 3)) AS heavy, max(combinators) AS combinators
+lists AS (SELECT {KEY}, rule_no, list, context, line, NOT regexp_matches(context, '(?i)(?:^| / )@(?:-[a-z]+-)?keyframes') AS outside,
+    bool_or(ids > 1 OR (ids > 0 AND classes > 3)) AS heavy, max(combinators) AS combinators
   FROM weights WHERE NOT starts_with(list, '@') GROUP BY ALL)"""
 
 
 def css_style():
     css = "language = 'css' AND "
-    d = lambda spec, test, **v: fire(spec, "decls", css + test, **v)
+    d = lambda spec, test, **v: fire(spec, "decls", css + test, at="line", **v)
     px = f"(lower({part('value', LENGTH, 2)}) = 'px' AND CAST({part('value', LENGTH, 1)} AS DOUBLE)"
     width = "prop IN ('width', 'min-width', 'max-width')"
     shown = {"name": "prop", "value": "value"}
     off = r"(?i)outline\s*:\s*(none|0)\b|outline-style\s*:\s*none\b|box-shadow\s*:\s*none\b"
-    bang = f"(SELECT {KEY}, rule_no, count(*) AS n FROM decls WHERE important AND {css[:-5]} GROUP BY ALL)"
-    repeats = f"(SELECT {KEY}, rule_no, prop, count(*) AS uses, count(DISTINCT value) AS different FROM decls WHERE {css[:-5]} GROUP BY ALL HAVING count(*) > 1)"
+    bang = f"(SELECT {KEY}, rule_no, rule_line, count(*) AS n FROM decls WHERE important AND {css[:-5]} GROUP BY ALL)"
+    repeats = f"(SELECT {KEY}, rule_no, rule_line, prop, count(*) AS uses, count(DISTINCT value) AS different FROM decls WHERE {css[:-5]} GROUP BY ALL HAVING count(*) > 1)"
     blocks = f"""(SELECT {KEY}, arg_min(selector, rule_no) AS selector FROM (SELECT {KEY}, selector, signature, min(rule_no) AS rule_no
       FROM signatures WHERE {css[:-5]} GROUP BY {KEY}, selector, signature HAVING count(*) > 8) GROUP BY ALL)"""
     literal = has("value", cs.LITERAL)
@@ -444,11 +439,12 @@ def css_style():
         SELECT {KEY}, count(*) FILTER ({literal}) AS n, bool_or(contains(value, 'var(')) AS uses_var, count(*) FILTER (important) AS important
         FROM decls WHERE {css[:-5]} GROUP BY ALL) d
       LEFT JOIN (SELECT path, count(*) AS n FROM ({first}) WHERE {has('v', cs.LITERAL)} GROUP BY path) c USING (path))"""
-    defined = f"(SELECT {KEY}, selector, count(*) AS uses, count(DISTINCT {squeeze('body')}) AS bodies FROM plain_rules WHERE {css[:-5]} GROUP BY ALL HAVING count(*) > 1)"
+    defined = f"(SELECT {KEY}, context, selector, arg_max(line, rule_no) AS line, count(*) AS uses, count(DISTINCT {squeeze('body')}) AS bodies FROM plain_rules WHERE {css[:-5]} GROUP BY ALL HAVING count(*) > 1)"
     top = f"""(SELECT {KEY}, pair, uses FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY uses DESC, pair) AS k FROM (
         SELECT {KEY}, prop || ':' || value AS pair, count(*) AS uses FROM decls WHERE {css[:-5]} GROUP BY ALL)) WHERE k = 1)"""
     sel = {"selector": "selector"}
-    body = counted(
+    wars = f"(SELECT {KEY}, context, list, arg_max(line, rule_no) AS line FROM lists WHERE {css} outside AND heavy GROUP BY ALL)"
+    body = located(
         rules_sql(rules_named("css.style", "css.maintenance")),
         d(cs.FONT_SIZE, f"prop = 'font-size' AND CASE WHEN {has('value', LENGTH)} THEN {px} < 14) ELSE false END", **shown),
         d(cs.LINE_HEIGHT, f"prop = 'line-height' AND CASE WHEN {has('value', '^[0-9]*[.]?[0-9]+$')} THEN CAST(value AS DOUBLE) < 1.2 ELSE false END", **shown),
@@ -458,33 +454,37 @@ def css_style():
         d(cs.ROOT_OVERFLOW, f"prop IN ('overflow', 'overflow-x') AND contains(value, 'hidden') AND {has('lower(selector)', 'html|body|#app|#root')}", **shown),
         d(cs.OUTLINE, "prop = 'outline' AND (contains(value, 'none') OR value = '0')"),
         d(cs.MUTED_FOCUS, "prop = 'box-shadow' AND value = 'none' AND contains(lower(selector), ':focus')"),
-        fire(cs.EMPTY_SELECTOR, "css_rules", css + "selector = ''"), fire(cs.RULE_IMPORTANT, bang, "n >= 3", n="n"),
-        fire(cs.FOCUS_REMOVED, "css_rules", css + f"contains(lower(selector), ':focus') AND {has('body', off)}"),
-        fire(cs.CONTRAST, "contrasts", css + "ratio < 4.5", ratio="printf('%.2f', ratio)"),
-        fire(cs.MISSPELT, "odd_near", css + "suggestion IS NOT NULL", name="prop", close="suggestion"),
-        fire(cs.UNRECOGNIZED, "odd_near", css + "suggestion IS NULL", name="prop"),
-        fire(cs.CONFLICT, repeats, "different > 1", prop="prop"), fire(cs.REPEATED, repeats, "different = 1", prop="prop"),
-        fire(cs.SPECIFIC, "lists", css + "heavy", selector="list"), fire(cs.CHAIN, "lists", css + "combinators > 4", selector="list"),
-        fire(cs.REDEFINED, defined, "bodies > 1", **sel), fire(cs.DUPLICATED, defined, "bodies = 1", **sel),
-        fire(cs.REPEATED_BLOCK, blocks, **sel), fire(cs.IMPORTANT, totals, "important >= 8", n="important"),
-        fire(cs.HARDCODED, totals, "literals >= 10 AND NOT uses_var"),
-        fire(cs.REPEATED_VALUE, top, "uses > 10", top="pair"),
-        fire(cs.OVERRIDE_WARS, f"(SELECT DISTINCT {KEY}, list FROM lists WHERE {css} heavy)", selector="list"))
-    return with_corpus(("code",), once_per_message(body), SHEETS, CSS_RULES, DECLS, SELECTORS, SIGNATURES, COLORS, UNKNOWN, LISTS)
+        fire(cs.EMPTY_SELECTOR, "css_rules", css + "selector = ''", at="line"), fire(cs.RULE_IMPORTANT, bang, "n >= 3", n="n", at="rule_line"),
+        fire(cs.FOCUS_REMOVED, "css_rules", css + f"contains(lower(selector), ':focus') AND {has('body', off)}", at="line"),
+        fire(cs.CONTRAST, "contrasts", css + "ratio < 4.5", ratio="printf('%.2f', ratio)", at="rule_line"),
+        fire(cs.MISSPELT, "odd_near", css + "suggestion IS NOT NULL", name="prop", close="suggestion", at="line"),
+        fire(cs.UNRECOGNIZED, "odd_near", css + "suggestion IS NULL", name="prop", at="line"),
+        fire(cs.CONFLICT, repeats, "different > 1", prop="prop", at="rule_line"), fire(cs.REPEATED, repeats, "different = 1", prop="prop", at="rule_line"),
+        fire(cs.SPECIFIC, "lists", css + "outside AND heavy", selector="list", at="line"),
+        fire(cs.CHAIN, "lists", css + "outside AND combinators > 4", selector="list", at="line"),
+        fire(cs.REDEFINED, defined, "bodies > 1", at="line", **sel), fire(cs.DUPLICATED, defined, "bodies = 1", at="line", **sel),
+        fire(cs.REPEATED_BLOCK, blocks, at="1", **sel), fire(cs.IMPORTANT, totals, "important >= 8", n="important", at="1"),
+        fire(cs.HARDCODED, totals, "literals >= 10 AND NOT uses_var", at="1"),
+        fire(cs.REPEATED_VALUE, top, "uses > 10", top="pair", at="1"),
+        fire(cs.OVERRIDE_WARS, wars, selector="list", at="line"), once=True)
+    return with_corpus(("code",), body, SHEETS, CSS_RULES, DECLS, SELECTORS, SIGNATURES, COLORS, UNKNOWN, LISTS)
 
 
 STATIC = f"translate({sub(sub('value', '[$][{][^}]*[}]', ' '), '[{][{][^}]*[}][}]', ' ')}, '+', ' ')"
 GROUP_CASE = "CASE " + " ".join(f"WHEN {has('core', p)} THEN '{n}'" for n, p in GROUPS) + " ELSE 'other' END"
 BALANCE = lambda s, a, b: f"length(replace({s}, '{a}', '')) = length(replace({s}, '{b}', ''))"
-CLASSES = f"""class_values AS MATERIALIZED (SELECT {KEY}, element_no, quoted[2:length(quoted) - 1] AS value FROM (
-  {unnested(every('text', u.CLASS_ATTRIBUTE, 1), 'element_no', 'quoted', "files WHERE language IN ('html', 'react')")})),
+CLASSES = f"""found_lists AS (SELECT {KEY}, unnest(range(1, len(quoted) + 1)) AS element_no, quoted, whole, between
+  FROM (SELECT {KEY}, {every('text', u.CLASS_ATTRIBUTE, 1)} AS quoted, {every('text', u.CLASS_ATTRIBUTE)} AS whole,
+    regexp_split_to_array(text, {q(u.CLASS_ATTRIBUTE)}) AS between FROM files WHERE language IN ('html', 'react'))),
+class_values AS MATERIALIZED (SELECT {KEY}, CAST(element_no AS INT) AS element_no, quoted[element_no][2:length(quoted[element_no]) - 1] AS value,
+  CAST(1 + {newlines("array_to_string(between[1:element_no], '')")} + {newlines("array_to_string(whole[1:element_no - 1], '')")} AS INT) AS line FROM found_lists),
 class_lists AS MATERIALIZED (SELECT *, list_filter(string_split(trim({sub(STATIC, '[ ' + chr(9) + chr(10) + chr(13) + ']+', ' ')}), ' '), lambda t: t <> '') AS tokens FROM class_values),
 class_tokens AS MATERIALIZED (SELECT * EXCLUDE (core), {GROUP_CASE} AS utility_group FROM (
   SELECT *, split_part({sub('base', '^!+')}, '/', 1) AS core FROM (
   SELECT *, starts_with(token, '!') AS important, coalesce(parts[-1], '') AS base, parts[1:len(parts) - 1] AS variants,
     CAST(length(replace(token, ']', '')) - length(replace(token, '[', '')) AS INT) AS surplus FROM (
     SELECT *, {every("regexp_replace(token, '^!', '') || ':'", PART, 1)} AS parts FROM (
-      {unnested('tokens', 'token_no', 'token', 'class_lists', KEY + ', element_no')}))))),
+      {unnested('tokens', 'token_no', 'token', 'class_lists', KEY + ', element_no, line')}))))),
 parsed AS MATERIALIZED (SELECT *, CASE WHEN surplus <> 0 THEN 'unbalanced' WHEN base = '' THEN 'no_base'
   WHEN {has("regexp_replace(token, '^!', '')", '^:|::|:$')} THEN 'bad_variant'
   WHEN NOT ({BALANCE('base', '[', ']')} AND (NOT contains(base, '[') OR (trim(inner_value) <> '' AND NOT {has('inner_value', '[$][{]|[{][{]|[}][}]')} AND {BALANCE('inner_value', '(', ')')})))
@@ -495,38 +495,40 @@ def utility():
     lists = "class_lists"
     dynamic = "(" + has("value", r"[$][{]|[{][{]|[}][}]") + " OR " + has("value", r"clsx\(|cn\(|(?i:classnames\()") + ")"
     ok = "state IS NULL"
-    per = lambda test: f"(SELECT {KEY}, element_no FROM parsed WHERE {ok} GROUP BY ALL HAVING {test})"
+    per = lambda test: f"(SELECT {KEY}, element_no, line FROM parsed WHERE {ok} GROUP BY ALL HAVING {test})"
     has_variant = lambda *v: "bool_or(" + " OR ".join(f"list_contains(variants, '{x}')" for x in v) + ")"
-    tok = lambda spec, test, **v: fire(spec, "parsed", test, **(v or {"token": "token"}))
+    tok = lambda spec, test, **v: fire(spec, "parsed", test, at="line", **(v or {"token": "token"}))
+    here = lambda spec, source, test="true", **v: fire(spec, source, test, at="line", **v)
     motion = f"""(SELECT p.* FROM parsed p WHERE {ok} AND (starts_with(base, 'animate-') OR base = 'transition-all') AND NOT EXISTS (
       SELECT 1 FROM parsed r WHERE r.path = p.path AND r.element_no = p.element_no AND r.state IS NULL AND r.token_no <= p.token_no
       AND list_contains(r.variants, 'motion-reduce')))"""
-    conflicts = f"""(SELECT {KEY}, element_no, utility_group, list_sort(list_distinct(list(token))) AS l FROM (
+    conflicts = f"""(SELECT {KEY}, element_no, line, utility_group, list_sort(list_distinct(list(token))) AS l FROM (
         SELECT *, array_to_string(list_sort(list_filter(variants, lambda v: v <> '')), ':') AS v FROM parsed WHERE {ok} AND utility_group <> 'other')
-      GROUP BY {KEY}, element_no, v, utility_group HAVING count(DISTINCT token) > 1)"""
+      GROUP BY {KEY}, element_no, line, v, utility_group HAVING count(DISTINCT token) > 1)"""
     bundles = f"""(SELECT DISTINCT {KEY} FROM (SELECT {KEY}, list_sort(list_distinct(tokens)) AS b FROM class_lists) GROUP BY {KEY}, b
       HAVING count(*) > 4 AND len(b) > 4)"""
     counted_lists = f"(SELECT {KEY}, count(*) AS n FROM class_lists WHERE {dynamic} GROUP BY ALL)"
     drift = f"(SELECT {KEY}, count(DISTINCT base) AS n FROM parsed WHERE {ok} AND (contains(base, '[') OR contains(base, ']')) GROUP BY ALL)"
-    variants = f"(SELECT {KEY}, unnest(variants) AS variant FROM parsed WHERE {ok})"
+    variants = f"(SELECT {KEY}, line, unnest(variants) AS variant FROM parsed WHERE {ok})"
     bracketed = "len(list_filter(tokens, lambda t: contains(t, '[') AND contains(t, ']')))"
-    return with_corpus(("pages", "code"), counted(
+    return with_corpus(("pages", "code"), located(
         rules_sql(rules_named("utility.config")),
-        fire(cs.DYNAMIC_CLASS, lists, dynamic), fire(cs.INTERPOLATED, lists, has("value", "[$][{]|[{][{]|[}][}]")),
-        fire(cs.LONG_LIST, lists, "len(tokens) >= 18"), fire(cs.MANY_ARBITRARY, lists, f"{bracketed} >= 4"),
-        fire(cs.HOVER_ONLY, per(f"{has_variant('hover')} AND NOT {has_variant('focus', 'focus-visible')}")),
-        fire(cs.HIDDEN, per(f"bool_or(base = 'hidden') AND {has_variant(*BREAKPOINTS)}")),
-        fire(cs.RING, per("bool_or(base = 'outline-none')")),
+        here(cs.DYNAMIC_CLASS, lists, dynamic), here(cs.INTERPOLATED, lists, has("value", "[$][{]|[{][{]|[}][}]")),
+        here(cs.LONG_LIST, lists, "len(tokens) >= 18"), here(cs.MANY_ARBITRARY, lists, f"{bracketed} >= 4"),
+        here(cs.HOVER_ONLY, per(f"{has_variant('hover')} AND NOT {has_variant('focus', 'focus-visible')}")),
+        here(cs.HIDDEN, per(f"bool_or(base = 'hidden') AND {has_variant(*BREAKPOINTS)}")),
+        here(cs.RING, per("bool_or(base = 'outline-none')")),
         tok(cs.UNBALANCED, "state = 'unbalanced'"), tok(cs.NO_BASE, "state = 'no_base'"),
         tok(cs.BAD_VARIANT, "state = 'bad_variant'"), tok(cs.BAD_VALUE, "state = 'bad_value'"),
         tok(cs.IMPORTANT_UTILITY, f"{ok} AND important"),
         tok(cs.ARBITRARY, f"{ok} AND (contains(base, '[') OR contains(base, ']'))"),
         tok(cs.UNKNOWN_BASE, f"{ok} AND NOT {has('base', KNOWN_BASE)} AND NOT {has('base', KNOWN_PREFIX)} AND NOT starts_with(base, '[')", base="base"),
         tok(cs.SMALL_TEXT, f"{ok} AND {has('base', r'^text-(?:xs|sm|[[].*[]])$')}"),
-        fire(cs.MOTION, motion, token="token"),
-        fire(cs.UNKNOWN_VARIANT, variants, f"variant NOT IN {in_list(VARIANTS)} AND NOT {has('variant', VARIANT_FAMILIES)}", variant="variant"),
-        fire(cs.GROUP_CONFLICT, conflicts, group="utility_group", tokens="array_to_string(l[1:3], ', ')"),
-        fire(cs.BUNDLE, bundles), fire(cs.DRIFT, drift, "n >= 6"), fire(cs.MANY_DYNAMIC, counted_lists, "n >= 3")), CLASSES)
+        here(cs.MOTION, motion, token="token"),
+        here(cs.UNKNOWN_VARIANT, variants, f"variant NOT IN {in_list(VARIANTS)} AND NOT {has('variant', VARIANT_FAMILIES)}", variant="variant"),
+        here(cs.GROUP_CONFLICT, conflicts, group="utility_group", tokens="array_to_string(l[1:3], ', ')"),
+        fire(cs.BUNDLE, bundles, at="1"), fire(cs.DRIFT, drift, "n >= 6", at="1"),
+        fire(cs.MANY_DYNAMIC, counted_lists, "n >= 3", at="1")), CLASSES)
 
 
 # Registry -----------------------------------------------------------------------------------------------------
@@ -569,7 +571,8 @@ PACK_QUERIES = {
 
 
 def _query(corpora, names):
-    return lambda spark, sf_dir: found(scan(corpus(*corpora)(spark, sf_dir), *names))
+    place = ("line", "snippet") if names[0].startswith(("css", "utility")) else ()
+    return lambda spark, sf_dir: found(scan(corpus(*corpora)(spark, sf_dir), *names), *place)
 
 
 QUERIES = {

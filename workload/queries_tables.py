@@ -75,7 +75,8 @@ NOT_CALLS = in_list(("if", "while", "for", "return", "def", "class", "and", "or"
 
 def unn_5(files):
     rows = u.css_declarations(u.css_source(files))
-    return rows.select("path", "rule_no", "selector", "decl_no", "prop", "raw", "value", "important")
+    return rows.select(
+        "path", "rule_no", "selector", F.array_join("context", " / ").alias("context"), "decl_no", "prop", "raw", "value", "important", "line")
 
 
 def unn_6(files):
@@ -122,7 +123,7 @@ UNN = {
           UNION ALL SELECT * FROM attrs_of""", BLOCK_ROWS)),
     "unn_5_css_declarations": (
         of(BOTH, unn_5, STYLED),
-        sql(BOTH, "SELECT path, rule_no, selector, decl_no, prop, raw, value, important FROM decls", SHEETS, CSS_RULES, DECLS)),
+        sql(BOTH, "SELECT path, rule_no, selector, context, decl_no, prop, raw, value, important, line FROM decls", SHEETS, CSS_RULES, DECLS)),
     "unn_6_selectors": (
         of(BOTH, unn_6, STYLED),
         sql(BOTH, """SELECT path, rule_no, count(*) AS selectors, max(ids) AS ids, max(classes) AS classes, max(elements) AS elements
@@ -346,13 +347,15 @@ AGG = {
     "agg_11b_repeated_declarations": (of(BOTH, agg_11b, STYLED), sql(
         BOTH, "SELECT path, prop, raw AS value, count(*) AS uses FROM decls GROUP BY path, prop, raw HAVING count(*) >= 4", SHEETS, CSS_RULES, DECLS)),
     "agg_12_duplicate_selectors": (
-        of(BOTH, lambda f: ag.duplicate_selectors(u.css_rules(u.css_source(f))).select("path", "selector", "uses", "bodies"), STYLED),
-        sql(BOTH, f"SELECT path, selector, count(*) AS uses, count(DISTINCT {squeeze('body')}) AS bodies FROM css_rules WHERE selector <> '' GROUP BY path, selector HAVING count(*) > 1",
+        of(BOTH, lambda f: ag.duplicate_selectors(u.css_rules(u.css_source(f))).select(
+            "path", F.array_join("context", " / ").alias("context"), "selector", "uses", "bodies"), STYLED),
+        sql(BOTH, f"""SELECT path, context, selector, count(*) AS uses, count(DISTINCT {squeeze('body')}) AS bodies FROM css_rules WHERE selector <> ''
+          GROUP BY path, context, selector HAVING count(*) > 1""",
             SHEETS, CSS_RULES)),
     "agg_13_conflicting_declarations": (
         of(BOTH, lambda f: ag.conflicting_declarations(u.css_declarations(u.css_source(f))).select(
-            "path", "rule_no", "selector", "prop", "uses", "different"), STYLED),
-        sql(BOTH, """SELECT path, rule_no, selector, prop, count(*) AS uses, count(DISTINCT value) AS different FROM decls
+            "path", "rule_no", "selector", F.array_join("context", " / ").alias("context"), "prop", "uses", "different"), STYLED),
+        sql(BOTH, """SELECT path, rule_no, selector, context, prop, count(*) AS uses, count(DISTINCT value) AS different FROM decls
           GROUP BY ALL HAVING count(*) > 1""", SHEETS, CSS_RULES, DECLS)),
     "agg_14_conflicting_utilities": (of(BOTH, agg_14, "language in ('html', 'react')"), sql(BOTH, """
       SELECT path, element_no, v AS variants, utility_group, array_to_string(list_sort(list_distinct(list(token))), ' ') AS tokens FROM (
@@ -451,8 +454,8 @@ PLAIN_TABLES = {
         lambda spark, sf: found(st.all_findings(*[rule_scan(corpus(*BOTH)(spark, sf), rules_named(p)) for p in ("html.structure", "html.security", "react.state")])),
         lambda: with_corpus(BOTH, counted(rules_sql(rules_named("html.structure", "html.security", "react.state"))))),
     "set_2_dedupe_findings": (
-        over_findings(lambda f: st.dedupe_findings(f).select("path", "severity", "message", "rule_id")),
-        all_rules("SELECT path, severity, message, min(rule_id) AS rule_id FROM findings GROUP BY path, severity, message")),
+        over_findings(lambda f: st.dedupe_findings(f).select("path", "severity", "message", "line", "rule_id")),
+        all_rules("SELECT path, severity, message, line, min(rule_id) AS rule_id FROM findings GROUP BY path, severity, message, line")),
     "set_3_set_minus": (
         of(("code",), lambda f: st.set_minus(u.py_symbols(f).where("kind = 'import'"), u.py_symbols(f).where("kind = 'call'"), ["path", "name"]), "language = 'python'"),
         sql(("code",), f"""SELECT path, name FROM symbols WHERE kind = 'import' AND name <> '' EXCEPT

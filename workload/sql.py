@@ -1,5 +1,6 @@
 """DuckDB text of rules and of pieces that several oracles share."""
 
+from corpusgauge.functions import sheets as sh
 from corpusgauge.plans import features as f
 from corpusgauge.plans.rules import by_language
 from .corpora import corpus_sql, quote as q
@@ -7,7 +8,7 @@ from .corpora import corpus_sql, quote as q
 
 def rx(p):
     """A pattern without possessive repetitions, which DuckDB does not know and need not: it never backtracks."""
-    return q(p.replace("*+", "*"))
+    return q(p.replace("*+", "*").replace("++", "+"))
 
 
 def has(s, p):
@@ -39,6 +40,10 @@ def literals(s, *needles):
         f"((length({s}) - length(replace({s}, {q(n)}, ''))) // {len(n)})" for n in needles) + ")"
 
 
+def newlines(s):
+    return f"(length({s}) - length(replace({s}, chr(10), '')))"
+
+
 def squeeze(s):
     return f"trim({sub(s, chr(92) + 's+', ' ')})"
 
@@ -91,7 +96,7 @@ FEATURES = {
     "comment_share": "CASE WHEN line_count > 0 THEN comment_lines / line_count ELSE 0 END",
     "todo_words": count("text", f.TODO_WORDS),
     "tabs": literals("text", "\t"),
-    "trailing_blanks": count("text", f.TRAILING),
+    "trailing_blanks": count("text", r"(?m)[ \t]+$"),
     "commented_code": count("text", f.COMMENTED_CODE),
     "ternary_lines": "len(list_filter(string_split(text, chr(10)), lambda l: contains(l, ':') AND length(l) - length(replace(l, '?', '')) >= 2))",
     "before_return": "split_part(text, 'return', 1)",
@@ -134,14 +139,17 @@ def rule_struct(rule) -> str:
             impact += f" + least({rule.measure} // {rule.div}, {rule.cap})"
         if rule.step is not None:
             severity = f"CASE WHEN {rule.measure} >= {rule.step} THEN {q(rule.severity_above)} ELSE {severity} END"
-    n = "1"
+    n, line = "1", "NULL"
+    if rule.locate:
+        before = "''" if rule.locate == "^" else f"regexp_split_to_array(text, {rx(rule.locate)})[1]"
+        line = f"1 + {newlines(before)}"
     if rule.emit == "each":
         n = count(rule.all_of[0].subject, rule.all_of[0].pattern)
     return (f"{{'rule_id': {q(rule.rule_id)}, 'rule': {q(rule.category)}, 'severity': {severity}, "
-            f"'score_impact': CAST({impact} AS INT), 'message': {message}, 'n': CAST({n} AS BIGINT)}}")
+            f"'score_impact': CAST({impact} AS INT), 'message': {message}, 'n': CAST({n} AS BIGINT), 'line': CAST({line} AS INT)}}")
 
 
-FINDING = "job_id, path, language, rule_id, rule, severity, score_impact, message, n"
+FINDING = "job_id, path, language, rule_id, rule, severity, score_impact, message, n, line"
 
 
 # Letters beyond ASCII are word characters to the rules but not to DuckDB's regular expressions.
@@ -169,14 +177,14 @@ def rules_sql(rules, files=FOLDED) -> str:
     return "\nUNION ALL\n".join(out)
 
 
-def fire(spec, source, where="true", /, severity=None, impact=None, **values) -> str:
+def fire(spec, source, where="true", /, severity=None, impact=None, at="NULL", **values) -> str:
     """SELECT of FINDING rows of a check over rows with job_id, path and language; equal rows are counted."""
     message = q(spec.message)
     for name, expr in values.items():
         message = f"replace({message}, '{{{name}}}', CAST({expr} AS VARCHAR))"
     return (f"SELECT job_id, path, language, {q(spec.rule_id)} AS rule_id, {q(spec.category)} AS rule, "
             f"{severity or q(spec.severity)} AS severity, CAST({impact or spec.impact} AS INT) AS score_impact, "
-            f"{message} AS message, CAST(1 AS BIGINT) AS n FROM {source} WHERE {where}")
+            f"{message} AS message, CAST(1 AS BIGINT) AS n, CAST({at} AS INT) AS line FROM {source} WHERE {where}")
 
 
 def counted(*selects) -> str:
@@ -186,6 +194,20 @@ def counted(*selects) -> str:
             f"FROM ({union}) GROUP BY ALL")
 
 
+SNIPPET = r"trim(string_split(text, chr(10))[line], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS snippet"
+
+
+def located(*selects, once=False) -> str:
+    """Findings with their lines and the texts there, equal rows summed. once: those told alike count once, the first rule
+    id standing for all."""
+    union = "\nUNION ALL\n".join(selects)
+    if once:
+        union = (f"SELECT path, arg_min(rule_id, rule_id) AS rule_id, arg_min(rule, rule_id) AS rule, severity, "
+                 f"arg_min(score_impact, rule_id) AS score_impact, message, 1 AS n, line FROM ({union}) GROUP BY path, severity, message, line")
+    return (f"SELECT path, rule_id, rule, severity, score_impact, message, line, {SNIPPET}, CAST(sum(n) AS BIGINT) AS n "
+            f"FROM ({union}) JOIN (SELECT path, text FROM files) USING (path) GROUP BY ALL")
+
+
 # A larger query sets this to have the packs inside it read one corpus.
 forced_corpus: list = []
 
@@ -217,24 +239,46 @@ TAGS = f"""tags AS MATERIALIZED (SELECT job_id, path, language, CAST(row_number(
   right(raw, 2) = '/>' OR lower({part('raw', TAG, 2)}) IN {VOID} AS is_void, raw
   FROM ({unnested(every('text', r'(?s)<!--.*?-->|<[^>]+>'), 'p', 'raw', "files WHERE language = 'html'")}) WHERE {has('raw', TAG)})"""
 
-FLAT_CSS = sub(sub(sub("css", BLOCK), r"(?i)@(?:import|charset|namespace)[^;{}]*;"),
-               r"(?i)@(?:media|supports|layer|container|document|(?:-webkit-)?keyframes)[^{};]*\{")
 SHEETS = (f"sheets AS MATERIALIZED (SELECT job_id, path, language, CASE WHEN language = 'html' THEN {PAGE_CSS} ELSE text END AS css "
           "FROM files WHERE language IN ('html', 'css'))")
-CSS_RULES = f"""css_rules AS MATERIALIZED (SELECT job_id, path, language, rule_no, {squeeze("split_part(r, '{', 1)")} AS selector,
-  regexp_replace(regexp_replace(r, '^[^{{]*\\{{', ''), '\\}}$', '') AS body
-  FROM ({unnested(every(f"' ' || {FLAT_CSS}", r"[^{}]+\{[^{}]*\}"), 'rule_no', 'r', 'sheets')}))"""
+BARE = lambda s: f"regexp_replace({s}, {rx('(' + sh.STRINGS + ')|' + sh.COMMENT)}, '\\1', 'g')"
+OWN = lambda s: f"array_to_string(list_filter({every(s, sh.PART)}, lambda x: right(x, 1) = ';'), '')"
+BEFORE = "PARTITION BY path ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+# The pieces between braces with their level; a block is a piece that opens it and what stands one level deeper up to its end.
+CSS_RULES = f"""cut AS (SELECT *, CASE WHEN right(p, 1) IN ('{{', '}}') THEN right(p, 1) ELSE '' END AS brace
+  FROM ({unnested(every('css', sh.PIECE), 'place', 'p', 'sheets')})),
+summed AS (SELECT job_id, path, language, place, brace, left(p, length(p) - length(brace)) AS t,
+  CAST(1 + coalesce(sum({newlines('p')}) OVER ({BEFORE}), 0) AS INT) AS line,
+  coalesce(sum(CASE brace WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER ({BEFORE}), 0) AS run FROM cut),
+pieces AS MATERIALIZED (SELECT *, run - least(0, min(run) OVER (PARTITION BY path ORDER BY place ROWS UNBOUNDED PRECEDING)) AS level FROM summed),
+opened AS MATERIALIZED (SELECT *, {squeeze(BARE('raw'))} AS head, CAST(line + {newlines('own')} + {newlines(part('raw', sh.LEAD))} AS INT) AS head_line FROM (
+  SELECT *, substr(t, length(own) + 1) AS raw FROM (
+    SELECT o.*, {OWN('t')} AS own, (SELECT min(c.place) FROM pieces c WHERE c.path = o.path AND c.brace = '}}' AND c.level = o.level + 1 AND c.place > o.place) AS stop
+    FROM pieces o WHERE brace = '{{'))),
+blocks AS MATERIALIZED (SELECT o.*,
+  coalesce((SELECT string_agg(c.head, ' / ' ORDER BY c.place) FROM opened c WHERE c.path = o.path AND c.place < o.place AND (c.stop IS NULL OR c.stop > o.place)), '') AS context,
+  NOT EXISTS (SELECT 1 FROM opened c WHERE c.path = o.path AND c.place > o.place AND (o.stop IS NULL OR c.place < o.stop)) AS leaf FROM opened o),
+parts AS MATERIALIZED (SELECT r.*, p.place AS part_at, p.line AS part_line, CASE WHEN p.brace = '{{' THEN {OWN('p.t')} ELSE p.t END AS part FROM (
+    SELECT job_id, path, language, place, level, stop, head AS selector, head_line AS line, context, CAST(row_number() OVER (PARTITION BY path ORDER BY place) AS INT) AS rule_no
+    FROM blocks WHERE NOT {has('head', sh.NESTING)} AND (leaf OR NOT starts_with(head, '@'))) r
+  LEFT JOIN pieces p ON p.path = r.path AND p.level = r.level + 1 AND p.place > r.place AND (r.stop IS NULL OR p.place <= r.stop)),
+css_rules AS MATERIALIZED (SELECT job_id, path, language, rule_no, selector, line, context, coalesce(string_agg({BARE('part')}, '' ORDER BY part_at), '') AS body
+  FROM parts GROUP BY ALL)"""
 DECL = r"(?s)^\s*([-\w]+)\s*:\s*(.*\S)\s*$"
 BANG = r"(?i)\s*!\s*important\s*$"
-DECLS = f"""decls AS MATERIALIZED (SELECT job_id, path, language, rule_no, selector, decl_no, prop, raw,
+DECLS = f"""decls AS MATERIALIZED (SELECT job_id, path, language, rule_no, selector, context, rule_line, line,
+  CAST(row_number() OVER (PARTITION BY path, rule_no ORDER BY part_at, i) AS INT) AS decl_no, prop, raw,
   lower(regexp_replace(raw, '{BANG}', '')) AS value, {has('raw', BANG)} AS important FROM (
   SELECT *, lower({part('d', DECL, 1)}) AS prop, {squeeze(part('d', DECL, 2))} AS raw FROM (
-  {unnested(f"list_filter(string_split(body, ';'), lambda d: {has('d', DECL)})", 'decl_no', 'd', 'css_rules', 'job_id, path, language, rule_no, selector')})))"""
+    SELECT *, regexp_replace({BARE('x')}, ';$', '') AS d, CAST(part_line + {newlines(part('x', sh.LEAD))} + coalesce(sum({newlines('x')}) OVER (
+      PARTITION BY path, rule_no, part_at ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS line FROM (
+    {unnested(every('part', sh.PART), 'i', 'x', 'parts', 'job_id, path, language, rule_no, selector, context, line AS rule_line, part_at, part_line').replace('SELECT job_id, path, language, rule_no, selector, context, line AS rule_line, part_at, part_line, u.i', 'SELECT job_id, path, language, rule_no, selector, context, rule_line, part_at, part_line, u.i')}))
+  WHERE {has('d', DECL)}))"""
 TOKEN = r"(?:[#.][\w-]+|\[[^\]]+\]|::?[\w-]+|[a-zA-Z][\w-]*)"
 SELECTORS = f"""weights AS MATERIALIZED (SELECT *, CAST({count('selector', r'#[\w-]+')} AS INT) AS ids,
   CAST({count('selector', r'[.][\w-]+|[[][^]]+[]]|:[\w-]+')} AS INT) AS classes,
   CAST(len(list_filter({every('selector', TOKEN)}, lambda t: NOT {has('t', r'^[#.[:]')})) AS INT) AS elements,
   CAST({count('selector', r'\s+|>|[+]|~')} AS INT) AS combinators,
   CAST({count(sub(sub('selector', r'\[[^\]]*\]'), r'\([^)]*\)'), r'\s+|[>+~]')} AS INT) AS depth
-  FROM (SELECT job_id, path, language, rule_no, list, unnest(list_filter(regexp_split_to_array(list, '\\s*,\\s*'), lambda s: s <> '')) AS selector
+  FROM (SELECT job_id, path, language, rule_no, list, context, line, unnest(list_filter(regexp_split_to_array(list, '\\s*,\\s*'), lambda s: s <> '')) AS selector
         FROM (SELECT *, selector AS list FROM css_rules)))"""
