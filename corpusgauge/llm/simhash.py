@@ -14,7 +14,6 @@ finds, not all pairs of a dense group; anchors with too many fingerprints are co
 """
 
 import functools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +29,6 @@ WIDTH, CHECKS = 23, 11
 MOST_PER_TASK = 1 << 14
 #: Shingles hashed at once.
 BLOCK = 1 << 15
-#: Bands of distance within which links are thinned out to a forest.
-BANDS = 5
-#: Texts whose shingles are counted to tell the frequent ones, and how many of these are told to the tasks.
-SAMPLE, FREQUENT = 1 << 14, 1 << 17
-#: Sets that meet at one shingle and are taken pair by pair; above that, sets and shingles compared in one task.
-FEW, MOST_SETS, MOST_SHINGLES = 64, 1 << 12, 1 << 22
-#: Buckets in which a set's shingles are counted.
-SKETCH = 128
 
 
 # Fingerprints
@@ -53,45 +44,24 @@ def hashes(text: str | None, words: int, seed: int = 42):
         yield np.array([xxhash.xxh64_intdigest(b" ".join(row), seed) for row in rows], np.uint64)
 
 
-def mixed(values: np.ndarray, stream: int) -> np.ndarray:
-    """Other hashes from hashes, by the finalizer of splitmix64; stream 0 leaves them as they are."""
-    if not stream:
-        return values
-    x = values + np.uint64(0x9E3779B97F4A7C15 * stream & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def wide_fingerprint(text: str | None, words: int, longs: int, seed: int = 42) -> list[int]:
-    """A fingerprint of `longs` times 64 bits of a text's shingles, as unsigned integers; zeros if it has no words."""
-    n, counts = 0, np.zeros((longs, 64), np.int64)
-    for block in hashes(text, words, seed):
-        n += len(block)
-        for i in range(longs):
-            bits = np.unpackbits(mixed(block, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[i] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
-
-
 def fingerprint(text: str | None, words: int, seed: int = 42) -> int:
     """The fingerprint of a text's shingles, as an unsigned 64-bit integer; 0 if it has no words."""
-    return wide_fingerprint(text, words, 1, seed)[0]
-
+    n, counts = 0, np.zeros(64, np.int64)
+    for block in hashes(text, words, seed):
+        n += len(block)
+        counts += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
-def fingerprints(docs: DataFrame, shapes: list[tuple[int, int]], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """id, text_key (hash of the text) and f0, f1, ... (long): as many longs per shape (words, longs) as it says."""
-    names = [f"f{i}" for i in range(sum(longs for _, longs in shapes))]
 
+def fingerprints(docs: DataFrame, words: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """id, text_key (hash of the text) and f (long)."""
     def run(batches):
         for batch in batches:
-            found = [[x for words, longs in shapes for x in wide_fingerprint(t.as_py(), words, longs)] for t in batch.column(2)]
-            fps = np.array(found, np.uint64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(f)) for f in fps.T)], ["id", "text_key", *names])
+            fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["id", "text_key", "f"])
 
     rows = docs.select(docs[key].cast("long").alias("id"), text_hash(docs[text]).alias("text_key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "id long, text_key long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(run, "id long, text_key long, f long")
 
 
 def text_hash(text: Column) -> Column:
@@ -154,25 +124,17 @@ def replicas(fps: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def replicate(distinct: DataFrame, anchored: list[str], vertex: str, near: int, wide: list[str] = ()) -> DataFrame:
-    """(anchor, near, fp, v, w0, ...) of distinct rows, for each fingerprint column in `anchored`; v is the row's vertex
-    column and w0, ... are its wide fingerprint."""
-    names = [f"w{i}" for i in range(len(wide))]
-
+def replicate(distinct: DataFrame, near: int) -> DataFrame:
+    """(anchor, near, f) of distinct fingerprints f."""
     def run(batches):
         for batch in batches:
-            carried = [batch.column(i).to_numpy() for i in range(len(anchored), batch.num_columns)]
-            for i in range(len(anchored)):
-                fps = batch.column(i).to_numpy()
-                for start in range(0, len(fps), 2048):
-                    part = fps[start : start + 2048]
-                    at, anchor, mark = replicas(part, near)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array((anchor | i << 24).astype(np.int32)), pa.array(mark), pa.array(part[at]), *(pa.array(c[start + at]) for c in carried)],
-                        ["anchor", "near", "fp", "v", *names])
+            fps = batch.column(0).to_numpy()
+            for start in range(0, len(fps), 2048):
+                part = fps[start : start + 2048]
+                at, anchor, mark = replicas(part, near)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.astype(np.int32)), pa.array(mark), pa.array(part[at])], ["anchor", "near", "f"])
 
-    schema = ", ".join(["anchor int", "near boolean", "fp long", "v long", *(f"{n} long" for n in names)])
-    return distinct.select(*anchored, F.col(vertex).alias("v"), *wide).mapInArrow(run, schema)
+    return distinct.select("f").mapInArrow(run, "anchor int, near boolean, f long")
 
 
 # Links
@@ -205,49 +167,41 @@ class Forest:
         return a != b
 
 
-def compared(batches, bits: int, bands: list[int]):
-    """Links (a, b) of vertices, from rows (group, near, fp, v, side, w0, ...) sorted by group.
+def compared(batches, bits: int):
+    """Links (a, b) of fingerprints, from rows (group, near, f, side) sorted by group.
 
-    Marked rows of side 0 or 2 are compared with all of side 1 or 2 of their group, by fp and then by their wide
-    fingerprints, where they may differ in as many bits as the last band says. Of the links found only those are given that
-    join something new in this task among the links of their band or a closer one: a dense group gives a forest per band
-    and not its pairs, and no link is left out for looser ones.
+    Marked rows of side 0 or 2 are compared with all of side 1 or 2 of their group. Of the links found only those are given
+    that join something new in this task: a dense group gives a forest and not its pairs.
     """
-    forests = [Forest() for _ in bands]
-
-    def links(near, fp, v, side, *wide):
-        left, right = near & (side != 1), side != 0
-        fp_left, v_left, fp_right, v_right = fp[left], v[left], fp[right], v[right]
-        wide_left, wide_right = [w[left] for w in wide], [w[right] for w in wide]
-        for i in range(0, len(fp_left), 256):
-            x, xv = fp_left[i : i + 256], v_left[i : i + 256]
-            for j in range(0, len(fp_right), 4096):
-                y, yv = fp_right[j : j + 4096], v_right[j : j + 4096]
-                # What the closest band connects already needs no look at the pair.
-                xr, yr = (np.array([forests[0].root(k) for k in z.tolist()]) for z in (xv, yv))
+    forest = Forest()
+
+    def links(near, f, side):
+        left, right = f[near & (side != 1)], f[side != 0]
+        for i in range(0, len(left), 256):
+            x = left[i : i + 256]
+            for j in range(0, len(right), 4096):
+                y = right[j : j + 4096]
+                # What is connected already needs no look at the pair.
+                xr, yr = (np.array([forest.root(k) for k in z.tolist()]) for z in (x, y))
                 at, to = np.nonzero((differing(x[:, None], y) <= bits) & (xr[:, None] != yr))
-                apart = sum((differing(w[i + at], u[j + to]).astype(np.int16) for w, u in zip(wide_left, wide_right)), np.zeros(len(at), np.int16))
-                band = np.searchsorted(bands, apart)
-                order = np.argsort(band, kind="stable")
-                order = order[: np.searchsorted(band[order], len(bands))]
-                for p, q, k in zip(xv[at[order]].tolist(), yv[to[order]].tolist(), band[order].tolist()):
-                    if [forest.join(p, q) for forest in forests[k:]][0]:
+                for p, q in zip(x[at].tolist(), y[to].tolist()):
+                    if forest.join(p, q):
                         yield p, q
 
     def emit(rows):
         """One batch with the links of whole groups."""
-        groups, near, fp, *rest = rows
+        groups, near, f, side = rows
         if not len(groups):
             return
         starts = np.concatenate([[0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]])
         sizes, found = np.diff(starts), []
         # Groups of two, most by far, are looked at together first.
         two = starts[:-1][sizes == 2]
-        two = two[(differing(fp[two], fp[two + 1]) <= bits) & (near[two] | near[two + 1])]
+        two = two[(differing(f[two], f[two + 1]) <= bits) & (near[two] | near[two + 1])]
         spans = [(i, i + 2) for i in two.tolist()]
         spans += [(s, s + n) for s, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist())]
         for s, e in spans:
-            found.extend(links(*(c[s:e] for c in (near, fp, *rest))))
+            found.extend(links(near[s:e], f[s:e], side[s:e]))
         if found:
             a, b = zip(*found)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -265,23 +219,22 @@ def compared(batches, bits: int, bands: list[int]):
         yield from emit(held)
 
 
-def linked(rows: DataFrame, bits: int, bands: list[int], most: int = MOST_PER_TASK) -> DataFrame:
-    """Links (a, b) that connect the vertices that replicas (anchor, near, fp, v, w0, ...) at one anchor connect."""
-    wide = [c for c in rows.columns if c not in ("anchor", "near", "fp", "v")]
+def linked(rows: DataFrame, bits: int, most: int = MOST_PER_TASK) -> DataFrame:
+    """Links (a, b) that connect the fingerprints that replicas (anchor, near, f) at one anchor connect."""
     hot = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most)
     hot = written(hot.select("anchor", F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot")
     # A hot anchor's rows are dealt into parts, and each pair of parts is a group: (i, j) compares i's marked with j's.
-    dealt = rows.join(hot, "anchor").withColumn("part", F.pmod(F.xxhash64("v", "fp"), F.col("parts")).cast("int"))
+    dealt = rows.join(hot, "anchor").withColumn("part", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     as_left = F.transform(every, lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.when(j == F.col("part"), 2).otherwise(0).alias("side")))
     as_right = F.transform(F.filter(every, lambda i: i != F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side")))
-    split = dealt.select("anchor", "near", "fp", "v", *wide, F.explode(F.concat(as_left, as_right)).alias("p")).select(
-        F.xxhash64("anchor", "p.i", "p.j").alias("group"), "near", "fp", "v", F.col("p.side").cast("byte").alias("side"), *wide)
+    split = dealt.select("anchor", "near", "f", F.explode(F.concat(as_left, as_right)).alias("p")).select(
+        F.xxhash64("anchor", "p.i", "p.j").alias("group"), "near", "f", F.col("p.side").cast("byte").alias("side"))
     plain = rows.join(hot, "anchor", "left_anti").select(
-        F.col("anchor").cast("long").alias("group"), "near", "fp", "v", F.lit(2).cast("byte").alias("side"), *wide)
+        F.col("anchor").cast("long").alias("group"), "near", "f", F.lit(2).cast("byte").alias("side"))
     groups = plain if hot.isEmpty() else plain.unionByName(split)
     groups = groups.repartition("group").sortWithinPartitions("group")
-    return groups.mapInArrow(lambda batches: compared(batches, bits, bands), "a long, b long")
+    return groups.mapInArrow(lambda batches: compared(batches, bits), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -315,24 +268,16 @@ def components(links: DataFrame) -> DataFrame:
     return labels.join(least, "root").select("v", F.col("least").alias("root"))
 
 
-def connected(marked: DataFrame, anchored: list[str], vertex: str, near: int, bits: int, wide_bits: int, most: int,
-              wide: list[str] = (), check=None) -> DataFrame:
-    """marked (id, ..., fingerprints) with component_id, the smallest id reachable.
-
-    Links differ in `bits` or fewer bits of a fingerprint in `anchored` and `wide_bits` or fewer of the columns in `wide`;
-    `check` tells which of them stay.
-    """
-    distinct = written(marked.groupBy(*dict.fromkeys([*anchored, vertex, *wide])).agg(F.min("id").alias("first")), "distinct")
-    bands = [wide_bits * (k + 1) // BANDS for k in range(BANDS)] if wide else [0]
-    links = linked(replicate(distinct, anchored, vertex, near, wide), bits, bands, most)
-    if check:
-        links = check(written(links.distinct(), "candidates"))
-    roots = written(components(links).withColumnRenamed("v", vertex), "roots")
-    firsts = distinct.groupBy(vertex).agg(F.min("first").alias("first"))
-    grouped = firsts.join(roots, vertex).groupBy("root").agg(F.min("first").alias("least"))
-    least = roots.join(grouped, "root").select(vertex, "least")
-    ids = firsts.join(least, vertex, "left").select(vertex, F.coalesce("least", "first").alias("component_id"))
-    return marked.join(ids, vertex)
+def connected(marked: DataFrame, bits: int, most: int = MOST_PER_TASK) -> DataFrame:
+    """marked (id, ..., f) with component_id, the smallest id reachable over fingerprints f that differ in few bits."""
+    if not 0 <= bits <= 3:
+        raise ValueError("the replicas reach 3 bits")
+    distinct = written(marked.groupBy("f").agg(F.min("id").alias("first")), "distinct")
+    roots = written(components(linked(replicate(distinct, 1), bits, most)).withColumnRenamed("v", "f"), "roots")
+    grouped = distinct.join(roots, "f").groupBy("root").agg(F.min("first").alias("least"))
+    least = roots.join(grouped, "root").select("f", "least")
+    ids = distinct.join(least, "f", "left").select("f", F.coalesce("least", "first").alias("component_id"))
+    return marked.join(ids, "f")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bits: int = 3, most: int = MOST_PER_TASK) -> DataFrame:
@@ -342,243 +287,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     zero and are linked like any other. A null key takes part, and a component of nothing but null keys has a null id.
     Repeated rows stay. Other columns are left out.
     """
-    if bits > 3:
-        raise ValueError("the replicas reach 3 bits")
-    marked = written(fingerprints(docs, [(words, 1)], text, key), "fingerprints")
-    found = connected(marked, ["f0"], "f0", 1, bits, bits, most)
-    return found.select(F.col("id").alias(key), hexadecimal(F.col("f0")).alias("fingerprint"), "component_id")
-
-
-# Similar sets
-
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """The set of a text's shingles, as sorted hashes."""
-    blocks = [np.unique(h) for h in hashes(text, words)]
-    return np.unique(np.concatenate(blocks)) if blocks else np.empty(0, np.uint64)
-
-
-def frequent(docs: DataFrame, words: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent shingles in a sample of the texts. Only the order of shingles depends on it."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.select(text_hash(docs[text]).alias("text_key"), docs[text].alias("text"))
-    some = some.filter(F.pmod("text_key", F.lit(every)) == 0).dropDuplicates(["text_key"])
-
-    def run(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], ["h"])
-
-    counted = some.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    most = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    found, n = most.column("h").to_numpy().view(np.uint64), most.column("n").to_numpy()
-    order = np.argsort(found)
-    return found[order], n[order]
+    found = connected(written(fingerprints(docs, words, text, key), "fingerprints"), bits, most)
+    return found.select(F.col("id").alias(key), hexadecimal(F.col("f")).alias("fingerprint"), "component_id")
 
 
-def prefixes(docs: DataFrame, words: int, similarity: float, known: tuple[np.ndarray, np.ndarray], text: str, key: str) -> DataFrame:
-    """id, text_key, v (hash of the set of shingles), n (its size), k (its sketch) and p, its prefix: so many of its rarest shingles
-    that sets of this similarity have one of them in common."""
-    often, counts = np.append(known[0], np.uint64(0)), np.append(known[1], 0)
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 3, bits: int = 3, most: int = MOST_PER_TASK) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest key; of repeated rows one stays.
 
-    def row(t):
-        s = shingles(t, words)
-        at = np.searchsorted(known[0], s)
-        order = np.lexsort((s, np.where(often[at] == s, counts[at], 0)))
-        p = s[order[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]]
-        sketch = np.minimum(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8)
-        return xxhash.xxh64_intdigest(s.tobytes()), len(s), sketch.tobytes(), p.view(np.int64)
-
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                v, n, k, p = zip(*(row(t.as_py()) for t in part.column(2)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.array(v, np.uint64).view(np.int64)), pa.array(n, pa.int32()),
-                     pa.array(k, pa.binary()), pa.array(p, pa.list_(pa.int64()))], ["id", "text_key", "v", "n", "k", "p"])
-
-    rows = docs.select(docs[key].cast("long").alias("id"), text_hash(docs[text]).alias("text_key"), docs[text].alias("text"))
-    return rows.mapInArrow(run, "id long, text_key long, v long, n int, k binary, p array<long>")
-
-
-def whole_groups(batches):
-    """The columns of the batches, sorted by the first, so that no group of it goes on in the next ones."""
-    held = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        first = batch.column(0).to_numpy()
-        whole = int(np.searchsorted(first, first[-1]))
-        if held and whole:
-            yield pa.Table.from_batches([*held, batch.slice(0, whole)])
-            held = []
-        elif whole:
-            yield pa.Table.from_batches([batch.slice(0, whole)])
-        elif held and held[-1].column(0)[-1].as_py() != first[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        held.append(batch.slice(whole))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def meetings(batches, similarity: float):
-    """From rows (h, v, n, at) sorted by h, sets of n shingles with h at place `at` of their order: (a, b, null), pairs of sets
-    that meet at a shingle of few sets and may be similar, and (v, n, h) for shingles of more sets, which also meet their first."""
-    for table in whole_groups(batches):
-        h, v, n, at = (c.to_numpy() for c in table.columns)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1, [len(h)]])
-        sizes = np.diff(starts)
-        start, end = np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes)
-        many = end - start > FEW
-
-        def pairs(i, j):
-            # If h is the first they share, they share no more than what follows it.
-            room = 1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1)
-            kept = room >= np.ceil(similarity / (1 + similarity) * (n[i].astype(np.int64) + n[j]) - 1e-9)
-            return i[kept], j[kept]
-
-        rows = np.flatnonzero(many)
-        found = [pairs(start[rows][start[rows] != rows], rows[start[rows] != rows])]
-        i, step = np.flatnonzero(~many), 1
-        while len(i := i[i + step < end[i]]):
-            found.append(pairs(i, i + step))
-            step += 1
-        i, j = (np.concatenate(x) for x in zip(*found))
-        a, b = np.minimum(v[i], v[j]), np.maximum(v[i], v[j])
-        if len(a):
-            a, b = np.unique(np.stack([a, b], 1), axis=0).T
-        if len(a) or len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, v[rows]])), pa.array(np.concatenate([b, n[rows].astype(np.int64)])),
-                 pa.array(np.concatenate([np.zeros_like(a), h[rows]]), mask=np.arange(len(a) + len(rows)) < len(a))], ["a", "b", "h"])
-
-
-def promising(pairs: DataFrame, one: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) but for those whose sketches differ by more than similar sets can."""
-    def run(batches):
-        for batch in batches:
-            a, b, m, n = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (3, 5))
-            kept = np.abs(x - y).sum(axis=1) <= (1 - similarity) / (1 + similarity) * (m.astype(np.int64) + n) + 1e-6
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
-
-    both = pairs.join(one.select(F.col("v").alias("a"), "n", "k"), "a").join(one.select(F.col("v").alias("b"), F.col("n").alias("o"), F.col("k").alias("l")), "b")
-    return both.select("a", "b", "n", "k", "o", "l").mapInArrow(run, "a long, b long")
-
-
-def sets_of(ends: DataFrame, docs: DataFrame, marked: DataFrame, words: int, text: str, key: str) -> DataFrame:
-    """(v, s): the sets of the vertices v, made of one text each."""
-    one = marked.join(ends, "v").groupBy("v").agg(F.min(F.struct("text_key", "id")).alias("k")).select("v", "k.*")
-    rows = docs.select(docs[key].cast("long").alias("key"), text_hash(docs[text]).alias("hash"), docs[text].alias("text"))
-    rows = rows.join(one, (F.col("hash") == F.col("text_key")) & F.col("key").eqNullSafe(F.col("id"))).select("v", "text")
-
-    def run(batches):
-        for batch in batches:
-            for v, t in zip(batch.column(0), batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([v.as_py()], pa.int64()), pa.array([shingles(t.as_py(), words).view(np.int64)], pa.list_(pa.int64()))], ["v", "s"])
-
-    return rows.mapInArrow(run, "v long, s array<long>").groupBy("v").agg(F.first("s").alias("s"))
-
-
-def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) of sets whose Jaccard similarity is `similarity` or more."""
-    pairs = links.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    pairs = pairs.select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
-    return pairs.filter(F.col("both") >= similarity * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
-
-
-def alike_within(batches, similarity: float):
-    """Links (a, b) of similar sets of one group, from rows (group, v, root, side, s) sorted by group: a forest, of links that are
-    each counted. Sets of one root are connected already; those of sides 0 and 1 are compared with the other side only."""
-    for table in whole_groups(batches):
-        group, v, root, side = (table.column(i).to_numpy() for i in range(4))
-        lists = table.column(4).combine_chunks()
-        offsets, values = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]).tolist()
-        found = []
-        for s, e in zip(cuts, cuts[1:]):
-            starts, own = offsets[s:e] - offsets[s], side[s:e]
-            universe, flat = np.unique(values[offsets[s] : offsets[e]], return_inverse=True)
-            n, label = np.diff(offsets[s : e + 1]), np.unique(root[s:e], return_inverse=True)[1]
-            ends, mark = starts + n, np.zeros(len(universe), np.int32)
-            for x in range(e - s - 1):
-                other = label != label[x]
-                other[: x + 1] = False
-                if own[x] != 2:
-                    other &= own != own[x]
-                other = np.flatnonzero(other & (np.minimum(n, n[x]) >= similarity * np.maximum(n, n[x]) - 1e-9))
-                if not len(other):
-                    continue
-                mark[flat[starts[x] : ends[x]]] = 1
-                if len(other) < 32:
-                    both = np.array([mark[flat[starts[y] : ends[y]]].sum() for y in other])
-                else:
-                    both = np.add.reduceat(mark[flat], starts)[other]
-                mark[flat[starts[x] : ends[x]]] = 0
-                for y in other[both >= similarity * (n[x] + n[other] - both)].tolist():
-                    if label[y] != label[x]:
-                        label[label == label[y]] = label[x]
-                        found.append((v[s + x], v[s + y]))
-        if found:
-            a, b = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def linked_within(dense: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
-    """Links (a, b) that connect the similar sets of each group (h, v, n), but for those that `roots` connects."""
-    members = written(dense.join(roots, "v", "left").select("h", "v", "n", F.coalesce("root", "v").alias("root")), "members")
-    groups = members.groupBy("h").agg(
-        F.count("*").alias("m"), F.sum("n").alias("n"), F.min("root").alias("first"), F.max("root").alias("last"),
-        F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y"))
-    # Shingles of one passage have the same sets.
-    groups = groups.filter("first <> last").groupBy("m", "n", "x", "y").agg(F.min("h").alias("h"))
-    parts = F.ceil(F.greatest(F.col("m") / most, F.col("n") / MOST_SHINGLES)).cast("int")
-    rows = members.drop("n").join(groups.select("h", parts.alias("parts")), "h").join(sets, "v")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
-    # Each pair of parts is a group.
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("with") == F.col("part"), 2).otherwise((F.col("part") > F.col("with")).cast("int")).cast("byte")
-    rows = rows.select(F.xxhash64("h", F.least("part", "with"), F.greatest("part", "with")).alias("group"), "v", "root", side.alias("side"), "s")
-    rows = rows.repartition("group").sortWithinPartitions("group")
-    return rows.mapInArrow(lambda batches: alike_within(batches, similarity), "a long, b long")
-
-
-def similar(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, similarity: float = 0.8, most: int = MOST_SETS) -> DataFrame:
-    """Per row: id, text_key (hash of the text) and component_id: texts whose shingles of `words` words are similar are linked.
-
-    Similar: the Jaccard similarity of their sets of shingles is `similarity` or more. All such pairs are connected and each link
-    is counted. With the shingles in one order, rare ones first, two similar sets share one of the first n - ceil(similarity n) + 1
-    of their n. Pairs that meet there and whose counts by bucket allow it are counted; where over FEW sets meet at one shingle they are
-    compared in the task, on the sets, and only counted links spare others. Nulls as in near_duplicates.
-    """
-    marked = written(prefixes(docs, words, similarity, frequent(docs, words, text), text, key), "prefixes")
-    one = written(marked.filter("n > 0").select("v", "n", "k", "p").dropDuplicates(["v"]), "distinct")
-    rows = one.select(F.posexplode("p").alias("at", "h"), "v", "n").select("h", "v", "n", "at")
-    met = rows.repartition("h").sortWithinPartitions("h").mapInArrow(lambda batches: meetings(batches, similarity), "a long, b long, h long")
-    met = written(met, "met")
-    dense = met.filter("h is not null").select("h", F.col("a").alias("v"), F.col("b").alias("n"))
-    pairs = written(promising(met.filter("h is null").select("a", "b").distinct(), one, similarity), "candidates")
-    ends = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(dense.select("v")).distinct()
-    sets = written(sets_of(ends, docs, marked, words, text, key), "sets")
-    links = written(alike(pairs, sets, similarity), "counted")
-    roots = written(components(links), "roots")
-    if not dense.isEmpty():
-        more = written(linked_within(dense, roots, sets, similarity, most), "more")
-        roots = written(components(links.union(more)), "roots")
-    firsts = marked.groupBy("v").agg(F.min("id").alias("first"))
-    grouped = firsts.join(roots, "v").groupBy("root").agg(F.min("first").alias("least"))
-    least = roots.join(grouped, "root").select("v", "least")
-    ids = firsts.join(least, "v", "left").select("v", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(ids, "v").select("id", "text_key", "component_id")
-
-
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each group of similar texts: that of the smallest key; of repeated rows one stays.
-
-    Rows without a key stay if no similar text has one, but for repeated rows.
+    The groups are those of near_duplicates. Rows without a key stay if no text of their group has one, but for repeated rows.
     """
-    groups = written(similar(docs, text, key, **how), "groups")
+    found = connected(written(fingerprints(docs, words, text, key), "fingerprints"), bits, most)
+    groups = written(found.select("id", "text_key", "component_id"), "groups")
     same = lambda one: docs_key.eqNullSafe(one["id"]) & (text_key == one["text_key"])
     lost = groups.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_key").distinct()
     # Rows that share a kept key: of one group all but one go, by the order of their texts' hashes.
