@@ -7,6 +7,7 @@ file is settled without a shuffle. An array is bounded by its own file's text.
 from pyspark.sql import Column, functions as F
 
 from .code import blank_python
+from .spans import call_array
 from .text import LINE_END, col, extract_all, let, match_lines, one_of, regex, replace_regex, squeeze
 from .utility import bracket_surplus, utility_parts, valid_arbitrary
 
@@ -230,51 +231,32 @@ def parsed_token(token) -> Column:
 
 # Components ---------------------------------------------------------------------------------------------------
 
-JSX_TAG = r"<[A-Za-z][\w.]*\b[^<>]*>"
-HOOKS = ("useState", "useReducer", "useEffect", "useLayoutEffect", "useMemo", "useCallback", "useRef", "useContext")
-HOOKS_WITH_DEPS = ("useEffect", "useLayoutEffect", "useMemo", "useCallback")
-MARK = "\x01"
-DEPS = r"(?s)^\w+\((.*?),\s*(\[[\w\s.,$?]*\])\s*\)"
-CLOSED = r"(?s)^\w+\((.*?\})\s*\)\s*(?:;|\n|$)"
-HOOK_REACH = 180
+def _braced(depth: int) -> str:
+    """Pattern of a brace with braces, strings and templates inside."""
+    inner = "|" + _braced(depth - 1) if depth else ""
+    return r"""\{(?:[^{}"'`]++|"[^"]*+"|'[^']*+'|`[^`]*+`%s)*+\}""" % inner
 
 
+# Attribute values are strings or braces, up to eight deep.
+JSX_TAG = r"""<[A-Za-z][\w.]*\b(?:[^<>{}"'`]++|"[^"]*+"|'[^']*+'|%s)*+>""" % _braced(8)
+HOOKS = ("useState", "useReducer", "useEffect", "useLayoutEffect", "useMemo", "useCallback", "useRef", "useContext")
+HOOKS_WITH_DEPS = ("useEffect", "useLayoutEffect", "useMemo", "useCallback")
 def jsx_array(text="text") -> Column:
-    """Struct (pos, tag, attrs) of tags; attribute values holding `<` or `>` end the tag."""
+    """Struct (pos, tag, attrs) of tags; attribute values may hold anything between their quotes or braces."""
     return F.transform(extract_all(text, JSX_TAG), lambda raw, i: F.struct(
         (i + 1).alias("pos"), F.regexp_extract(raw, r"^<([A-Za-z]\w*)", 1).alias("tag"),
         F.regexp_replace(raw, r"^<[A-Za-z][\w.]*|/?>$", "").alias("attrs")))
 
 
 def hook_array(text="text") -> Column:
-    """Struct (seg_no, hook, prefix, callback, deps) of hook calls.
+    """Struct (seg_no, hook, prefix, callback, deps, controlled) of closed hook calls.
 
-    `prefix` is the text of 180 characters before the call; `deps` is null where the call has no dependency
-    array. Calls are not bracket-balanced: a callback whose inner call ends with an array of names is cut there.
+    `callback` is the first argument, whole, and `deps` the second, null where there is none. `prefix` is the text of 180
+    characters before the call, `controlled` whether the call stands in control flow.
     """
-    marked = replace_regex(text, r"(%s)\(" % "|".join(HOOKS), MARK + "$1(")
-    # Segments after the first have at least seven characters, so 26 of them fill the prefix.
-    span = HOOK_REACH // 7 + 1
-
-    def read(segs):
-        def parsed(i):
-            seg = F.get(segs, i)
-            before = F.array_join(F.slice(segs, F.greatest(i - span + 1, F.lit(1)), F.least(i, F.lit(span))), "")
-            deps = F.regexp_extract(seg, regex(DEPS), 2)
-            closed = F.regexp_extract(seg, regex(CLOSED), 1)
-            callback = (
-                F.when(deps != "", F.regexp_extract(seg, regex(DEPS), 1))
-                .when(closed != "", closed).otherwise(F.regexp_replace(seg, r"^\w+\(", "")))
-            return F.struct(
-                i.alias("seg_no"), F.regexp_extract(seg, r"^(\w+)\(", 1).alias("hook"),
-                F.substring(before, F.greatest(F.length(before) - HOOK_REACH + 1, F.lit(1)), F.lit(HOOK_REACH))
-                .alias("prefix"),
-                callback.alias("callback"), F.when(deps != "", deps).alias("deps"))
-
-        numbers = F.filter(F.sequence(F.lit(0), F.size(segs) - 1), lambda i: i > 0)
-        return F.transform(numbers, parsed)
-
-    return let(F.split(marked, MARK), read)
+    return F.transform(call_array(text, HOOKS), lambda c, i: F.struct(
+        (i + 1).alias("seg_no"), c["name"].alias("hook"), c["before"].alias("prefix"), F.get(c["args"], 0).alias("callback"),
+        F.nullif(F.get(c["args"], 1), F.lit("")).alias("deps"), c["controlled"].alias("controlled")))
 
 
 JS_NAME = r"[A-Za-z_$][\w$]*"

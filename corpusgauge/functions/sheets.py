@@ -1,14 +1,13 @@
 """Style sheets as a tree of blocks: rules with their line, their enclosing blocks and their declarations.
 
-The text is cut at braces that stand outside comments, strings and addresses, and one walk gives each piece the depth and the
-line it starts at. Ordered by depth, the pieces of a block stand side by side and end with the one that closes it, so blocks
-are runs of that order; the piece in front of a block's first one, in the order of the text, ends with its head. Work is
-that of a sort, however many blocks there are; only the list of the blocks around one grows with its depth.
+The text is cut at braces that stand outside comments, strings and addresses, and blocks are balanced spans of the pieces.
+Only the list of the blocks around a block grows with its depth.
 """
 
 from pyspark.sql import Column, functions as F
 
 from .css import selector_specificity
+from .spans import marked, owners_of, runs_of, walked
 from .text import LINE_END, col, extract_all, let, line_ends, regex, replace_regex, squeeze
 
 # What holds braces and semicolons that mean nothing: comments, strings, addresses without quotes, escaped characters.
@@ -36,27 +35,17 @@ def without_comments(text) -> Column:
 
 
 def _walked(css) -> Column:
-    """Struct (level, at, line, brace, text) of the pieces of a sheet: how many blocks are open before, where it starts."""
+    """Struct (level, at, mark, text, line) of the pieces of a sheet: how many blocks are open before, where it starts."""
     from .events import running
 
-    def read(piece):
-        brace = F.when(piece.endswith("{"), "{").when(piece.endswith("}"), "}").otherwise("")
-        return let(F.struct(brace.alias("brace"), F.substring(piece, F.lit(1), F.length(piece) - F.length(brace)).alias("text")),
-                   lambda p: F.struct(p["brace"].alias("brace"), p["text"].alias("text"), line_ends(p["text"]).alias("n")))
+    def step(line, p):
+        return F.struct((line + line_ends(p["text"])).alias("state"), line.alias("out"))
 
-    def step(state, p):
-        level = state["level"]
-        after = F.when(p["brace"] == "{", level + 1).when(p["brace"] == "}", F.greatest(level - 1, F.lit(0))).otherwise(level)
-        return F.struct(
-            F.struct(after.alias("level"), (state["line"] + p["n"]).alias("line")).alias("state"),
-            F.struct(level.alias("level"), state["line"].alias("line"), p["brace"].alias("brace"), p["text"].alias("text")).alias("out"))
+    def with_lines(pieces):
+        return let(running(pieces, F.lit(1), step, "int")["out"], lambda lines: F.transform(
+            pieces, lambda p, i: p.withField("line", F.get(lines, i))))
 
-    start = F.struct(F.lit(0).alias("level"), F.lit(1).alias("line"))
-    # An empty piece at the end gives the blocks that are open there a piece of their own.
-    pieces = F.concat(extract_all(css, PIECE), F.array(F.lit("")))
-    walk = running(F.transform(pieces, read), start, step, "struct<level:int,line:int,brace:string,text:string>")
-    return F.transform(walk["out"], lambda p, i: F.struct(
-        p["level"].alias("level"), i.alias("at"), p["line"].alias("line"), p["brace"].alias("brace"), p["text"].alias("text")))
+    return let(walked(marked(css, PIECE, "{}"), "{", "}"), with_lines)
 
 
 def _head(piece) -> Column:
@@ -76,30 +65,19 @@ def block_array(css="css") -> Column:
     `context` has the heads of the blocks around it, outermost first. A closing brace without a block is skipped; blocks
     open at the end are closed there.
     """
-    def runs_of(v):
-        """The pieces of each block, in the order of depth and place."""
-        new = lambda i: (i == 0) | (F.get(v, i)["level"] != F.get(v, i - 1)["level"]) | (F.get(v, i - 1)["brace"] == "}")
-        starts = F.when(F.size(v) > 0, F.filter(F.sequence(F.lit(0), F.size(v) - 1), new))
-        return let(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.transform(s, lambda at, k: F.slice(
-            v, at + 1, F.coalesce(F.get(s, k + 1), F.size(v)) - at)))
-
     def read(pieces):
-        inside = F.filter(let(F.array_sort(pieces), runs_of), lambda r: F.get(r, 0)["level"] > 0)
-        opened = F.transform(inside, lambda r: let(_head(F.get(pieces, F.get(r, 0)["at"] - 1)), lambda h: F.struct(
+        return let(runs_of(pieces, "}"), lambda runs: let(owners_of(runs), lambda owner: nested(pieces, runs, owner)))
+
+    def nested(pieces, runs, owner):
+        # A block for every run, also for those outside of all, so that numbers stay.
+        opened = F.transform(runs, lambda r: let(_head(F.get(pieces, F.get(r, 0)["at"] - 1)), lambda h: F.struct(
             (F.get(r, 0)["at"] - 1).alias("at"), h["line"].alias("line"), h["head"].alias("head"),
-            (~F.exists(r, lambda p: p["brace"] == "{")).alias("leaf"),
+            (~F.exists(r, lambda p: p["mark"] == "{")).alias("leaf"),
             F.transform(r, lambda p: F.struct(
-                F.when(p["brace"] == "{", F.regexp_extract(p["text"], CLOSED_PARTS, 0)).otherwise(p["text"]).alias("text"),
+                F.when(p["mark"] == "{", F.regexp_extract(p["text"], CLOSED_PARTS, 0)).otherwise(p["text"]).alias("text"),
                 p["line"].alias("line"))).alias("own"),
-            F.transform(r, lambda p: p["at"]).alias("pieces"), F.get(r, 0)["level"].alias("level"))))
-        return let(opened, lambda b: nested(b, pieces))
-
-    def nested(blocks, pieces):
-        # The number of the block that holds each piece, by the piece's place.
-        outside = F.transform(F.filter(pieces, lambda p: p["level"] == 0), lambda p: F.struct(p["at"].alias("at"), F.lit(-1).alias("k")))
-        held = F.flatten(F.transform(blocks, lambda b, k: F.transform(b["pieces"], lambda at: F.struct(at.alias("at"), k.alias("k")))))
-        owners = F.transform(F.array_sort(F.concat(outside, held)), lambda o: o["k"])
-        return let(owners, lambda owner: F.array_sort(F.transform(blocks, lambda b: F.struct(
+            F.get(r, 0)["level"].alias("level"))))
+        return let(opened, lambda blocks: F.array_sort(F.transform(F.filter(blocks, lambda b: b["level"] > 0), lambda b: F.struct(
             *[b[n].alias(n) for n in ("at", "line", "head", "leaf", "own")], around(b, blocks, owner).alias("context")))))
 
     def around(b, blocks, owner):

@@ -92,13 +92,19 @@ def line_count(text) -> Column:
     return count_substr(text, "\n") + open_end.cast("int")
 
 
+#: In front of a line's first character; without it a search tries again from every character of a short line.
+LINE_START = r"(?<![^%s])" % ENDS
+
+
 def longer_line(width: int) -> str:
-    """Pattern of a line of more than `width` characters."""
-    return "[^%s]{%d}" % (ENDS, width + 1)
+    """Pattern of the start of a line of more than `width` characters."""
+    return LINE_START + "[^%s]{%d}" % (ENDS, width + 1)
 
 
 def lines_over(text, width: int) -> Column:
-    return count_regex(text, "[^%s]{%d,}+" % (ENDS, width + 1))
+    text = col(text)
+    return F.when(text.rlike(ENDS_BUT_NEWLINE), count_regex(text, longer_line(width))).otherwise(
+        count_regex(text, r"(?<![^\n])[^\n]{%d}" % (width + 1)))
 
 
 def text_metrics(text) -> Column:

@@ -157,5 +157,5 @@ def py_symbols(files: DataFrame) -> DataFrame:
 
 
 def hook_segments(files: DataFrame) -> DataFrame:
-    """Text cut at hook calls: (seg_no, hook, prefix, callback, deps)."""
+    """Closed hook calls: (seg_no, hook, prefix, callback, deps, controlled); callbacks and dependencies are whole."""
     return files.select(*KEY, F.inline(ev.hook_array("text")))

@@ -367,8 +367,9 @@ IN_CONTROL_FLOW = r"(?i)\b(if|for|while|switch|catch|try)\b"
 STALE_READ = r"\b(props\.|useState|useReducer|useRef|set[A-Z][A-Za-z0-9_]*)"
 
 
-def react_hooks() -> Column:
-    astray = F.filter("hooks", lambda h: h["prefix"].rlike(IN_CONTROL_FLOW))
+def react_hooks(compat: bool = False) -> Column:
+    """compat: a hook is in control flow if one of its words stands within 180 characters before it."""
+    astray = F.filter("hooks", lambda h: h["prefix"].rlike(IN_CONTROL_FLOW) if compat else h["controlled"])
     astray = F.array_distinct(F.transform(astray, lambda h: h["hook"]))
     watching = F.transform(F.filter("hooks", lambda h: h["hook"].isin(*HOOKS_WITH_DEPS)), lambda h: F.struct(
         h["hook"].alias("hook"), h["callback"].alias("callback"), F.coalesce(h["deps"], F.lit("")).alias("deps"),
@@ -465,6 +466,8 @@ def react_accessibility() -> Column:
 
 
 JS, PYTHON, REACT = ("javascript",), ("python",), ("react",)
+HOOK_CHECK = RowCheck(REACT, ("hooks", "watched", "stale"), react_hooks)
+COMPAT_CHECKS = {"react.hooks": RowCheck(HOOK_CHECK.languages, HOOK_CHECK.needs, lambda: react_hooks(compat=True))}
 CHECKS = {
     "javascript.async": RowCheck(JS, ("lines",), javascript_async),
     "javascript.correctness": RowCheck(JS, ("lines", "code"), javascript_correctness),
@@ -474,7 +477,7 @@ CHECKS = {
     "python.efficiency": RowCheck(PYTHON, ("loop_lines", "async_lines"), python_efficiency),
     "python.correctness": RowCheck(PYTHON, ("py_lines", "async_lines"), python_correctness),
     "python.maintenance": RowCheck(PYTHON, ("py_lines",), python_maintenance),
-    "react.hooks": RowCheck(REACT, ("hooks", "watched", "stale"), react_hooks),
+    "react.hooks": HOOK_CHECK,
     "react.state": RowCheck(REACT, ("stale",), react_state),
     "react.lifecycle": RowCheck(REACT, ("hooks",), react_lifecycle),
     "react.props": RowCheck(REACT, ("jsx",), react_props),

@@ -25,6 +25,11 @@ def register_check(name: str, languages, check: Callable[[DataFrame], DataFrame]
     CHECKS[name] = ([languages] if isinstance(languages, str) else list(languages), check)
 
 
+def use_compat(on: bool = True) -> None:
+    """Checks that look at a window of text, as wide as in the tool whose rules these are, instead of at whole blocks."""
+    CHECKS.update(checks_code.COMPAT_CHECKS if on else {n: checks_code.CHECKS[n] for n in checks_code.COMPAT_CHECKS})
+
+
 def _named(entries, names):
     return {n: e for n, e in entries.items() if not names or any(n == p or n.startswith(p + ".") for p in names)}
 

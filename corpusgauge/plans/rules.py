@@ -8,6 +8,7 @@ language, so every text is read once and no shuffle or Python evaluation is need
 from dataclasses import asdict, dataclass, fields
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import (
@@ -185,8 +186,27 @@ def _finding(rule: Rule) -> Column:
     return out
 
 
+#: Columns of rules, checks and features as built: thousands of calls to the JVM that are the same for every scan.
+_BUILT: dict = {}
+MOST_BUILT = 4_096
+
+
+def built(key, build) -> Column:
+    """The column that `build` gives for a key, built once per JVM."""
+    key = (id(SparkContext._gateway), key)
+    if key not in _BUILT:
+        if len(_BUILT) >= MOST_BUILT:
+            _BUILT.clear()
+        _BUILT[key] = build()
+    return _BUILT[key]
+
+
 def _emitted(rule: Rule) -> Column:
     """Array of the rule's findings in this file, null when it does not fire."""
+    return built(rule, lambda: _emitted_now(rule))
+
+
+def _emitted_now(rule: Rule) -> Column:
     if rule.emit == "each":
         hits = count_regex(F.col(rule.all_of[0].subject), rule.all_of[0].pattern)
         return F.when(condition(rule), F.array_repeat(_finding(rule), hits))
@@ -234,7 +254,7 @@ def with_features(files: DataFrame, rules, checks=()) -> DataFrame:
     while len(done) < len(needs):
         ready = [n for n in needs if n not in done and all(d in done for d in FEATURES[n].needs)]
         files = files.withColumns({
-            n: F.when(F.col("language").isin(*sorted(needs[n])), FEATURES[n].column()) for n in ready})
+            n: F.when(F.col("language").isin(*sorted(needs[n])), built(n, FEATURES[n].column)) for n in ready})
         done.update(ready)
     return files
 
@@ -245,11 +265,11 @@ def findings_array(rules, checks=()) -> Column:
     for check in checks:
         for language in check.languages:
             groups.setdefault(language, [])
-    built = [(check.languages, check.build()) for check in checks]
+    columns = [(check.languages, built(check, check.build)) for check in checks]
     out = F
     for language, group in groups.items():
         found = [F.flatten(F.array_compact(F.array(*[_emitted(r) for r in group])))] if group else []
-        found += [column for languages, column in built if language in languages]
+        found += [column for languages, column in columns if language in languages]
         whole = F.concat(*found)
         out = out.when(F.col("language") == language, told_once(whole) if language == "css" else whole)
     return out

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusgauge.functions.css import LENGTH, known_properties
 from corpusgauge.functions.utility import BREAKPOINTS, GROUPS, KNOWN_BASE, KNOWN_PREFIX, PART, VARIANTS, VARIANT_FAMILIES
-from corpusgauge.functions import events as u
+from corpusgauge.functions import events as u, spans as sp
 from corpusgauge.functions.events import NOT_IN_PARAGRAPH
 from corpusgauge.plans import checks_code as cc, checks_css as cs, checks_html as ch, features as f
 from corpusgauge.plans.registry import rules_named, scan
@@ -303,14 +303,30 @@ STALE = f"""updates AS (SELECT {KEY}, state, setter,
 PROP_NAMES = f"""list_filter(list_transform(flatten(list_transform({every('text', u.PROP_LISTS, 1)}, lambda l: string_split(l, ','))),
   lambda p: trim({sub('p', '(?s)[=:].*$')})), lambda p: {has('p', '^[A-Za-z_$][a-zA-Z0-9_$]*$')})"""
 NAMES = f"""list_concat(list_sort(list_distinct(list_transform({PAIRS}, lambda p: p.state))), list_sort(list_distinct({PROP_NAMES})))"""
-SEGMENTS = f"""cut AS (SELECT {KEY}, {NAMES} AS names, string_split({sub('text', '(' + '|'.join(u.HOOKS) + ')[(]', chr(1) + chr(92) + '1(')}, chr(1)) AS segs
-  FROM files WHERE {REACT}),
-segments AS MATERIALIZED (SELECT {KEY}, names, CAST(i - 1 AS INT) AS seg_no, {part('seg', '^([a-zA-Z]+)', 1)} AS hook,
-  right(array_to_string(segs[1:i - 1], ''), 180) AS prefix,
-  CASE WHEN {part('seg', u.DEPS, 2)} <> '' THEN {part('seg', u.DEPS, 1)}
-    WHEN {part('seg', u.CLOSED, 1)} <> '' THEN {part('seg', u.CLOSED, 1)} ELSE regexp_replace(seg, '^[a-zA-Z]+\\(', '') END AS callback,
-  nullif({part('seg', u.DEPS, 2)}, '') AS deps
-  FROM (SELECT *, segs[i] AS seg FROM (SELECT *, unnest(range(2, len(segs) + 1)) AS i FROM cut))),
+HOOK = "(" + "|".join(u.HOOKS) + ")$"
+SCRIPT_BEFORE = "PARTITION BY path ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+SCRIPT_STOP = "(SELECT min(c.place) FROM script c WHERE c.path = o.path AND c.level = o.level + 1 AND c.mark IN (')', ']', '}') AND c.place > o.place)"
+ARGUMENT = lambda a, b: f"""(SELECT trim(regexp_replace(string_agg(p, '' ORDER BY place), '\\s*[,)]$', ''), ' ' || chr(9) || chr(10) || chr(13))
+  FROM script s WHERE s.path = h.path AND s.place > {a} AND s.place <= {b})"""
+SEGMENTS = f"""script_cut AS (SELECT *, CASE WHEN right(p, 1) IN ('(', ')', '[', ']', '{{', '}}', ',') THEN right(p, 1) ELSE '' END AS mark
+  FROM ({unnested(every('text', sp.SCRIPT_PIECE), 'place', 'p', f'files WHERE {REACT}')})),
+script_run AS (SELECT *, left(p, length(p) - length(mark)) AS t, coalesce(sum(CASE WHEN mark IN ('(', '[', '{{') THEN 1 WHEN mark IN (')', ']', '}}') THEN -1 ELSE 0 END)
+  OVER ({SCRIPT_BEFORE}), 0) AS run FROM script_cut),
+script AS MATERIALIZED (SELECT *, run - least(0, min(run) OVER (PARTITION BY path ORDER BY place ROWS UNBOUNDED PRECEDING)) AS level FROM script_run),
+openers AS MATERIALIZED (SELECT o.*, {SCRIPT_STOP} AS stop, regexp_replace(o.t, '{HOOK}', '') AS ahead,
+  (SELECT arg_max(c.mark || chr(1) || c.t, c.place) FROM script c WHERE c.path = o.path AND c.level = o.level AND c.place < o.place) AS previous
+  FROM script o WHERE o.mark IN ('(', '[', '{{')),
+controls AS MATERIALIZED (SELECT *, coalesce((previous[1] = '(' AND {has("previous[3:]", sp.CONTROL)} AND trim(translate(ahead, chr(10) || chr(9) || chr(13), '   ')) = ''), false)
+  OR {has('ahead', sp.CONTROL_WORD)} AS here FROM openers),
+hook_calls AS MATERIALIZED (SELECT h.*, {part('t', HOOK, 1)} AS hook,
+  coalesce((SELECT min(c.place) FROM script c WHERE c.path = h.path AND c.level = h.level + 1 AND c.mark = ',' AND c.place > h.place AND c.place < h.stop), h.stop) AS comma
+  FROM controls h WHERE mark = '(' AND {has('t', HOOK)} AND EXISTS (SELECT 1 FROM script c WHERE c.path = h.path AND c.place = h.stop AND c.mark = ')')),
+segments AS MATERIALIZED (SELECT job_id, path, language, names, CAST(row_number() OVER (PARTITION BY path ORDER BY place) AS INT) AS seg_no, hook,
+  right(coalesce((SELECT string_agg(p, '' ORDER BY place) FROM script s WHERE s.path = h.path AND s.place < h.place), '') || ahead, 180) AS prefix,
+  {ARGUMENT('h.place', 'h.comma')} AS callback,
+  nullif({ARGUMENT('h.comma', "coalesce((SELECT min(c.place) FROM script c WHERE c.path = h.path AND c.level = h.level + 1 AND c.mark = ',' AND c.place > h.comma AND c.place < h.stop), h.stop)")}, '') AS deps,
+  here OR EXISTS (SELECT 1 FROM controls c WHERE c.path = h.path AND c.here AND c.place < h.place AND (c.stop IS NULL OR c.stop > h.place)) AS controlled
+  FROM hook_calls h JOIN (SELECT path, {NAMES} AS names FROM files WHERE {REACT}) USING (path)),
 reads AS (SELECT *, list_filter(names, lambda n: list_contains({every('callback', JSN)}, n)
   AND NOT list_contains({every("coalesce(deps, '')", JSN)}, n)) AS missing FROM segments)"""
 
@@ -320,7 +336,7 @@ def react_hooks():
     stale = has("callback", r"\b(props[.]|useState|useReducer|useRef|set[A-Z][A-Za-z0-9_]*)")
     return with_corpus(("code",), counted(
         rules_sql(rules_named("react.hooks", "react.state")),
-        fire(cc.CONTROL_FLOW, f"(SELECT DISTINCT {KEY}, hook FROM reads WHERE {has('prefix', r'(?i)[^a-zA-Z0-9_](if|for|while|switch|catch|try)[^a-zA-Z0-9_]')})", hook="hook"),
+        fire(cc.CONTROL_FLOW, f"(SELECT DISTINCT {KEY}, hook FROM reads WHERE controlled)", hook="hook"),
         fire(cc.NO_DEPS, "reads", f"{deps_hooks} AND deps IS NULL", hook="hook"),
         fire(cc.PROPS_DEPS, "reads", f"{deps_hooks} AND contains(callback, 'props.') AND NOT contains(deps, 'props.')", hook="hook"),
         fire(cc.MISSING_DEPS, "reads", f"{deps_hooks} AND deps IS NOT NULL AND len(missing) > 0", hook="hook",

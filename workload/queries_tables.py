@@ -97,7 +97,7 @@ def unn_10(files):
 
 
 def unn_12(files):
-    return u.hook_segments(files).select("path", "seg_no", "hook", "prefix", "callback", "deps")
+    return u.hook_segments(files).select("path", "seg_no", "hook", "prefix", "callback", "deps", "controlled")
 
 
 UNN = {
@@ -146,7 +146,7 @@ UNN = {
             PY_LINES, PY_SYMBOLS)),
     "unn_12_hook_segments": (
         of(("code",), unn_12, "language = 'react'"),
-        sql(("code",), "SELECT path, seg_no, hook, prefix, callback, deps FROM segments", SEGMENTS)),
+        sql(("code",), "SELECT path, seg_no, hook, prefix, callback, deps, controlled FROM segments", SEGMENTS)),
 }
 
 

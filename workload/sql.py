@@ -1,14 +1,16 @@
 """DuckDB text of rules and of pieces that several oracles share."""
 
 from corpusgauge.functions import sheets as sh
+from corpusgauge.functions.text import LINE_START
 from corpusgauge.plans import features as f
 from corpusgauge.plans.rules import by_language
 from .corpora import corpus_sql, quote as q
 
 
 def rx(p):
-    """A pattern without possessive repetitions, which DuckDB does not know and need not: it never backtracks."""
-    return q(p.replace("*+", "*").replace("++", "+"))
+    """A pattern without possessive repetitions and starts of lines, which DuckDB does not know and need not: it never
+    backtracks."""
+    return q(p.replace("*+", "*").replace("++", "+").replace(LINE_START, ""))
 
 
 def has(s, p):
