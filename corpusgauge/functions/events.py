@@ -340,9 +340,46 @@ PY_IMPORT = r"^\s*import\s+(.+)$"
 PY_FROM = r"^\s*from\s+[\w.]+\s+import\s+\(?([^()]*)\)?\s*$"
 
 
+# Words that start a statement and stand nowhere else: an open bracket in front of them was never closed.
+PY_STARTS = r"^\s*(?:async\s+def|def|class|import|return|while|try|except|finally|raise|pass|break|continue|global|nonlocal)\b"
+CONTINUED = r"\\\s*$"
+
+
+def statement_array(code="text") -> Column:
+    """Struct (line_no, line, indent) of the logical lines of Python text without strings and comments.
+
+    Lines in open brackets and behind a backslash belong to the one they go on from, whose number and indent they take. A word
+    that can only start a statement ends whatever is open.
+    """
+    def placed(lines):
+        def step(state, l):
+            text = l["line"]
+            before = F.when(text.rlike(PY_STARTS), F.lit(0)).otherwise(state["depth"])
+            goes_on = (before > 0) | (state["open"] & ~text.rlike(PY_STARTS))
+            after = F.greatest(before + F.length(F.translate(text, ")]}", "")) - F.length(F.translate(text, "([{", "")), F.lit(0))
+            return F.struct(
+                F.struct(after.alias("depth"), text.rlike(CONTINUED).alias("open")).alias("state"), goes_on.alias("out"))
+
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"))
+        return let(running(lines, start, step, "boolean")["out"], lambda on: cut(lines, on))
+
+    def cut(lines, on):
+        first = F.when(F.size(lines) > 0, F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: ~F.get(on, i)))
+
+        def whole(at, end):
+            own = F.slice(lines, at + 1, end - at)
+            text = F.array_join(F.transform(own, lambda l: F.regexp_replace(l["line"], CONTINUED, "")), " ")
+            return F.struct(F.get(own, 0)["line_no"].alias("line_no"), text.alias("line"), F.get(own, 0)["indent"].alias("indent"))
+
+        return let(F.coalesce(first, F.array().cast("array<int>")), lambda s: F.transform(
+            s, lambda at, k: whole(at, F.coalesce(F.get(s, k + 1), F.size(lines)))))
+
+    return let(line_array(code), placed)
+
+
 def py_line_array(text="text") -> Column:
-    """Lines of Python text with comments and strings blanked."""
-    return line_array(blank_python(text))
+    """Logical lines of Python text with comments and strings blanked."""
+    return statement_array(blank_python(text))
 
 
 def imported_names(line) -> Column:

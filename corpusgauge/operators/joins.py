@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import events as ev
 from ..functions.code import strip_code
 from ..functions.css import closest_property, known_properties
+from ..functions.versions import line_hashes, moved_lines
 from ..functions.text import count_regex, extract_all, let, one_of, regex
 from ..functions.events import ASYNC, HOOKS_WITH_DEPS, LOOP, PY_NAME
 from ..plans.checks_code import (
@@ -189,3 +190,32 @@ def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
     n, m = F.coalesce("n_before", F.lit(0)), F.coalesce("n_after", F.lit(0))
     state = F.when(n == 0, "added").when(m == 0, "fixed").when(n == m, "unchanged").otherwise("changed")
     return a.join(b, key, "full").select(*key, n.alias("n_before"), m.alias("n_after"), state.alias("state"))
+
+
+def line_moves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows (job_id, path, moves) of the files in two versions: for each old line its new one, null if it has none.
+
+    What is joined are hashes of lines, not texts. Files of one version have no row.
+    """
+    old = before.select(*FILE, line_hashes("text").alias("old"))
+    new = after.select(*FILE, line_hashes("text").alias("new"))
+    return old.join(new, FILE).select(*FILE, moved_lines("old", "new").alias("moves"))
+
+
+def compare_places(before: DataFrame, after: DataFrame, moves: DataFrame) -> DataFrame:
+    """Findings of two versions by their places: (path, rule_id, message, line_before, line_after, n_before, n_after, state).
+
+    A finding whose line has only moved is unchanged; one on a line that is gone is fixed, one on a new line added. Findings
+    without a line are compared by rule and message, as in compare_runs.
+    """
+    key, place = [*FILE, "rule_id", "message"], F.coalesce("line", F.lit(0)).alias("line")
+    a = before.groupBy(*key, place).agg(F.count("*").alias("n_before"))
+    a = a.join(moves, FILE, "left").withColumn(
+        "at", F.when(F.col("line") == 0, 0).otherwise(F.coalesce(F.get("moves", F.col("line") - 1), -F.col("line"))))
+    a = a.select(*key, F.col("line").alias("line_before"), "at", "n_before")
+    b = after.groupBy(*key, place).agg(F.count("*").alias("n_after")).withColumnRenamed("line", "at").withColumn("line_after", F.col("at"))
+    n, m = F.coalesce("n_before", F.lit(0)), F.coalesce("n_after", F.lit(0))
+    state = F.when(n == 0, "added").when(m == 0, "fixed").when(n == m, "unchanged").otherwise("changed")
+    shown = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
+    return a.join(b, [*key, "at"], "full").select(
+        *key, shown("line_before"), shown("line_after"), n.alias("n_before"), m.alias("n_after"), state.alias("state"))

@@ -125,7 +125,7 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
 
 
 def py_lines(files: DataFrame) -> DataFrame:
-    """Lines of Python text with comments and strings blanked."""
+    """Logical lines of Python text with comments and strings blanked."""
     return files.select(*KEY, F.inline(ev.py_line_array("text")))
 
 
@@ -136,7 +136,7 @@ NOT_CALLS = ("if", "while", "for", "return", "def", "class", "and", "or", "not",
 def py_symbols(files: DataFrame) -> DataFrame:
     """Rows (line_no, kind, name) of imports, assignments, calls, functions and classes.
 
-    Lines, not a syntax tree: names bound over several lines and tuple targets inside calls are missed.
+    Logical lines, not a syntax tree: tuple targets inside calls are missed.
     """
     line = F.col("line")
     targets = F.when(

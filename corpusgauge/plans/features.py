@@ -141,7 +141,7 @@ FEATURES: dict[str, Feature] = {
         F.transform(l["tokens"], lambda t: ev.parsed_token(t)).alias("parts")))),
     "text_lines": Feature(lambda: F.split("text", LINE_END)),
     "lines": Feature(lambda: ev.line_array("text")),
-    "py_lines": Feature(lambda: ev.line_array("py_code"), ("py_code",)),
+    "py_lines": Feature(lambda: ev.statement_array("py_code"), ("py_code",)),
     "loop_lines": Feature(lambda: ev.lines_within(F.col("py_lines"), ev.LOOP), ("py_lines",)),
     "async_lines": Feature(lambda: ev.lines_within(F.col("py_lines"), ev.ASYNC), ("py_lines",)),
     "manifest": Feature(lambda: F.when(F.col("file_name") == "package.json", ev.manifest()), ("file_name",)),

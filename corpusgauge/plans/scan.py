@@ -49,14 +49,18 @@ def detailed_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:
     return rows.select("job_id", "path", "language", "score", F.to_json(document).alias("details"))
 
 
-def scored_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:
-    """Score of every file straight from the rule projection, without exploding or shuffling."""
+def scanned_files(files: DataFrame, rules: list[Rule], checks=(), keep=()) -> DataFrame:
+    """Score and findings (array `hits`) of every file in one pass; `keep` names file columns to carry along."""
     marked = with_features(files, rules, checks)
-    hits = F.coalesce(findings_array(rules, checks), none_found())
     # The findings are a column of their own: sum and count read them, and they are computed once.
-    rows = marked.select("job_id", "path", "language", hits.alias("hits"))
+    rows = marked.select("job_id", "path", "language", *keep, F.coalesce(findings_array(rules, checks), none_found()).alias("hits"))
     penalty = F.aggregate("hits", F.lit(0), lambda n, f: n + f["score_impact"])
     return (
-        rows.select("job_id", "path", "language", penalty.alias("penalty"), F.size("hits").alias("findings"))
+        rows.select("job_id", "path", "language", *keep, penalty.alias("penalty"), F.size("hits").alias("findings"), "hits")
         .withColumn("score", clamp_score(100 - F.col("penalty")))
     )
+
+
+def scored_files(files: DataFrame, rules: list[Rule], checks=(), keep=()) -> DataFrame:
+    """Score of every file straight from the rule projection, without exploding or shuffling."""
+    return scanned_files(files, rules, checks, keep).drop("hits")

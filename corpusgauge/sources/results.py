@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import content_hash, size_bytes, text_metrics
-from ..model import DETAILS
+from ..model import DETAILS, FINDING_COLUMNS
 from ..operators.unnest import KEY
 
 FILE = ["job_id", "path"]
@@ -26,6 +26,16 @@ def write_scores(scores: DataFrame, path: str) -> None:
     _write(scores, path)
 
 
+def write_results(scanned: DataFrame, path: str) -> None:
+    """Scores with their findings nested, from one pass over the texts: scores and findings are both read from it."""
+    _write(scanned, path)
+
+
+def findings_of(scanned: DataFrame) -> DataFrame:
+    """The findings of a table of nested results."""
+    return scanned.select(*KEY, F.inline("hits")).select(*FINDING_COLUMNS)
+
+
 def file_records(files: DataFrame, created_at) -> DataFrame:
     """The registry of a run's files: hash, size and arrival time next to the text."""
     return files.select(
@@ -63,6 +73,43 @@ def register_run(runs: DataFrame, new: DataFrame) -> DataFrame:
     return runs.unionByName(new).groupBy("job_id").agg(newest).select("job_id", "r.original_name", "r.created_at")
 
 
+#: Folders that a keyed table is dealt over.
+BUCKETS = 64
+
+
+def upsert(new: DataFrame, path: str, key: tuple, newest: str, buckets: int = BUCKETS) -> None:
+    """Merge rows into a keyed table on disk: of rows with equal keys the one with the largest `newest` stays, ties to the
+    largest of the other columns.
+
+    The table is partitioned by a hash of the key. Only the buckets that new rows fall into are read and written; a dynamic
+    overwrite swaps them when all tasks are done, so a job that fails before leaves the table as it was. Null keys are one key.
+    """
+    spark, columns = new.sparkSession, new.columns
+    rows = new.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets` numbers
+    if not touched:
+        return
+    old = current(spark, path)
+    if old is not None:
+        rows = rows.unionByName(old.where(F.col("bucket").isin(*touched)))
+    rest = [c for c in columns if c not in key and c != newest]
+    best = F.max(F.struct(newest, *rest)).alias("r")
+    merged = rows.groupBy("bucket", *key).agg(best).select(
+        *[F.col(c) if c in key else F.col(f"r.{c}").alias(c) for c in columns], "bucket")
+    (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+
+
+def current(spark, path: str) -> DataFrame | None:
+    """A keyed table with its bucket; None if nothing was written yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+
+
+def upsert_runs(new: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Register runs in the registry at a path: one row per job, the newest wins; other jobs' buckets aren't touched."""
+    upsert(new.select("job_id", "original_name", "created_at"), path, ("job_id",), "created_at", buckets)
+
+
 def export_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write a report table as csv with header, or as JSON lines."""
     if fmt == "csv":

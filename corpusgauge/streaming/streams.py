@@ -1,6 +1,8 @@
 """The same rules over files that keep arriving."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..plans.rules import Rule
 from ..plans.scan import rule_scan, scored_files
@@ -18,6 +20,38 @@ def summary_stream(files: DataFrame, rules: list[Rule]) -> DataFrame:
         F.bround(F.avg("score"), 2).alias("average_score"))
 
 
+CHANGES = "language string, files long, total long"
+
+
+def score_changes(scores: DataFrame, arrived: str = "created_at") -> DataFrame:
+    """Rows (language, files, total) by which each arrival changes the summary of a stream of scores.
+
+    A file, known by job_id and path, counts with its newest score only: when it arrives again its old score is taken out and
+    the new one put in. Of arrivals of one time the larger language and score stays. One small row per file is kept as state.
+    """
+    def changed(key, batches, state):
+        old, best = state.getOption, None
+        for rows in batches:
+            for row in rows[["at", "language", "score"]].itertuples(index=False, name=None):
+                best = row if best is None or row > best else best
+        if best is None or (old is not None and best <= tuple(old)):
+            return
+        out = [] if old is None else [(old[1], -1, -old[2])]
+        state.update(tuple(best))
+        yield pd.DataFrame([*out, (best[1], 1, best[2])], columns=["language", "files", "total"])
+
+    rows = scores.select("job_id", "path", F.col(arrived).cast("timestamp").cast("double").alias("at"), "language", F.col("score").cast("long").alias("score"))
+    rows = rows.where("at is not null and language is not null and score is not null")
+    return rows.groupBy("job_id", "path").applyInPandasWithState(
+        changed, CHANGES, "at double, language string, score long", "append", GroupStateTimeout.NoTimeout)
+
+
+def summary_of(changes: DataFrame) -> DataFrame:
+    """Count, total and mean score per language from what score_changes has given so far."""
+    sums = changes.groupBy("language").agg(F.sum("files").alias("files"), F.sum("total").alias("total")).where("files > 0")
+    return sums.select("language", "files", "total", F.bround(F.col("total") / F.col("files"), 2).alias("average_score"))
+
+
 def findings_per_window(findings: DataFrame, time: str = "created_at", size: str = "1 hour",
                         late: str = "2 hours") -> DataFrame:
     """Findings by severity in tumbling windows of arrival time; rows later than `late` are dropped."""

@@ -177,3 +177,24 @@ def test_register_run_keeps_the_newest(spark):
                     "union all select 'b', 'z', timestamp '2023-01-01'")
     got = {r["job_id"]: r["original_name"] for r in results.register_run(old, new).collect()}
     assert got == {"a": "y", "b": "z"}
+
+
+def test_logical_lines(spark):
+    """Statements over several lines are one; an unclosed bracket ends at the next word that starts a statement."""
+    code = ("from a import (\n    b,\n    c as d)\nx = f(1,\n  [2,\n  3]) + \\\n  y\nif z:\n    g(\n\n)\n"
+            "h(u(\ndef k(a,\n      b):\n    return a\\\n\n)\nw")
+    got = spark.createDataFrame([(code,), ("",), (None,)], "text string").select(ev.statement_array("text").alias("s")).collect()
+    assert [(s["line_no"], s["indent"], " ".join(s["line"].split())) for s in got[0]["s"]] == [
+        (1, 0, "from a import ( b, c as d)"), (4, 0, "x = f(1, [2, 3]) + y"), (8, 0, "if z:"), (9, 4, "g( )"),
+        (12, 0, "h(u("), (13, 0, "def k(a, b):"), (15, 4, "return a"), (17, 0, ")"), (18, 0, "w")]
+    assert got[1]["s"] == [] and got[2]["s"] in (None, [])
+
+
+def test_calls_and_imports_over_several_lines(spark, make_files):
+    from corpusgauge.operators import joins as jo, unnest as un
+
+    code = "from os import (path,\n    sep as s)\nname = input(\n  )\nopen(\n    name)\nprint(path)\n"
+    files = make_files(("a.py", "python", code))
+    symbols = {(r["kind"], r["name"], r["line_no"]) for r in un.py_symbols(files).collect()}
+    assert {("import", "path", 1), ("import", "s", 1), ("assign", "name", 3), ("call", "open", 5)} <= symbols
+    assert [r["name"] for r in jo.unused_imports(files).collect()] == ["s"]

@@ -10,7 +10,7 @@ from corpusgauge.operators import detect, unnest as u
 from corpusgauge.plans import checks_css as cs
 from corpusgauge.plans.registry import rules_named
 from corpusgauge.model import DETAILS
-from corpusgauge.plans.scan import detailed_files, rule_scan, scored_files
+from corpusgauge.plans.scan import detailed_files, rule_scan, scanned_files, scored_files
 from corpusgauge.session import shared_folder
 from corpusgauge.sources import corpus as src, results
 from .corpora import (
@@ -33,10 +33,19 @@ def findings_sql(*names, corpora=("pages",)):
 
 # Sources ------------------------------------------------------------------------------------------------------
 
+RUNS_SQL = """SELECT 'conv-' || conv_id AS job_id, arg_max(role || '-' || turn, turn) AS original_name,
+  max(turn) * 3600 AS created FROM conversations GROUP BY conv_id"""
+
+
 def src_1(spark, sf):
-    """The table files themselves, read as a directory."""
-    files = src.read_corpus(spark, sf)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "size_bytes")
+    """Document texts written as files below a folder per source, read back as a directory: lines and bytes per folder."""
+    folder = shared_folder(spark) + "/corpus"
+    docs = table(spark, sf, "documents").where("text is not null")
+    docs.select("source", F.translate("text", "\r\n", "  ").alias("value")).write.option("maxRecordsPerFile", 20_000).partitionBy("source").text(folder)
+    files = src.read_corpus(spark, folder).where(F.col("path").endswith(".txt"))
+    lines = F.length(F.regexp_replace(src.decode_text("content"), r"[^\n]++", ""))
+    return files.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(
+        F.sum("size_bytes").alias("bytes"), F.sum(lines).cast("long").alias("lines"))
 
 
 def src_2(spark, sf):
@@ -86,13 +95,12 @@ def src_5(spark, sf):
 
 
 def src_6(spark, sf):
-    """Findings and scores written, then read back per partition."""
-    folder, files, rules = shared_folder(spark), page_files(spark, sf), rules_named(*STRUCTURE)
-    results.write_findings(rule_scan(files, rules), folder + "/findings")
-    results.write_scores(scored_files(files, rules), folder + "/scores")
-    found = spark.read.parquet(folder + "/findings").groupBy("job_id", "language", "rule_id").agg(
+    """Scores and their findings written in one pass over the texts, then read back per partition."""
+    folder = shared_folder(spark)
+    results.write_results(scanned_files(page_files(spark, sf), rules_named(*STRUCTURE)), folder + "/results")
+    found = results.findings_of(spark.read.parquet(folder + "/results")).groupBy("job_id", "language", "rule_id").agg(
         F.count("*").alias("rows"), F.sum("score_impact").alias("total"))
-    scored = spark.read.parquet(folder + "/scores").groupBy("job_id", "language").agg(
+    scored = spark.read.parquet(folder + "/results").groupBy("job_id", "language").agg(
         F.lit("score").alias("rule_id"), F.count("*").alias("rows"), F.sum("score").alias("total"))
     return found.unionByName(scored)
 
@@ -130,7 +138,15 @@ def _turns(spark, sf, which):
 
 
 def src_9(spark, sf):
-    """Runs named by conversations: the user turns registered first, then those of all other roles."""
+    """Runs named by conversations: the user turns registered first, then those of all other roles, in a table on disk."""
+    users, path = F.coalesce(F.col("role") == "user", F.lit(False)), shared_folder(spark) + "/runs"
+    results.upsert_runs(_turns(spark, sf, users), path)
+    results.upsert_runs(_turns(spark, sf, ~users), path)
+    return results.current(spark, path).select("job_id", "original_name", F.unix_timestamp("created_at").alias("created"))
+
+
+def src_9b(spark, sf):
+    """The same registry without a table on disk."""
     users = F.coalesce(F.col("role") == "user", F.lit(False))
     runs = results.register_run(_turns(spark, sf, users), _turns(spark, sf, ~users))
     return runs.select("job_id", "original_name", F.unix_timestamp("created_at").alias("created"))
@@ -331,7 +347,8 @@ UNION ALL SELECT '{JOB}', 'html', 'score', count(*), CAST(sum(score) AS BIGINT)
 
 
 QUERIES = {
-    "src_1_read_corpus": (src_1, None),
+    "src_1_read_corpus": (src_1, lambda: """SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, count(*) AS lines
+        FROM documents WHERE text IS NOT NULL GROUP BY source"""),
     "src_2_decode_text": (src_2, lambda: "SELECT doc_id, CAST(length(text) AS INT) AS chars, sha256(text) AS sha256 FROM documents"),
     "src_3_corpus_from_table": (src_3, sql(ALL_TEXT, "SELECT job_id, path, language, CAST(length(text) AS INT) AS chars FROM files")),
     "src_4_read_archives": (src_4, lambda: "SELECT doc_id || '.zip' AS archive, 'docs/' || doc_id || '.txt' AS path, sha256(text) AS sha256 FROM documents"),
@@ -347,8 +364,8 @@ QUERIES = {
           FROM findings GROUP BY path) f USING (path)""", SCORES)),
     "src_8_from_details_json": (src_8, on_findings(
         "SELECT f.path, f.language, s.score, rule, severity, score_impact, message FROM findings f JOIN scores s USING (path)", SCORES)),
-    "src_9_register_run": (src_9, lambda: """SELECT 'conv-' || conv_id AS job_id, arg_max(role || '-' || turn, turn) AS original_name,
-        max(turn) * 3600 AS created FROM conversations GROUP BY conv_id"""),
+    "src_9b_register_run_in_memory": (src_9b, lambda: RUNS_SQL),
+    "src_9_register_run": (src_9, lambda: RUNS_SQL),
     "src_10_export_report": (src_10, on_findings(
         "SELECT path, language, score, format FROM scores, (VALUES ('csv'), ('json')) v(format)", SCORES)),
     "prj_1_file_ext": (prj_1, sql(("code", "pages"), "SELECT path, ext FROM exts", PATHS)),

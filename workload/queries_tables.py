@@ -15,7 +15,7 @@ from corpusgauge.plans.scan import rule_scan, scan_joined, scored_files
 from corpusgauge.session import shared_folder
 from corpusgauge.streaming import streams
 from . import queries_packs
-from .corpora import JOB, corpus, document_files, page_files, quote as q
+from .corpora import JOB, SQL, corpus, document_files, page_files, quote as q
 from .queries_core import SCORES, STRUCTURE, findings_sql, on_findings, sql
 from .queries_packs import (
     BLOCKS, CLASSES, DEAD_SELECTORS, DECLARED, DEPENDENCIES, DEPTH, EARLY, IDS, JSX, KEY, NULLISH, REQUIRED, SEGMENTS,
@@ -196,6 +196,42 @@ def joi_15(spark, sf):
     return jo.compare_runs(rule_scan(files, rules), rule_scan(without_scripts(files), rules))
 
 
+def joi_15b(spark, sf):
+    """Style sheets and pages with class lists against versions with three lines on top and without lines of a length."""
+    files = corpus("code", "pages")(spark, sf).where("language in ('css', 'html', 'react')")
+    kept = F.filter(F.split("text", "\n"), lambda l: F.length(l) % 11 != 5)
+    after = files.withColumn("text", F.concat(F.lit("\n\n\n"), F.array_join(kept, "\n")))
+    names = ("css", "utility")
+    rows = jo.compare_places(scan(files, *names), scan(after, *names), jo.line_moves(files, after))
+    return rows.groupBy("path", "state").agg(F.count("*").alias("findings"), F.sum(F.col("line_after") - F.col("line_before")).alias("moved"))
+
+
+def joi_15c(spark, sf):
+    """Where the lines of documents go if three lines come on top and lines of a length go."""
+    files = corpus("documents")(spark, sf)
+    kept = F.filter(F.split("text", "\n"), lambda l: F.length(l) % 11 != 5)
+    after = files.withColumn("text", F.concat(F.lit("\n\n\n"), F.array_join(kept, "\n")))
+    rows = jo.line_moves(files, after).select("path", F.posexplode("moves").alias("n", "to"))
+    return rows.select("path", (F.col("n") + 1).alias("line"), "to")
+
+
+def moves_sql():
+    """Anchors by counts of lines; the nearest above and below by windows."""
+    return with_corpus(("documents",), """SELECT o.path, o.line, coalesce(
+        CASE WHEN d.text = o.text THEN o.line + o.down END, CASE WHEN u.text = o.text THEN o.line + o.up END)::INT AS to
+      FROM shifted o LEFT JOIN new_lines d ON d.path = o.path AND d.line = o.line + o.down LEFT JOIN new_lines u ON u.path = o.path AND u.line = o.line + o.up""",
+      "old_texts AS (SELECT path, string_split(text, chr(10)) AS l FROM files)",
+      "new_texts AS (SELECT path, list_concat(['', '', ''], CASE WHEN len(list_filter(l, lambda x: length(x) % 11 <> 5)) = 0 THEN [''] ELSE list_filter(l, lambda x: length(x) % 11 <> 5) END) AS l FROM old_texts)",
+      "old_lines AS MATERIALIZED (SELECT path, unnest(l) AS text, unnest(range(1, len(l) + 1))::INT AS line FROM old_texts)",
+      "new_lines AS MATERIALIZED (SELECT path, unnest(l) AS text, unnest(range(1, len(l) + 1))::INT AS line FROM new_texts)",
+      """anchors AS (SELECT path, text, a.line AS line, b.line - a.line AS shift FROM
+        (SELECT path, text, min(line) AS line FROM old_lines GROUP BY ALL HAVING count(*) = 1) a JOIN
+        (SELECT path, text, min(line) AS line FROM new_lines GROUP BY ALL HAVING count(*) = 1) b USING (path, text))""",
+      """shifted AS MATERIALIZED (SELECT o.path, o.line, o.text, last_value(shift IGNORE NULLS) OVER (PARTITION BY o.path ORDER BY o.line) AS down,
+        first_value(shift IGNORE NULLS) OVER (PARTITION BY o.path ORDER BY o.line ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS up
+        FROM old_lines o LEFT JOIN anchors a ON a.path = o.path AND a.line = o.line)""")
+
+
 def compare_sql():
     stripped = ("(SELECT * REPLACE (regexp_replace(text, '(?is)<script\\b[^>]*>.*?</script>', '', 'g') AS text) FROM "
                 "(SELECT * REPLACE (regexp_replace(text, '[À-ÖØ-öø-ÿ]', 'x', 'g') AS text) FROM files))")
@@ -247,6 +283,8 @@ JOI = {
     "joi_14_unknown_properties": (of(BOTH, joi_14, STYLED), sql(
         BOTH, "SELECT path, rule_no, decl_no, prop, suggestion FROM odd_near", SHEETS, CSS_RULES, DECLS, UNKNOWN)),
     "joi_15_compare_runs": (joi_15, compare_sql),
+    "joi_15b_compare_places": (joi_15b, None),
+    "joi_15c_line_moves": (joi_15c, moves_sql),
 }
 
 
@@ -491,6 +529,25 @@ def str_2(spark, sf):
     return drained(spark, streams.summary_stream(stream_pages(spark, sf), rules_named("html")), "complete")
 
 
+def str_2b(spark, sf):
+    """Each page arrives without its scripts; every third one comes again, as it is."""
+    def arriving_at(second, text, which):
+        pages = arriving(spark, sf, "pages").where(which)
+        path = F.concat(F.regexp_replace("url", "^https?://", ""), F.lit("~"), F.col("page_id"), F.lit(".html"))
+        return pages.select(F.lit(JOB).alias("job_id"), path.alias("path"), F.lit("html").alias("language"), F.col("html").alias("text"),
+                            F.timestamp_seconds(F.lit(second)).alias("created_at")).transform(text)
+
+    files = arriving_at(1, without_scripts, F.lit(True)).unionByName(arriving_at(2, lambda f: f, F.col("page_id") % 3 == 0))
+    changes = streams.score_changes(scored_files(files, rules_named("html"), keep=("created_at",)))
+    return streams.summary_of(drained(spark, changes))
+
+
+def str_2b_sql():
+    newest = SQL["pages"].replace("html AS text", "CASE WHEN page_id % 3 = 0 THEN html ELSE regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>', '', 'g') END AS text")
+    return f"""WITH files AS MATERIALIZED ({newest}), findings AS MATERIALIZED (SELECT * FROM ({rules_sql(rules_named("html"))})), {SCORES}
+      SELECT language, count(*) AS files, CAST(sum(score) AS BIGINT) AS total, round_even(avg(score), 2) AS average_score FROM scores GROUP BY language"""
+
+
 def str_3(spark, sf):
     """Documents arrive one a minute; windows close two hours behind the newest finding."""
     docs = arriving(spark, sf, "documents")
@@ -579,6 +636,7 @@ OTHERS = {
     "str_2_summary_stream": (str_2, on_findings(
         "SELECT language, count(*) AS files, CAST(sum(score) AS BIGINT) AS total, round_even(avg(score), 2) AS average_score FROM scores GROUP BY language",
         SCORES, names=("html",))),
+    "str_2b_summary_of_latest": (str_2b, str_2b_sql),
     "str_3_findings_per_window": (str_3, str_3_sql),
     "full_scan_scores": (full_scan_scores, full_scan_sql),
     "udx_1_register_pack": (udx_1, lambda: with_corpus(("documents",), counted(rules_sql(HYGIENE)))),

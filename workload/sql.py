@@ -1,6 +1,6 @@
 """DuckDB text of rules and of pieces that several oracles share."""
 
-from corpusgauge.functions import sheets as sh
+from corpusgauge.functions import events as ev, sheets as sh
 from corpusgauge.functions.text import LINE_START
 from corpusgauge.plans import features as f
 from corpusgauge.plans.rules import by_language
@@ -231,8 +231,16 @@ def unnested(array, pos, item, source="files", keep="job_id, path, language") ->
 LINES = f"""lines AS MATERIALIZED (SELECT *, CAST(length(line) - length(regexp_replace(line, '^[ \\t]+', '')) AS INT) AS indent FROM (
 {unnested(lines_of('text'), 'line_no', 'line', "files WHERE text <> ''")}))"""
 
-PY_LINES = f"""py_lines AS MATERIALIZED (SELECT *, CAST(length(line) - length(regexp_replace(line, '^[ \\t]+', '')) AS INT) AS indent FROM (
-{unnested(lines_of('code'), 'line_no', 'line', f"(SELECT job_id, path, language, {PY_CODE} AS code FROM files WHERE language = 'python') WHERE code <> ''")}))"""
+PY_OPEN = "length(translate(line, ')]}', '')) - length(translate(line, '([{', ''))"
+PY_LINES = f"""py_physical AS (SELECT *, CAST(length(line) - length(regexp_replace(line, '^[ \\t]+', '')) AS INT) AS indent, {has('line', ev.PY_STARTS)} AS starts,
+  {has('line', ev.CONTINUED)} AS goes FROM ({unnested(lines_of('code'), 'line_no', 'line', f"(SELECT job_id, path, language, {PY_CODE} AS code FROM files WHERE language = 'python') WHERE code <> ''")})),
+py_parts AS (SELECT *, sum(starts::INT) OVER (PARTITION BY path ORDER BY line_no) AS part, lag(goes, 1, false) OVER (PARTITION BY path ORDER BY line_no) AS behind FROM py_physical),
+py_sums AS (SELECT *, sum({PY_OPEN}) OVER (PARTITION BY path, part ORDER BY line_no) AS run FROM py_parts),
+py_depths AS (SELECT *, run - least(0, min(run) OVER (PARTITION BY path, part ORDER BY line_no)) AS depth FROM py_sums),
+py_groups AS (SELECT *, sum(CASE WHEN NOT starts AND (behind OR coalesce(before, 0) > 0) THEN 0 ELSE 1 END) OVER (PARTITION BY path ORDER BY line_no) AS g
+  FROM (SELECT *, lag(depth) OVER (PARTITION BY path, part ORDER BY line_no) AS before FROM py_depths)),
+py_lines AS MATERIALIZED (SELECT job_id, path, language, min(line_no) AS line_no, arg_min(indent, line_no) AS indent,
+  string_agg(regexp_replace(line, {q(ev.CONTINUED)}, ''), ' ' ORDER BY line_no) AS line FROM py_groups GROUP BY job_id, path, language, g)"""
 
 TAG = r"(?s)^<\s*(/?)\s*([a-zA-Z](?:[\w:-]*\w)?)"
 VOID = "('area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr','param')"
