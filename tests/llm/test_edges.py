@@ -240,12 +240,47 @@ def test_lines(spark, odd, empty):
     assert kept == [(0, 2, ""), (1, 1, "b"), (2, 1, ""), (3, 0, same), (3, 0, same)]
 
 
-def test_runs_are_compacted(spark):
-    runs = lines.Runs(fanout=2)
-    for batch in range(5):
-        runs.add(spark.createDataFrame([(k, k, batch) for k in range(batch, 6)], "a long, b long, doc_id long"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert {r["a"]: (r["n_docs"], r["keeper"]) for r in runs.all().collect()} == {k: (min(k, 4) + 1, min(k, 4)) for k in range(6)}
+def test_runs_are_merged_and_anti_joined(spark):
+    """A key is in one run, that of its largest id; runs are compacted and anti-joined without an exchange."""
+    batches = [[(k, 20 - b) for k in range(b, 6)] + [(10 + b, 20 - b)] for b in range(5)]
+    with lines.Runs(spark) as runs:
+        for rows in batches:
+            runs.add(spark.createDataFrame([(k, k, i) for k, i in rows], "a long, b long, doc_id long"))
+        assert [len(level) for level in runs.levels] == [1, 0, 1]
+        held = [{r["a"]: r["keeper"] for r in run.collect()} for run in runs.all()]
+        assert sum(map(len, held)) == len(held[0] | held[1]) == 11
+        every = [row for rows in batches for row in rows]
+        expected = {k: (sum(x == k for x, _ in every), max(i for x, i in every if x == k)) for k in {k for k, _ in every}}
+        for least in (1, 3, 5):
+            assert {r["a"]: r["keeper"] for r in runs.common(least).collect()} == {k: i for k, (n, i) in expected.items() if n >= least}
+        one, two = runs.all()
+        for joined in (lines.merged(one, two), one.join(two.hint("merge"), ["a", "b"], "left_anti")):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        tables = list(runs.tables)
+    assert tables and not any(spark.catalog.tableExists(t) for t in tables)
+
+
+def test_lines_of_long_texts_and_names(spark):
+    """Work grows with a document's lines; the operator's column names may be in the input."""
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        text = "\n".join(f"this is line number {i} of a long text" for i in range(n))
+        docs = spark.createDataFrame([(i, text, 1, "k", [1], 2) for i in range(3)], "doc_id long, text string, n_lines int, kept string, gone array<int>, text_key int")
+        start = time.time()
+        got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["gone"], r["text_key"]) for r in lines.deduplicated(docs).collect()}
+        took.append(time.time() - start)
+        assert got == {0: (n, n, [1], 2), 1: (n, n, [1], 2), 2: (n, 0, [1], 2)}
+    assert took[2] < 5 * took[1]
+
+
+def test_repeated_ids_lose_their_own_lines(spark):
+    line = "a line that stands in several texts"
+    docs = spark.createDataFrame([(1, f"x\n{line}"), (1, f"{line}\ny\n{line.upper()}"), (2, line), (2, line)], "doc_id long, text string")
+    kept = sorted((r["doc_id"], r["n_dropped"], r["kept"]) for r in lines.deduplicated(docs).collect())
+    assert kept == [(1, 1, "x"), (1, 2, "y"), (2, 0, line), (2, 0, line)]
 
 
 def test_bpe(odd, empty):
