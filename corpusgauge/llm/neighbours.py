@@ -189,36 +189,58 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, recall: float =
     """query_id, rank (from 1), vec_id and score (Euclidean distance) of the k nearest found of each query, itself excluded.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without id, take no part, as queries or
-    candidates; neither do vectors of another length than the sample's first. Ties go to the smaller id; rows of equal id
-    are one another's own. There are about n / part_rows parts, a power of two that the sample can fill; without `probes`, so many
-    are probed that the share `recall` of neighbours is found within the sample. Fewer candidates
-    than k in the probed parts give fewer rows. Other columns are left out.
+    candidates. Vectors are compared with those of equal length; each length has an index of its own. Ties go to the smaller
+    id; rows of equal id are one another's own. There are about n / part_rows parts, a power of two that the sample can fill;
+    without `probes`, so many are probed that the share `recall` of neighbours is found within the sample. Queries whose
+    probed parts hold fewer than k candidates are searched in all parts, so fewer rows mean fewer candidates. Other columns
+    are left out.
     """
     rows, asked = valid(vectors, key, vector), valid(queries, key, vector)
-    n = rows.count()
-    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = len(some.column("v")[0])
-    points = np.array([x for x in some.column("v").to_pylist() if len(x) == size])
+    # A few numbers: the lengths of vectors and how many of each there are.
+    lengths = sorted((r["size"], r["count"]) for r in rows.groupBy(F.size("v").alias("size")).count().collect())
+    found = [search_one(rows.filter(F.size("v") == size), asked.filter(F.size("v") == size), n, k, recall, probes, sample, part_rows, parts, block)
+             for size, n in lengths]
+    out = found[0] if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def search_one(rows: DataFrame, asked: DataFrame, n: int, k: int, recall: float, probes: int | None, sample: int, part_rows: int, parts: int | None, block: int) -> DataFrame:
+    """The search among n vectors (id, v) of one length."""
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
+    points = matrix(some.column("v").combine_chunks())
     if parts is None:
         parts = 1 << max(0, min(int(np.log2(max(1, n / part_rows))), int(np.log2(max(1, len(points) / 64)))))
     router, enough = learn(points, parts, recall)
-    rows, asked = rows.filter(F.size("v") == size), asked.filter(F.size("v") == size)
     index = written(routed(rows, router, 1), "index")
-    probed = written(routed(asked, router, probes or enough), "probes")
-    # A few numbers per part: its vectors and queries.
+    # A few numbers per part: its vectors, and below its queries.
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
-    loads = {r["part"]: r["count"] for r in probed.groupBy("part").count().collect()}
-    blocks = F.array(*[F.lit(-(-sizes.get(p, 0) // block) or 1) for p in range(parts)])
-    shares = F.array(*[F.lit(-(-loads.get(p, 0) // block) or 1) for p in range(parts)])
-    of = lambda counts: F.element_at(counts, F.col("part") + 1)
-    dealt = lambda counts: F.pmod(F.xxhash64("id"), of(counts)).cast("int")
-    every = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
-    right = index.withColumn("block", dealt(blocks)).select("*", every(shares).alias("share"))
-    left = probed.withColumn("share", dealt(shares)).select("*", every(blocks).alias("block"))
-    group = ["part", "block", "share"]
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
-        lambda key, q, b: block_search(key, q, b, k), "query_id long, vec_id long, score double")
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def looked_up(asked: DataFrame, probes: int) -> DataFrame:
+        probed = written(routed(asked, router, probes), "probes")
+        loads = {r["part"]: r["count"] for r in probed.groupBy("part").count().collect()}
+        blocks = F.array(*[F.lit(-(-sizes.get(p, 0) // block) or 1) for p in range(parts)])
+        shares = F.array(*[F.lit(-(-loads.get(p, 0) // block) or 1) for p in range(parts)])
+        of = lambda counts: F.element_at(counts, F.col("part") + 1)
+        dealt = lambda counts: F.pmod(F.xxhash64("id"), of(counts)).cast("int")
+        every = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
+        right = index.withColumn("block", dealt(blocks)).select("*", every(shares).alias("share"))
+        left = probed.withColumn("share", dealt(shares)).select("*", every(blocks).alias("block"))
+        group = ["part", "block", "share"]
+        found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(
+            lambda key, q, b: block_search(key, q, b, k), "query_id long, vec_id long, score double")
+        best = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    probes = min(probes or enough, parts)
+    found = looked_up(asked, probes)
+    if probes == parts:
+        return found
+    found = written(found, "found")
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = asked.join(full, "id", "left_anti")
+    if n <= k or short.isEmpty():  # with k vectors or fewer no query can have more
+        return found if short.isEmpty() else looked_up(asked, parts)
+    again = written(short, "short")
+    return found.join(again.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(looked_up(again, parts))

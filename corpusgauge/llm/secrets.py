@@ -2,8 +2,9 @@
 
 Every text is searched for credentials: assignments to password-like names, access keys, runs of hex digits and, added by
 this method, long tokens that mix small letters, capitals and digits. The hash of each candidate's value is counted over
-the corpus by distinct repository and owner. A value that several owners hold is an example copied around; a value of
-few owners looks like a live credential of theirs. Mixed tokens count as secrets only if they look live.
+the corpus by distinct repository and owner. A value that several owners hold, or one that stands in many repositories, is an
+example copied around; a value of few owners and repositories looks like a live credential of theirs. Mixed tokens count as
+secrets only if they look live.
 
 The text is read once; what is found is written (ids, spans and hashes, no text) and all counting works on that. Counts go
 from (value, owner, repository) over (value, owner) to value, each combined before its shuffle.
@@ -11,6 +12,8 @@ from (value, owner, repository) over (value, owner) to value, each combined befo
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusgauge.functions.events import runs
+from corpusgauge.functions.text import let
 from .common import written
 
 # Kind, pattern, group of the value, its least length.
@@ -74,30 +77,34 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", repository: C
 
 def ownership(found: DataFrame) -> DataFrame:
     """Per value (a, b): n_docs, n_repositories and n_owners that hold it. A repository belongs to one owner."""
-    held = found.select("owner", "repository", F.explode(F.array_distinct(F.transform("spans", lambda s: F.struct(s["a"], s["b"])))).alias("v"))
+    # Each value once per row, by sorting: comparing structs pair by pair would take the square of the spans.
+    values = F.array_sort(F.transform("spans", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
+    distinct = let(values, lambda v: F.transform(runs(v), lambda r: F.get(v, r["at"])))
+    held = found.select("owner", "repository", F.explode(distinct).alias("v"))
     by_repository = held.groupBy("v.a", "v.b", "owner", "repository").agg(F.count("*").alias("n"))
     by_owner = by_repository.groupBy("a", "b", "owner").agg(F.sum("n").alias("n"), F.count("*").alias("r"))
     return by_owner.groupBy("a", "b").agg(
         F.sum("n").alias("n_docs"), F.sum("r").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def classify(found: DataFrame, owners: int = 3) -> DataFrame:
-    """found (doc_id, text_key, row, spans) with spans judged: array of (start, rank, end, n_owners, live)."""
+def classify(found: DataFrame, owners: int = 3, repositories: int = 12) -> DataFrame:
+    """found (doc_id, text_key, row, spans) with spans judged: array of (start, rank, end, n_owners, n_repositories, live)."""
     parts = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
     judged = parts.join(ownership(found), ["a", "b"]).select(
-        "row", F.struct("start", "rank", "end", "n_owners", (F.col("n_owners") < owners).alias("live")).alias("s"))
+        "row", F.struct("start", "rank", "end", "n_owners", "n_repositories", (
+            (F.col("n_owners") < owners) & (F.col("n_repositories") < repositories)).alias("live")).alias("s"))
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("judged"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,n_owners:bigint,live:boolean>>")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,n_owners:bigint,n_repositories:bigint,live:boolean>>")
     return found.join(judged, "row", "left").withColumn("judged", F.coalesce("judged", none))
 
 
 def find(docs: DataFrame, text: str = "text", key: str = "doc_id", repository: Column | None = None, owner: Column | None = None,
-         owners: int = 3) -> DataFrame:
+         owners: int = 3, repositories: int = 12) -> DataFrame:
     """Per row of docs: doc_id, text_key, base and judged spans.
 
     base: array of (start, rank, end) of the fixed kinds. judged: those and the mixed tokens that look live, each with the
-    owners of its value and whether it looks live, that is fewer than `owners` owners hold it. A mixed token inside a base
-    span isn't told again. Null texts are empty and hold nothing; a null owner or repository is one of its own; repeated
+    owners and repositories of its value and whether it looks live: fewer than `owners` owners hold it, and it stands in fewer
+    than `repositories` repositories. A mixed token inside a base span isn't told again. Null texts are empty and hold nothing; a null owner or repository is one of its own; repeated
     rows give repeated rows. Other columns are left out.
     """
     rows = scan(docs, text, key, repository, owner)
@@ -105,7 +112,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", repository: C
     inside = lambda o: F.exists("base", lambda s: (s["start"] <= o["start"]) & (o["end"] <= s["end"]))
     rows = rows.withColumn("base", base).withColumn("spans", F.concat("base", F.filter("owned", lambda o: ~inside(o))))
     rows = rows.drop(*ORDER).withColumn("row", F.monotonically_increasing_id())
-    judged = classify(written(rows, "secrets"), owners)
+    judged = classify(written(rows, "secrets"), owners, repositories)
     told = F.filter("judged", lambda s: (s["rank"] < len(KINDS)) | s["live"])
     return judged.select("doc_id", "text_key", F.transform("base", lambda s: F.struct(s["start"], s["rank"], s["end"])).alias("base"), told.alias("judged"))
 

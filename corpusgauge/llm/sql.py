@@ -42,10 +42,10 @@ spans AS (
 outer_spans AS (
   SELECT * FROM spans a WHERE rank < 3 OR NOT EXISTS (
     SELECT 1 FROM spans b WHERE b.rank < 3 AND b.doc_id = a.doc_id AND b.s <= a.s AND a.e <= b.e)),
-owned AS (SELECT v, count(DISTINCT source) AS owners FROM outer_spans GROUP BY v),
+owned AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT concat_ws('/', source, lang)) AS repositories FROM outer_spans GROUP BY v),
 told AS (
-  SELECT o.*, owners < 3 AS live, (['assign', 'access', 'hex', 'owned'])[rank + 1] || ':' || s || ':' || e AS name
-  FROM outer_spans o JOIN owned USING (v) WHERE rank < 3 OR owners < 3)
+  SELECT o.*, owners < 3 AND repositories < 12 AS live, (['assign', 'access', 'hex', 'owned'])[rank + 1] || ':' || s || ':' || e AS name
+  FROM outer_spans o JOIN owned USING (v) WHERE rank < 3 OR (owners < 3 AND repositories < 12))
 SELECT d.doc_id, count(name) FILTER (WHERE rank = 0) AS n_assign, count(name) FILTER (WHERE rank = 1) AS n_access,
        count(name) FILTER (WHERE rank = 2) AS n_hex,
        sha256(coalesce(string_agg(name, ',' ORDER BY s, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,

@@ -130,6 +130,35 @@ def test_neighbours_recall(spark):
     assert len(got) == 100 and hits / 1000 >= 0.9
 
 
+def all_nearest(vectors, k):
+    """(query, rank, id) by all pairs of equal length."""
+    out = []
+    for i, v in vectors:
+        near = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in vectors if j != i and len(w) == len(v))
+        out += [(i, r, j) for r, (_, j) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=2 + (i % 3 == 0)).tolist()) for i in range(80)] + [(80, [1.0])]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, rows, k=4)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()) == all_nearest(vectors, 4)
+
+
+def test_neighbours_beyond_small_parts(spark):
+    """Parts with fewer candidates than asked for: the other parts are searched, so all candidates come that there are."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, (rng.normal(size=4) * 0.01 + (100 if i < 6 else 0)).tolist()) for i in range(260)]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = neighbours.search(rows, rows.filter("vec_id < 6 or vec_id % 50 = 0"), k=10, parts=4, probes=1).collect()
+    each = {q: sorted(r["rank"] for r in got if r["query_id"] == q) for q in {r["query_id"] for r in got}}
+    assert set(each) == {*range(6), 50, 100, 150, 200, 250} and all(v == list(range(1, 11)) for v in each.values())
+    few = rows.limit(5)
+    assert neighbours.search(few, few, k=10).count() == 20
+
+
 def test_fingerprints(spark, odd, empty):
     got = sampling.chain(odd).collect()
     assert len(got) == 9 and sorted(r["n_chars"] for r in got) == sorted([0, 0, 1, 1, 1, 4, len(LONG), 30, 0])
@@ -199,6 +228,16 @@ def test_secrets(spark, odd, empty):
     assert secrets.redact(odd).count() == 9 and secrets.redact(odd).columns == odd.columns
 
 
+def test_repositories_and_owners_both_decide(spark):
+    """A value of one owner in a dozen repositories is an example; spans tell both counts."""
+    one, two = "secret=mnopmnopmnopmnop", "secret=qrstqrstqrstqrst"
+    docs = spark.createDataFrame(
+        [(i, one, "o", f"r{i}") for i in range(12)] + [(20 + i, two, "o", f"r{i}") for i in range(11)], "doc_id long, text string, o string, r string")
+    found = secrets.find(docs, repository=F.col("r"), owner=F.col("o")).collect()
+    judged = {r["doc_id"]: [(s["n_owners"], s["n_repositories"], s["live"]) for s in r["judged"]] for r in found}
+    assert all(v == [(1, 12, False)] for d, v in judged.items() if d < 20) and all(v == [(1, 11, True)] for d, v in judged.items() if d >= 20)
+
+
 def test_packing(odd, empty):
     got = packing.pack(odd, vocabulary()).collect()
     assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
