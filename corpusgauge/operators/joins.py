@@ -5,12 +5,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import events as ev
 from ..functions.code import strip_code
 from ..functions.css import closest_property, known_properties
-from ..functions.versions import line_hashes, moved_lines
+from ..functions.events import ASYNC, HOOKS_WITH_DEPS, LOOP
 from ..functions.text import count_regex, extract_all, let, one_of, regex
-from ..functions.events import ASYNC, HOOKS_WITH_DEPS, LOOP, PY_NAME
+from ..functions.versions import line_hashes, moved_lines
 from ..plans.checks_code import (
-    ARGUMENT_NAME, CALL, GIVEN, JS_GLOBALS, JS_KEYWORDS, MEMBER, NULL_ASSIGNED, PROP_TYPES, REQUIRED, RESOURCES,
-    TAINTED, call_sink, sink_arguments,
+    ARGUMENT_NAME, GIVEN, JS_GLOBALS, JS_KEYWORDS, MEMBER, NULL_ASSIGNED, PROP_TYPES, REQUIRED, RESOURCES, flow_array,
 )
 from ..plans.checks_css import VENDOR
 from ..plans.checks_html import CONTROL, CONTROL_ID, LABEL, SELF_LABELLED, SKIPPED_INPUT
@@ -127,27 +126,8 @@ def unused_imports(files: DataFrame) -> DataFrame:
 
 
 def taint_flow(files: DataFrame) -> DataFrame:
-    """Calls (line_no, call, sink, name) that get a name assigned from an input on an earlier line.
-
-    Direct assignments only; arguments are read up to the first nested parenthesis of the call's line.
-    """
-    rows = py_lines(files)
-    targets = extract_all(F.regexp_extract("line", TAINTED, 1), PY_NAME)
-    tainted = (
-        rows.where(F.col("line").rlike(TAINTED)).select(*FILE, "line_no", F.explode(targets).alias("name"))
-        .groupBy(*FILE, "name").agg(F.min("line_no").alias("tainted_at"))
-    )
-    calls = rows.select(*KEY, "line_no", F.posexplode(extract_all("line", CALL)).alias("call_no", "c"))
-    calls = calls.select(
-        *KEY, "line_no", "call_no", F.regexp_extract("c", CALL, 1).alias("call"),
-        F.regexp_extract("c", CALL, 2).alias("args")).withColumn("sink", call_sink(F.col("call")))
-    named = calls.where("sink is not null").select(
-        *KEY, "line_no", "call_no", "call", "sink",
-        F.explode(F.array_distinct(sink_arguments(F.col("sink"), F.col("args")))).alias("name"))
-    return (
-        named.join(tainted, [*FILE, "name"]).where("tainted_at < line_no")
-        .groupBy(*KEY, "line_no", "call_no", "call", "sink").agg(F.min("name").alias("name"))
-    )
+    """Calls (line_no, call_no, call, sink, name) that get a name assigned from an input on an earlier line, found in the row."""
+    return files.select(*KEY, F.inline(let(ev.py_line_array("text"), flow_array)))
 
 
 def inside_span(files: DataFrame, **headers: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions.code import version_risk
 from ..functions.events import (
-    FOR_LOOP, HANDLER, HOOKS_WITH_DEPS, JS_NAME, PY_NAME, blocks_without, imported_names, missing_names,
+    FOR_LOOP, HANDLER, HOOKS_WITH_DEPS, JS_NAME, PY_NAME, blocks_without, imported_names, missing_names, running, runs,
 )
 from ..functions.text import extract_all, let, one_of, regex
 from .checks import RowCheck, Spec, each, once
@@ -242,30 +242,49 @@ def _flat(array, items) -> Column:
     return F.flatten(F.transform(array, items))
 
 
-def python_security() -> Column:
-    """Names assigned from an input on an earlier line that reach a call.
+FLOW = "struct<line_no:int,call_no:int,call:string,sink:string,name:string>"
+
+
+def flow_array(lines) -> Column:
+    """Struct (line_no, call_no, call, sink, name) of the calls that get a name assigned from an input on an earlier line.
 
-    Direct assignments only; arguments are read up to the first nested parenthesis of the call's line.
+    Direct assignments only; arguments are read up to the first nested parenthesis of the call. Names and uses are sorted
+    together and walked once, so that work doesn't grow with names times calls; of several names a call gets the first.
     """
     def sources(l):
         return F.transform(extract_all(F.regexp_extract(l["line"], TAINTED, 1), PY_NAME), lambda n: F.struct(
             n.alias("name"), l["line_no"].alias("line_no")))
 
-    tainted = first_by_name(_flat(F.filter("py_lines", lambda l: l["line"].rlike(TAINTED)), sources))
+    def event(name, line_no, call_no=F.lit(-1), call=F.lit(None).cast("string"), sink=F.lit(None).cast("string")):
+        return F.struct(name.alias("name"), (call_no >= 0).alias("is_use"), line_no.alias("line_no"), call_no.alias("call_no"), call.alias("call"), sink.alias("sink"))
+
+    def uses(l):
+        def read(c, i):
+            call = F.regexp_extract(c, CALL, 1)
+            return let(call_sink(call), lambda sink: F.when(sink.isNotNull(), F.transform(
+                F.array_distinct(sink_arguments(sink, F.regexp_extract(c, CALL, 2))), lambda n: event(n, l["line_no"], i, call, sink))))
+
+        return F.flatten(F.array_compact(F.transform(extract_all(l["line"], CALL), read)))
 
     def flows(names):
-        def calls(l):
-            return F.transform(extract_all(l["line"], CALL), lambda c: let(
-                call_sink(F.regexp_extract(c, CALL, 1)), lambda sink: F.struct(
-                    l["line_no"].alias("line_no"), sink.alias("sink"),
-                    sink_arguments(sink, F.regexp_extract(c, CALL, 2)).alias("args"))))
-
-        reached = lambda c: c["sink"].isNotNull() & F.exists(names, lambda n: (
-            n["line_no"] < c["line_no"]) & F.array_contains(c["args"], n["name"]))
-        sinks = F.transform(F.filter(_flat(C("py_lines"), calls), reached), lambda c: c["sink"])
-        return F.when(F.size(names) > 0, sinks)
-
-    return each(let(tainted, flows), lambda s: [(spec, s == sink) for sink, spec in TAINT.items()])
+        def step(state, e):
+            hit = (state["name"] == e["name"]) & (state["line_no"] < e["line_no"])
+            flow = F.struct(*[e[n].alias(n) for n in ("line_no", "call_no", "call", "sink", "name")])
+            mine = F.struct(e["name"].alias("name"), e["line_no"].alias("line_no"))
+            return F.struct(F.when(e["is_use"], state).otherwise(mine).alias("state"), F.when(e["is_use"] & hit, flow).alias("out"))
+
+        events = F.array_sort(F.concat(F.transform(names, lambda n: event(n["name"], n["line_no"])), _flat(lines, uses)))
+        start = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("line_no"))
+        hits = F.array_sort(F.filter(running(events, start, step, FLOW)["out"], lambda f: f.isNotNull()))
+        one = let(hits, lambda v: F.transform(runs(v, lambda f: F.struct(
+            f["line_no"].alias("line_no"), f["call_no"].alias("call_no"))), lambda r: F.get(v, r["at"])))
+        return F.when(F.size(names) > 0, one)
+
+    return let(first_by_name(_flat(F.filter(lines, lambda l: l["line"].rlike(TAINTED)), sources)), flows)
+
+
+def python_security() -> Column:
+    return each(let(C("py_lines"), flow_array), lambda f: [(spec, f["sink"] == sink) for sink, spec in TAINT.items()])
 
 
 QUERY_CALL = r"([\w\])]\.execute)\s*\("

@@ -105,6 +105,8 @@ def test_work_grows_with_rules_lists_and_blanks(make_files):
         ("css.maintenance", "css", lambda n: "".join(f".a{i} {{ top: 0; left: 0 }}\n.a{i} {{ top: 0 }}\n" for i in range(n)), 1_000),
         ("css.style", "css", lambda n: "".join(f".a{i} {{ color: red; color: red }}\n" for i in range(n)), 1_000),
         ("css.performance", "css", lambda n: ".a {" + "top: 0;\n" * n + "}", 5_000),
+        ("python.security", "python", lambda n: "".join(f"a{i} = input()\nos.system(a{i})\n" for i in range(n)), 1_000),
+        ("react.hooks", "react", lambda n: "useEffect(() => { f(a); }, [a]);\n" * n, 500),
         ("mongodb.style", "mongodb", lambda n: " " * n + "x", 25_000), ("python.style", "python", lambda n: " " * n + "x", 25_000),
         ("utility", "html", lists, 400), ("html.style", "html", lambda n: "<style>" + "".join(f".a{i} {{ top: {i} }}\n" for i in range(n)) + "</style>", 1_000)]
     for pack, language, build, n in cases:
