@@ -579,7 +579,7 @@ def full_scan_sql():
         packs = [build() for _, build in queries_packs.QUERIES.values()]
     finally:
         forced_corpus.pop()
-    union = "\nUNION ALL\n".join(f"SELECT * FROM ({p})" for p in packs)
+    union = "\nUNION ALL\n".join(f"SELECT path, score_impact, n FROM ({p})" for p in packs)
     return with_corpus(ALL, f"""SELECT language, count(*) AS files, CAST(sum(score) AS BIGINT) AS total, round_even(avg(score), 2) AS average_score FROM (
       SELECT f.language, CAST(greatest(0, least(100, 100 - coalesce(p.penalty, 0))) AS INT) AS score FROM files f
       LEFT JOIN (SELECT path, sum(score_impact * n) AS penalty FROM ({union}) GROUP BY path) p USING (path)) GROUP BY language""")
