@@ -40,7 +40,9 @@ DETAILS = T.StructType([
     T.StructField("score", I),
     T.StructField("findings", T.ArrayType(_struct(
         rule=S, severity=S, score_impact=I, message=S, line=I))),
-    T.StructField("metrics", METRICS),
+    T.StructField("metrics", T.StructType([
+        *METRICS.fields, T.StructField("finding_count", L), T.StructField("severity_counts", T.MapType(S, L)),
+        T.StructField("category_counts", T.MapType(S, L))])),
 ])
 
 RUNS = _struct(job_id=S, original_name=S, created_at=TS)

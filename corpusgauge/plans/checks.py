@@ -10,8 +10,9 @@ from typing import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.events import repeated_counts
 from ..functions.text import col, let, line_at, render_message, sql_text
-from ..model import FINDING, FINDING_COLUMNS
+from ..model import FINDING, FINDING_COLUMNS, METRICS
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,18 @@ def with_snippets(findings, lines="text_lines") -> Column:
     return F.transform(findings, lambda f: f.withField("snippet", line_at(col(lines), f["line"])))
 
 
+def counted_metrics(metrics, findings) -> Column:
+    """A file's metrics with the number of its findings and those of each severity and category."""
+    def counts(field):
+        each = repeated_counts(F.transform(findings, lambda f: f[field]), 1, "name")
+        return F.map_from_entries(F.transform(each, lambda c: F.struct(c["name"], c["uses"])))
+
+    metrics = col(metrics)
+    return F.struct(
+        *[metrics[n].alias(n) for n in METRICS.fieldNames()], F.size(findings).cast("long").alias("finding_count"),
+        counts("severity").alias("severity_counts"), counts("rule").alias("category_counts"))
+
+
 TOLD = ("severity", "message", "line", "snippet", "confidence", "fix")
 
 

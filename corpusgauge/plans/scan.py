@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import clamp_score, text_metrics
 from ..model import FINDING_COLUMNS
-from .checks import none_found
+from .checks import counted_metrics, none_found
 from .rules import Rule, findings_array, rules_from_table, with_features
 
 
@@ -45,7 +45,7 @@ def detailed_files(files: DataFrame, rules: list[Rule], checks=()) -> DataFrame:
     rows = rows.withColumn("score", clamp_score(100 - penalty))
     document = F.struct(
         "language", F.col("path").alias("file_path"), F.concat("language", F.lit("_analyzer")).alias("analyzer_name"),
-        "score", F.array_sort(F.transform("hits", item)).alias("findings"), "metrics")
+        "score", F.array_sort(F.transform("hits", item)).alias("findings"), counted_metrics("metrics", F.col("hits")).alias("metrics"))
     return rows.select("job_id", "path", "language", "score", F.to_json(document).alias("details"))
 
 

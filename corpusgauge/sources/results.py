@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.text import content_hash, size_bytes, text_metrics
 from ..model import DETAILS, FINDING_COLUMNS
 from ..operators.unnest import KEY
+from ..plans.checks import counted_metrics
 
 FILE = ["job_id", "path"]
 SALTS = 32
@@ -55,7 +56,7 @@ def to_details_json(scores: DataFrame, findings: DataFrame, metrics: DataFrame)
     empty = F.array().cast(DETAILS["findings"].dataType)
     document = F.struct(
         "language", F.col("path").alias("file_path"), F.concat("language", F.lit("_analyzer")).alias("analyzer_name"),
-        "score", F.coalesce("found", empty).alias("findings"), "metrics")
+        "score", F.coalesce("found", empty).alias("findings"), counted_metrics("metrics", F.coalesce("found", empty)).alias("metrics"))
     return rows.select(*KEY, "score", F.to_json(document).alias("details"))
 
 

@@ -120,9 +120,11 @@ def src_7(spark, sf):
 
 def src_7b(spark, sf):
     """The same documents made in one pass; equal to the joined ones."""
-    rows = detailed_files(page_files(spark, sf), rules_named(*STRUCTURE))
-    return rows.select("path", "score", F.get_json_object("details", "$.findings[0].message").alias("first_message"),
-                       F.size(F.from_json("details", DETAILS)["findings"]).alias("findings"))
+    rows = detailed_files(page_files(spark, sf), rules_named(*STRUCTURE)).withColumn("d", F.from_json("details", DETAILS))
+    listed = lambda counts: F.array_join(F.array_sort(F.transform(F.map_entries(counts), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))), ",")
+    return rows.select(
+        "path", "score", F.get_json_object("details", "$.findings[0].message").alias("first_message"), F.size("d.findings").alias("findings"),
+        listed(F.col("d.metrics.severity_counts")).alias("severities"), listed(F.col("d.metrics.category_counts")).alias("categories"))
 
 
 def src_8(spark, sf):
@@ -359,7 +361,12 @@ QUERIES = {
         LEFT JOIN (SELECT path, arg_min(message, rule || severity || lpad(CAST(score_impact AS VARCHAR), 3, '0') || message) AS first_message
           FROM findings GROUP BY path) f USING (path)""", SCORES, METRICS)),
     "src_7b_detailed_files": (src_7b, on_findings(
-        """SELECT s.path, s.score, f.first_message, CAST(s.findings AS INT) AS findings FROM scores s
+        """SELECT s.path, s.score, f.first_message, CAST(s.findings AS INT) AS findings,
+          coalesce(c.severities, '') AS severities, coalesce(k.categories, '') AS categories FROM scores s
+        LEFT JOIN (SELECT path, string_agg(severity || ':' || n, ',' ORDER BY severity || ':' || n) AS severities
+          FROM (SELECT path, severity, CAST(sum(n) AS BIGINT) AS n FROM findings GROUP BY ALL) GROUP BY path) c USING (path)
+        LEFT JOIN (SELECT path, string_agg(rule || ':' || n, ',' ORDER BY rule || ':' || n) AS categories
+          FROM (SELECT path, rule, CAST(sum(n) AS BIGINT) AS n FROM findings GROUP BY ALL) GROUP BY path) k USING (path)
         LEFT JOIN (SELECT path, arg_min(message, rule || severity || lpad(CAST(score_impact AS VARCHAR), 3, '0') || message) AS first_message
           FROM findings GROUP BY path) f USING (path)""", SCORES)),
     "src_8_from_details_json": (src_8, on_findings(
