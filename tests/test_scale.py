@@ -1,6 +1,10 @@
 """Work that has to be done once per file and stay in its row."""
 
+import io
+import zipfile
+
 from corpusgauge.operators import joins as jo
+from corpusgauge.sources import corpus
 
 
 def optimized(df):
@@ -16,3 +20,20 @@ def test_unused_imports_stay_in_the_row(make_files):
     assert {(r["path"], r["name"]) for r in rows.collect()} == {("a.py", "r"), ("a.py", "b"), ("c.py", "z"), ("e.py", "y")}
     text = optimized(rows)
     assert "Join" not in text and "Aggregate" not in text
+
+
+def test_members_leave_in_blocks(spark):
+    def packed(k):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"{k}.txt", b"x" * 3_000_000 if k == 7 else str(k))
+            z.writestr(f"../{k}.txt", "outside")
+        return out.getvalue()
+
+    import pandas as pd
+    batch = pd.DataFrame({"path": [f"{k}.zip" for k in range(600)] + ["bad.zip"], "content": [packed(k) for k in range(600)] + [b"no"]})
+    blocks = list(corpus._members([batch[:300], batch[300:]]))
+    assert len(blocks) == 2 and sum(map(len, blocks)) == 1201
+    assert [len(b) for b in corpus._members([batch[7:8]] * 5)] == [5, 5]
+    whole = pd.concat(blocks)
+    assert whole["error"].notna().sum() == 1 and whole["path"].nunique() == 1200
