@@ -3,7 +3,12 @@
 import io
 import zipfile
 
+from pyspark.sql import functions as F
+
 from corpusgauge.operators import joins as jo
+from corpusgauge.operators.detect import filter_results
+from corpusgauge.plans.registry import rules_named
+from corpusgauge.plans.scan import scored_files
 from corpusgauge.sources import corpus
 
 
@@ -37,3 +42,14 @@ def test_members_leave_in_blocks(spark):
     assert [len(b) for b in corpus._members([batch[7:8]] * 5)] == [5, 5]
     whole = pd.concat(blocks)
     assert whole["error"].notna().sum() == 1 and whole["path"].nunique() == 1200
+
+
+def test_a_test_of_scores_runs_the_rules_once(make_files):
+    files = make_files(("a.html", "html", "<p>no title</p>"), ("b.html", "html", "<title>t</title>"))
+    scores = scored_files(files, rules_named("html"))
+    every = {r["path"]: r["score"] for r in scores.collect()}
+    for df in (filter_results(scores, "html", 0, 100), scores.where("score is not null"), scores.where(F.col("penalty") >= 0)):
+        assert {r["path"]: r["score"] for r in df.collect()} == every
+        text = optimized(df.select("path", "score"))
+        assert text.count("html.structure.title") == 1
+        assert text.count("AS css_text") == 1
