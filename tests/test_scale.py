@@ -53,3 +53,21 @@ def test_a_test_of_scores_runs_the_rules_once(make_files):
         text = optimized(df.select("path", "score"))
         assert text.count("html.structure.title") == 1
         assert text.count("AS css_text") == 1
+
+
+def test_searches_find_what_the_patterns_find(spark):
+    from corpusgauge.functions import code as fc, events as ev
+    from corpusgauge.functions.text import extract_all, replace_regex
+
+    texts = ["<p CLASS='a' xclass='b' :class=\"c\" [x.class]='d' vclass='e' V-BIND:class={f} ngClass=`g`\nclassName = 'h'>", "", None,
+             "a 'b' \"c\" # d\n'''e\n#f''' `g` // h\n/* i */ / j 'k\\'l' m'n"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        F.transform(ev.class_list_array("text"), lambda l: l["value"]).alias("got"), extract_all("text", ev.CLASS_ATTRIBUTE, 1).alias("quoted"),
+        fc.blank_code("text").alias("code"), replace_regex("text", fc.BLANKED, " ").alias("code_by"),
+        fc.blank_python("text").alias("python"), replace_regex("text", fc.PY_BLANKED, " ").alias("python_by")).collect()
+    for r in rows:
+        assert r["got"] == (None if r["quoted"] is None else [q[1:-1] for q in r["quoted"]])
+        assert r["code"] == r["code_by"] and r["python"] == r["python_by"]
+    assert len(rows[0]["got"]) >= 5
+    searched = ev.class_list_array("text")._jc.toString()
+    assert searched.count("ngClass") == searched.count("[cnv:")
