@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from corpusgauge.functions import text as ft
 from corpusgauge.operators import aggregates as ag, windows as wi
 from corpusgauge.plans.registry import rules_named, scan, scan_scores
+from corpusgauge.plans.rules import rare_end
 from corpusgauge.plans.scan import rule_scan
 from workload.corpora import document_files, page_files, table
 import __spark_entry__ as entry
@@ -84,3 +86,24 @@ def test_writing_again_replaces_only_its_partitions(spark, sf, tmp_path):
 
 def test_documents_table_is_read_once_per_use(spark, sf):
     assert plan(table(spark, sf, "documents").select("doc_id")).count("FileScan") == 1
+
+
+def test_what_rules_share_is_looked_for_once(spark, make_files):
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    found = rule_scan(make_files(("a", "html", "x")), rules_named("html", "python.security"))
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    for block in ("<script", "<div", "innerhtml", "secret"):
+        assert text.count(f", {block})") == 1, block
+
+
+def test_quick_searches_find_the_same(spark):
+    texts = ["", "x" * 88, "x" * 89, "a\n" + "y" * 89, "z" * 60 + "\r" + "z" * 60, "\x85" + "q" * 89 + "\n", "ü" * 88 + "\u2028ab"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select(
+        "text", ft.has_longer_line("text", 88).alias("long"), ft.lines_over("text", 88).alias("n")).collect()
+    assert [(r["long"], r["n"]) for r in rows] == [
+        (any(n > 88 for n in map(len, r["text"].splitlines())), sum(n > 88 for n in map(len, r["text"].splitlines()))) for r in rows]
+    assert ft.longer_line_width(ft.longer_line(88)) == 88 and ft.longer_line_width(r"x{3}") is None
+    assert ft.led(r"(?i)\b(?:key|token)\s*=") == r"(?i)(?=[kt])\b(?:key|token)\s*="
+    for same in (r"\b(?:a|b)?c", r"\ba*b", r"\b(?:a?b|c)", r"\b(x(y)|z)", r"\b\w+", r"a\b"):
+        assert ft.led(same) == same
+    assert [rare_end(n) for n in ("secret", "print(", "def", "<img", ".execute(")] == ["cret", "print(", "def", "<img", "xecute("]
